@@ -26,32 +26,33 @@ def _digest(key: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_points: int = MIN_POINTS) -> DataFrame:
-    """doc_id, text -> doc_id, n_lines, n_dropped, kept (the text without the lines whose key enough documents hold).
+    """docs with doc_id and text -> row (a struct of the row as it came), n_lines, n_dropped, kept (the text without
+    the lines whose key enough documents hold).
 
     Each row gives a row. Rows that share a doc_id count as one document; so do all rows without one. A null text is
-    an empty one, which is one empty line; a text that loses all its lines becomes ''. Other columns are not read.
+    an empty one, which is one empty line; a text that loses all its lines becomes ''. Other columns only ride along.
 
     Two shuffles of 16-byte digests, by digest: (digest, document) pairs, each once, are counted with map-side
     partial counts, and the same pairs are joined with the digests that reach min_documents (a line that a third of
     the documents hold is a skewed join, which adaptive execution splits). What is left, the documents that lose
     lines, meets the whole texts by doc_id.
     """
-    source = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = F.array_distinct(F.filter(F.transform(_lines("text"), line_key), lambda k: F.char_length(k) >= min_points))
     pairs = source.select("doc_id", F.explode(F.transform(keys, _digest)).alias("h"))
     # Repeated rows of a document must count once.
     frequent = pairs.distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("h")
     losing = pairs.join(frequent, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-    joined = source.alias("d").join(losing.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select("d.doc_id", "d.text", "l.hs")
+    joined = source.alias("d").join(losing.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select("d.row", "d.text", "l.hs")
     lines = _lines("text")
     kept = F.when(F.col("hs").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("hs"), _digest(line_key(x)))))
-    return joined.select("doc_id", "text", lines.alias("all_lines"), kept.alias("kept_lines")).select(
-        "doc_id", F.size("all_lines").cast("long").alias("n_lines"), (F.size("all_lines") - F.size("kept_lines")).cast("long").alias("n_dropped"), F.array_join("kept_lines", "\n").alias("kept")
+    return joined.select("row", lines.alias("all_lines"), kept.alias("kept_lines")).select(
+        "row", F.size("all_lines").cast("long").alias("n_lines"), (F.size("all_lines") - F.size("kept_lines")).cast("long").alias("n_dropped"), F.array_join("kept_lines", "\n").alias("kept")
     )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(common.documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return line_dedup(common.documents(spark, sf_dir).select("doc_id", "text")).select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 #: A relation of (doc_id, text) for {docs}; also a stage of the pipeline's SQL.
