@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import sequences, tables
+
+_PLANS = [sequences, tables]
+
+QUERIES: dict = {k: f for m in _PLANS for k, f in m.QUERIES.items()}
+ORACLE: dict = {k: q for m in _PLANS for k, q in m.ORACLE.items()}
