@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding, line_dedup, lm, mixing, quality, simhash, warc
+from . import chat, decontaminate, embedding, line_dedup, lm, mixing, passages, quality, simhash, warc
 
-_MODULES = [simhash, line_dedup, chat, decontaminate, lm, warc, quality, embedding, mixing]
+_MODULES = [simhash, line_dedup, chat, passages, decontaminate, lm, warc, quality, embedding, mixing]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in getattr(m, "ORACLE", {}).items()}
