@@ -357,7 +357,7 @@ def ma04(spark, d):
     return ag.distance_rmsd(p, ["g"]).select("g", F.round("rmsd", 6).alias("rmsd"))
 
 
-@query("ma12_normalized_vectors", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 5)) AS unit FROM embeddings")
+@query("ma12_normalized_vectors", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_reduce(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE), lambda a, b: a + b)), 5)) AS unit FROM embeddings")
 def ma12(spark, d):
     e = F.col("embedding").cast("array<double>")
     norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
