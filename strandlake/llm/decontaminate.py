@@ -15,9 +15,9 @@ from . import common
 #: Edits that an item of 5 words bears: one; in general a fifth of its words (a similarity of 0.8).
 SIMILARITY = 0.8
 #: Repetitions, sampled steps in each, words over which a repetition samples, seed.
-REPEATS, SAMPLED, SPAN, SEED = 16, 2, 10, 11
-#: Words of benchmark items that are broadcast at once, about 100 bytes each; more items go in further passes.
-BLOCK_WORDS = 200_000
+REPEATS, SAMPLED, SPAN, SEED = 12, 2, 10, 11
+#: Items and words that are broadcast at once (a table of one byte for each pair); more items go in further passes.
+BLOCK_ITEMS, BLOCK_WORDS = 2_000, 50_000
 _ENDS = ".,;:!?\"'()[]{}<>*#|%&$_-"
 _OTHER, _PAD = 0, 1
 
@@ -79,6 +79,8 @@ class Index:
     rep: np.ndarray
     steps: np.ndarray
     keys: np.ndarray
+    sizes: np.ndarray
+    has: np.ndarray
 
 
 def build(items: list[tuple[int, list[bytes]]], repeats: int = REPEATS, sampled: int = SAMPLED, seed: int = SEED) -> Index:
@@ -86,7 +88,7 @@ def build(items: list[tuple[int, list[bytes]]], repeats: int = REPEATS, sampled:
 
     CGK: at step j the walk writes the word that it stands on and moves on if a random bit of (repetition, step, word)
     says so; equal runs write equal words, and after an edit two walks meet again. A repetition's key holds the words
-    at step 0 and at `sampled` random steps. Offsets prefer words that are rare among the items, then spread.
+    at step 0 and at `sampled` random steps. Offsets prefer long words, which few windows begin with.
     """
     rng = np.random.default_rng(seed)
     ids: dict[bytes, int] = {}
@@ -97,16 +99,8 @@ def build(items: list[tuple[int, list[bytes]]], repeats: int = REPEATS, sampled:
     for i, c in enumerate(coded):
         n = len(c)
         last = max(1, n - min(SPAN // 2, n // 2))
-        # Rare words first, one from each part of the item before a second one of a part.
-        by = sorted(range(last), key=lambda o: (count[c[o]], rng.random()))
-        parts = max(1, min(repeats, last))
-        seen = [0] * parts
-        ranked = []
-        for o in by:
-            part = o * parts // last
-            ranked.append((seen[part], len(ranked), o))
-            seen[part] += 1
-        chosen = [o for _, _, o in sorted(ranked)]
+        # Long words first, which are rare in any text, then those that few items have.
+        chosen = sorted(range(last), key=lambda o: (-len(items[i][1][o]), count[c[o]], rng.random()))[:repeats]
         for r in range(repeats):
             o = chosen[r % len(chosen)]
             span = min(n - o, SPAN)
@@ -120,11 +114,14 @@ def build(items: list[tuple[int, list[bytes]]], repeats: int = REPEATS, sampled:
             item.append(i), offset.append(o), rep.append(r), steps.append(at)
             # -1: the item has ended there; whatever the document has matches.
             keys.append([written[j] for j in at]), first.append(c[o])
+    has = np.zeros((len(coded), len(ids) + 2), bool)
+    for i, c in enumerate(coded):
+        has[i, c] = True
     first_a = np.array(first, np.int64)
     order = np.argsort(first_a, kind="stable") if len(first_a) else np.zeros(0, np.int64)
     tokens = np.bincount(first_a, minlength=len(ids) + 2)
     begin = np.concatenate([[0], np.cumsum(tokens)])
-    return Index(ids, [k for k, _ in items], coded, bits, tokens, begin, order, np.array(item, np.int64), np.array(offset, np.int64), np.array(rep, np.int64), np.array(steps, np.int64).reshape(-1, sampled), np.array(keys, np.int64).reshape(-1, sampled))
+    return Index(ids, [k for k, _ in items], coded, bits, tokens, begin, order, np.array(item, np.int64), np.array(offset, np.int64), np.array(rep, np.int64), np.array(steps, np.int64).reshape(-1, sampled), np.array(keys, np.int64).reshape(-1, sampled), np.array([len(c) for c in coded], np.int64), has)
 
 
 def _candidates(x: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -163,36 +160,52 @@ def _candidates(x: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(done_pos), np.concatenate(done_entry)
 
 
+_PADS = np.array([_PAD], np.int64)
+
+
+def _coded(words: list[bytes], ix: Index, cache: dict[bytes, int]) -> np.ndarray:
+    """Token ids of the words, those of signs only left out."""
+    try:
+        got = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+    except KeyError:
+        if len(cache) > 1_000_000:
+            cache.clear()
+        for w in words:
+            if w not in cache:
+                v = normal(w)
+                cache[w] = ix.ids.get(v, _OTHER) if v else -1
+        got = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+    return got[got >= 0]
+
+
 def _search(texts: list[bytes], ix: Index, cache: dict, similarity: float) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, edits, first word, number of words) for the best run of each text that an item matches."""
-    flat: list[int] = []
-    begins = []
-    get = cache.get
+    begins, parts, n = [], [], 0
     for t in texts:
-        begins.append(len(flat))
-        for w in t.split():
-            c = get(w)
-            if c is None:
-                if len(cache) > 1_000_000:
-                    cache.clear()
-                v = normal(w)
-                c = cache[w] = ix.ids.get(v, _OTHER) if v else -1
-            if c >= 0:
-                flat.append(c)
-        flat.append(_PAD)
-    x = np.array(flat, np.int64)
+        x = _coded(t.split(), ix, cache)
+        begins.append(n)
+        parts += [x, _PADS]
+        n += len(x) + 1
+    x = np.concatenate(parts or [_PADS])
+    first = np.array(begins, np.int64)
     pos, entry = _candidates(x, ix)
-    doc = np.searchsorted(begins, pos, side="right") - 1
-    seen = set(zip(doc.tolist(), ix.item[entry].tolist(), (pos - ix.offset[entry]).tolist(), strict=True))
+    doc = np.searchsorted(first, pos, side="right") - 1
+    item, start = ix.item[entry], pos - ix.offset[entry]
+    size = ix.sizes[item]
+    most = ((1 - similarity) * size + 1e-9).astype(np.int64)
+    lo = np.maximum(first[doc], start - most)
+    hi = np.minimum(np.append(first[1:], n)[doc] - 1, start + size + 2 * most)
+    # An item within `most` edits of a run has all but `most` of its words in it.
+    held = np.zeros(len(pos), np.int64)
+    for k in range(int((hi - lo).max(initial=0))):
+        at = lo + k
+        held += ix.has[item, x[np.minimum(at, n - 1)]] & (at < hi)
+    keep = held >= size - most
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for d, i, start in sorted(seen):
-        words = ix.words[i]
-        n = len(words)
-        most = int((1 - similarity) * n + 1e-9)
-        a, b = max(begins[d], start - most), min(begins[d + 1] - 1 if d + 1 < len(begins) else len(flat) - 1, start + n + 2 * most)
-        edits, lo, hi = best_match(words, flat[a:b])
-        got = (edits, a - begins[d] + lo, hi - lo)
-        if edits <= most and ((d, i) not in best or got < best[d, i]):
+    for d, i, a, b, m in sorted(set(zip(*(y[keep].tolist() for y in (doc, item, lo, hi, most)), strict=True))):
+        edits, begin, end = best_match(ix.words[i], x[a:b].tolist())
+        got = (edits, a - begins[d] + begin, end - begin)
+        if edits <= m and ((d, i) not in best or got < best[d, i]):
             best[d, i] = got
     for (d, i), got in sorted(best.items()):
         yield d, ix.names[i], *got
@@ -205,7 +218,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
         if words:
             held.append((r["item_id"], words))
             n += len(words)
-        if n >= BLOCK_WORDS:
+        if n >= BLOCK_WORDS or len(held) >= BLOCK_ITEMS:
             yield held
             held, n = [], 0
     if held:
