@@ -357,11 +357,11 @@ def ma04(spark, d):
     return ag.distance_rmsd(p, ["g"]).select("g", F.round("rmsd", 6).alias("rmsd"))
 
 
-@query("ma12_normalized_vectors", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_reduce(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE), lambda a, b: a + b)), 5)) AS unit FROM embeddings")
+@query("ma12_normalized_vectors", "SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE / sqrt(list_reduce(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE), lambda a, b: a + b)) * 100000)::BIGINT) AS unit FROM embeddings")
 def ma12(spark, d):
     e = F.col("embedding").cast("array<double>")
     norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
-    return table(spark, d, "embeddings").withColumn("norm", norm).select("vec_id", F.transform(e, lambda x: F.round(x / F.col("norm"), 5)).alias("unit"))
+    return table(spark, d, "embeddings").withColumn("norm", norm).select("vec_id", F.transform(e, lambda x: F.floor(x / F.col("norm") * 100000)).alias("unit"))
 
 
 @query("se01_set_operations", "SELECT 'only_left' AS side, count(*) AS n FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'both', count(*) FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)")
