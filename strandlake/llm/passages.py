@@ -46,17 +46,17 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return _mix(out)
 
 
-def word_hashes(text: bytes, cache: dict[bytes, int]) -> list[int]:
+def word_hashes(text: bytes, cache: dict[bytes, int]) -> np.ndarray:
     words = text.lower().split()
     try:
-        return list(map(cache.__getitem__, words))
+        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     except KeyError:
         if len(cache) > _CACHE:
             cache.clear()
         for w in words:
             if w not in cache:
                 cache[w] = xxhash.xxh64_intdigest(w, SEED)
-        return list(map(cache.__getitem__, words))
+        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
 def anchors(h: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def minhashes(h: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np
 def _flat(batch: list[bytes], cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hs = [word_hashes(t, cache) for t in batch]
     lengths = np.fromiter(map(len, hs), np.int64, len(hs))
-    h = np.fromiter((x for d in hs for x in d), np.uint64, int(lengths.sum()))
+    h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
     return h, np.cumsum(lengths) - lengths, lengths
 
 
