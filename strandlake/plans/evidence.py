@@ -44,12 +44,12 @@ def fi01(spark, d):
 _GCN = "(length(cds) - length(translate(cds, 'GC', '')))"
 
 
-@query("tk02_trials_and_constraints", f"WITH {S}, x AS (SELECT doc_id, t, i, {_CHOICES} AS cs, ('0x' || substr(sha256(concat('7:', t, ':c', doc_id, ':', i - 1)), 1, 8))::BIGINT AS draw FROM (SELECT doc_id, t, i, substr(aa, i, 1) AS a FROM s, range(1, 21) q(i), range(6) w(t))), c AS (SELECT doc_id, t, concat(string_agg(CASE WHEN t = 0 OR len(cs) = 1 OR draw % 100 < 65 THEN cs[1] ELSE cs[2 + (draw % (len(cs) - 1))::INT] END, '' ORDER BY i), 'TAA') AS cds FROM x GROUP BY doc_id, t), u AS (SELECT doc_id, cds, min(t) AS t FROM c GROUP BY 1, 2) SELECT doc_id, t::INT AS trial, {_GCN} BETWEEN 24 AND 40 AND NOT contains(cds, 'GGTACC') AND NOT contains(cds, 'AAAAA') AS passes FROM u")
+@query("tk02_trials_and_constraints", f"WITH {S}, x AS (SELECT doc_id, t, i, {_CHOICES} AS cs, ('0x' || substr(sha256(concat('7:', t, ':c', doc_id, ':', i - 1)), 1, 8))::BIGINT AS draw FROM (SELECT doc_id, t, i, substr(aa, i, 1) AS a FROM s, range(1, 257) q(i), range(6) w(t))), c AS (SELECT doc_id, t, concat(string_agg(CASE WHEN t = 0 OR len(cs) = 1 OR draw % 100 < 65 THEN cs[1] ELSE cs[2 + (draw % (len(cs) - 1))::INT] END, '' ORDER BY i), 'TAA') AS cds FROM x GROUP BY doc_id, t), u AS (SELECT doc_id, cds, min(t) AS t FROM c GROUP BY 1, 2) SELECT doc_id, t::INT AS trial, {_GCN} BETWEEN 330 AND 400 AND NOT contains(cds, 'GGTACC') AND NOT contains(cds, 'AAAAA') AS passes FROM u")
 def tk02(spark, d):
-    s = sequences(spark, d).select("doc_id", F.substr("aa", F.lit(1), F.lit(20)).alias("aa"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("trial"))
+    s = sequences(spark, d).select("doc_id", "aa", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("trial"))
     c = s.select("doc_id", "trial", fn.synonymous_cds(F.col("aa"), FREQUENCY, 7, F.col("trial"), F.concat(F.lit("c"), F.col("doc_id").cast("string"))).alias("cds"))
     u = c.groupBy("doc_id", "cds").agg(F.min("trial").alias("trial"))
-    return u.select("doc_id", "trial", (fn.count_of(F.col("cds"), "GC").between(24, 40) & ~F.contains("cds", F.lit("GGTACC")) & ~F.contains("cds", F.lit("AAAAA"))).alias("passes"))
+    return u.select("doc_id", "trial", (fn.count_of(F.col("cds"), "GC").between(330, 400) & ~F.contains("cds", F.lit("GGTACC")) & ~F.contains("cds", F.lit("AAAAA"))).alias("passes"))
 
 
 @query("fn21_translation_matches", "SELECT doc_id, true AS matches FROM documents")
@@ -105,18 +105,18 @@ def ma14(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce(F.try_divide("f", "n"), F.lit(0.0)).alias("ratio"))
 
 
-@query("jn04_evidence_checks", f"WITH {I} SELECT CASE WHEN c.c_custkey IS NULL THEN 'unknown_candidate' WHEN NOT (start1 >= 1 AND start1 <= end1 AND end1 <= 450) THEN 'outside' ELSE 'ok' END AS status, count(*) AS n FROM t LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) c ON user_id = c_custkey GROUP BY 1")
+@query("jn04_evidence_checks", f"WITH {I} SELECT CASE WHEN c.c_custkey IS NULL THEN 'unknown_candidate' WHEN NOT (start1 >= 1 AND start1 <= end1 AND end1 <= 450) THEN 'outside' ELSE 'ok' END AS status, count(*) AS n FROM t LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) c ON user_id = c_custkey GROUP BY 1")
 def jn04(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("user_id"), F.lit(1).alias("known"))
+    c = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("user_id"), F.lit(1).alias("known"))
     j = intervals(spark, d).join(c, "user_id", "left")
     inside = (F.col("start1") >= 1) & (F.col("start1") <= F.col("end1")) & (F.col("end1") <= 450)
     return j.groupBy(F.when(F.col("known").isNull(), "unknown_candidate").when(~inside, "outside").otherwise("ok").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("jn07_positional_join", f"WITH {S}, p AS (SELECT doc_id, i AS pos, substr(aa, i, 1) AS r FROM s, range(1, 41) q(i)), f AS (SELECT i AS pos, i * 3 % 10 AS cons FROM range(6, 30) q(i)) SELECT doc_id, count(*) AS residues, count(cons)::BIGINT AS covered, sum(coalesce(cons, 0))::BIGINT AS total FROM p LEFT JOIN f ON f.pos = p.pos + (doc_id % 5) GROUP BY doc_id")
+@query("jn07_positional_join", f"WITH {S}, p AS (SELECT doc_id, i AS pos, substr(aa, i, 1) AS r FROM s, range(1, 257) q(i)), f AS (SELECT i AS pos, i * 3 % 10 AS cons FROM range(6, 200) q(i)) SELECT doc_id, count(*) AS residues, count(cons)::BIGINT AS covered, sum(coalesce(cons, 0))::BIGINT AS total FROM p LEFT JOIN f ON f.pos = p.pos + (doc_id % 5) GROUP BY doc_id")
 def jn07(spark, d):
-    res = wi.residues(sequences(spark, d).select("doc_id", F.substr("aa", F.lit(1), F.lit(40)).alias("seq")), ["doc_id"])
-    profile = spark.range(6, 30).select(F.col("id").alias("at"), (F.col("id") * 3 % 10).alias("cons"))
+    res = wi.residues(sequences(spark, d).select("doc_id", F.col("aa").alias("seq")), ["doc_id"])
+    profile = spark.range(6, 200).select(F.col("id").alias("at"), (F.col("id") * 3 % 10).alias("cons"))
     j = res.withColumn("at", F.col("pos") + F.col("doc_id") % 5).join(profile, "at", "left")
     return j.groupBy("doc_id").agg(F.count("*").alias("residues"), F.count("cons").alias("covered"), F.sum(F.coalesce("cons", F.lit(0))).alias("total"))
 
@@ -129,10 +129,10 @@ def jn10(spark, d):
     return p.join(s, "doc_id").select("doc_id", (F.substr("aa", F.col("at"), F.lit(9)) == F.col("pep")).alias("valid"))
 
 
-@query("jn12_source_controls", "SELECT a.p_partkey AS candidate, b.p_partkey AS control, b.p_size - a.p_size AS delta FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey % 50 = 0 AND a.p_partkey <> b.p_partkey")
+@query("jn12_source_controls", "SELECT a.p_partkey AS candidate, b.p_partkey AS control, b.p_size - a.p_size AS delta FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size = 1 AND a.p_partkey <> b.p_partkey")
 def jn12(spark, d):
     p = table(spark, d, "part")
-    c = p.where("p_partkey % 50 = 0").select("p_brand", F.col("p_partkey").alias("control"), F.col("p_size").alias("s"))
+    c = p.where("p_size = 1").select("p_brand", F.col("p_partkey").alias("control"), F.col("p_size").alias("s"))
     return p.join(c, "p_brand").where("p_partkey <> control").select(F.col("p_partkey").alias("candidate"), "control", (F.col("s") - F.col("p_size")).alias("delta"))
 
 
@@ -143,11 +143,11 @@ def jn14(spark, d):
     return grams(table(spark, d, "documents"), "doc_id", "text").join(b, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
 
 
-@query("jn16_zip_equality", "SELECT count(*) AS n, count(*) FILTER (a.pos IS NULL OR b.pos IS NULL)::BIGINT AS missing, count(*) FILTER (abs(a.v - b.v) > 1e-7)::BIGINT AS differing FROM (SELECT event_id AS pos, value AS v FROM events WHERE event_id % 13 <> 0) a FULL OUTER JOIN (SELECT event_id AS pos, value + (event_id % 100 = 1)::INT AS v FROM events WHERE event_id % 17 <> 0) b ON a.pos = b.pos")
+@query("jn16_zip_equality", "SELECT count(*) AS n, count(*) FILTER (a.pos IS NULL OR b.pos IS NULL)::BIGINT AS missing, count(*) FILTER (abs(a.v - b.v) > 1e-7)::BIGINT AS differing FROM (SELECT event_id AS pos, value AS v FROM events WHERE event_type <> 'error') a FULL OUTER JOIN (SELECT event_id AS pos, value + (event_type = 'click')::INT AS v FROM events WHERE event_type <> 'signup') b ON a.pos = b.pos")
 def jn16(spark, d):
     e = table(spark, d, "events")
-    a = e.where("event_id % 13 <> 0").select(F.col("event_id").alias("pos"), F.col("value").alias("v"))
-    b = e.where("event_id % 17 <> 0").select(F.col("event_id").alias("pos"), (F.col("value") + F.when(F.col("event_id") % 100 == 1, 1).otherwise(0)).alias("w"))
+    a = e.where("event_type <> 'error'").select(F.col("event_id").alias("pos"), F.col("value").alias("v"))
+    b = e.where("event_type <> 'signup'").select(F.col("event_id").alias("pos"), (F.col("value") + F.when(F.col("event_type") == "click", 1).otherwise(0)).alias("w"))
     j = jn.paired(a, b, "pos")
     return j.agg(F.count("*").alias("n"), F.count_if(F.col("status") != "both").alias("missing"), F.count_if(F.abs(F.col("v") - F.col("w")) > 1e-7).alias("differing"))
 
@@ -157,25 +157,25 @@ def jn20(spark, d):
     return se.linker_patterns(table(spark, d, "region").select(F.col("r_name").alias("linker")), 2)
 
 
-@query("jn21_boundary_grid", f"WITH {I}, a AS (SELECT user_id, start1 + o AS s, max(event_id) AS ss FROM (SELECT * FROM t WHERE user_id % 50 = 0), (VALUES (-2), (0), (2)) v(o) GROUP BY 1, 2), b AS (SELECT user_id, end1 + o AS e, max(event_id) AS es FROM (SELECT * FROM t WHERE user_id % 50 = 0), (VALUES (-2), (0), (2)) v(o) GROUP BY 1, 2) SELECT a.user_id AS key, s, e, ss + es AS score FROM a JOIN b ON a.user_id = b.user_id WHERE s >= 1 AND e - s + 1 >= 30")
+@query("jn21_boundary_grid", f"WITH {I}, a AS (SELECT user_id, start1 + o AS s, max(event_id) AS ss FROM t, (VALUES (-2), (0), (2)) v(o) GROUP BY 1, 2), b AS (SELECT user_id, end1 + o AS e, max(event_id) AS es FROM t, (VALUES (-2), (0), (2)) v(o) GROUP BY 1, 2) SELECT a.user_id AS key, count(*) AS n, max(ss + es) AS best FROM a JOIN b ON a.user_id = b.user_id WHERE s >= 1 AND e - s + 1 >= 30 GROUP BY 1")
 def jn21(spark, d):
-    t = intervals(spark, d).where("user_id % 50 = 0")
+    t = intervals(spark, d)
     ends = lambda c: t.select(F.col("user_id").alias("key"), F.col(c).alias("pos"), F.col("event_id").alias("score"))
-    return se.boundary_grid(ends("start1"), ends("end1"), [-2, 0, 2], 30)
+    return se.boundary_grid(ends("start1"), ends("end1"), [-2, 0, 2], 30).groupBy("key").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
-@query("fi13_reconstruction", "WITH c AS (SELECT conv_id, turn, substr(text, 1, 10) AS x FROM conversations) SELECT conv_id, string_agg(x, '' ORDER BY turn) AS sequence, sum(length(x))::BIGINT AS last_end FROM c GROUP BY 1")
+@query("fi13_reconstruction", "WITH c AS (SELECT conv_id, turn, text AS x FROM conversations) SELECT conv_id, string_agg(x, '' ORDER BY turn) AS sequence, sum(length(x))::BIGINT AS last_end FROM c GROUP BY 1")
 def fi13(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.substr("text", F.lit(1), F.lit(10)).alias("x"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("x"))
     return se.reconstructed(c, "conv_id", "turn", "x").select("conv_id", "sequence", F.element_at("places", -1)["end1"].alias("last_end"))
 
 
-@query("fi08_mutation_faults", f"WITH {S}, p AS (SELECT doc_id, substr(aa, 1, 20) AS a, concat(substr(aa, 1, 4), 'W', substr(aa, 6, 5), CASE WHEN doc_id % 2 = 0 THEN 'W' ELSE substr(aa, 11, 1) END, substr(aa, 12, 9), CASE WHEN doc_id % 7 = 0 THEN 'W' ELSE '' END) AS b FROM s) SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 7 = 0 THEN 'length' END, CASE WHEN doc_id % 2 = 0 THEN 'not_mutable' END, CASE WHEN doc_id % 2 = 0 THEN 'protected' END, CASE WHEN doc_id % 2 = 0 THEN 'too_many' END) AS faults FROM p")
+@query("fi08_mutation_faults", f"WITH {S}, p AS (SELECT doc_id, aa AS a, concat(substr(aa, 1, 4), 'W', substr(aa, 6, 5), CASE WHEN doc_id % 2 = 0 THEN 'W' ELSE substr(aa, 11, 1) END, substr(aa, 12), CASE WHEN doc_id % 7 = 0 THEN 'W' ELSE '' END) AS b FROM s) SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 7 = 0 THEN 'length' END, CASE WHEN doc_id % 2 = 0 THEN 'not_mutable' END, CASE WHEN doc_id % 2 = 0 THEN 'protected' END, CASE WHEN doc_id % 2 = 0 THEN 'too_many' END) AS faults FROM p")
 def fi08(spark, d):
     m = F.col("doc_id")
     cut = lambda a, n: F.substr("aa", F.lit(a), F.lit(n))
-    variant = F.concat(cut(1, 4), F.lit("W"), cut(6, 5), F.when(m % 2 == 0, "W").otherwise(cut(11, 1)), cut(12, 9), F.when(m % 7 == 0, "W").otherwise(""))
-    faults = se.mutation_faults(cut(1, 20), variant, F.array(*map(F.lit, (5, 6, 7))), F.array(F.lit(11)), 1)
+    variant = F.concat(cut(1, 4), F.lit("W"), cut(6, 5), F.when(m % 2 == 0, "W").otherwise(cut(11, 1)), cut(12, 300), F.when(m % 7 == 0, "W").otherwise(""))
+    faults = se.mutation_faults(F.col("aa"), variant, F.array(*map(F.lit, (5, 6, 7))), F.array(F.lit(11)), 1)
     return sequences(spark, d).select("doc_id", F.array_join(faults, ",").alias("faults"))
 
 
@@ -187,9 +187,9 @@ def wi04(spark, d):
     return wi.merge_intervals(hits, ["doc_id"])
 
 
-@query("wi14_short_ids", "SELECT p_partkey, concat('c', lpad((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR, 3, '0')) AS short_id FROM part WHERE p_partkey % 40 = 0")
+@query("wi14_short_ids", "SELECT p_partkey, concat('c', lpad((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR, 6, '0')) AS short_id FROM part")
 def wi14(spark, d):
-    return wi.short_ids(table(spark, d, "part").where("p_partkey % 40 = 0").select("p_partkey"), ["p_partkey"])
+    return wi.short_ids(table(spark, d, "part").select("p_partkey"), ["p_partkey"], digits=6)
 
 
 @query("ag08_liability_counts", "WITH l AS (SELECT l_orderkey, 'high' AS severity FROM lineitem WHERE l_discount > 0.08 UNION ALL SELECT l_orderkey, 'medium' FROM lineitem WHERE l_tax > 0.07 UNION ALL SELECT l_orderkey, 'low' FROM lineitem WHERE l_quantity < 3) SELECT l_orderkey, count(*) FILTER (severity = 'high')::BIGINT AS high, count(*) FILTER (severity = 'medium')::BIGINT AS medium, count(*) FILTER (severity = 'low')::BIGINT AS low FROM l GROUP BY 1")
@@ -200,9 +200,9 @@ def ag08(spark, d):
     return rows.groupBy("l_orderkey").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")])
 
 
-@query("ag09_lane_counts", "WITH p AS (SELECT CASE WHEN p_size > 40 THEN 'priority' WHEN p_partkey % 25 = 0 THEN 'diversity_rescue' ELSE 'archive' END AS lane FROM part) SELECT l.lane, count(p.lane)::BIGINT AS n FROM (VALUES ('priority'), ('diversity_rescue'), ('archive'), ('review')) l(lane) LEFT JOIN p ON p.lane = l.lane GROUP BY 1")
+@query("ag09_lane_counts", "WITH p AS (SELECT CASE WHEN p_size > 40 THEN 'priority' WHEN p_brand LIKE '%3' THEN 'diversity_rescue' ELSE 'archive' END AS lane FROM part) SELECT l.lane, count(p.lane)::BIGINT AS n FROM (VALUES ('priority'), ('diversity_rescue'), ('archive'), ('review')) l(lane) LEFT JOIN p ON p.lane = l.lane GROUP BY 1")
 def ag09(spark, d):
-    lane = F.when(F.col("p_size") > 40, "priority").when(F.col("p_partkey") % 25 == 0, "diversity_rescue").otherwise("archive")
+    lane = F.when(F.col("p_size") > 40, "priority").when(F.col("p_brand").endswith("3"), "diversity_rescue").otherwise("archive")
     counts = table(spark, d, "part").groupBy(lane.alias("lane")).agg(F.count("*").alias("n"))
     lanes = spark.createDataFrame([(x,) for x in ("priority", "diversity_rescue", "archive", "review")], "lane string")
     return lanes.join(counts, "lane", "left").fillna(0, ["n"])
@@ -230,17 +230,17 @@ def ag22(spark, d):
     return g.agg(F.round(F.avg("plddt"), 6).alias("mean"), F.min("plddt").cast("int").alias("low"), share(F.col("plddt") >= 90).alias("share90"), share(F.col("plddt") < 50).alias("share50"))
 
 
-@query("ag24_blocking_actions", "WITH st AS (SELECT * FROM (VALUES ('intake', 1), ('search', 2), ('structure', 3), ('ranking', 4)) v(stage, pos)), a AS (SELECT o_orderkey AS action, (o_orderkey % 4 + 1) AS due FROM orders WHERE o_orderkey % 100 = 0) SELECT stage, count(*) AS n, min(action) AS first FROM st JOIN a ON due <= pos GROUP BY 1")
+@query("ag24_blocking_actions", "WITH st AS (SELECT * FROM (VALUES ('intake', 1), ('search', 2), ('structure', 3), ('ranking', 4)) v(stage, pos)), a AS (SELECT o_orderkey AS action, (o_orderkey % 4 + 1) AS due FROM orders) SELECT stage, count(*) AS n, min(action) AS first FROM st JOIN a ON due <= pos GROUP BY 1")
 def ag24(spark, d):
     stages = spark.createDataFrame([("intake", 1), ("search", 2), ("structure", 3), ("ranking", 4)], "stage string, pos int")
-    a = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("action"), (F.col("o_orderkey") % 4 + 1).alias("due"))
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("action"), (F.col("o_orderkey") % 4 + 1).alias("due"))
     return a.join(F.broadcast(stages), F.col("due") <= F.col("pos")).groupBy("stage").agg(F.count("*").alias("n"), F.min("action").alias("first"))  # four stages
 
 
-@query("se05_feature_coverage", "WITH a AS (SELECT DISTINCT p_type AS f FROM part), c AS (SELECT DISTINCT p_type AS f FROM part WHERE p_partkey % 30 = 0) SELECT f, f IN (SELECT f FROM c) AS covered FROM a")
+@query("se05_feature_coverage", "WITH a AS (SELECT DISTINCT p_type AS f FROM part), c AS (SELECT DISTINCT p_type AS f FROM part WHERE p_size >= 49) SELECT f, f IN (SELECT f FROM c) AS covered FROM a")
 def se05(spark, d):
     p = table(spark, d, "part")
-    c = p.where("p_partkey % 30 = 0").select("p_type").distinct().withColumn("c", F.lit(True))
+    c = p.where("p_size >= 49").select("p_type").distinct().withColumn("c", F.lit(True))
     return p.select("p_type").distinct().join(c, "p_type", "left").select(F.col("p_type").alias("f"), F.coalesce("c", F.lit(False)).alias("covered"))
 
 
@@ -263,10 +263,10 @@ def it02(spark, d):
 
 @query("it04_segments")
 def it04(spark, d):
-    s = sequences(spark, d)
-    q = s.where("doc_id % 10 = 0").select("doc_id", F.concat(F.substr("aa", F.lit(5), F.lit(30)), F.lit("WWWW"), F.substr("aa", F.lit(100), F.lit(25))).alias("t"))
-    library = [(str(r["doc_id"]), r["aa"]) for r in s.where("doc_id < 40").select("doc_id", "aa").orderBy("doc_id").collect()]  # forty sources
-    return se.segments(q, "doc_id", "t", library)
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    names = [(x[0], x[0]) for x in n.select("n_name").unionByName(r.select(F.col("r_name").alias("n_name"))).orderBy("n_name").collect()]  # thirty sources
+    q = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", F.concat("n_name", F.lit("--"), "r_name").alias("t"))
+    return se.segments(q, "n_nationkey", "t", names, 4)
 
 
 @query("jn23_tiling")
@@ -275,11 +275,11 @@ def jn23(spark, d):
     return se.tile(q, "p_partkey", "t", [("brand", "Brand"), *((str(k), str(k)) for k in range(10)), ("two", "22")])
 
 
-@query("it05_lineage", "WITH RECURSIVE e AS (SELECT p_partkey AS k, p_partkey // 3 AS parent FROM part WHERE p_partkey > 1 AND p_partkey <= 200), w AS (SELECT 1::BIGINT AS k, 0 AS depth UNION ALL SELECT e.k, depth + 1 FROM e JOIN w ON e.parent = w.k) SELECT k, depth FROM w")
+@query("it05_lineage", "WITH RECURSIVE e AS (SELECT p_partkey AS k, p_partkey // 3 AS parent FROM part WHERE p_partkey > 1), w AS (SELECT 1::BIGINT AS k, 0 AS depth UNION ALL SELECT e.k, depth + 1 FROM e JOIN w ON e.parent = w.k) SELECT k, depth FROM w")
 def it05(spark, d):
     from ..operators.graph import depths
 
-    e = table(spark, d, "part").where("p_partkey > 1 and p_partkey <= 200").select(F.floor(F.col("p_partkey") / 3).cast("long").alias("src"), F.col("p_partkey").alias("dst"))
+    e = table(spark, d, "part").where("p_partkey > 1").select(F.floor(F.col("p_partkey") / 3).cast("long").alias("src"), F.col("p_partkey").alias("dst"))
     return depths(e, 1).select(F.col("node").alias("k"), "depth")
 
 
@@ -332,9 +332,9 @@ def dq08(spark, d):
     return sequences(spark, d).select("doc_id", F.array_join(F.filter(elements, lambda x: x.isNotNull()), "").alias("product")).withColumn("digest", hs.sha256(F.col("product")))
 
 
-@query("dq12_paired_arms", "WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r1, row_number() OVER (ORDER BY p_size + 0.25 * (p_partkey % 7) DESC, p_partkey) AS r2 FROM part WHERE p_partkey <= 400) SELECT round(avg(abs(r1 - r2)), 6) AS mean_change, max(abs(r1 - r2))::BIGINT AS top_change, count(*) FILTER (r1 <= 10 AND r2 <= 10)::BIGINT AS top10 FROM a")
+@query("dq12_paired_arms", "WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r1, row_number() OVER (ORDER BY p_size + 0.25 * (p_partkey % 7) DESC, p_partkey) AS r2 FROM part) SELECT round(avg(abs(r1 - r2)), 6) AS mean_change, max(abs(r1 - r2))::BIGINT AS top_change, count(*) FILTER (r1 <= 10 AND r2 <= 10)::BIGINT AS top10 FROM a")
 def dq12(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 400")
+    p = table(spark, d, "part")
     a = p.withColumn("r1", F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey"))).withColumn("r2", F.row_number().over(Window.orderBy(F.desc(F.col("p_size") + 0.25 * (F.col("p_partkey") % 7)), "p_partkey")))
     delta = F.abs(F.col("r1") - F.col("r2"))
     return a.agg(F.round(F.avg(delta), 6).alias("mean_change"), F.max(delta).cast("long").alias("top_change"), F.count_if((F.col("r1") <= 10) & (F.col("r2") <= 10)).alias("top10"))

@@ -45,29 +45,29 @@ def _orf(spark, d):
     return sequences(spark, d).withColumn("orf", fn.longest_orf(F.col("nt")))
 
 
-@query("fn01_normalize", "SELECT doc_id, translate(upper(trim(regexp_replace(concat(chr(10), ' ', lower(replace(substr(nt, 1, 40), 'T', 'U')), chr(9)), '^\\s+|\\s+$', '', 'g'))), 'U', 'T') AS seq FROM " + SEQUENCES_SQL)
+@query("fn01_normalize", "SELECT doc_id, translate(upper(trim(regexp_replace(concat(chr(10), ' ', lower(replace(nt, 'T', 'U')), chr(9)), '^\\s+|\\s+$', '', 'g'))), 'U', 'T') AS seq FROM " + SEQUENCES_SQL)
 def fn01(spark, d):
-    raw = F.concat(F.lit("\n "), F.lower(F.replace(F.substr("nt", F.lit(1), F.lit(40)), F.lit("T"), F.lit("U"))), F.lit("\t"))
+    raw = F.concat(F.lit("\n "), F.lower(F.replace("nt", F.lit("T"), F.lit("U"))), F.lit("\t"))
     return sequences(spark, d).select("doc_id", fn.normalize(raw).alias("seq"))
 
 
-@query("fn02_normalize_nucleotides", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE substr(nt, 1, 30) END AS seq FROM " + SEQUENCES_SQL)
+@query("fn02_normalize_nucleotides", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE nt END AS seq FROM " + SEQUENCES_SQL)
 def fn02(spark, d):
-    raw = F.concat(F.lit(" ["), F.lower(F.substr("nt", F.lit(1), F.lit(30))), F.lit("]\n"), F.when(F.col("doc_id") % 7 == 0, "x").otherwise(""))
+    raw = F.concat(F.lit(" ["), F.lower("nt"), F.lit("]\n"), F.when(F.col("doc_id") % 7 == 0, "x").otherwise(""))
     return sequences(spark, d).select("doc_id", fn.normalize_nucleotides(raw).alias("seq"))
 
 
-@query("fn03_amino_acids", "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN concat(substr(aa, 1, 20), '*', substr(aa, 21, 20)) ELSE substr(aa, 1, 40) END AS seq, (CASE WHEN doc_id % 3 = 0 THEN 'terminal_stop_removed' WHEN doc_id % 3 = 1 THEN 'internal_stop' ELSE '' END) AS codes FROM " + SEQUENCES_SQL)
+@query("fn03_amino_acids", "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN concat(substr(aa, 1, 20), '*', substr(aa, 21)) ELSE aa END AS seq, (CASE WHEN doc_id % 3 = 0 THEN 'terminal_stop_removed' WHEN doc_id % 3 = 1 THEN 'internal_stop' ELSE '' END) AS codes FROM " + SEQUENCES_SQL)
 def fn03(spark, d):
     m = F.col("doc_id") % 3
-    head, tail = F.substr("aa", F.lit(1), F.lit(20)), F.substr("aa", F.lit(21), F.lit(20))
+    head, tail = F.substr("aa", F.lit(1), F.lit(20)), F.substr("aa", F.lit(21))
     got = fn.amino_acids(F.concat(head, F.when(m == 1, "*").otherwise(" "), tail, F.when(m == 0, "*").otherwise("")))
     return sequences(spark, d).select("doc_id", got.alias("g")).select("doc_id", "g.sequence", F.array_join(F.col("g.issues.code"), ",").alias("codes")).withColumnRenamed("sequence", "seq")
 
 
-@query("fn04_nucleotides", "SELECT doc_id, substr(nt, 1, 24) AS seq, CASE WHEN contains(substr(nt, 1, 24), 'T') THEN 'rna_converted' ELSE '' END AS codes FROM " + SEQUENCES_SQL)
+@query("fn04_nucleotides", "SELECT doc_id, nt AS seq, CASE WHEN contains(nt, 'T') THEN 'rna_converted' ELSE '' END AS codes FROM " + SEQUENCES_SQL)
 def fn04(spark, d):
-    got = fn.nucleotides(F.replace(F.substr("nt", F.lit(1), F.lit(24)), F.lit("T"), F.lit("u")))
+    got = fn.nucleotides(F.replace("nt", F.lit("T"), F.lit("u")))
     return sequences(spark, d).select("doc_id", got.alias("g")).select("doc_id", F.col("g.sequence").alias("seq"), F.array_join(F.col("g.issues.code"), ",").alias("codes"))
 
 
@@ -87,15 +87,15 @@ def corpus_summary(spark, d):
     return s.groupBy("lang").agg(F.count("*").alias("n"), F.count("orf").alias("with_cds"), F.sum(F.coalesce(((F.col("orf.end0x") - F.col("orf.start0")) / 3).cast("long"), F.lit(0).cast("long"))).alias("codons"), F.sum("tokens").cast("long").alias("tokens"), F.sum(fn.count_of(F.col("nt"), "GC")).cast("long").alias("gc"))
 
 
-@query("fn07_split_codons", "SELECT doc_id, array_to_string(list_transform(range(0, length(x), 3), lambda i: substr(x, i + 1, 3)), ' ') AS tokens FROM (SELECT doc_id, substr(nt, 1, 20 + (doc_id % 5)::INT) AS x FROM " + SEQUENCES_SQL + ")")
+@query("fn07_split_codons", "SELECT doc_id, array_to_string(list_transform(range(0, length(x), 3), lambda i: substr(x, i + 1, 3)), ' ') AS tokens FROM (SELECT doc_id, concat(nt, repeat('A', (doc_id % 5)::INT)) AS x FROM " + SEQUENCES_SQL + ")")
 def fn07(spark, d):
-    return sequences(spark, d).select("doc_id", fn.split_codons(F.substr("nt", F.lit(1), (20 + F.col("doc_id") % 5).cast("int"))).alias("tokens"))
+    return sequences(spark, d).select("doc_id", fn.split_codons(F.concat("nt", F.repeat(F.lit("A"), (F.col("doc_id") % 5).cast("int")))).alias("tokens"))
 
 
-@query("fn07_split_marked", "SELECT doc_id, array_to_string(list_concat(list_concat(list_transform(range(5), lambda i: substr(nt, i + 1, 1)), list_transform(range(5, 17, 3), lambda i: substr(nt, i + 1, 3))), list_transform(range(17, 24), lambda i: substr(nt, i + 1, 1))), ' ') AS tokens FROM " + SEQUENCES_SQL)
+@query("fn07_split_marked", "SELECT doc_id, array_to_string(list_concat(list_concat(list_transform(range(5), lambda i: substr(nt, i + 1, 1)), list_transform(range(5, 245, 3), lambda i: substr(nt, i + 1, 3))), list_transform(range(245, 256), lambda i: substr(nt, i + 1, 1))), ' ') AS tokens FROM " + SEQUENCES_SQL)
 def fn07b(spark, d):
     cut = lambda a, n: F.substr("nt", F.lit(a), F.lit(n))
-    return sequences(spark, d).select("doc_id", fn.split_marked(F.concat(cut(1, 5), F.lit("["), cut(6, 12), F.lit("]"), cut(18, 7))).alias("tokens"))
+    return sequences(spark, d).select("doc_id", fn.split_marked(F.concat(cut(1, 5), F.lit("["), cut(6, 240), F.lit("]"), cut(246, 11))).alias("tokens"))
 
 
 @query("fn08_translate_cds", f"WITH {ORF_SQL}, {CODE_SQL}, t AS (SELECT doc_id, start0, substr(nt, start0 + 1, end0x - start0) AS cds FROM orf WHERE start0 IS NOT NULL), x AS (SELECT doc_id, i, substr(cds, 3 * i + 1, 3) AS cod FROM t, range(90) r(i) WHERE 3 * i + 3 <= length(cds)) SELECT doc_id, string_agg(aa, '' ORDER BY i) FILTER (aa <> '*') AS protein FROM x JOIN code USING (cod) GROUP BY doc_id")
@@ -105,16 +105,16 @@ def fn08(spark, d):
     return s.select("doc_id", fn.translate_cds(cds)["protein"].alias("protein"))
 
 
-@query("fn08_translation_issues", f"WITH {S}, x AS (SELECT doc_id, substr(nt, 1, 60 + (doc_id % 3)::INT) AS cds FROM s) SELECT (length(cds) % 3 <> 0) AS bad_frame, count(*) AS n, sum((NOT starts_with(cds, 'ATG') AND length(cds) % 3 = 0)::INT)::BIGINT AS non_atg FROM x GROUP BY 1")
+@query("fn08_translation_issues", f"WITH {S}, x AS (SELECT doc_id, concat(nt, repeat('A', (doc_id % 3)::INT)) AS cds FROM s) SELECT (length(cds) % 3 <> 0) AS bad_frame, count(*) AS n, sum((NOT starts_with(cds, 'ATG') AND length(cds) % 3 = 0)::INT)::BIGINT AS non_atg FROM x GROUP BY 1")
 def fn08b(spark, d):
-    got = sequences(spark, d).select(fn.translate_cds(F.substr("nt", F.lit(1), (60 + F.col("doc_id") % 3).cast("int")))["issues"]["code"].alias("c"))
+    got = sequences(spark, d).select(fn.translate_cds(F.concat("nt", F.repeat(F.lit("A"), (F.col("doc_id") % 3).cast("int"))))["issues"]["code"].alias("c"))
     return got.groupBy(F.array_contains("c", "frame").alias("bad_frame")).agg(F.count("*").alias("n"), F.count_if(F.array_contains("c", "non_atg_start")).alias("non_atg"))
 
 
-@query("fn09_first_mismatch", f"WITH {S}, p AS (SELECT doc_id, substr(nt, 1, 30) AS a, concat(substr(nt, 1, 3 + (doc_id % 20)::INT), substr(aa, 1, 5)) AS b FROM s) SELECT doc_id, coalesce(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))[1], CASE WHEN length(a) <> length(b) THEN least(length(a), length(b)) + 1 END)::INT AS at1 FROM p")
+@query("fn09_first_mismatch", f"WITH {S}, p AS (SELECT doc_id, nt AS a, concat(substr(nt, 1, 3 + (doc_id % 200)::INT), aa) AS b FROM s) SELECT doc_id, coalesce(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))[1], CASE WHEN length(a) <> length(b) THEN least(length(a), length(b)) + 1 END)::INT AS at1 FROM p")
 def fn09(spark, d):
-    b = F.concat(F.substr("nt", F.lit(1), (3 + F.col("doc_id") % 20).cast("int")), F.substr("aa", F.lit(1), F.lit(5)))
-    return sequences(spark, d).select("doc_id", fn.first_mismatch(F.substr("nt", F.lit(1), F.lit(30)), b).cast("int").alias("at1"))
+    b = F.concat(F.substr("nt", F.lit(1), (3 + F.col("doc_id") % 200).cast("int")), F.col("aa"))
+    return sequences(spark, d).select("doc_id", fn.first_mismatch(F.col("nt"), b).cast("int").alias("at1"))
 
 
 _GC = "(length({x}) - length(translate({x}, 'GC', '')))::DOUBLE / nullif(length({x}), 0)"
@@ -191,15 +191,15 @@ def fn19(spark, d):
 _CHOICES = "CASE a " + " ".join(f"WHEN '{a}' THEN [" + ", ".join(f"'{c}'" for c in cs) + "]" for a, cs in _BEST.items() if a != "*") + " END"
 
 
-@query("fn20_synonymous_cds", f"WITH {S}, x AS (SELECT doc_id, t, i, {_CHOICES} AS cs, ('0x' || substr(sha256(concat('7:', t, ':c', doc_id, ':', i - 1)), 1, 8))::BIGINT AS draw FROM (SELECT doc_id, t, i, substr(aa, i, 1) AS a FROM s, range(1, 41) q(i), range(3) w(t))) SELECT doc_id, t::INT AS trial, concat(string_agg(CASE WHEN t = 0 OR len(cs) = 1 OR draw % 100 < 65 THEN cs[1] ELSE cs[2 + (draw % (len(cs) - 1))::INT] END, '' ORDER BY i), 'TAA') AS cds FROM x GROUP BY doc_id, t")
+@query("fn20_synonymous_cds", f"WITH {S}, x AS (SELECT doc_id, t, i, {_CHOICES} AS cs, ('0x' || substr(sha256(concat('7:', t, ':c', doc_id, ':', i - 1)), 1, 8))::BIGINT AS draw FROM (SELECT doc_id, t, i, substr(aa, i, 1) AS a FROM s, range(1, 257) q(i), range(3) w(t))) SELECT doc_id, t::INT AS trial, concat(string_agg(CASE WHEN t = 0 OR len(cs) = 1 OR draw % 100 < 65 THEN cs[1] ELSE cs[2 + (draw % (len(cs) - 1))::INT] END, '' ORDER BY i), 'TAA') AS cds FROM x GROUP BY doc_id, t")
 def fn20(spark, d):
-    s = sequences(spark, d).select("doc_id", F.substr("aa", F.lit(1), F.lit(40)).alias("aa"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("trial"))
+    s = sequences(spark, d).select("doc_id", "aa", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("trial"))
     return s.select("doc_id", "trial", fn.synonymous_cds(F.col("aa"), FREQUENCY, 7, F.col("trial"), F.concat(F.lit("c"), F.col("doc_id").cast("string"))).alias("cds"))
 
 
 @query("fn22_translation_relation", f"WITH {S} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'n_addition' WHEN 2 THEN 'c_addition' WHEN 3 THEN 'both_additions' ELSE 'mismatch' END AS relation FROM s")
 def fn22(spark, d):
-    m, a = F.col("doc_id") % 5, F.substr("aa", F.lit(1), F.lit(60))
+    m, a = F.col("doc_id") % 5, F.col("aa")
     t = F.when(m == 0, a).when(m == 1, F.concat(F.lit("WW"), a)).when(m == 2, F.concat(a, F.lit("WW"))).when(m == 3, F.concat(F.lit("W"), a, F.lit("W"))).otherwise(F.lit("WW"))
     return sequences(spark, d).select("doc_id", fn.translation_relation(a, t).alias("relation"))
 
@@ -215,9 +215,9 @@ def fn23(spark, d):
 _KM = "list_distinct(list_transform(range({n}), lambda i: substr({x}, i + 1, 3)))"
 
 
-@query("fn25_kmer_similarity", f"WITH {S}, p AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, substr(a.aa, 1, 60) AS x, substr(b.aa, 1, 60) AS y FROM s a JOIN s b ON b.doc_id = a.doc_id + 1), k AS (SELECT a_id, b_id, x, y, {_KM.format(n=58, x='x')} AS kx, {_KM.format(n=58, x='y')} AS ky FROM p) SELECT a_id, b_id, CASE WHEN x = y THEN 1.0::DOUBLE ELSE round(len(list_intersect(kx, ky))::DOUBLE / len(list_distinct(list_concat(kx, ky))), 8) END AS similarity FROM k")
+@query("fn25_kmer_similarity", f"WITH {S}, p AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.aa AS x, b.aa AS y FROM s a JOIN s b ON b.doc_id = a.doc_id + 1), k AS (SELECT a_id, b_id, x, y, {_KM.format(n=254, x='x')} AS kx, {_KM.format(n=254, x='y')} AS ky FROM p) SELECT a_id, b_id, CASE WHEN x = y THEN 1.0::DOUBLE ELSE round(len(list_intersect(kx, ky))::DOUBLE / len(list_distinct(list_concat(kx, ky))), 8) END AS similarity FROM k")
 def fn25(spark, d):
-    s = sequences(spark, d).select("doc_id", F.substr("aa", F.lit(1), F.lit(60)).alias("x"))
+    s = sequences(spark, d).select("doc_id", F.col("aa").alias("x"))
     pairs = s.select(F.col("doc_id").alias("a_id"), "x", (F.col("doc_id") + 1).alias("b_id")).join(s.select(F.col("doc_id").alias("b_id"), F.col("x").alias("y")), "b_id")
     return pairs.select("a_id", "b_id", F.round(fn.kmer_similarity(F.col("x"), F.col("y")), 8).alias("similarity"))
 

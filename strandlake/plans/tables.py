@@ -35,10 +35,10 @@ S = f"s AS (SELECT * FROM {SEQUENCES_SQL})"
 _B = "(('0x' || substr(sha256(concat('7', chr(0), nt)), 1, 15))::BIGINT % 10000)::INT"
 
 
-@query("hs01_canonical_ids", f"WITH {S} SELECT doc_id, sha256(concat('{{\"doc\":\"', doc_id, '\",\"seq\":\"', substr(nt, 1, 12), '\"}}')) AS digest, concat('ev-', substr(sha256(concat(doc_id, '|', lang)), 1, 24)) AS evidence_id, sha256(nt) AS seq_sha256 FROM s")
+@query("hs01_canonical_ids", f"WITH {S} SELECT doc_id, sha256(concat('{{\"doc\":\"', doc_id, '\",\"seq\":\"', nt, '\"}}')) AS digest, concat('ev-', substr(sha256(concat(doc_id, '|', lang)), 1, 24)) AS evidence_id, sha256(nt) AS seq_sha256 FROM s")
 def hs01(spark, d):
     i = F.col("doc_id").cast("string")
-    return sequences(spark, d).select("doc_id", hs.canonical_sha256(seq=F.substr("nt", F.lit(1), F.lit(12)), doc=i).alias("digest"), hs.short_id("ev-", 24, i, F.col("lang")).alias("evidence_id"), hs.sha256(F.col("nt")).alias("seq_sha256"))
+    return sequences(spark, d).select("doc_id", hs.canonical_sha256(seq=F.col("nt"), doc=i).alias("digest"), hs.short_id("ev-", 24, i, F.col("lang")).alias("evidence_id"), hs.sha256(F.col("nt")).alias("seq_sha256"))
 
 
 @query("hs04_split_bucket", f"WITH {S} SELECT doc_id, {_B} AS bucket, {_B} < 500 AS validation FROM s")
@@ -95,16 +95,16 @@ def ag03(spark, d):
     return ag.best_of(table(spark, d, "documents"), ["source"], "doc_id", [-F.col("n_chars"), F.col("doc_id")])
 
 
-@query("fi03_reason_histogram", f"WITH {S} SELECT CASE WHEN doc_id % 11 = 0 THEN 'pseudo' WHEN doc_id % 7 = 0 THEN 'partial' WHEN contains(substr(nt, 1, 60), 'AAAA') THEN 'ambiguous' WHEN starts_with(nt, 'C') THEN 'frame' END AS reason, count(*) AS n FROM s GROUP BY 1")
+@query("fi03_reason_histogram", f"WITH {S} SELECT CASE WHEN doc_id % 11 = 0 THEN 'pseudo' WHEN doc_id % 7 = 0 THEN 'partial' WHEN contains(nt, 'AAAAA') THEN 'ambiguous' WHEN starts_with(nt, 'C') THEN 'frame' END AS reason, count(*) AS n FROM s GROUP BY 1")
 def fi03(spark, d):
     i = F.col("doc_id")
-    flags = {"pseudo": i % 11 == 0, "partial": i % 7 == 0, "ambiguous": F.contains(F.substr("nt", F.lit(1), F.lit(60)), F.lit("AAAA")), "frame": F.startswith("nt", F.lit("C"))}
+    flags = {"pseudo": i % 11 == 0, "partial": i % 7 == 0, "ambiguous": F.contains("nt", F.lit("AAAAA")), "frame": F.startswith("nt", F.lit("C"))}
     return sequences(spark, d).groupBy(ag.cds_reason(flags).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("ag06_alignment_profile", f"WITH {S}, c AS (SELECT i AS pos, CASE WHEN c IN ('A', 'C') THEN '-' ELSE c END AS r FROM (SELECT i, substr(aa, i, 1) AS c FROM s, range(1, 31) q(i))), n AS (SELECT pos, r, count(*) AS n FROM c GROUP BY 1, 2), w AS (SELECT pos, r, n, sum(CASE WHEN r <> '-' THEN n ELSE 0 END) OVER (PARTITION BY pos) AS t FROM n) SELECT pos::INT AS pos, round(sum(CASE WHEN r <> '-' THEN n ELSE 0 END)::DOUBLE / sum(n), 8) AS coverage, round(max(CASE WHEN r <> '-' THEN n::DOUBLE / t END), 8) AS conservation, round(-sum(CASE WHEN r <> '-' THEN n::DOUBLE / t * log2(n::DOUBLE / t) END), 6) AS entropy FROM w GROUP BY pos")
+@query("ag06_alignment_profile", f"WITH {S}, c AS (SELECT i AS pos, CASE WHEN c IN ('A', 'C') THEN '-' ELSE c END AS r FROM (SELECT i, substr(aa, i, 1) AS c FROM s, range(1, 257) q(i))), n AS (SELECT pos, r, count(*) AS n FROM c GROUP BY 1, 2), w AS (SELECT pos, r, n, sum(CASE WHEN r <> '-' THEN n ELSE 0 END) OVER (PARTITION BY pos) AS t FROM n) SELECT pos::INT AS pos, round(sum(CASE WHEN r <> '-' THEN n ELSE 0 END)::DOUBLE / sum(n), 8) AS coverage, round(max(CASE WHEN r <> '-' THEN n::DOUBLE / t END), 8) AS conservation, round(-sum(CASE WHEN r <> '-' THEN n::DOUBLE / t * log2(n::DOUBLE / t) END), 6) AS entropy FROM w GROUP BY pos")
 def ag06(spark, d):
-    aligned = sequences(spark, d).select("doc_id", F.translate(F.substr("aa", F.lit(1), F.lit(30)), "AC", "--").alias("x"))
+    aligned = sequences(spark, d).select("doc_id", F.translate("aa", "AC", "--").alias("x"))
     return ag.alignment_profile(aligned, "x", "doc_id").select("pos", F.round("coverage", 8).alias("coverage"), F.round("conservation", 8).alias("conservation"), F.round("entropy", 6).alias("entropy"))
 
 
@@ -124,11 +124,11 @@ def wi05(spark, d):
     return wi.merge_intervals(intervals(spark, d), ["user_id"], "start1", "end1", F.max("event_id").alias("top"), F.count("*").alias("n"))
 
 
-@query("jn05_containment", f"WITH {I}{_MERGED}, i AS (SELECT user_id, event_id, start1 AS s, end1 AS e FROM t WHERE event_id % 2 = 0) SELECT i.user_id, event_id, s - m.start1 AS offset0 FROM i JOIN m ON m.user_id = i.user_id AND s >= m.start1 AND e <= m.end1")
+@query("jn05_containment", f"WITH {I}{_MERGED}, i AS (SELECT user_id, event_id, start1 AS s, end1 AS e FROM t WHERE event_type = 'view') SELECT i.user_id, event_id, s - m.start1 AS offset0 FROM i JOIN m ON m.user_id = i.user_id AND s >= m.start1 AND e <= m.end1")
 def jn05(spark, d):
     t = intervals(spark, d)
     outer = wi.merge_intervals(t.select("user_id", "start1", "end1").distinct(), ["user_id"])
-    inner = t.where("event_id % 2 = 0").select("user_id", "event_id", F.col("start1").alias("s"), F.col("end1").alias("e"))
+    inner = t.where("event_type = 'view'").select("user_id", "event_id", F.col("start1").alias("s"), F.col("end1").alias("e"))
     return jn.contained(outer, inner, "user_id", ("start1", "end1"), ("s", "e"), "event_id").select("user_id", "event_id", "offset0")
 
 
@@ -181,11 +181,11 @@ def st02(spark, d):
     return line_stride(table(spark, d, "events"), "event_id", 3, 2).groupBy("part").agg(F.count("*").alias("lines"), F.sum("event_id").alias("check"))
 
 
-@query("st08_cursor", "SELECT event_id, 1000 + (event_id - 100) * 96 AS cursor, (1000 + (event_id - 100) * 96) // 5000 AS pass, (1000 + (event_id - 100) * 96) % 5000 AS at FROM events WHERE event_id >= 100")
+@query("st08_cursor", "SELECT event_id, 1000 + event_id * 96 AS cursor, (1000 + event_id * 96) // 5000 AS pass, (1000 + event_id * 96) % 5000 AS at FROM events")
 def st08(spark, d):
     from ..streaming.state import cursor
 
-    return cursor(table(spark, d, "events").where("event_id >= 100"), "event_id", 1000, 100, 96, 5000).select("event_id", "cursor", "pass", "at")
+    return cursor(table(spark, d, "events"), "event_id", 1000, 0, 96, 5000).select("event_id", "cursor", "pass", "at")
 
 
 @query("tk10_caps_and_skips", "WITH t AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) SELECT user_id, event_id FROM t WHERE rn > 2 AND rn <= 7")
@@ -196,15 +196,15 @@ def tk10(spark, d):
 # --- Star tables: ranking and selection ------------------------------------------------------------------------
 
 FEATURES = [sc.Feature("qty", 0.3), sc.Feature("price", 0.2, False), sc.Feature("lines", 0.3, True, True), sc.Feature("late", 0.2, False)]
-GATES = [sc.Gate("min_lines", "lines", ">=", 20), sc.Gate("max_late", "late", "<=", 70, True)]
-_CAND = "c AS (SELECT p_partkey, p_brand, p_size, p_retailprice AS price, q.qty, q.lines, q.late FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS qty, count(*) AS lines, count(*) FILTER (l_returnflag = 'R') AS late FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1) q ON p_partkey = l_partkey)"
+GATES = [sc.Gate("min_lines", "lines", ">=", 2), sc.Gate("max_late", "late", "<=", 1, True)]
+_CAND = "c AS (SELECT p_partkey, p_brand, p_size, p_retailprice AS price, q.qty, q.lines, q.late FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS qty, count(*) AS lines, count(*) FILTER (l_returnflag = 'R') AS late FROM lineitem WHERE l_quantity >= 48 GROUP BY 1) q ON p_partkey = l_partkey)"
 _NORM = ", n AS (SELECT *, (qty - min(qty) OVER ()) / (max(qty) OVER () - min(qty) OVER ()) AS n_qty, 1 - (price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ()) AS n_price, (lines - min(lines) OVER ())::DOUBLE / (max(lines) OVER () - min(lines) OVER ()) AS n_lines, 1 - (late - min(late) OVER ())::DOUBLE / (max(late) OVER () - min(late) OVER ()) AS n_late FROM c)"
-_SCORE = ", s AS (SELECT *, round((coalesce(n_qty * 0.3::DOUBLE, 0) + coalesce(n_price * 0.2::DOUBLE, 0) + coalesce(n_lines * 0.3::DOUBLE, 0) + coalesce(n_late * 0.2::DOUBLE, 0)) / 1.0::DOUBLE, 8) AS score, round(((n_qty IS NOT NULL)::INT * 0.3::DOUBLE + 0.2::DOUBLE + (n_lines IS NOT NULL)::INT * 0.3::DOUBLE + (n_late IS NOT NULL)::INT * 0.2::DOUBLE), 8) AS coverage, coalesce(lines >= 20, false) AND lines IS NOT NULL AND coalesce(late <= 70, false) AS eligible FROM n)"
+_SCORE = ", s AS (SELECT *, round((coalesce(n_qty * 0.3::DOUBLE, 0) + coalesce(n_price * 0.2::DOUBLE, 0) + coalesce(n_lines * 0.3::DOUBLE, 0) + coalesce(n_late * 0.2::DOUBLE, 0)) / 1.0::DOUBLE, 8) AS score, round(((n_qty IS NOT NULL)::INT * 0.3::DOUBLE + 0.2::DOUBLE + (n_lines IS NOT NULL)::INT * 0.3::DOUBLE + (n_late IS NOT NULL)::INT * 0.2::DOUBLE), 8) AS coverage, coalesce(lines >= 2, false) AND lines IS NOT NULL AND coalesce(late <= 1, false) AS eligible FROM n)"
 
 
 def candidates(spark, d):
-    """Parts with features of their lines; a ninth of them has none."""
-    q = table(spark, d, "lineitem").where("l_partkey % 9 <> 0").groupBy("l_partkey").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("late"))
+    """Parts with features of their bulk lines, of which some parts have none."""
+    q = table(spark, d, "lineitem").where("l_quantity >= 48").groupBy("l_partkey").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("late"))
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.col("p_retailprice").alias("price"))
     return p.join(q, p["p_partkey"] == q["l_partkey"], "left").drop("l_partkey")
 
@@ -224,7 +224,7 @@ def wi01(spark, d):
     return sc.scored(sc.normalized(candidates(spark, d), FEATURES), "p_partkey", FEATURES, GATES).select("p_partkey", "score", "coverage", "eligible", "rank")
 
 
-@query("fi05_gate_reasons", f"WITH {_CAND}, r AS (SELECT unnest(list_filter([CASE WHEN lines IS NULL THEN 'required_feature_missing:lines' END, CASE WHEN lines < 20 THEN 'min_lines:failed' END, CASE WHEN late IS NULL THEN 'max_late:missing' WHEN late > 70 THEN 'max_late:failed' END], lambda x: x IS NOT NULL)) AS reason FROM c) SELECT reason, count(*) AS n FROM r GROUP BY 1")
+@query("fi05_gate_reasons", f"WITH {_CAND}, r AS (SELECT unnest(list_filter([CASE WHEN lines IS NULL THEN 'required_feature_missing:lines' END, CASE WHEN lines < 2 THEN 'min_lines:failed' END, CASE WHEN late IS NULL THEN 'max_late:missing' WHEN late > 1 THEN 'max_late:failed' END], lambda x: x IS NOT NULL)) AS reason FROM c) SELECT reason, count(*) AS n FROM r GROUP BY 1")
 def fi05(spark, d):
     return candidates(spark, d).select(F.explode(sc.gate_reasons(FEATURES, GATES)).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -239,7 +239,7 @@ def ag18(spark, d):
 
 @query("tk07_portfolio")
 def tk07(spark, d):
-    ranked = sc.scored(sc.normalized(candidates(spark, d), FEATURES), "p_partkey", FEATURES, GATES).where("eligible and rank <= 2000")
+    ranked = sc.scored(sc.normalized(candidates(spark, d), FEATURES), "p_partkey", FEATURES, GATES).where("eligible")
     ranked = ranked.select("p_partkey", F.md5(F.col("p_brand").cast("binary")).alias("seq"), F.col("p_size").alias("grp"), "rank", (F.col("p_partkey") % 50 == 0).alias("is_control"))
     return sc.portfolio(ranked, "p_partkey", "seq", "grp", 5, 0.4, 1)
 
@@ -254,10 +254,10 @@ def tk04(spark, d):
     return tk.hash_sample(table(spark, d, "part"), F.col("p_partkey").cast("string"), 50).select("p_partkey", "p_name")
 
 
-@query("tk05_tiered", "WITH m AS (SELECT p_partkey, 'mandatory' AS tier FROM part WHERE p_partkey % 97 = 0), t AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part WHERE p_partkey % 97 <> 0), r AS (SELECT p_partkey, row_number() OVER (ORDER BY rn, p_brand) AS place FROM t) SELECT p_partkey, tier FROM m UNION ALL SELECT p_partkey, 'round_robin' FROM r WHERE place <= 300 - (SELECT count(*) FROM m)")
+@query("tk05_tiered", "WITH m AS (SELECT p_partkey, 'mandatory' AS tier FROM part WHERE p_size = 50), t AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part WHERE p_size <> 50), r AS (SELECT p_partkey, row_number() OVER (ORDER BY rn, p_brand) AS place FROM t) SELECT p_partkey, tier FROM m UNION ALL SELECT p_partkey, 'round_robin' FROM r WHERE place <= 1500 - (SELECT count(*) FROM m)")
 def tk05(spark, d):
-    p = table(spark, d, "part").withColumn("must", F.col("p_partkey") % 97 == 0)
-    return tk.tiered(p, "must", "p_brand", "p_retailprice", "p_partkey", 300).select("p_partkey", "tier")
+    p = table(spark, d, "part").withColumn("must", F.col("p_size") == 50)
+    return tk.tiered(p, "must", "p_brand", "p_retailprice", "p_partkey", 1500).select("p_partkey", "tier")
 
 
 @query("tk01_pareto", "WITH b AS (SELECT p_brand, p_partkey, p_size, p_retailprice, length(p_name) AS ln FROM part), f AS (SELECT *, NOT EXISTS (SELECT 1 FROM b o WHERE o.p_brand = b.p_brand AND o.p_size <= b.p_size AND o.p_retailprice <= b.p_retailprice AND o.ln <= b.ln AND (o.p_size < b.p_size OR o.p_retailprice < b.p_retailprice OR o.ln < b.ln)) AS on_frontier FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY on_frontier DESC, p_retailprice, p_size, ln, p_partkey) AS place FROM f) SELECT p_brand, p_partkey, on_frontier, place::INT AS place FROM r WHERE place <= 4")
@@ -266,10 +266,10 @@ def tk01(spark, d):
     return tk.pareto(p, ["p_brand"], ["p_size", "p_retailprice", "ln"], [F.col("p_retailprice"), F.col("p_size"), F.col("ln"), F.col("p_partkey")], 4).select("p_brand", "p_partkey", "on_frontier", "place")
 
 
-@query("jn01_full_outer", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS status FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0) a FULL OUTER JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 5 <> 0) b ON a.k = b.k")
+@query("jn01_full_outer", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS status FROM (SELECT c_custkey AS k FROM customer WHERE c_acctbal >= 0) a FULL OUTER JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 300000) b ON a.k = b.k")
 def jn01(spark, d):
-    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).where("k % 3 <> 0")
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).where("k % 5 <> 0").distinct()
+    a = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("k"))
+    b = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")).distinct()
     return jn.paired(a, b, "k")
 
 
@@ -278,11 +278,10 @@ def jn02(spark, d):
     return jn.exact_cover({"orders": table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), "lines": table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("k"))}, "k")
 
 
-@query("jn18_upsert", "SELECT coalesce(a.k, b.k) AS k, coalesce(b.status, a.status) AS status FROM (SELECT o_orderkey AS k, o_orderstatus AS status FROM orders) a FULL OUTER JOIN (SELECT l_orderkey + 1000000 * (l_orderkey % 10 = 0)::INT AS k, max(l_linestatus) AS status FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1) b ON a.k = b.k")
+@query("jn18_upsert", "SELECT coalesce(a.k, b.k) AS k, coalesce(b.status, a.status) AS status FROM (SELECT o_orderkey AS k, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'O') a FULL OUTER JOIN (SELECT l_orderkey AS k, max(l_linestatus) AS status FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) b ON a.k = b.k")
 def jn18(spark, d):
-    base = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
-    k = F.col("l_orderkey") + F.when(F.col("l_orderkey") % 10 == 0, 1000000).otherwise(0)
-    new = table(spark, d, "lineitem").where("l_orderkey % 4 = 0").groupBy(k.alias("k")).agg(F.max("l_linestatus").alias("status"))
+    base = table(spark, d, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
+    new = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("status"))
     return jn.upsert(base, new, "k", ["status"])
 
 
@@ -298,12 +297,11 @@ def jn08(spark, d):
     return jn.close_points(p.withColumn("g", F.col("vec_id")), "vec_id", 0.3, None, "g", 2).select("a", "b")
 
 
-@query("jn13_seed_and_extend", f"WITH {S}, q AS (SELECT doc_id AS q_id, substr(nt, 1, 40) AS qt FROM s WHERE doc_id % 100 = 0), l AS (SELECT doc_id AS l_id, substr(nt, 1, 60) AS lt FROM s WHERE doc_id % 100 <= 1), h AS (SELECT q_id, a AS q_at, l_id, b AS l_at, substr(qt, a + 1) AS x, substr(lt, b + 1) AS y FROM q, range(33) r(a), l, range(53) t(b) WHERE substr(qt, a + 1, 8) = substr(lt, b + 1, 8)), e AS (SELECT q_id, q_at, l_id, l_at, coalesce(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))[1] - 1, least(length(x), length(y))) AS n FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY q_id, q_at ORDER BY n DESC, l_id DESC, l_at DESC) AS rn FROM e) SELECT q_id, q_at::INT AS q_at, l_id, l_at::INT AS l_at, n::INT AS length FROM k WHERE rn = 1")
+@query("jn13_seed_and_extend", f"WITH {S}, k AS (SELECT doc_id, aa, a, substr(aa, a + 1, 8) AS seed FROM s, range(249) r(a)), h AS (SELECT q.doc_id AS q_id, q.a AS q_at, l.doc_id AS l_id, l.a AS l_at, substr(q.aa, q.a + 1) AS x, substr(l.aa, l.a + 1) AS y FROM k q JOIN k l ON q.seed = l.seed), e AS (SELECT q_id, q_at, l_id, l_at, coalesce(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))[1] - 1, least(length(x), length(y))) AS n FROM h), w AS (SELECT *, row_number() OVER (PARTITION BY q_id, q_at ORDER BY n DESC, l_id DESC, l_at DESC) AS rn FROM e) SELECT q_id, count(*) AS places, sum(n)::BIGINT AS letters, max(l_id) AS top FROM w WHERE rn = 1 GROUP BY q_id")
 def jn13(spark, d):
-    s = sequences(spark, d)
-    q = s.where("doc_id % 100 = 0").select("doc_id", F.substr("nt", F.lit(1), F.lit(40)).alias("t"))
-    l = s.where("doc_id % 100 <= 1").select("doc_id", F.substr("nt", F.lit(1), F.lit(60)).alias("t"))
-    return jn.seed_and_extend(q, l, ("doc_id", "t"), ("doc_id", "t"))
+    s = sequences(spark, d).select("doc_id", F.col("aa").alias("t"))
+    best = jn.seed_and_extend(s, s, ("doc_id", "t"), ("doc_id", "t"))
+    return best.groupBy("q_id").agg(F.count("*").alias("places"), F.sum("length").cast("long").alias("letters"), F.max("l_id").alias("top"))
 
 
 # --- Metrics ----------------------------------------------------------------------------------------------------
@@ -382,5 +380,5 @@ def it03(spark, d):
 def it01(spark, d):
     from ..operators.graph import greedy_cover
 
-    p = table(spark, d, "part").where("p_size < 10").select("p_partkey", F.array(F.concat(F.lit("b"), "p_brand"), F.concat(F.lit("t"), "p_type"), F.concat(F.lit("s"), F.col("p_size").cast("string"))).alias("features"), F.struct("p_retailprice", "p_partkey").alias("order"))
+    p = table(spark, d, "part").select("p_partkey", F.array(F.concat(F.lit("b"), "p_brand"), F.concat(F.lit("t"), "p_type"), F.concat(F.lit("s"), F.col("p_size").cast("string"))).alias("features"), F.struct("p_retailprice", "p_partkey").alias("order"))
     return greedy_cover(p, "p_partkey", "features", "order", 12)
