@@ -102,36 +102,36 @@ def _forest(fps: np.ndarray, ids: np.ndarray, max_bits: int, split: int) -> tupl
 
 
 def links(reps: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
-    """Distinct (fp, rep) -> (src, dst): reps whose fingerprints are joined by a chain of pairs within max_bits.
+    """Distinct fp -> (src, dst): fingerprints that a chain of pairs within max_bits joins.
 
     A fingerprint goes to one bucket for each choice of blocks. Buckets of one are dropped before anything is
     gathered. A bucket of over `chunk` fingerprints is cut into p chunks by hash, and each pair of chunks is a group
     of its own, so no task gathers more than two chunks and no pair is left out. Each group gives a spanning forest of
     verified links instead of all pairs.
     """
-    reps = common.cut(reps)
+    reps = common.cut(reps.select("fp"))
     blocks = blocks_for(reps.count(), max_bits)
-    keyed = reps.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), b.alias("b")) for k, b in block_keys(F.col("fp"), blocks, max_bits)])).alias("x")).select("fp", "rep", "x.k", "x.b")
+    keyed = reps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), b.alias("b")) for k, b in block_keys(F.col("fp"), blocks, max_bits)])).alias("x")).select("fp", "x.k", "x.b")
     crowded = keyed.groupBy("k", "b").agg(F.count("*").alias("n")).where("n > 1")
-    held = keyed.join(crowded, ["k", "b"]).select("k", "b", "fp", "rep", F.ceil(F.col("n") / chunk).cast("int").alias("p"))
+    held = keyed.join(crowded, ["k", "b"]).select("k", "b", "fp", F.ceil(F.col("n") / chunk).cast("int").alias("p"))
     part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("p")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("p") - 1))
     held = held.withColumn("c", part).withColumn("o", other).withColumn("lo", F.least("c", "o")).withColumn("hi", F.greatest("c", "o"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in common.runs(batches, 4):
-            _, _, lo, hi, c, fp, rep = g
+            _, _, lo, hi, c, fp = g
             fps = fp.view(np.uint64)
             if len(fps) == 2 and lo[0] == hi[0]:
-                src, dst = ([rep[0]], [rep[1]]) if np.bitwise_count(fps[0] ^ fps[1]) <= max_bits else ([], [])
+                src, dst = ([fp[0]], [fp[1]]) if np.bitwise_count(fps[0] ^ fps[1]) <= max_bits else ([], [])
             else:
-                src, dst = _forest(fps, rep, max_bits, int((c == lo).sum()) if lo[0] != hi[0] else 0)
+                src, dst = _forest(fps, fp, max_bits, int((c == lo).sum()) if lo[0] != hi[0] else 0)
             if len(src):
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(src, np.int64)), pa.array(np.array(dst, np.int64))], ["src", "dst"])
 
     keys = ["k", "b", "lo", "hi"]
     # Sorted groups stream through a task, many small ones in a batch.
-    grouped = held.select(*keys, "c", "fp", "rep").repartition(*keys).sortWithinPartitions(*keys, "c", "rep")
+    grouped = held.select(*keys, "c", "fp").repartition(*keys).sortWithinPartitions(*keys, "c", "fp")
     return grouped.mapInArrow(common.packed(work), "src long, dst long").distinct()
 
 
@@ -143,10 +143,11 @@ def simhash_components(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_
     Copies meet by their fingerprint (combined before the shuffle), so only distinct fingerprints are compared.
     """
     fps = common.cut(fingerprints(docs, words))
-    # Ids stand for fingerprints: the smallest doc_id, or the fingerprint's own bits below all doc_ids if there is none.
-    reps = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = common.components(links(reps, max_bits))
-    named = reps.join(roots, reps["rep"] == roots["id"], "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = common.components(links(reps, max_bits)).select(F.col("id").alias("fp"), F.col("component_id").alias("root"))
+    linked = reps.join(roots, "fp")
+    firsts = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = reps.join(firsts, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
