@@ -80,7 +80,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARD
     common.small_batches(spark)
     rows = common.cut(packed_vectors(vectors).withColumn("h", F.unhex(F.md5("key"))))
     fit = rows.where("key is not null and vec_id is not null")
-    classes = common.cut(fit.groupBy("h").agg(F.first("key").alias("key"), F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    classes = common.cut(fit.groupBy("h").agg(F.first("key").alias("key"), F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     shards = max(shards, -(-classes.count() // SHARD_ROWS))
     folder = common.scratch(spark, "hnsw")
     if "://" not in folder:
@@ -108,7 +108,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARD
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "width", "n"])
 
-    dealt = classes.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("s"), "key", "rep", "n").repartition(shards, "s")
+    dealt = classes.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("s"), "key", "node", "n").repartition(shards, "s")
     built = common.cut(dealt.mapInArrow(build, "path string, width long, n long"))
     graphs = sorted((r["path"], r["width"]) for r in built.collect())  # one short row a shard
 
@@ -139,7 +139,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARD
                         if forest.join(x, y):
                             src.append(x), dst.append(y)
             n, m = len(keys), len(src)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(reps), pa.array(src, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(dst, pa.int64())]), pa.concat_arrays([pa.array(links), pa.nulls(m, pa.int64())])], ["rep", "other", "links"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(reps), pa.array(src, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(dst, pa.int64())]), pa.concat_arrays([pa.array(links), pa.nulls(m, pa.int64())])], ["node", "other", "links"])
 
         keys: list[bytes] = []
         reps: list[int] = []
@@ -152,13 +152,14 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARD
         if keys:
             yield found(keys, np.array(reps, np.int64))
 
-    spread = classes.select("key", "rep").repartition(max(12, spark.sparkContext.defaultParallelism), F.xxhash64("rep"))
-    got = common.cut(spread.mapInArrow(search, "rep long, other long, links long"))
+    spread = classes.select("key", "node").repartition(max(12, spark.sparkContext.defaultParallelism), F.xxhash64("node"))
+    got = common.cut(spread.mapInArrow(search, "node long, other long, links long"))
     common.remove(spark, folder)
-    roots = common.components(got.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst")))
-    linked = got.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select("h", "rep", "n").join(linked, "rep").join(roots, F.col("rep") == F.col("id"), "left")
-    known = known.select("h", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    roots = common.components(got.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
+    linked = got.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    known = classes.select("h", "node", "least", "n").join(linked, "node").join(roots.select(F.col("id").alias("node"), F.col("component_id").alias("root")), "node", "left")
+    firsts = known.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    known = known.join(firsts, "root", "left").select("h", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = fit.join(known, "h").select("vec_id", "n_links", "component_id")
     alone = rows.where("key is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
