@@ -91,6 +91,25 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarr
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows that are sorted by their first `keys` columns (numbers) -> columns of many whole groups, their begins and sizes."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        new = np.zeros(len(cols[0]), bool)
+        for c in cols[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        at = np.concatenate([[0], np.flatnonzero(new)])
+        if at[-1]:
+            yield [c[: at[-1]] for c in cols], at[:-1], np.diff(at)
+        held = [c[at[-1] :] for c in cols]
+    if held is not None:
+        yield held, np.array([0]), np.array([len(held[0])])
+
+
 def packed(work, rows: int = 50_000):
     """work, with its small output batches joined to larger ones."""
 

@@ -19,6 +19,7 @@ SHINGLE, WINDOW, GRAM, REACH = 5, 32, 2, 19
 #: Recall that bands are tuned for, at SIMILARITY.
 RECALL = 0.95
 CHUNK, SEED = 2048, 9
+_SMALL = 4
 _CACHE = 500_000
 
 
@@ -101,6 +102,23 @@ def _sets(shingles: np.ndarray) -> np.ndarray:
     return np.sort(s, axis=1)
 
 
+def _shared(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many of own (sorted, distinct) each row of others holds."""
+    at = np.minimum(np.searchsorted(own, others), len(own) - 1)
+    return (own[at] == others).sum(1)
+
+
+def _close(sets: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the Jaccard similarity of rows a[k] and b[k] reaches the threshold."""
+    out = np.zeros(len(a), bool)
+    size = (sets != 0xFFFFFFFF).sum(1)
+    for i in range(0, len(a), 20_000):
+        x, y = a[i : i + 20_000], b[i : i + 20_000]
+        both = ((sets[x][:, :, None] == sets[y][:, None, :]) & (sets[x] != 0xFFFFFFFF)[:, :, None]).sum((1, 2))
+        out[i : i + 20_000] = both >= similarity * (size[x] + size[y] - both) - 1e-9
+    return out
+
+
 def _forest(sets: np.ndarray, ids: np.ndarray, similarity: float, split: int) -> tuple[list[int], list[int]]:
     """Links that connect all whose Jaccard similarity reaches the threshold; split as for fingerprints' buckets."""
     size = (sets != 0xFFFFFFFF).sum(1)
@@ -111,7 +129,7 @@ def _forest(sets: np.ndarray, ids: np.ndarray, similarity: float, split: int) ->
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            both = np.isin(sets[left], sets[at][: size[at]]).sum(1)
+            both = _shared(sets[at][: size[at]], sets[left])
             near = both >= similarity * (size[left] + size[at] - both) - 1e-9
             if split:
                 near &= (left < split) != (at < split)
@@ -159,8 +177,11 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     places = common.cut(rows.join(shared, "v", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at")))
     common.release(spark)
 
+    names = [f"v{k}" for k in range(bands)]
+
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
+        seen: set[int] = set()
         weights = _mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
         for b in batches:
             if not b.num_rows:
@@ -175,30 +196,60 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
                 w = where[i : i + 50_000]
                 values, shingles = minhashes(h, w, bands)
                 content = _mix((h[w[:, None] + np.arange(WINDOW)[None, :]] * weights).sum(1, dtype=np.uint64))
-                sets = _sets(shingles)
+                # A task gives a content's shingles once; equal windows that follow only name it.
+                _, first = np.unique(content, return_index=True)
+                first = first[[c not in seen for c in content[first].tolist()]]
+                if len(seen) > _CACHE:
+                    seen.clear()
+                seen.update(content[first].tolist())
+                new = np.zeros(len(w), bool)
+                new[first] = True
+                sets: list[bytes | None] = [None] * len(w)
+                for k, x in zip(first.tolist(), _sets(shingles[first]), strict=True):
+                    sets[k] = x.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(content.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(values.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()),
-                        pa.array(b.column(0).to_numpy()[doc[i : i + 50_000]]), pa.array(at[i : i + 50_000].astype(np.int32)),
-                    ], ["content", "vs", "sets", "doc_id", "pos"],
+                        pa.array(content.view(np.int64)), pa.array(b.column(0).to_numpy()[doc[i : i + 50_000]]), pa.array(at[i : i + 50_000].astype(np.int32)), pa.array(sets, pa.binary()),
+                        *[pa.array(np.ascontiguousarray(values[:, k]).view(np.int64), mask=~new) for k in range(bands)],
+                    ], ["content", "doc_id", "pos", "sets", *names],
                 )
 
     at = common.scratch(spark, "passages")
-    source.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(contents, "content long, vs array<long>, sets binary, doc_id long, pos int").write.parquet(at)
+    source.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(contents, "content long, doc_id long, pos int, sets binary, " + ", ".join(f"{n} long" for n in names)).write.parquet(at)
     common.release(spark)
     windows = spark.read.parquet(at)
-    kinds = windows.groupBy("content").agg(F.first("vs").alias("vs"), F.first("sets").alias("sets"))
-    keyed = common.cut(kinds.select("content", "sets", F.explode("vs").alias("v")))
-    crowded = keyed.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    held = keyed.join(crowded, "v").select("v", "content", "sets", F.ceil(F.col("n") / CHUNK).cast("int").alias("p"))
+    keyed = windows.where("sets is not null").select("content", "sets", F.explode(F.array(*names)).alias("v"))
+    # Values with more contents than a chunk: one in CHUNK at most, so they are few; broadcast if so, else joined.
+    large = common.cut(windows.where("sets is not null").select(F.explode(F.array(*names)).alias("v")).groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK))
+    held = keyed.join(F.broadcast(large) if large.count() <= 100_000 else large, "v", "left")
+    held = held.select("v", "content", "sets", F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int").alias("p"))
     held = held.withColumn("c", F.pmod(F.xxhash64("content", F.lit(7)), F.col("p")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     keys = ["v", "lo", "hi"]
     grouped = held.withColumn("lo", F.least("c", "o")).withColumn("hi", F.greatest("c", "o")).select(*keys, "c", "content", "sets").repartition(*keys).sortWithinPartitions(*keys, "c", "content")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, lo, hi, c, content, sets in common.runs(batches, 3):
+        for (_, lo, hi, c, content, sets), begins, sizes in common.segments(batches, 3):
             s = np.frombuffer(b"".join(sets), np.uint32).reshape(len(sets), -1)
-            src, dst = _forest(s, content, similarity, int((c == lo).sum()) if lo[0] != hi[0] else 0)
+            src, dst = [], []
+            # Small groups together, pair by pair; the others each by a search that gives a forest.
+            small = (sizes <= _SMALL) & (lo[begins] == hi[begins])
+            for n in range(2, _SMALL + 1):
+                g = begins[small & (sizes == n)]
+                for i in range(n):
+                    for j in range(i):
+                        x, y = g + i, g + j
+                        ok = content[x] != content[y]
+                        ok[ok] = _close(s, x[ok], y[ok], similarity)
+                        src += content[x[ok]].tolist()
+                        dst += content[y[ok]].tolist()
+            for i, n in zip(begins[~small].tolist(), sizes[~small].tolist(), strict=True):
+                part = slice(i, i + n)
+                _, once = np.unique(content[part], return_index=True)
+                once = np.sort(once)
+                split = int((c[part][once] == lo[i]).sum()) if lo[i] != hi[i] else 0
+                a, b = _forest(s[part][once], content[part][once], similarity, split)
+                src += a
+                dst += b
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
