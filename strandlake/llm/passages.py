@@ -108,14 +108,17 @@ def _shared(own: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (own[at] == others).sum(1)
 
 
-def _close(sets: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+def _close(sets: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether the Jaccard similarity of rows a[k] and b[k] reaches the threshold."""
-    out = np.zeros(len(a), bool)
-    size = (sets != 0xFFFFFFFF).sum(1)
-    for i in range(0, len(a), 20_000):
-        x, y = a[i : i + 20_000], b[i : i + 20_000]
-        both = ((sets[x][:, :, None] == sets[y][:, None, :]) & (sets[x] != 0xFFFFFFFF)[:, :, None]).sum((1, 2))
-        out[i : i + 20_000] = both >= similarity * (size[x] + size[y] - both) - 1e-9
+    out, width = np.zeros(len(a), bool), sets.shape[1]
+    for i in range(0, len(a), 4_000):
+        x, y = a[i : i + 4_000], b[i : i + 4_000]
+        own, twice = sets[x], np.hstack([sets[y], sets[y]])
+        hit = np.zeros(own.shape, bool)
+        for k in range(width):
+            hit |= own == twice[:, k : k + width]
+        both = (hit & (own != 0xFFFFFFFF)).sum(1)
+        out[i : i + 4_000] = both >= similarity * (size[x] + size[y] - both) - 1e-9
     return out
 
 
@@ -230,6 +233,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lo, hi, c, content, sets), begins, sizes in common.segments(batches, 3):
             s = np.frombuffer(b"".join(sets), np.uint32).reshape(len(sets), -1)
+            full = (s != 0xFFFFFFFF).sum(1)
             src, dst = [], []
             # Small groups together, pair by pair; the others each by a search that gives a forest.
             small = (sizes <= _SMALL) & (lo[begins] == hi[begins])
@@ -239,7 +243,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
                     for j in range(i):
                         x, y = g + i, g + j
                         ok = content[x] != content[y]
-                        ok[ok] = _close(s, x[ok], y[ok], similarity)
+                        ok[ok] = _close(s, full, x[ok], y[ok], similarity)
                         src += content[x[ok]].tolist()
                         dst += content[y[ok]].tolist()
             for i, n in zip(begins[~small].tolist(), sizes[~small].tolist(), strict=True):
