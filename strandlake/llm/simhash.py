@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, near
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
 #: A bucket with more fingerprints than this is cut into chunks, which meet chunk by chunk.
@@ -151,10 +151,10 @@ def simhash_components(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, words: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs without the rows whose component holds a smaller doc_id; of repeated rows of a kept doc_id one stays, the
+def first_of_each(docs: DataFrame, words: int, similarity: float = near.SIMILARITY) -> DataFrame:
+    """docs without the rows whose component of near copies (near.near_components) holds a smaller doc_id; of repeated rows of a kept doc_id one stays, the
     first by text. Rows without doc_id stay as they are: nothing tells which of them came first."""
-    found = simhash_components(docs.select("doc_id", "text"), words, max_bits)
+    found = near.near_components(docs.select("doc_id", "text"), words, similarity)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").alias("kept_id"), "text").join(kept, "kept_id", "left_semi")
     once = rows.groupBy("kept_id").agg(F.min_by("row", F.struct(F.xxhash64("text"), "text")).alias("row"))

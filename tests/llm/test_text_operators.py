@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, decontaminate, line_dedup, passages, simhash, warc
+from strandlake.llm import chat, decontaminate, line_dedup, near, passages, simhash, warc
 
 DOCS = "doc_id long, text string, row string, fp long, kept string"  # names that operators use themselves
 
@@ -93,6 +93,53 @@ def test_simhash_empty_table(spark):
     assert simhash.first_of_each(docs(spark, []), 5).columns == ["doc_id", "text", "row", "fp", "kept"]
 
 
+def five_word_shingles(ws):
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+
+def jaccard(a, b):
+    a, b = five_word_shingles(a), five_word_shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_recall_and_exactness(spark):
+    rng = random.Random(12)
+    rows, pairs, wants = [], {}, collections.defaultdict(list)
+    for want in (0.7, 0.8, 0.9, 0.95):
+        for _ in range(150):
+            base = words(rng, rng.randrange(120, 400), 5000)
+            other = list(base)
+            # The last edit that leaves the similarity at `want` or more (0.7: the first that leaves less than 0.75).
+            while True:
+                w = list(other)
+                w[rng.randrange(len(w))] = "edited"
+                if want == 0.7 and jaccard(base, other) < 0.75 or want > 0.7 and jaccard(base, w) < want:
+                    break
+                other = w
+            i = 2 * len(pairs)
+            pairs[i] = jaccard(base, other)
+            wants[want].append(i)
+            rows += [(i, " ".join(base)), (i + 1, " ".join(other).upper())]
+    rows += [(5000, None), (5001, " "), (5002, "one two"), (5003, "One  two"), (5004, "two one"), (None, rows[0][1])]
+    left = {r["doc_id"] for r in simhash.first_of_each(docs(spark, rows), 5).collect()}
+    caught = {want: np.mean([i + 1 not in left for i in ids]) for want, ids in wants.items()}
+    print("near-dedup recall", caught, {want: np.mean([pairs[i] for i in ids]) for want, ids in wants.items()})
+    assert caught[0.7] == 0 and caught[0.8] >= 0.97 and caught[0.9] >= 0.99 and caught[0.95] == 1
+    assert all(i in left for i in pairs) and {5000, 5002, 5004, None} <= left and not {5001, 5003} & left
+
+
+def test_near_dedup_of_large_groups_is_cut(spark, monkeypatch):
+    rng = random.Random(13)
+    base = words(rng, 100, 5000)
+    rows = [(i, " ".join(base[: 50 + i // 3] + [f"z{i}"] + base[51 + i // 3 :])) for i in range(120)]
+    rows += [(500 + i, " ".join(words(rng, 100, 5000))) for i in range(20)]
+    monkeypatch.setattr(near, "CHUNK", 16)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_components(docs(spark, rows), 5).collect()}
+    ws = {i: t.split() for i, t in rows}
+    linked = [(a, b) for a in ws for b in ws if a < b and jaccard(ws[a], ws[b]) >= 0.8]
+    assert got == brute_components(ws, linked)
+
+
 def brute_lines(rows, least=10):
     strip = " \t\n\x0b\x0c\r"
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(strip))
