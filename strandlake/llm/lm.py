@@ -23,8 +23,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 HEAVY = 1_000_000
 #: Inputs of a window, tokens it scores (the last ones), width of the one head, output classes.
 CONTEXT, STRIDE, WIDTH, CLASSES = 16, 8, 16, 256
-#: Each training document gives a run of so many words to the attention model's training, which passes over all of them.
-RUN_WORDS, ROUNDS, RATE, SEED = 12, 2, 0.02, 5
+#: The tokens of training documents are cut into runs of so many, end to end; the attention model's training passes over
+#: all of them, in a task so many at a time.
+RUN, HELD, ROUNDS, RATE, SEED = 1024, 240_000, 2, 0.02, 5
 _BEGIN, _PAD, _END = CLASSES, CLASSES + 1, 0
 _FLUSH, _CACHE, _CHUNK = 300_000, 200_000, 128
 _LN10 = math.log(10)
@@ -189,13 +190,21 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of, np.log10((counts + 1) / total[of]).astype(np.float32), (total + 1) / (total + 1).sum()
 
 
+def training_windows(of: np.ndarray, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and valid of the runs' windows, without the first window of a run that repeats tokens."""
+    seqs = [np.frombuffer(r, np.int32) for r in runs]
+    lengths = np.array([len(s) - 1 for s in seqs])
+    begun = np.array([s[0] > 0 for s in seqs])
+    x, y, valid, seq = windows_of(of[np.concatenate([s[1:] for s in seqs])], np.cumsum(lengths) - lengths, lengths, begun)
+    new = np.append(True, seq[1:] != seq[:-1]) <= begun[seq]
+    return x[new], y[new], valid[new]
+
+
 def _train(flat: np.ndarray, of: np.ndarray, runs: list[bytes], rate: float, seed: int) -> tuple[np.ndarray, int]:
     """One pass of Adam over the runs (a begun flag and subword ids, as int32 bytes), from flat."""
     if not runs:
         return flat * 0, 0
-    seqs = [np.frombuffer(r, np.int32) for r in runs]
-    lengths = np.array([len(s) - 1 for s in seqs])
-    x, y, valid, _ = windows_of(of[np.concatenate([s[1:] for s in seqs])], np.cumsum(lengths) - lengths, lengths, np.array([s[0] > 0 for s in seqs]))
+    x, y, valid = training_windows(of, runs)
     order = np.random.default_rng(seed).permutation(len(x))
     flat, m, v = flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
     for t, i in enumerate(range(0, len(order), 64), 1):
@@ -217,12 +226,15 @@ def _averaged(rows: DataFrame, flat: np.ndarray, of: np.ndarray, rate: float, se
         held: list[bytes] = []
         done, n = np.zeros_like(flat), 0
         now = flat
+        size = 0
         for b in batches:
-            held += b.column(0).to_pylist()
-            if len(held) >= 20_000:
-                got, k = _train(now, of, held, rate, seed + part)
-                done, n, held = done + got, n + k, []
-                now = (got / max(1, k)).astype(np.float32)
+            for run in b.column(0).to_pylist():
+                held.append(run)
+                size += len(run) // 4
+                if size >= HELD:
+                    got, k = _train(now, of, held, rate, seed + part)
+                    done, n, held, size = done + got, n + k, [], 0
+                    now = (got / max(1, k)).astype(np.float32)
         got, k = _train(now, of, held, rate, seed + part)
         done, n = done + got, n + k
         if n:
@@ -245,42 +257,51 @@ def _averaged(rows: DataFrame, flat: np.ndarray, of: np.ndarray, rate: float, se
 # --- The corpus ----------------------------------------------------------------------------------------------------
 
 
+def runs_of(seq: np.ndarray) -> list[bytes]:
+    """A document's tokens, the end among them, as runs."""
+    return [np.append(np.int32(i == 0), seq[max(0, i - STRIDE) : i + RUN]).astype(np.int32).tobytes() for i in range(0, len(seq), RUN)]
+
+
 def gather(docs: DataFrame, path: str) -> DataFrame:
     """Training documents (doc_id, text) -> rows of (word, c) partial counts and rows of run, kept in the shared folder.
 
     The end is the empty word. Counts of a task are flushed when they hold _FLUSH words, so memory is bounded.
-    A run is RUN_WORDS words (a begun flag and subword ids; the end where the text ends) from a place that a hash of the
-    text picks, the begin for one text in four. Every training document gives one.
+    A run is a begun flag and RUN subword ids at most. The runs of a training document stand end to end and hold its
+    whole text and the end. A run that isn't the first repeats the STRIDE tokens before it, which are inputs only. Runs
+    leave in batches of HELD tokens or one document's.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
+        known: dict[bytes, np.ndarray] = {}
 
-        def flush(runs: list[bytes]) -> pa.RecordBatch:
-            n, m = len(count), len(runs)
-            out = pa.RecordBatch.from_arrays([pa.array([*count, *[None] * m], pa.binary()), pa.array([*count.values(), *[None] * m], pa.int64()), pa.array([*[None] * n, *runs], pa.binary())], ["word", "c", "run"])
-            count.clear()
-            return out
+        def rows(counts: Counter, runs: list[bytes]) -> pa.RecordBatch:
+            n, m = len(counts), len(runs)
+            return pa.RecordBatch.from_arrays([pa.array([*counts, *[None] * m], pa.binary()), pa.array([*counts.values(), *[None] * m], pa.int64()), pa.array([*[None] * n, *runs], pa.binary())], ["word", "c", "run"])
 
         for b in batches:
-            runs: list[tuple[bool, bool, list[bytes]]] = []
+            packed: list[bytes] = []
+            held = 0
             for t in common.texts(b.column(1)):
                 words = t.lower().split()
                 count.update(words)
                 count[b""] += 1
-                draw = zlib.crc32(t[-256:], len(t))
-                at = 0 if draw % 4 == 0 else draw // 4 % max(1, len(words) - RUN_WORDS + 1)
-                runs.append((at == 0, at + RUN_WORDS >= len(words), words[at : at + RUN_WORDS]))
-            ids = iter(subwords([w for *_, ws in runs for w in ws], path))
-            packed = []
-            for begun, ended, ws in runs:
-                seq = [int(begun), *(i for _ in ws for i in next(ids))]
-                packed.append(np.array(seq + [0] * ended, np.int32).tobytes())
+                new = [w for w in dict.fromkeys(words) if w not in known]
+                for w, ids in zip(new, subwords(new, path), strict=True):
+                    known[w] = np.array(ids, np.int32)
+                seq = np.concatenate([*map(known.__getitem__, words), np.zeros(1, np.int32)])
+                packed += runs_of(seq)
+                held += len(seq)
+                if len(known) > _CACHE:
+                    known.clear()
+                if held >= HELD:
+                    yield rows(Counter(), packed)
+                    packed, held = [], 0
+            yield rows(Counter(), packed)
             if len(count) > _FLUSH:
-                yield flush(packed)
-            else:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), pa.binary()), pa.nulls(len(packed), pa.int64()), pa.array(packed, pa.binary())], ["word", "c", "run"])
-        yield flush([])
+                yield rows(count, [])
+                count.clear()
+        yield rows(count, [])
 
     return docs.mapInArrow(work, "word binary, c long, run binary")
 

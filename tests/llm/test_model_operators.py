@@ -227,6 +227,29 @@ def test_attention_is_causal_normalized_and_its_gradient_right():
         assert math.isclose((loss(flat + d) - loss(flat - d)) / 2e-4, g[i], rel_tol=2e-2, abs_tol=2e-4)
 
 
+def test_training_takes_every_token_of_whole_texts_once(spark):
+    rng = random.Random(14)
+    texts = {i: prose(rng, n) for i, n in enumerate((1, 12, 13, 700, 1100, 20_000))} | {10: "", 11: None}
+    got = lm.gather(docs(spark, list(texts.items())).select("doc_id", "text"), lm.TOKENIZER).collect()
+    runs = [bytes(r["run"]) for r in got if r["run"] is not None]
+    of = np.arange(lm.tokenizer(lm.TOKENIZER)[1] + 2)
+    x, y, valid = lm.training_windows(of, runs)
+    want = collections.Counter()
+    for t in texts.values():
+        want.update([i for ids in lm.subwords((t or "").encode().lower().split(), lm.TOKENIZER) for i in ids] + [0])
+    assert collections.Counter(y[valid].tolist()) == want
+    counts = collections.Counter()
+    for r in got:
+        if r["word"] is not None:
+            counts[bytes(r["word"])] += r["c"]
+    assert counts == collections.Counter(w for t in texts.values() for w in (t or "").encode().lower().split() + [b""])
+    # Later runs see the tokens before them; only the oldest input of a run's first window is a pad.
+    seq = np.arange(1, 3001, dtype=np.int32)
+    x, y, valid = lm.training_windows(np.arange(5000) + 1000, lm.runs_of(seq))
+    assert y[valid].tolist() == (seq + 1000).tolist()
+    assert all(a == y[k][0] - 1 for k, a in enumerate(x[:, lm.CONTEXT - lm.STRIDE]) if k)
+
+
 def test_language_model_scores(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 40) + f" Own{i} " * (i % 3)) for i in range(120)] + [(500, None), (501, ""), (None, "the stone"), (3, "the river"), (502, "Ünknown words"), (503, "x" * 50_000)]
