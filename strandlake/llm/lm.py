@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import base64
 import math
-import zlib
+import os
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +21,20 @@ from . import common
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: A word is broadcast if it makes up 1/HEAVY of the training tokens at least, so no more than HEAVY words are.
 HEAVY = 1_000_000
-#: Inputs of a window, tokens it scores (the last ones), width of the one head, output classes.
-CONTEXT, STRIDE, WIDTH, CLASSES = 16, 8, 16, 256
-#: The tokens of training documents are cut into runs of so many, end to end; the attention model's training passes over
-#: all of them, in a task so many at a time.
-RUN, HELD, ROUNDS, RATE, SEED = 1024, 240_000, 2, 0.02, 5
-_BEGIN, _PAD, _END = CLASSES, CLASSES + 1, 0
-_FLUSH, _CACHE, _CHUNK = 300_000, 200_000, 128
-_LN10 = math.log(10)
+#: Places of a window, output classes, pairs of classes with values of their own, classes and bands of pairs by which
+#: places are matched, width of queries and keys. Values are tables of CLASSES + PAIRS + PLACES * COARSE rows.
+PLACES, CLASSES, PAIRS, COARSE, BANDS, WIDTH = 8, 1024, 8192, 256, 16, 16
+#: What a window attends to: the sink, the own place by its class, the own place by its pair, the places before.
+SLOTS = PLACES + 2
+#: A row's values begin with a more general distribution, as if so many tokens had been seen.
+SMOOTH = 4.0
+#: A document's tokens are stored in runs of so many; so many are held at a time, and so many are a step of training.
+RUN, HELD, STEP, RATE, SEED = 65_536, 262_144, 4096, 0.05, 5
+_BEGIN, _END = CLASSES, 0
+_FLUSH, _CACHE, _SLICE = 300_000, 200_000, 2 << 20
+#: Cells of a block of counts; tasks whose parameters are averaged at once.
+_BLOCK, _FAN = 1 << 16, 512
+_HIDDEN = np.float32(-1e9)
 
 
 @lru_cache(maxsize=2)
@@ -41,19 +47,27 @@ def tokenizer(path: str):
     return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), max(ranks.values())
 
 
+def shipped(path: str) -> str:
+    """Where an executor has the file that the driver sent along."""
+    return SparkFiles.get(os.path.basename(path))
+
+
 def subwords(words: list[bytes], path: str) -> list[list[int]]:
     """Ids from 1 of each word with a space before it; 0 is left for the end."""
     encode = tokenizer(path)[0].encode_ordinary
     return [[i + 1 for i in encode(" " + w.decode("utf-8", "replace"))] for w in words]
 
 
+def _kind(path: str) -> type:
+    return np.uint16 if tokenizer(path)[1] + 2 <= 1 << 16 else np.int32
+
+
 # --- The attention model -------------------------------------------------------------------------------------------
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
-    """Inputs are classes, a begin and a pad; queries, keys and values are tables over them."""
-    n = CLASSES + 2
-    return {"q": (n, WIDTH), "k": (n, WIDTH), "v": (n, WIDTH), "place": (STRIDE, CONTEXT), "out": (WIDTH, CLASSES), "skip": (n, CLASSES)}
+    """Queries by the class of the last token; keys of the own place, of its pair's band and of the places before."""
+    return {"q": (COARSE, WIDTH), "own": (COARSE, WIDTH), "pair": (BANDS, WIDTH), "far": (COARSE, WIDTH), "bias": (COARSE, SLOTS), "place": (SLOTS,)}
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -65,231 +79,352 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def initial(prior: np.ndarray, seed: int = SEED) -> np.ndarray:
+def initial(seed: int = SEED) -> np.ndarray:
     rng = np.random.default_rng(seed)
     parts = {k: rng.normal(0, 0.1, s) for k, s in shapes().items()}
-    parts["place"] *= 0
-    parts["skip"] = np.tile(np.log(prior), (CLASSES + 2, 1))
+    parts["bias"] *= 0
+    parts["place"] = np.array([-3.0, 0.0, 2.0] + [-2.0] * (PLACES - 1))
     return np.concatenate([p.ravel() for p in parts.values()]).astype(np.float32)
 
 
-#: Window place j may see places up to its own; the last STRIDE places are scored.
-_SEES = np.arange(CONTEXT)[None, :] <= (np.arange(STRIDE) + CONTEXT - STRIDE)[:, None]
+def coarse(classes: np.ndarray) -> np.ndarray:
+    """Classes go by falling frequency; the begin mark keeps one of its own."""
+    return np.where(classes == _BEGIN, COARSE - 1, np.minimum(classes, COARSE - 2))
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """x: (windows, CONTEXT) inputs -> logits (windows, STRIDE, CLASSES), and what the gradient needs."""
-    own = x[:, CONTEXT - STRIDE :]
-    q, k, v = p["q"][own], p["k"][x], p["v"][x]
-    s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(1 / math.sqrt(WIDTH)) + p["place"]
-    s += np.where(_SEES, np.float32(0), np.float32(-1e9))
-    s += np.where(x == _PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
-    h = np.matmul(s, v)
-    logits = h.reshape(-1, WIDTH) @ p["out"]
-    logits += p["skip"][own.ravel()]
-    return logits, own, q, k, v, s, h
-
-
-def tables(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Queries times keys for each pair of inputs, pads masked, and the causal mask joined to the places' part."""
-    qk = (p["q"] @ p["k"].T) * np.float32(1 / math.sqrt(WIDTH))
-    qk[:, _PAD] = -1e9
-    return p | {"qk": qk, "seen": p["place"] + np.where(_SEES, 0, -1e9).astype(p["place"].dtype)}
-
-
-def log_probabilities(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of P(target class | inputs so far), (windows, STRIDE); p from tables(). The same as forward(), with
-    attention scores read from the table of pairs."""
-    own = x[:, CONTEXT - STRIDE :]
-    s = p["qk"].ravel().take(own[:, :, None] * (CLASSES + 2) + x[:, None, :])
-    s += p["seen"]
+@dataclass
+class Model:
+    """What a task needs: each subword's class and log10 share of it, values, parameters, the heavy words' base scores.
+
+    values: probabilities of the next class for each row of a slot (own, pair, then the places before); sizes: what
+    each row's probabilities were divided by. row: the pair slot's row of (class before, class), 0 where it has none.
+    """
+
+    path: str
+    of: np.ndarray
+    share: np.ndarray
+    prior: np.ndarray
+    row: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES + 1) * CLASSES, np.int16))
+    band: np.ndarray = field(default_factory=lambda: np.zeros(PAIRS + 1, np.int64))
+    values: list[np.ndarray] = field(default_factory=list)
+    sizes: list[np.ndarray] = field(default_factory=list)
+    flat: np.ndarray = field(default_factory=initial)
+    heavy: dict[bytes, float] = field(default_factory=dict)
+
+    def rows(self, x: np.ndarray) -> list[np.ndarray]:
+        """Of each slot after the sink, the row that the window's place picks."""
+        before, own = x[1], np.minimum(x[0], CLASSES - 1)
+        pair = self.row.take(np.minimum(before, CLASSES) * CLASSES + own).astype(np.int64)
+        pair[(before == _BEGIN) | (x[0] == _BEGIN)] = 0
+        return [x[0], pair, *coarse(x[1:])]
+
+
+def windows(classes: np.ndarray, position: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Texts' classes end to end -> (PLACES, hi - lo): the classes of the PLACES tokens before each of the targets lo to
+    hi, the last one first. Each token is a target once; its window overlaps the next one's in all places but one.
+
+    position: each token's place in its text. The begin mark stands before the first; what is before that is masked.
+    """
+    x = np.full((PLACES, hi - lo), _BEGIN, np.int64)
+    for d in range(PLACES):
+        a = max(lo, d + 1)
+        if a < hi:
+            x[d, a - lo :] = np.where(position[a:hi] > d, classes[a - 1 - d : hi - 1 - d], _BEGIN)
+    return x
+
+
+def tables(p: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Attention scores of each slot, by class of the query and key; one row of them where a slot has one key only."""
+    scale = np.float32(1 / math.sqrt(WIDTH))
+    by = p["bias"] + p["place"]
+    own, pair, far = ((p["q"] @ p[k].T) * scale for k in ("own", "pair", "far"))
+    return [by[:, 0].copy(), own + by[:, 1:2], pair + by[:, 2:3], *(far + by[:, j : j + 1] for j in range(3, SLOTS))]
+
+
+def attend(m: Model, scores: list[np.ndarray], x: np.ndarray, position: np.ndarray, y: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, ...]:
+    """Weights (SLOTS, n) of a masked softmax, the slots' probabilities of the targets, query classes and keys.
+
+    The model's probability of a target is the weighted sum of its slots' probabilities. leave_out: values are those
+    of all other tokens, as training must see them.
+    """
+    rows = m.rows(x)
+    q = coarse(x[0])
+    keys = [q, m.band.take(rows[1]), *rows[2:]]
+    s, v = np.empty((SLOTS, len(y)), np.float32), np.empty((SLOTS, len(y)), np.float32)
+    s[0], v[0] = scores[0].take(q), m.prior.take(y)
+    for j in range(1, SLOTS):
+        s[j] = scores[j].ravel().take(q * scores[j].shape[1] + keys[j - 1])
+        got = m.values[j - 1].ravel().take(rows[j - 1] * CLASSES + y)
+        if leave_out:
+            n = m.sizes[j - 1].take(rows[j - 1])
+            got = np.maximum((got * n - 1) / (n - 1), np.float32(1e-9))
+        v[j] = got
+    s[2][rows[1] == 0] = _HIDDEN
+    if len(position) and position.min() < PLACES:
+        for d in range(1, PLACES):
+            s[2 + d][position < d] = _HIDDEN
+    s -= s.max(0)
     np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True) + np.float32(1e-30)
-    h = np.matmul(s, p["v"].take(x, axis=0)).reshape(-1, WIDTH)
-    logits = p["skip"].take(own.ravel(), axis=0)
-    logits += h @ p["out"]
-    picked = logits.ravel().take(np.arange(len(logits)) * CLASSES + target.ravel())
-    np.exp(logits, out=logits)
-    return (picked - np.log(logits @ np.ones(CLASSES, logits.dtype))).reshape(target.shape)
+    s /= s.sum(0)
+    return s, v, q, keys
 
 
-def gradient(flat: np.ndarray, x: np.ndarray, target: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Of the mean negative log probability over valid targets."""
+def gradient(m: Model, flat: np.ndarray, x: np.ndarray, position: np.ndarray, y: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Of the mean negative log probability over valid targets, each left out of its values."""
     p = unpack(flat)
-    logits, own, q, k, v, s, h = forward(p, x)
-    logits -= logits.max(1, keepdims=True)
-    d = np.exp(logits)
-    d /= d.sum(1, keepdims=True)
-    d[np.arange(len(d)), target.ravel()] -= 1
-    d *= (valid.ravel() / max(1, valid.sum()))[:, None].astype(np.float32)
-    dh = (d @ p["out"].T).reshape(h.shape)
-    ds = np.matmul(dh, v.transpose(0, 2, 1))
-    ds = s * (ds - (ds * s).sum(-1, keepdims=True))
+    s, v, q, keys = attend(m, tables(p), x, position, y, True)
+    g = s * (1 - v / (s * v).sum(0)) * (valid / max(1, valid.sum())).astype(np.float32)
     scale = np.float32(1 / math.sqrt(WIDTH))
-    n = CLASSES + 2
 
-    def gather(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-        one = np.zeros((rows.size, n), np.float32)
-        one[np.arange(rows.size), rows.ravel()] = 1
-        return one.T @ values.reshape(rows.size, -1)
+    def met(slots: list[int], n: int) -> np.ndarray:
+        return sum(np.bincount(q * n + keys[j - 1], g[j], COARSE * n) for j in slots).reshape(COARSE, n).astype(np.float32) * scale
 
+    own, pair, far = met([1], COARSE), met([2], BANDS), met(list(range(3, SLOTS)), COARSE)
     parts = {
-        "q": gather(own, np.matmul(ds, k) * scale), "k": gather(x, np.matmul(ds.transpose(0, 2, 1), q) * scale), "v": gather(x, np.matmul(s.transpose(0, 2, 1), dh)),
-        "place": ds.sum(0), "out": h.reshape(-1, WIDTH).T @ d, "skip": gather(own, d),
+        "q": own @ p["own"] + pair @ p["pair"] + far @ p["far"], "own": own.T @ p["q"], "pair": pair.T @ p["q"], "far": far.T @ p["q"],
+        "bias": np.stack([np.bincount(q, g[j], COARSE) for j in range(SLOTS)], 1), "place": g.sum(1),
     }
-    return np.concatenate([parts[k].ravel() for k in shapes()])
+    return np.concatenate([parts[k].ravel() for k in shapes()]).astype(np.float32)
+
+
+def log_probabilities(m: Model, classes: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """log10 of P(class | tokens before it in its text), for all tokens of texts laid end to end."""
+    scores, out = tables(unpack(m.flat)), np.empty(len(classes))
+    for lo in range(0, len(classes), STEP):
+        hi = min(len(classes), lo + STEP)
+        s, v, *_ = attend(m, scores, windows(classes, position, lo, hi), position[lo:hi], classes[lo:hi])
+        out[lo:hi] = np.log10((s * v).sum(0))
+    return out
 
 
-def windows_of(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences laid end to end -> inputs, targets, valid, sequence of each window. Every token is a target once.
+def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training counts of subword ids -> class, log10 of the share in its class, class shares. All by add-one counts.
 
-    A window's inputs are the CONTEXT tokens before and at its places: STRIDE overlap with the window before it,
-    pads before the begin. begun: whether the sequence starts with a begin mark (else with a pad).
+    The most frequent ids are a class each, by falling count; all others share the last class.
     """
-    lead = CONTEXT - STRIDE
-    counts = -(-lengths // STRIDE)
-    seq = np.repeat(np.arange(len(lengths)), counts)
-    k = np.arange(len(seq)) - np.repeat(np.cumsum(counts) - counts, counts)
-    t = k[:, None] * STRIDE + np.arange(-lead - 1, STRIDE)[None, :]
-    # Column c of t is the token that stands before place c + 1: inputs are t[:, :-1], targets t[:, lead + 1:].
-    ok = (t >= 0) & (t < lengths[seq][:, None])
-    padded = np.append(classes, _PAD)
-    vals = np.where(ok, padded[np.where(ok, starts[seq][:, None] + t, len(classes))], _PAD)
-    vals = np.where((t == -1) & begun[seq][:, None], _BEGIN, vals)
-    valid = ok[:, lead + 1 :]
-    return vals[:, :-1], np.where(valid, vals[:, lead + 1 :], 0), valid, seq
+    of = np.empty(len(counts), np.int64)
+    of[np.argsort(-counts, kind="stable")] = np.minimum(np.arange(len(counts)), CLASSES - 1)
+    total = np.bincount(of, counts + 1.0, CLASSES)
+    return of, np.log10((counts + 1) / total[of]).astype(np.float32), (total / total.sum()).astype(np.float32)
+
+
+def with_pairs(m: Model, own: np.ndarray) -> Model:
+    """own: counts of (class, next class). The PAIRS most frequent pairs get rows; bands go by the logarithm of the count."""
+    n = own[:CLASSES].ravel()
+    top = np.argsort(-n, kind="stable")[:PAIRS]
+    top = top[n[top] > 1]
+    m.row[top] = np.arange(1, len(top) + 1)
+    m.band[1 : len(top) + 1] = np.minimum(np.log2(n[top]) / 2, BANDS - 1)
+    return m
+
+
+def with_values(m: Model, counts: list[np.ndarray]) -> Model:
+    """Counts of (row, next class) -> values: a class's and a distant class's begin with the corpus shares, a pair's with its class's."""
+    for k, c in enumerate(counts):
+        n = (c.sum(1) + SMOOTH).astype(np.float32)
+        v = c.astype(np.float32)
+        if k == 1:
+            pairs = np.flatnonzero(m.row)
+            own = np.zeros(len(v), np.int64)
+            own[m.row[pairs]] = pairs % CLASSES
+            for i in range(0, len(v), 1024):
+                v[i : i + 1024] += np.float32(SMOOTH) * m.values[0][own[i : i + 1024]]
+        else:
+            v += np.float32(SMOOTH) * m.prior
+        v /= n[:, None]
+        m.values.append(v), m.sizes.append(n)
+    return m
+
+
+# --- Passes over the training tokens ---------------------------------------------------------------------------------
+
+
+def runs_of(seq: np.ndarray) -> list[tuple[int, bytes]]:
+    """A document's tokens, the end among them -> runs: how many leading tokens only give context, and the ids."""
+    return [(min(i, PLACES), seq[max(0, i - PLACES) : i + RUN].tobytes()) for i in range(0, len(seq), RUN)]
+
+
+def laid(batches: Iterator[pa.RecordBatch], of: np.ndarray, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(skip, run) rows -> classes, positions and whether each is a target, of about HELD tokens laid end to end."""
+    seqs: list[np.ndarray] = []
+    skips: list[int] = []
+    size = 0
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.fromiter(map(len, seqs), np.int64, len(seqs))
+        position = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return of[np.concatenate(seqs)], position, position >= np.repeat(skips, lengths)
+
+    for b in batches:
+        for skip, run in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            seqs.append(np.frombuffer(run.as_buffer(), kind).astype(np.int64))
+            skips.append(skip)
+            size += len(seqs[-1])
+            if size >= HELD:
+                yield out()
+                seqs, skips, size = [], [], 0
+    if seqs:
+        yield out()
+
+
+def _sums(runs: DataFrame, m: Model, cells: int, picked: Callable[[Model, np.ndarray, np.ndarray], list[np.ndarray]]) -> np.ndarray:
+    """How often picked(model, windows, targets) names each of the cells, over all targets of all runs.
+
+    A task counts its own runs in one array and gives what isn't zero, by blocks; blocks are summed by tasks as they
+    stream in. The sums, of a fixed number of cells, reach the driver.
+    """
+    shared = runs.sparkSession.sparkContext.broadcast(m)
 
+    def rows(block: int, n: np.ndarray) -> tuple[int, bytes, bytes]:
+        at = np.flatnonzero(n)
+        return block, at.astype(np.uint16).tobytes(), n[at].astype(np.int64).tobytes()
 
-@dataclass
-class Model:
-    """What a task needs to score: the heavy words' base scores, each subword's class and share of it, parameters."""
+    def given(found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        a, b, c = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["b", "i", "n"])
 
-    heavy: dict[bytes, float]
-    of: np.ndarray
-    share: np.ndarray
-    flat: np.ndarray
-    path: str
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        total = np.zeros(-(-cells // _BLOCK) * _BLOCK, np.uint32)
+        for classes, position, valid in laid(batches, m.of, _kind(shipped(m.path))):
+            for lo in range(0, len(classes), 4 * STEP):
+                hi = min(len(classes), lo + 4 * STEP)
+                ok = valid[lo:hi]
+                x, y = windows(classes, position, lo, hi)[:, ok], classes[lo:hi][ok]
+                for at in picked(m, x, y, position[lo:hi][ok]):
+                    np.add.at(total, at, np.uint32(1))
+        for k in range(0, len(total) // _BLOCK, 16):
+            found = [rows(j, total[j * _BLOCK : (j + 1) * _BLOCK]) for j in range(k, min(k + 16, len(total) // _BLOCK))]
+            if found := [r for r in found if r[1]]:
+                yield given(found)
 
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, i, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                at = np.frombuffer(i.as_buffer(), np.uint16)
+                total.setdefault(k, np.zeros(_BLOCK, np.int64))[at] += np.frombuffer(n.as_buffer(), np.int64)
+        for k, n in total.items():
+            yield given([rows(k, n)])
+
+    kind = "b long, i binary, n binary"
+    out = np.zeros(-(-cells // _BLOCK) * _BLOCK, np.int64)
+    for b, i, n in runs.mapInArrow(local, kind).repartition("b").mapInArrow(combine, kind).toLocalIterator():
+        out[b * _BLOCK + np.frombuffer(i, np.uint16).astype(np.int64)] = np.frombuffer(n, np.int64)
+    shared.unpersist()
+    return out[:cells]
+
+
+def _own_cells(m: Model, x: np.ndarray, y: np.ndarray, position: np.ndarray) -> list[np.ndarray]:
+    return [x[0] * CLASSES + y]
+
+
+def _other_cells(m: Model, x: np.ndarray, y: np.ndarray, position: np.ndarray) -> list[np.ndarray]:
+    """Cells of the pairs' table, then of the tables of the places before; what is masked counts nowhere."""
+    _, pair, *far = m.rows(x)
+    out = [(pair * CLASSES + y)[pair > 0]]
+    for d, r in enumerate(far, 1):
+        at = r * CLASSES + y + (PAIRS + 1 + (d - 1) * COARSE) * CLASSES
+        out.append(at if len(position) and position.min() >= d else at[position >= d])
+    return out
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training counts of subword ids (0 is the end) -> class, log10 of the share in its class, class shares.
 
-    The most frequent ids are a class each, class 0 the end; the others go to four classes by count. Add-one shares.
-    """
-    own = CLASSES - 4
-    of = np.zeros(len(counts), np.int64)
-    order = np.argsort(-counts[1:], kind="stable") + 1
-    of[order[: own - 1]] = np.arange(1, own)
-    tail = order[own - 1 :]
-    mass = np.cumsum(counts[tail] + 1)
-    of[tail] = own + np.minimum(mass * 4 // (mass[-1] + 1 if len(mass) else 1), 3)
-    total = np.bincount(of, counts + 1.0, CLASSES)
-    return of, np.log10((counts + 1) / total[of]).astype(np.float32), (total + 1) / (total + 1).sum()
-
-
-def training_windows(of: np.ndarray, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and valid of the runs' windows, without the first window of a run that repeats tokens."""
-    seqs = [np.frombuffer(r, np.int32) for r in runs]
-    lengths = np.array([len(s) - 1 for s in seqs])
-    begun = np.array([s[0] > 0 for s in seqs])
-    x, y, valid, seq = windows_of(of[np.concatenate([s[1:] for s in seqs])], np.cumsum(lengths) - lengths, lengths, begun)
-    new = np.append(True, seq[1:] != seq[:-1]) <= begun[seq]
-    return x[new], y[new], valid[new]
-
-
-def _train(flat: np.ndarray, of: np.ndarray, runs: list[bytes], rate: float, seed: int) -> tuple[np.ndarray, int]:
-    """One pass of Adam over the runs (a begun flag and subword ids, as int32 bytes), from flat."""
-    if not runs:
-        return flat * 0, 0
-    x, y, valid = training_windows(of, runs)
-    order = np.random.default_rng(seed).permutation(len(x))
-    flat, m, v = flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
-    for t, i in enumerate(range(0, len(order), 64), 1):
-        at = order[i : i + 64]
-        g = gradient(flat, x[at], y[at], valid[at])
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    return flat * len(x), len(x)
-
-
-def _averaged(rows: DataFrame, flat: np.ndarray, of: np.ndarray, rate: float, seed: int) -> np.ndarray:
-    """Each task passes over its own runs; parameters are averaged by windows, 64 tasks at a time before the driver."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((flat, of))
+def _trained(runs: DataFrame, m: Model) -> np.ndarray:
+    """Parameters after one pass over all runs: each task passes over its own, by Adam; tasks' parameters, each the mean
+    over its steps, later ones weighing more, are averaged by targets, _FAN tasks at a time."""
+    shared = runs.sparkSession.sparkContext.broadcast(m)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (flat, of), part = shared.value, TaskContext.get().partitionId()
-        held: list[bytes] = []
-        done, n = np.zeros_like(flat), 0
-        now = flat
-        size = 0
-        for b in batches:
-            for run in b.column(0).to_pylist():
-                held.append(run)
-                size += len(run) // 4
-                if size >= HELD:
-                    got, k = _train(now, of, held, rate, seed + part)
-                    done, n, held, size = done + got, n + k, [], 0
-                    now = (got / max(1, k)).astype(np.float32)
-        got, k = _train(now, of, held, rate, seed + part)
-        done, n = done + got, n + k
+        m, part = shared.value, TaskContext.get().partitionId()
+        flat = m.flat.copy()
+        a, v, mean = np.zeros_like(flat), np.zeros_like(flat), np.zeros(len(flat))
+        n = t = 0
+        for classes, position, valid in laid(batches, m.of, _kind(shipped(m.path))):
+            for lo in range(0, len(classes), STEP):
+                hi = min(len(classes), lo + STEP)
+                ok = valid[lo:hi]
+                if not ok.any():
+                    continue
+                g = gradient(m, flat, windows(classes, position, lo, hi), position[lo:hi], classes[lo:hi], ok)
+                t, n = t + 1, n + int(ok.sum())
+                a += np.float32(0.1) * (g - a)
+                v += np.float32(0.01) * (g * g - v)
+                flat -= np.float32(RATE / math.sqrt(1 + t / 100) / (1 - 0.9**t)) * a / (np.sqrt(v / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+                mean += (flat - mean) * (2 / (t + 1))
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([part // 64]), pa.array([done.astype(np.float64).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "p", "n"])
+            yield _weighed(part // _FAN, mean * n, n)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, n = 0, 0
+        sums: dict[int, list] = {}
         for b in batches:
-            done = done + sum(np.frombuffer(x) for x in b.column(1).to_pylist())
-            n += sum(b.column(2).to_pylist())
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([done.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "p", "n"])
+            for g, p, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = sums.setdefault(g, [0.0, 0])
+                s[0], s[1] = s[0] + np.frombuffer(p), s[1] + n
+        for g, (p, n) in sums.items():
+            yield _weighed(g // _FAN, p, n)
 
     kind = "g long, p binary, n long"
-    got = rows.mapInArrow(local, kind).repartition("g").mapInArrow(combine, kind).collect()
+    rows = runs.mapInArrow(local, kind)
+    for _ in range(2):
+        rows = rows.repartition("g").mapInArrow(combine, kind)
+    got = rows.collect()
     total = sum(r["n"] for r in got)
-    return (sum(np.frombuffer(r["p"]) for r in got) / total).astype(np.float32) if total else flat
+    return (sum(np.frombuffer(r["p"]) for r in got) / total).astype(np.float32) if total else m.flat
 
 
-# --- The corpus ----------------------------------------------------------------------------------------------------
+def _weighed(group: int, p: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([p.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "p", "n"])
+
 
+def learn(runs: DataFrame, counts: np.ndarray, path: str) -> Model:
+    """The attention model of stored runs (skip, run) and the counts of their subword ids.
 
-def runs_of(seq: np.ndarray) -> list[bytes]:
-    """A document's tokens, the end among them, as runs."""
-    return [np.append(np.int32(i == 0), seq[max(0, i - STRIDE) : i + RUN]).astype(np.int32).tobytes() for i in range(0, len(seq), RUN)]
+    Three passes over all tokens: pairs of classes are counted; then what follows the frequent pairs and each of the
+    places before; then queries, keys and biases are trained, with each target left out of the values it looks at.
+    """
+    m = Model(path, *classes_of(counts))
+    own = _sums(runs, m, (CLASSES + 1) * CLASSES, _own_cells).reshape(CLASSES + 1, CLASSES)
+    with_pairs(m, own)
+    rows = PAIRS + 1 + (PLACES - 1) * COARSE
+    other = _sums(runs, m, rows * CLASSES, _other_cells).reshape(rows, CLASSES)
+    with_values(m, [own, other[: PAIRS + 1], *np.split(other[PAIRS + 1 :], PLACES - 1)])
+    m.flat = _trained(runs, m)
+    return m
+
+
+# --- The corpus ----------------------------------------------------------------------------------------------------
 
 
 def gather(docs: DataFrame, path: str) -> DataFrame:
-    """Training documents (doc_id, text) -> rows of (word, c) partial counts and rows of run, kept in the shared folder.
+    """Training documents (doc_id, text) -> rows of (word, c) partial counts and rows of (skip, run).
 
-    The end is the empty word. Counts of a task are flushed when they hold _FLUSH words, so memory is bounded.
-    A run is a begun flag and RUN subword ids at most. The runs of a training document stand end to end and hold its
-    whole text and the end. A run that isn't the first repeats the STRIDE tokens before it, which are inputs only. Runs
-    leave in batches of HELD tokens or one document's.
+    The end is the empty word. Counts of a task are flushed when they hold _FLUSH words, so memory is bounded. A
+    document's runs hold its whole text and the end; one that isn't the first repeats the PLACES tokens before it.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
         known: dict[bytes, np.ndarray] = {}
+        local, kind = shipped(path), _kind(shipped(path))
 
-        def rows(counts: Counter, runs: list[bytes]) -> pa.RecordBatch:
+        def rows(counts: Counter, runs: list[tuple[int, bytes]]) -> pa.RecordBatch:
             n, m = len(counts), len(runs)
-            return pa.RecordBatch.from_arrays([pa.array([*counts, *[None] * m], pa.binary()), pa.array([*counts.values(), *[None] * m], pa.int64()), pa.array([*[None] * n, *runs], pa.binary())], ["word", "c", "run"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*counts, *[None] * m], pa.binary()), pa.array([*counts.values(), *[None] * m], pa.int64()), pa.array([*[None] * n, *(s for s, _ in runs)], pa.int32()), pa.array([*[None] * n, *(r for _, r in runs)], pa.binary())],
+                ["word", "c", "skip", "run"],
+            )
 
         for b in batches:
-            packed: list[bytes] = []
+            packed: list[tuple[int, bytes]] = []
             held = 0
             for t in common.texts(b.column(1)):
                 words = t.lower().split()
                 count.update(words)
                 count[b""] += 1
                 new = [w for w in dict.fromkeys(words) if w not in known]
-                for w, ids in zip(new, subwords(new, path), strict=True):
-                    known[w] = np.array(ids, np.int32)
-                seq = np.concatenate([*map(known.__getitem__, words), np.zeros(1, np.int32)])
+                for w, ids in zip(new, subwords(new, local), strict=True):
+                    known[w] = np.array(ids, kind)
+                seq = np.concatenate([*map(known.__getitem__, words), np.full(1, _END, kind)])
                 packed += runs_of(seq)
                 held += len(seq)
                 if len(known) > _CACHE:
@@ -303,7 +438,7 @@ def gather(docs: DataFrame, path: str) -> DataFrame:
                 count.clear()
         yield rows(count, [])
 
-    return docs.mapInArrow(work, "word binary, c long, run binary")
+    return docs.mapInArrow(work, "word binary, c long, skip int, run binary")
 
 
 def _subword_counts(words: DataFrame, path: str) -> np.ndarray:
@@ -311,11 +446,12 @@ def _subword_counts(words: DataFrame, path: str) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        local = shipped(path)
         for b in batches:
             cs = b.column(1).to_pylist()
-            for ids, c, w in zip(subwords(b.column(0).to_pylist(), path), cs, b.column(0).to_pylist(), strict=True):
+            for ids, c, w in zip(subwords(b.column(0).to_pylist(), local), cs, b.column(0).to_pylist(), strict=True):
                 if not w:
-                    total[0] += c
+                    total[_END] += c
                     continue
                 for i in ids:
                     total[i] += c
@@ -331,8 +467,8 @@ def _subword_counts(words: DataFrame, path: str) -> np.ndarray:
 class _Words:
     """A task's words seen so far: base scores of heavy ones (NaN for others) and subword ids, for numpy to gather."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, path: str):
+        self.model, self.path = model, path
         self.clear()
 
     def clear(self) -> None:
@@ -347,7 +483,7 @@ class _Words:
             return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         except KeyError:
             new = list(dict.fromkeys(w for w in words if get(w) is None))
-        subs = subwords(new, self.model.path)
+        subs = subwords(new, self.path)
         for w in new:
             self.ids[w] = len(self.ids)
         counts = np.fromiter(map(len, subs), np.int64, len(subs))
@@ -360,18 +496,26 @@ class _Words:
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
 
-def score_texts(model: Model, subs: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """log10 probability of each sequence of subword ids (its last one is the end)."""
-    p = tables(unpack(model.flat))
-    of = model.of[subs]
-    out = np.zeros(len(lengths))
-    # A few hundred windows at a time stay in the processor's cache.
-    x, y, valid, seq = windows_of(of, starts, lengths, np.ones(len(lengths), bool))
-    for i in range(0, len(x), _CHUNK):
-        got = log_probabilities(p, x[i : i + _CHUNK], y[i : i + _CHUNK])
-        out += np.bincount(seq[i : i + _CHUNK], (got * valid[i : i + _CHUNK]).sum(1), len(lengths))
-    share = np.concatenate([[0.0], np.cumsum(model.share[subs], dtype=float)])
-    return out / _LN10 + share[starts + lengths] - share[starts]
+def score_texts(m: Model, subs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 probability of each sequence of subword ids, which are laid end to end (each one's last is the end)."""
+    starts = np.cumsum(lengths) - lengths
+    position = np.arange(len(subs)) - np.repeat(starts, lengths)
+    each = log_probabilities(m, m.of[subs], position) + m.share[subs]
+    return np.add.reduceat(each, starts) if len(starts) else np.zeros(0)
+
+
+def _sliced(texts: Iterator[bytes]) -> Iterator[list[list[bytes]]]:
+    """Texts' words, some MB of text at a time or one text."""
+    held: list[list[bytes]] = []
+    size = 0
+    for t in texts:
+        held.append(t.lower().split())
+        size += len(t)
+        if size >= _SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def score(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -379,14 +523,17 @@ def score(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
     Training documents are those whose crc32(doc_id as text) mod 7 isn't 2; a null doc_id counts as an empty text of
     it, so it trains. Null texts are empty: one end. Without training documents N is 0 and every token has count 0.
+    Repeated rows count and are scored each; other columns are ignored, and an empty table gives an empty one. A very
+    long text is one document's words in memory; its tokens are stored and learned in runs.
 
     Word counts: each task counts its own, then one shuffle of counts. Frequent words' scores (a proven bound of
     HEAVY words) are broadcast; the rest of a document's words go as (row, word, tf) through one join with the
-    counts. Subword counts come from the word counts. The attention model learns from a run of every training
-    document, in rounds of passes by the tasks, whose parameters are averaged.
+    counts. Subword counts come from the word counts. The attention model learns from every token of every training
+    document, which are stored once as subword ids; see learn(). Its tables have a fixed size.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
+    spark.sparkContext.addFile(path)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
 
@@ -398,51 +545,49 @@ def score(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     base = math.log10(n + v + 1)
     heavy = counts.where(F.col("c") * HEAVY >= n).toArrow() if n else None
     table = dict(zip(heavy.column("word").to_pylist(), (np.log10(heavy.column("c").to_numpy() + 1) - base).tolist(), strict=True)) if n else {}
-    of, share, prior = classes_of(_subword_counts(counts, path))
-    flat = initial(prior)
-    runs = kept.where("run is not null").select("run")
-    for r in range(ROUNDS if n else 0):
-        flat = _averaged(runs, flat, of, RATE / (1 + r), SEED + 1000 * r)
-    shared = spark.sparkContext.broadcast(Model(table, of, share, flat, path))
+    model = learn(kept.where("run is not null").select("skip", "run"), _subword_counts(counts, path), path)
+    model.heavy = table
+    shared = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, row = shared.value, TaskContext.get().partitionId() << 36, 0
-        seen = _Words(model)
+        seen = _Words(model, shipped(path))
+        ends = model.heavy.get(b"", math.nan)
         for b in batches:
-            docs_words = [t.lower().split() for t in common.texts(b.column(1))]
-            sizes = np.fromiter(map(len, docs_words), np.int64, len(docs_words))
-            w = seen.look_up([w for ws in docs_words for w in ws])
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            known = ~np.isnan(seen.base[w])
-            ends = model.heavy.get(b"", math.nan)
-            partial = np.bincount(doc[known], seen.base[w[known]], len(sizes)) + (0.0 if math.isnan(ends) else ends)
-            n_known = np.bincount(doc[known], minlength=len(sizes)) + (not math.isnan(ends))
-            # Each document's subword ids, then the end.
-            c = seen.count[w]
-            first_of = np.repeat(seen.start[w] - (np.cumsum(c) - c), c)
-            subs = seen.subs[first_of + np.arange(c.sum())]
-            per = np.bincount(doc, c, len(sizes)).astype(np.int64)
-            subs = np.insert(subs, np.cumsum(per), 0)
-            starts = np.cumsum(per + 1) - (per + 1)
-            scores = score_texts(model, subs, starts, per + 1)
-            rows = part + row + np.arange(len(sizes))
-            row += len(sizes)
-            # What isn't heavy: one row for each word of a document.
-            pairs, tf = np.unique(doc[~known] * (len(seen.names) + 1) + w[~known], return_counts=True)
-            rest = [seen.names[i] for i in (pairs % (len(seen.names) + 1)).tolist()]
-            tail_rows = rows[pairs // (len(seen.names) + 1)]
-            if math.isnan(ends):
-                rest, tf, tail_rows = rest + [b""] * len(rows), np.concatenate([tf, np.ones(len(rows), np.int64)]), np.concatenate([tail_rows, rows])
-            a, z = len(rows), len(rest)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([rows, tail_rows])), pa.concat_arrays([b.column(0), pa.nulls(z, pa.int64())]), pa.concat_arrays([b.column(2), pa.nulls(z, pa.bool_())]),
-                    pa.concat_arrays([pa.array(sizes + 1), pa.array(tf.astype(np.int64))]), pa.concat_arrays([pa.array(n_known.astype(np.int64)), pa.nulls(z, pa.int64())]),
-                    pa.concat_arrays([pa.array(partial), pa.nulls(z, pa.float64())]), pa.concat_arrays([pa.array(scores), pa.nulls(z, pa.float64())]), pa.array([None] * a + rest, pa.binary()),
-                ], ["row", "doc_id", "held_out", "n", "n_known", "base", "score", "word"],
-            )
-            if len(seen.names) > _CACHE:
-                seen.clear()
+            at = 0
+            for docs_words in _sliced(common.texts(b.column(1))):
+                ids, held = b.column(0).slice(at, len(docs_words)), b.column(2).slice(at, len(docs_words))
+                at += len(docs_words)
+                sizes = np.fromiter(map(len, docs_words), np.int64, len(docs_words))
+                w = seen.look_up([w for ws in docs_words for w in ws])
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                known = ~np.isnan(seen.base[w])
+                partial = np.bincount(doc[known], seen.base[w[known]], len(sizes)) + (0.0 if math.isnan(ends) else ends)
+                n_known = np.bincount(doc[known], minlength=len(sizes)) + (not math.isnan(ends))
+                # Each document's subword ids, then the end.
+                c = seen.count[w]
+                first_of = np.repeat(seen.start[w] - (np.cumsum(c) - c), c)
+                subs = seen.subs[first_of + np.arange(c.sum())]
+                per = np.bincount(doc, c, len(sizes)).astype(np.int64)
+                scores = score_texts(model, np.insert(subs, np.cumsum(per), _END), per + 1)
+                rows = part + row + np.arange(len(sizes))
+                row += len(sizes)
+                # What isn't heavy: one row for each word of a document.
+                pairs, tf = np.unique(doc[~known] * (len(seen.names) + 1) + w[~known], return_counts=True)
+                rest = [seen.names[i] for i in (pairs % (len(seen.names) + 1)).tolist()]
+                tail_rows = rows[pairs // (len(seen.names) + 1)]
+                if math.isnan(ends):
+                    rest, tf, tail_rows = rest + [b""] * len(rows), np.concatenate([tf, np.ones(len(rows), np.int64)]), np.concatenate([tail_rows, rows])
+                a, z = len(rows), len(rest)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([rows, tail_rows])), pa.concat_arrays([ids, pa.nulls(z, pa.int64())]), pa.concat_arrays([held, pa.nulls(z, pa.bool_())]),
+                        pa.concat_arrays([pa.array(sizes + 1), pa.array(tf.astype(np.int64))]), pa.concat_arrays([pa.array(n_known.astype(np.int64)), pa.nulls(z, pa.int64())]),
+                        pa.concat_arrays([pa.array(partial), pa.nulls(z, pa.float64())]), pa.concat_arrays([pa.array(scores), pa.nulls(z, pa.float64())]), pa.array([None] * a + rest, pa.binary()),
+                    ], ["row", "doc_id", "held_out", "n", "n_known", "base", "score", "word"],
+                )
+                if len(seen.names) > _CACHE:
+                    seen.clear()
 
     second = common.scratch(spark, "lm-scores")
     source.mapInArrow(work, "row long, doc_id long, held_out boolean, n long, n_known long, base double, score double, word binary").write.parquet(second)

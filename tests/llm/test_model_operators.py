@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,67 +188,126 @@ def test_quota_tree_is_exact_and_hypergeometric(spark):
         assert abs(got[k] / 2000 - p) <= 0.002
 
 
-def test_windows_score_every_token_once():
+def small_model(rng, lengths):
+    """A model counted from random texts of a few classes, as learn() does it, without Spark."""
+    classes = np.minimum(rng.geometric(0.05, lengths.sum()), lm.CLASSES - 1).astype(np.int64)
+    position = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    m = lm.Model("", *lm.classes_of(np.bincount(classes, minlength=lm.CLASSES + 300).astype(float)))
+    m.of = np.arange(lm.CLASSES + 300)  # classes name themselves here
+    m.prior = np.full(lm.CLASSES, 1 / lm.CLASSES, np.float32)
+    x = lm.windows(classes, position, 0, len(classes))
+    lm.with_pairs(m, np.bincount(lm._own_cells(m, x, classes, position)[0], minlength=(lm.CLASSES + 1) * lm.CLASSES).reshape(-1, lm.CLASSES))
+    rows = lm.PAIRS + 1 + (lm.PLACES - 1) * lm.COARSE
+    other = np.bincount(np.concatenate(lm._other_cells(m, x, classes, position)), minlength=rows * lm.CLASSES).reshape(-1, lm.CLASSES)
+    own = np.bincount(x[0] * lm.CLASSES + classes, minlength=(lm.CLASSES + 1) * lm.CLASSES).reshape(-1, lm.CLASSES)
+    lm.with_values(m, [own, other[: lm.PAIRS + 1], *np.split(other[lm.PAIRS + 1 :], lm.PLACES - 1)])
+    return m, classes, position
+
+
+def test_windows_hold_the_tokens_before_each_target():
     rng = np.random.default_rng(7)
     lengths = np.array([1, 8, 9, 40, 3])
     classes = rng.integers(0, lm.CLASSES, lengths.sum())
     starts = np.cumsum(lengths) - lengths
-    x, y, valid, seq = lm.windows_of(classes, starts, lengths, np.ones(5, bool))
-    for s in range(5):
-        mine = seq == s
-        assert y[mine][valid[mine]].tolist() == classes[starts[s] : starts[s] + lengths[s]].tolist()
-    # The last inputs before a target are the tokens before it.
-    seen = [lm._BEGIN, *classes[starts[3] : starts[3] + 40].tolist()]
-    w = x[seq == 3]
-    for k in range(len(w)):
-        for j in range(lm.STRIDE):
-            t = k * lm.STRIDE + j
-            if t < 40:
-                got = w[k][: lm.CONTEXT - lm.STRIDE + j + 1].tolist()
-                assert [c for c in got if c != lm._PAD] == seen[: t + 1][-len([c for c in got if c != lm._PAD]) :]
+    position = np.arange(len(classes)) - np.repeat(starts, lengths)
+    x = np.hstack([lm.windows(classes, position, lo, min(lo + 7, len(classes))) for lo in range(0, len(classes), 7)])
+    for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+        for k in range(n):
+            before = [lm._BEGIN] * lm.PLACES + classes[s : s + k].tolist()
+            assert x[:, s + k].tolist() == before[::-1][: lm.PLACES]
 
 
 def test_attention_is_causal_normalized_and_its_gradient_right():
     rng = np.random.default_rng(8)
-    flat = lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES)).astype(np.float64)
-    x, y = rng.integers(0, lm.CLASSES, (3, lm.CONTEXT)), rng.integers(0, lm.CLASSES, (3, lm.STRIDE))
-    p = lm.tables(lm.unpack(flat))
-    every = np.exp([lm.log_probabilities(p, x, np.full_like(y, c)) for c in range(lm.CLASSES)]).sum(0)
-    assert np.allclose(every, 1, atol=1e-5)
-    x2 = x.copy()
-    x2[:, -1] = (x2[:, -1] + 1) % lm.CLASSES
-    a, b = lm.log_probabilities(p, x, y), lm.log_probabilities(p, x2, y)
-    assert np.allclose(a[:, :-1], b[:, :-1]) and not np.allclose(a[:, -1], b[:, -1])
-    valid = rng.random(y.shape) < 0.8
-    g = lm.gradient(flat, x, y, valid)
-    loss = lambda f: -(lm.log_probabilities(lm.tables(lm.unpack(f)), x, y) * valid).sum() / valid.sum()
-    for i in rng.choice(len(flat), 25):
-        d = np.zeros_like(flat)
-        d[i] = 1e-4
-        assert math.isclose((loss(flat + d) - loss(flat - d)) / 2e-4, g[i], rel_tol=2e-2, abs_tol=2e-4)
+    m, classes, position = small_model(rng, np.array([60, 1, 9, 130]))
+    n = 40
+    m.flat = (m.flat + rng.normal(0, 0.3, len(m.flat))).astype(np.float32)
+    x, scores = lm.windows(classes, position, 0, n), lm.tables(lm.unpack(m.flat))
+    every = sum((lambda s, v: (s * v).sum(0))(*lm.attend(m, scores, x, position[:n], np.full(n, c))[:2]) for c in range(lm.CLASSES))
+    assert np.allclose(every, 1, atol=1e-4)
+    # What comes later changes nothing; what came before does.
+    other = classes.copy()
+    other[20] = (other[20] + 1) % 50
+    a, b = lm.log_probabilities(m, classes, position), lm.log_probabilities(m, other, position)
+    assert np.array_equal(a[:20], b[:20]) and not np.allclose(a[21:30], b[21:30]) and np.array_equal(a[60:], b[60:])
+    valid = rng.random(n) < 0.8
+
+    def loss(flat):
+        s, v, *_ = lm.attend(m, lm.tables(lm.unpack(flat)), x, position[:n], classes[:n], True)
+        return -(np.log((s * v).sum(0)) * valid).sum() / valid.sum()
+
+    g = lm.gradient(m, m.flat, x, position[:n], classes[:n], valid)
+    for i in np.concatenate([rng.choice(np.flatnonzero(g), 30), np.arange(len(g) - lm.SLOTS, len(g))]):
+        d = np.zeros_like(m.flat)
+        d[i] = 0.02
+        assert math.isclose((loss(m.flat + d) - loss(m.flat - d)) / 0.04, g[i], rel_tol=2e-2, abs_tol=3e-5)
+
+
+def test_values_leave_the_target_out():
+    rng = np.random.default_rng(9)
+    m, classes, position = small_model(rng, np.array([300]))
+    x = lm.windows(classes, position, 0, len(classes))
+    _, v, *_ = lm.attend(m, lm.tables(lm.unpack(m.flat)), x, position, classes, True)
+    for k in (5, 77, 299):
+        same = [j for j in range(300) if j != k and x[0, j] == x[0, k]]
+        want = (sum(classes[j] == classes[k] for j in same) + lm.SMOOTH / lm.CLASSES) / (len(same) + lm.SMOOTH)
+        assert math.isclose(v[1, k], want, rel_tol=1e-3)
 
 
 def test_training_takes_every_token_of_whole_texts_once(spark):
     rng = random.Random(14)
-    texts = {i: prose(rng, n) for i, n in enumerate((1, 12, 13, 700, 1100, 20_000))} | {10: "", 11: None}
-    got = lm.gather(docs(spark, list(texts.items())).select("doc_id", "text"), lm.TOKENIZER).collect()
-    runs = [bytes(r["run"]) for r in got if r["run"] is not None]
+    texts = {i: prose(rng, n) for i, n in enumerate((1, 12, 13, 700, 1100, 90_000))} | {10: "", 11: None}
+    spark.sparkContext.addFile(lm.TOKENIZER)
+    got = lm.gather(docs(spark, list(texts.items())).select("doc_id", "text"), lm.TOKENIZER)
+    rows = got.collect()
     of = np.arange(lm.tokenizer(lm.TOKENIZER)[1] + 2)
-    x, y, valid = lm.training_windows(of, runs)
+    kind = lm._kind(lm.TOKENIZER)
     want = collections.Counter()
     for t in texts.values():
         want.update([i for ids in lm.subwords((t or "").encode().lower().split(), lm.TOKENIZER) for i in ids] + [0])
-    assert collections.Counter(y[valid].tolist()) == want
+    seen = collections.Counter()
+    batches = got.where("run is not null").select("skip", "run").toArrow().to_batches()
+    for classes, _, valid in lm.laid(iter(batches), of, kind):
+        seen.update(classes[valid].tolist())
+    assert seen == want
     counts = collections.Counter()
-    for r in got:
+    for r in rows:
         if r["word"] is not None:
             counts[bytes(r["word"])] += r["c"]
     assert counts == collections.Counter(w for t in texts.values() for w in (t or "").encode().lower().split() + [b""])
-    # Later runs see the tokens before them; only the oldest input of a run's first window is a pad.
-    seq = np.arange(1, 3001, dtype=np.int32)
-    x, y, valid = lm.training_windows(np.arange(5000) + 1000, lm.runs_of(seq))
-    assert y[valid].tolist() == (seq + 1000).tolist()
-    assert all(a == y[k][0] - 1 for k, a in enumerate(x[:, lm.CONTEXT - lm.STRIDE]) if k)
+    # A later run's targets see the same windows as in one piece.
+    seq = (np.arange(2 * lm.RUN + 100) % 900 + 1).astype(kind)
+    runs = lm.runs_of(seq)
+    batch = pa.RecordBatch.from_arrays([pa.array([s for s, _ in runs]), pa.array([r for _, r in runs], pa.binary())], ["skip", "run"])
+    parts = [lm.windows(c, p, 0, len(c))[:, v] for c, p, v in lm.laid(iter([batch]), of, kind)]
+    assert np.array_equal(np.hstack(parts), lm.windows(seq.astype(np.int64), np.arange(len(seq)), 0, len(seq)))
+
+
+def test_counts_and_training_are_those_of_all_runs(spark):
+    rng = random.Random(15)
+    texts = [(i, prose(rng, rng.randrange(1, 60))) for i in range(80)]
+    spark.sparkContext.addFile(lm.TOKENIZER)
+    runs = lm.gather(docs(spark, texts).select("doc_id", "text").repartition(5), lm.TOKENIZER).where("run is not null").select("skip", "run")
+    counts = np.zeros(lm.tokenizer(lm.TOKENIZER)[1] + 2)
+    seqs = [[i for ids in lm.subwords(t.encode().lower().split(), lm.TOKENIZER) for i in ids] + [0] for _, t in texts]
+    for s in seqs:
+        np.add.at(counts, s, 1)
+    m = lm.learn(runs, counts, lm.TOKENIZER)
+    after = collections.Counter((a, b) for s in seqs for a, b in zip([lm._BEGIN, *m.of[s[:-1]].tolist()], m.of[s].tolist(), strict=True))
+    n = collections.Counter(a for a, _ in after.elements())
+    for (a, b), c in after.items():
+        assert math.isclose(m.values[0][a, b], (c + lm.SMOOTH * m.prior[b]) / (n[a] + lm.SMOOTH), rel_tol=1e-4)
+    assert not np.array_equal(m.flat, lm.initial())
+
+
+def test_held_out_texts_score_better_than_by_words(spark):
+    """Prose of words that share parts, as real ones do, seldom whole: subwords and their order tell more than words."""
+    rng = random.Random(16)
+    part = ["river", "stone", "bright", "walk", "field", "north", "under", "glass", "paper", "storm"]
+    words = [a + b + c for a in part for b in part for c in part]
+    text = lambda: " ".join(rng.choice(["the", "of", "and", "a"]) + " " + rng.choice(words) for _ in range(60))
+    got = [r for r in lm.score(docs(spark, [(i, text()) for i in range(150)])).collect() if r["held_out"]]
+    assert len(got) > 10 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
 def test_language_model_scores(spark):
