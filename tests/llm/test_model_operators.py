@@ -139,10 +139,12 @@ def test_mixing(spark):
     rows = [(i, " ".join(["w"] * rng.randrange(0, 60))) for i in range(900)] + [(1000, None), (1001, " \n"), (1002, "w " * 20_000), (None, "a b c"), (7, "x y z"), (7, "x y z")]
     source = lambda i: None if i is None else "ä" if i == 1002 else "tiny" if i in (1, 2) else f"s{min(i % 9, 4)}"
     d = docs(spark, rows, source)
-    run = lambda: [r.asDict() for r in mixing.mixed_words(mixing.mix(d, block_words=64)).collect()]
-    got, again = run(), run()
+    run = lambda **how: [r.asDict() for r in mixing.mixed_words(mixing.mix(d, shards=8, block_words=64, **how)).collect()]
+    got, again, other = run(), run(), run(seed=1)
     key = lambda r: (str(r["doc_id"]), r["size"], r["taken"])
     assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
+    # Another seed draws other blocks.
+    assert sum(a != b for a, b in zip(sorted(map(key, got)), sorted(map(key, other)), strict=True)) > 100
     size = collections.Counter()
     for i, t in rows:
         size[source(i)] += len((t or "").split())
@@ -165,20 +167,68 @@ def test_mixing(spark):
         s = by[r["doc_id"]]
         taken[s] += r["taken"]
         assert r["taken"] <= 3 * r["size"] and r["source_size"] == size[s] and math.isclose(r["target"], target[s], rel_tol=1e-9)
-    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
-    pieces = mixing.mix(d, block_words=64).select("source", F.explode("pieces").alias("p")).select("source", "p.*").collect()
-    shards = collections.defaultdict(set)
-    for p in pieces:
-        shards[p["source"], p["place"]].add(p["shard"])
-    assert all(len(s) == 1 for s in shards.values())  # blocks are disjoint between shards
-    assert mixing.mix(d.where("false")).collect() == []
+        # No word of a row is taken twice in a repeat, and none beyond its end.
+        for k in range(3):
+            spans = sorted((p["start_word"], p["words"]) for p in r["parts"] if p["repeat"] == k)
+            assert all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and all(a + n <= r["size"] for a, n in spans)
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in names)
+    assert all(len(c.collect()) == 0 for c in mixing.mix(d.where("false")))
+
+
+def test_drawn_blocks_are_those_of_the_permutation_and_the_quotas(spark):
+    sized = spark.createDataFrame([(0, "a", 64 * 40 - 9), (1, "b", 64 * 13), (2, "c", 5), (3, "d", 0)], "doc_id long, source string, size long")
+    by = mixing.blocks_of(mixing.targets(sized), 64, 3)
+    info = {r["i"]: r for r in by.collect()}
+    drawn = mixing.drawn_blocks(by, 8, 64, 3).collect()
+    quota = {(r["i"], r["shard"]): r["blocks"] for r in mixing.quotas(by, 8, 3).collect()}
+    assert collections.Counter((r["i"], r["shard"]) for r in drawn) == +collections.Counter(quota)
+    for i, s in info.items():
+        mine = [r for r in drawn if r["i"] == i]
+        assert len({(r["repeat"], r["block"]) for r in mine}) == len(mine) == s["blocks"]  # disjoint
+        for k in range(s["whole"]):
+            assert sorted(r["block"] for r in mine if r["repeat"] == k) == list(range(s["n_blocks"]))
+        words = sum(min(r["block_words"], min(64, s["source_size"] - 64 * r["block"])) for r in mine)
+        assert words == round(s["target"])
+    assert info[2]["target"] == 15.0 and info[3]["blocks"] == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 12, 22, 63, 100, 1001])
+def test_permutations_are_whole_seeded_and_can_be_undone(spark, n):
+    many = lambda seed: spark.range(n).select("id", mixing._permuted(F.col("id"), F.lit(n).cast("long"), mixing._key(seed, F.lit(3), F.lit(0))).alias("y"))
+    back = many(7).select("id", "y", mixing._permuted(F.col("y"), F.lit(n).cast("long"), mixing._key(7, F.lit(3), F.lit(0)), back=True).alias("z")).collect()
+    assert sorted(r["y"] for r in back) == list(range(n)) and all(r["z"] == r["id"] for r in back)
+    if n > 20:
+        assert [r["y"] for r in back] != [r["y"] for r in many(8).collect()] and [r["y"] for r in back] != sorted(r["y"] for r in back)
+
+
+def test_shards_hold_the_texts_that_the_mix_takes(spark):
+    rng = random.Random(12)
+    d = docs(spark, [(i, "  " + " ".join(f"w{i}.{k}" for k in range(rng.randrange(1, 200))) + "\n") for i in range(60)] + [(3, "twice told"), (3, "twice told"), (None, None)])
+    d = d.withColumn("size", F.lit("of another kind"))
+    mixed = mixing.mixed_documents(d, shards=4, block_words=32)
+    assert mixed.columns == [*(c for c in d.columns if c != "size"), "size", "source_size", "target", "taken", "parts"]
+    mixed = common.cut(mixed)
+    assert mixed.count() == 63
+    parts = mixing.shard_texts(mixed).collect()
+    places = collections.defaultdict(list)
+    taken = collections.Counter()
+    for r in parts:
+        places[r["shard"]].append(r["place"])
+        taken[r["doc_id"]] += len(r["text"].split())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    want = collections.Counter()
+    for r in mixed.collect():
+        want[r["doc_id"]] += r["taken"]
+    assert taken == +want
+    # Shuffled: a shard's documents aren't in the order of their ids.
+    assert any(a["doc_id"] > b["doc_id"] for a, b in zip(parts, parts[1:], strict=False) if a["shard"] == b["shard"] and None not in (a["doc_id"], b["doc_id"]))
 
 
 def test_quota_tree_is_exact_and_hypergeometric(spark):
-    by = spark.createDataFrame([(0, 6400.0, 10_000), (1, 3200.0, 10_000), (2, 0.0, 0)], "i int, target double, source_size long")
-    q = mixing.quotas(by, 8, 64).groupBy("i").agg(F.sum("blocks").alias("n")).collect()
+    by = spark.createDataFrame([(0, 100), (1, 50), (2, 0)], "i int, blocks long")
+    q = mixing.quotas(by, 8).groupBy("i").agg(F.sum("blocks").alias("n")).collect()
     assert {r["i"]: r["n"] for r in q} == {0: 100, 1: 50, 2: 0}
-    per = [r["n"] for r in mixing.quotas(by, 8, 64).groupBy("shard").agg(F.sum("blocks").alias("n")).collect()]
+    per = [r["n"] for r in mixing.quotas(by, 8).groupBy("shard").agg(F.sum("blocks").alias("n")).collect()]
     assert sum(per) == 150 and max(per) - min(per) <= 1
     us = spark.range(2000).select(((F.col("id") + 0.5) / 2000).alias("u"))
     pop, good, draws = (F.lit(v).cast("long") for v in (30, 12, 10))
