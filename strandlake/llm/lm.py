@@ -23,15 +23,15 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 HEAVY = 1_000_000
 #: Places of a window, output classes, pairs of classes with values of their own, classes and bands of pairs by which
 #: places are matched, width of queries and keys. Values are tables of CLASSES + PAIRS + PLACES * COARSE rows.
-PLACES, CLASSES, PAIRS, COARSE, BANDS, WIDTH = 8, 1024, 8192, 256, 16, 16
+PLACES, CLASSES, PAIRS, COARSE, BANDS, WIDTH = 6, 1024, 4096, 256, 16, 16
 #: What a window attends to: the sink, the own place by its class, the own place by its pair, the places before.
 SLOTS = PLACES + 2
 #: A row's values begin with a more general distribution, as if so many tokens had been seen.
 SMOOTH = 4.0
 #: A document's tokens are stored in runs of so many; so many are held at a time, and so many are a step of training.
-RUN, HELD, STEP, RATE, SEED = 65_536, 262_144, 4096, 0.05, 5
-_BEGIN, _END = CLASSES, 0
-_FLUSH, _CACHE, _SLICE = 300_000, 200_000, 2 << 20
+RUN, HELD, STEP, RATE, SEED = 65_536, 262_144, 8192, 0.05, 5
+_BEGIN, _PAD, _END = CLASSES, CLASSES + 1, 0
+_CACHE, _SLICE = 200_000, 2 << 20
 #: Cells of a block of counts; tasks whose parameters are averaged at once.
 _BLOCK, _FAN = 1 << 16, 512
 _HIDDEN = np.float32(-1e9)
@@ -87,9 +87,8 @@ def initial(seed: int = SEED) -> np.ndarray:
     return np.concatenate([p.ravel() for p in parts.values()]).astype(np.float32)
 
 
-def coarse(classes: np.ndarray) -> np.ndarray:
-    """Classes go by falling frequency; the begin mark keeps one of its own."""
-    return np.where(classes == _BEGIN, COARSE - 1, np.minimum(classes, COARSE - 2))
+#: Classes, the begin mark and the pad -> classes by which places are matched. Classes go by falling frequency.
+_COARSE_OF = np.append(np.minimum(np.arange(CLASSES), COARSE - 2), [COARSE - 1, COARSE])
 
 
 @dataclass
@@ -104,97 +103,112 @@ class Model:
     of: np.ndarray
     share: np.ndarray
     prior: np.ndarray
-    row: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES + 1) * CLASSES, np.int16))
-    band: np.ndarray = field(default_factory=lambda: np.zeros(PAIRS + 1, np.int64))
+    row: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES + 2, CLASSES + 2), np.int16))
+    band: np.ndarray = field(default_factory=lambda: np.full(PAIRS + 1, BANDS))
     values: list[np.ndarray] = field(default_factory=list)
     sizes: list[np.ndarray] = field(default_factory=list)
     flat: np.ndarray = field(default_factory=initial)
     heavy: dict[bytes, float] = field(default_factory=dict)
 
-    def rows(self, x: np.ndarray) -> list[np.ndarray]:
-        """Of each slot after the sink, the row that the window's place picks."""
-        before, own = x[1], np.minimum(x[0], CLASSES - 1)
-        pair = self.row.take(np.minimum(before, CLASSES) * CLASSES + own).astype(np.int64)
-        pair[(before == _BEGIN) | (x[0] == _BEGIN)] = 0
-        return [x[0], pair, *coarse(x[1:])]
 
+class Texts:
+    """Texts' classes end to end, before each PLACES - 1 pads and the begin mark, as indices into a model's tables.
 
-def windows(classes: np.ndarray, position: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Texts' classes end to end -> (PLACES, hi - lo): the classes of the PLACES tokens before each of the targets lo to
-    hi, the last one first. Each token is a target once; its window overlaps the next one's in all places but one.
-
-    position: each token's place in its text. The begin mark stands before the first; what is before that is masked.
+    valid: which tokens are targets. A target's window is the PLACES tokens before it, so each target has its own, which
+    overlaps the next one's in all places but one; pads are masked.
     """
-    x = np.full((PLACES, hi - lo), _BEGIN, np.int64)
-    for d in range(PLACES):
-        a = max(lo, d + 1)
-        if a < hi:
-            x[d, a - lo :] = np.where(position[a:hi] > d, classes[a - 1 - d : hi - 1 - d], _BEGIN)
-    return x
+
+    def __init__(self, m: Model, classes: np.ndarray, lengths: np.ndarray, skips: np.ndarray | int = 0):
+        at = np.arange(len(classes)) + np.repeat(PLACES * np.arange(1, len(lengths) + 1), lengths)
+        begins = np.cumsum(lengths + PLACES) - lengths
+        self.c = np.full(len(classes) + PLACES * len(lengths), _PAD)
+        self.c[begins - 1] = _BEGIN
+        self.c[at] = classes
+        self.valid = np.zeros(len(self.c), bool)
+        self.valid[at] = np.arange(len(classes)) >= np.repeat(np.cumsum(lengths) - lengths + skips, lengths)
+        self.y = np.minimum(self.c, CLASSES - 1)
+        self.own = np.minimum(self.c, _BEGIN)
+        self.z = _COARSE_OF.take(self.c)
+        self.far = np.minimum(self.z, COARSE - 1)
+        self.pair = np.zeros(len(self.c), np.int64)
+        self.pair[1:] = m.row.ravel().take(self.c[:-1] * (CLASSES + 2) + self.c[1:])
+        self.band = m.band.take(self.pair)
+
+    def steps(self, size: int) -> Iterator[tuple[int, int]]:
+        for lo in range(PLACES, len(self.c), size):
+            yield lo, min(len(self.c), lo + size)
+
+    def rows(self, lo: int, hi: int) -> list[np.ndarray]:
+        """Of each slot after the sink, the row of its values that the targets lo to hi look at."""
+        return [self.own[lo - 1 : hi - 1], self.pair[lo - 1 : hi - 1], *(self.far[lo - 1 - d : hi - 1 - d] for d in range(1, PLACES))]
 
 
 def tables(p: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """Attention scores of each slot, by class of the query and key; one row of them where a slot has one key only."""
+    """Attention scores of each slot, by the class of the query and the key (the own place's is the query's); hidden
+    where the key is a pad or there is no pair."""
     scale = np.float32(1 / math.sqrt(WIDTH))
     by = p["bias"] + p["place"]
-    own, pair, far = ((p["q"] @ p[k].T) * scale for k in ("own", "pair", "far"))
-    return [by[:, 0].copy(), own + by[:, 1:2], pair + by[:, 2:3], *(far + by[:, j : j + 1] for j in range(3, SLOTS))]
+    hidden = np.full((COARSE, 1), _HIDDEN, np.float32)
+    pair, far = ((p["q"] @ p[k].T) * scale for k in ("pair", "far"))
+    return [by[:, 0].copy(), (p["q"] * p["own"]).sum(1) * scale + by[:, 1], np.hstack([pair + by[:, 2:3], hidden]), *(np.hstack([far + by[:, j : j + 1], hidden]) for j in range(3, SLOTS))]
 
 
-def attend(m: Model, scores: list[np.ndarray], x: np.ndarray, position: np.ndarray, y: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, ...]:
-    """Weights (SLOTS, n) of a masked softmax, the slots' probabilities of the targets, query classes and keys.
+def attend(m: Model, scores: list[np.ndarray], t: Texts, lo: int, hi: int, leave_out: bool = False) -> tuple[np.ndarray, ...]:
+    """For the targets lo to hi: weights (SLOTS, n) of a masked softmax, the slots' probabilities of the targets, and
+    places in the scores of the slots that have a table of them.
 
     The model's probability of a target is the weighted sum of its slots' probabilities. leave_out: values are those
     of all other tokens, as training must see them.
     """
-    rows = m.rows(x)
-    q = coarse(x[0])
-    keys = [q, m.band.take(rows[1]), *rows[2:]]
-    s, v = np.empty((SLOTS, len(y)), np.float32), np.empty((SLOTS, len(y)), np.float32)
+    y, q, rows = t.y[lo:hi], t.far[lo - 1 : hi - 1], t.rows(lo, hi)
+    wide = q * (COARSE + 1)
+    at = [q * (BANDS + 1) + t.band[lo - 1 : hi - 1], *(wide + t.z[lo - 1 - d : hi - 1 - d] for d in range(1, PLACES))]
+    s, v = np.empty((SLOTS, hi - lo), np.float32), np.empty((SLOTS, hi - lo), np.float32)
     s[0], v[0] = scores[0].take(q), m.prior.take(y)
     for j in range(1, SLOTS):
-        s[j] = scores[j].ravel().take(q * scores[j].shape[1] + keys[j - 1])
-        got = m.values[j - 1].ravel().take(rows[j - 1] * CLASSES + y)
+        s[j] = scores[j].take(at[j - 2] if j > 1 else q)
+        v[j] = m.values[j - 1].take(rows[j - 1] * CLASSES + y)
         if leave_out:
             n = m.sizes[j - 1].take(rows[j - 1])
-            got = np.maximum((got * n - 1) / (n - 1), np.float32(1e-9))
-        v[j] = got
-    s[2][rows[1] == 0] = _HIDDEN
-    if len(position) and position.min() < PLACES:
-        for d in range(1, PLACES):
-            s[2 + d][position < d] = _HIDDEN
+            v[j] *= n
+            v[j] -= 1
+            v[j] /= n - 1
+    if leave_out:
+        np.maximum(v, np.float32(1e-9), out=v)
     s -= s.max(0)
     np.exp(s, out=s)
     s /= s.sum(0)
-    return s, v, q, keys
+    return s, v, q, at
 
 
-def gradient(m: Model, flat: np.ndarray, x: np.ndarray, position: np.ndarray, y: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Of the mean negative log probability over valid targets, each left out of its values."""
-    p = unpack(flat)
-    s, v, q, keys = attend(m, tables(p), x, position, y, True)
-    g = s * (1 - v / (s * v).sum(0)) * (valid / max(1, valid.sum())).astype(np.float32)
+def gradient(m: Model, flat: np.ndarray, t: Texts, lo: int, hi: int) -> np.ndarray:
+    """Of the mean negative log probability over the valid targets from lo to hi, each left out of its values."""
+    p, valid = unpack(flat), t.valid[lo:hi]
+    s, v, q, at = attend(m, tables(p), t, lo, hi, True)
+    g = s * (1 - v / (s * v).sum(0))
+    g *= (valid / max(1, valid.sum())).astype(np.float32)
     scale = np.float32(1 / math.sqrt(WIDTH))
 
-    def met(slots: list[int], n: int) -> np.ndarray:
-        return sum(np.bincount(q * n + keys[j - 1], g[j], COARSE * n) for j in slots).reshape(COARSE, n).astype(np.float32) * scale
+    def met(where: list[np.ndarray], by: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(np.concatenate(where), by.ravel(), COARSE * (n + 1)).reshape(COARSE, n + 1)[:, :n].astype(np.float32) * scale
 
-    own, pair, far = met([1], COARSE), met([2], BANDS), met(list(range(3, SLOTS)), COARSE)
+    bias = np.bincount((q + COARSE * np.arange(SLOTS)[:, None]).ravel(), g.ravel(), COARSE * SLOTS).reshape(SLOTS, COARSE).T.astype(np.float32)
+    own, pair, far = bias[:, 1:2] * scale, met(at[:1], g[2], BANDS), met(at[1:], g[3:], COARSE)
     parts = {
-        "q": own @ p["own"] + pair @ p["pair"] + far @ p["far"], "own": own.T @ p["q"], "pair": pair.T @ p["q"], "far": far.T @ p["q"],
-        "bias": np.stack([np.bincount(q, g[j], COARSE) for j in range(SLOTS)], 1), "place": g.sum(1),
+        "q": own * p["own"] + pair @ p["pair"] + far @ p["far"], "own": own * p["q"], "pair": pair.T @ p["q"], "far": far.T @ p["q"],
+        "bias": bias, "place": bias.sum(0),
     }
-    return np.concatenate([parts[k].ravel() for k in shapes()]).astype(np.float32)
+    return np.concatenate([parts[k].ravel() for k in shapes()])
 
 
-def log_probabilities(m: Model, classes: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """log10 of P(class | tokens before it in its text), for all tokens of texts laid end to end."""
-    scores, out = tables(unpack(m.flat)), np.empty(len(classes))
-    for lo in range(0, len(classes), STEP):
-        hi = min(len(classes), lo + STEP)
-        s, v, *_ = attend(m, scores, windows(classes, position, lo, hi), position[lo:hi], classes[lo:hi])
-        out[lo:hi] = np.log10((s * v).sum(0))
-    return out
+def log_probabilities(m: Model, t: Texts) -> np.ndarray:
+    """log10 of P(class | tokens before it in its text) of all targets."""
+    scores, out = tables(unpack(m.flat)), np.empty(len(t.c))
+    for lo, hi in t.steps(STEP):
+        s, v, *_ = attend(m, scores, t, lo, hi)
+        s *= v
+        out[lo:hi] = np.log10(s.sum(0))
+    return out[t.valid]
 
 
 def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,7 +227,7 @@ def with_pairs(m: Model, own: np.ndarray) -> Model:
     n = own[:CLASSES].ravel()
     top = np.argsort(-n, kind="stable")[:PAIRS]
     top = top[n[top] > 1]
-    m.row[top] = np.arange(1, len(top) + 1)
+    m.row[top // CLASSES, top % CLASSES] = np.arange(1, len(top) + 1)
     m.band[1 : len(top) + 1] = np.minimum(np.log2(n[top]) / 2, BANDS - 1)
     return m
 
@@ -224,9 +238,9 @@ def with_values(m: Model, counts: list[np.ndarray]) -> Model:
         n = (c.sum(1) + SMOOTH).astype(np.float32)
         v = c.astype(np.float32)
         if k == 1:
-            pairs = np.flatnonzero(m.row)
+            pairs = np.nonzero(m.row)
             own = np.zeros(len(v), np.int64)
-            own[m.row[pairs]] = pairs % CLASSES
+            own[m.row[pairs]] = pairs[1]
             for i in range(0, len(v), 1024):
                 v[i : i + 1024] += np.float32(SMOOTH) * m.values[0][own[i : i + 1024]]
         else:
@@ -244,20 +258,18 @@ def runs_of(seq: np.ndarray) -> list[tuple[int, bytes]]:
     return [(min(i, PLACES), seq[max(0, i - PLACES) : i + RUN].tobytes()) for i in range(0, len(seq), RUN)]
 
 
-def laid(batches: Iterator[pa.RecordBatch], of: np.ndarray, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(skip, run) rows -> classes, positions and whether each is a target, of about HELD tokens laid end to end."""
+def laid(batches: Iterator[pa.RecordBatch], m: Model, kind: type) -> Iterator[Texts]:
+    """(skip, run) rows -> about HELD tokens at a time."""
     seqs: list[np.ndarray] = []
     skips: list[int] = []
     size = 0
 
-    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths = np.fromiter(map(len, seqs), np.int64, len(seqs))
-        position = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return of[np.concatenate(seqs)], position, position >= np.repeat(skips, lengths)
+    def out() -> Texts:
+        return Texts(m, m.of.take(np.concatenate(seqs)), np.fromiter(map(len, seqs), np.int64, len(seqs)), np.array(skips))
 
     for b in batches:
         for skip, run in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            seqs.append(np.frombuffer(run.as_buffer(), kind).astype(np.int64))
+            seqs.append(np.frombuffer(run.as_buffer(), kind))
             skips.append(skip)
             size += len(seqs[-1])
             if size >= HELD:
@@ -267,8 +279,8 @@ def laid(batches: Iterator[pa.RecordBatch], of: np.ndarray, kind: type) -> Itera
         yield out()
 
 
-def _sums(runs: DataFrame, m: Model, cells: int, picked: Callable[[Model, np.ndarray, np.ndarray], list[np.ndarray]]) -> np.ndarray:
-    """How often picked(model, windows, targets) names each of the cells, over all targets of all runs.
+def _sums(runs: DataFrame, m: Model, cells: int, picked: Callable[[Texts, int, int], list[np.ndarray]]) -> np.ndarray:
+    """How often picked(texts, from, to) names each of the cells, over all runs.
 
     A task counts its own runs in one array and gives what isn't zero, by blocks; blocks are summed by tasks as they
     stream in. The sums, of a fixed number of cells, reach the driver.
@@ -286,12 +298,9 @@ def _sums(runs: DataFrame, m: Model, cells: int, picked: Callable[[Model, np.nda
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         total = np.zeros(-(-cells // _BLOCK) * _BLOCK, np.uint32)
-        for classes, position, valid in laid(batches, m.of, _kind(shipped(m.path))):
-            for lo in range(0, len(classes), 4 * STEP):
-                hi = min(len(classes), lo + 4 * STEP)
-                ok = valid[lo:hi]
-                x, y = windows(classes, position, lo, hi)[:, ok], classes[lo:hi][ok]
-                for at in picked(m, x, y, position[lo:hi][ok]):
+        for t in laid(batches, m, _kind(shipped(m.path))):
+            for lo, hi in t.steps(4 * STEP):
+                for at in picked(t, lo, hi):
                     np.add.at(total, at, np.uint32(1))
         for k in range(0, len(total) // _BLOCK, 16):
             found = [rows(j, total[j * _BLOCK : (j + 1) * _BLOCK]) for j in range(k, min(k + 16, len(total) // _BLOCK))]
@@ -311,21 +320,21 @@ def _sums(runs: DataFrame, m: Model, cells: int, picked: Callable[[Model, np.nda
     out = np.zeros(-(-cells // _BLOCK) * _BLOCK, np.int64)
     for b, i, n in runs.mapInArrow(local, kind).repartition("b").mapInArrow(combine, kind).toLocalIterator():
         out[b * _BLOCK + np.frombuffer(i, np.uint16).astype(np.int64)] = np.frombuffer(n, np.int64)
-    shared.unpersist()
+    shared.destroy()
     return out[:cells]
 
 
-def _own_cells(m: Model, x: np.ndarray, y: np.ndarray, position: np.ndarray) -> list[np.ndarray]:
-    return [x[0] * CLASSES + y]
+def _own_cells(t: Texts, lo: int, hi: int) -> list[np.ndarray]:
+    return [(t.own[lo - 1 : hi - 1] * CLASSES + t.y[lo:hi])[t.valid[lo:hi]]]
 
 
-def _other_cells(m: Model, x: np.ndarray, y: np.ndarray, position: np.ndarray) -> list[np.ndarray]:
+def _other_cells(t: Texts, lo: int, hi: int) -> list[np.ndarray]:
     """Cells of the pairs' table, then of the tables of the places before; what is masked counts nowhere."""
-    _, pair, *far = m.rows(x)
-    out = [(pair * CLASSES + y)[pair > 0]]
+    _, pair, *far = t.rows(lo, hi)
+    y, valid = t.y[lo:hi], t.valid[lo:hi]
+    out = [(pair * CLASSES + y)[valid & (pair > 0)]]
     for d, r in enumerate(far, 1):
-        at = r * CLASSES + y + (PAIRS + 1 + (d - 1) * COARSE) * CLASSES
-        out.append(at if len(position) and position.min() >= d else at[position >= d])
+        out.append((r * CLASSES + y + (PAIRS + 1 + (d - 1) * COARSE) * CLASSES)[valid & (t.z[lo - 1 - d : hi - 1 - d] < COARSE)])
     return out
 
 
@@ -339,14 +348,13 @@ def _trained(runs: DataFrame, m: Model) -> np.ndarray:
         flat = m.flat.copy()
         a, v, mean = np.zeros_like(flat), np.zeros_like(flat), np.zeros(len(flat))
         n = t = 0
-        for classes, position, valid in laid(batches, m.of, _kind(shipped(m.path))):
-            for lo in range(0, len(classes), STEP):
-                hi = min(len(classes), lo + STEP)
-                ok = valid[lo:hi]
-                if not ok.any():
+        for x in laid(batches, m, _kind(shipped(m.path))):
+            for lo, hi in x.steps(STEP):
+                targets = int(x.valid[lo:hi].sum())
+                if not targets:
                     continue
-                g = gradient(m, flat, windows(classes, position, lo, hi), position[lo:hi], classes[lo:hi], ok)
-                t, n = t + 1, n + int(ok.sum())
+                g = gradient(m, flat, x, lo, hi)
+                t, n = t + 1, n + targets
                 a += np.float32(0.1) * (g - a)
                 v += np.float32(0.01) * (g * g - v)
                 flat -= np.float32(RATE / math.sqrt(1 + t / 100) / (1 - 0.9**t)) * a / (np.sqrt(v / np.float32(1 - 0.99**t)) + np.float32(1e-8))
@@ -368,6 +376,7 @@ def _trained(runs: DataFrame, m: Model) -> np.ndarray:
     for _ in range(2):
         rows = rows.repartition("g").mapInArrow(combine, kind)
     got = rows.collect()
+    shared.destroy()
     total = sum(r["n"] for r in got)
     return (sum(np.frombuffer(r["p"]) for r in got) / total).astype(np.float32) if total else m.flat
 
@@ -398,45 +407,34 @@ def learn(runs: DataFrame, counts: np.ndarray, path: str) -> Model:
 def gather(docs: DataFrame, path: str) -> DataFrame:
     """Training documents (doc_id, text) -> rows of (word, c) partial counts and rows of (skip, run).
 
-    The end is the empty word. Counts of a task are flushed when they hold _FLUSH words, so memory is bounded. A
+    The end is the empty word. Counts of a task are flushed when they hold _CACHE words, so memory is bounded. A
     document's runs hold its whole text and the end; one that isn't the first repeats the PLACES tokens before it.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        known: dict[bytes, np.ndarray] = {}
-        local, kind = shipped(path), _kind(shipped(path))
+        local = shipped(path)
+        kind, seen, total, ends = _kind(local), _Words(local), np.zeros(0, np.int64), 0
 
-        def rows(counts: Counter, runs: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            n, m = len(counts), len(runs)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([*counts, *[None] * m], pa.binary()), pa.array([*counts.values(), *[None] * m], pa.int64()), pa.array([*[None] * n, *(s for s, _ in runs)], pa.int32()), pa.array([*[None] * n, *(r for _, r in runs)], pa.binary())],
-                ["word", "c", "skip", "run"],
-            )
+        def counts() -> pa.RecordBatch:
+            n = len(total) + 1
+            return pa.RecordBatch.from_arrays([pa.array([*seen.names, b""], pa.binary()), pa.array(np.append(total, ends)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["word", "c", "skip", "run"])
 
         for b in batches:
-            packed: list[tuple[int, bytes]] = []
-            held = 0
-            for t in common.texts(b.column(1)):
-                words = t.lower().split()
-                count.update(words)
-                count[b""] += 1
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                for w, ids in zip(new, subwords(new, local), strict=True):
-                    known[w] = np.array(ids, kind)
-                seq = np.concatenate([*map(known.__getitem__, words), np.full(1, _END, kind)])
-                packed += runs_of(seq)
-                held += len(seq)
-                if len(known) > _CACHE:
-                    known.clear()
-                if held >= HELD:
-                    yield rows(Counter(), packed)
-                    packed, held = [], 0
-            yield rows(Counter(), packed)
-            if len(count) > _FLUSH:
-                yield rows(count, [])
-                count.clear()
-        yield rows(count, [])
+            for docs_words in _sliced(common.texts(b.column(1))):
+                sizes = np.fromiter(map(len, docs_words), np.int64, len(docs_words))
+                w = seen.look_up([w for ws in docs_words for w in ws])
+                total = np.append(total, np.zeros(len(seen.names) - len(total), np.int64)) + np.bincount(w, minlength=len(seen.names))
+                ends += len(sizes)
+                subs, lengths = seen.sequences(w, sizes)
+                runs = [r for s in np.split(subs.astype(kind), np.cumsum(lengths)[:-1]) for r in runs_of(s)]
+                n = len(runs)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([s for s, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())], ["word", "c", "skip", "run"])
+                if len(seen.names) > _CACHE:
+                    yield counts()
+                    seen.clear()
+                    total, ends = np.zeros(0, np.int64), 0
+        if ends:
+            yield counts()
 
     return docs.mapInArrow(work, "word binary, c long, skip int, run binary")
 
@@ -465,10 +463,10 @@ def _subword_counts(words: DataFrame, path: str) -> np.ndarray:
 
 
 class _Words:
-    """A task's words seen so far: base scores of heavy ones (NaN for others) and subword ids, for numpy to gather."""
+    """A task's words seen so far: subword ids and base scores of heavy ones (NaN for others), for numpy to gather."""
 
-    def __init__(self, model: Model, path: str):
-        self.model, self.path = model, path
+    def __init__(self, path: str, heavy: dict[bytes, float] | None = None):
+        self.path, self.heavy = path, heavy or {}
         self.clear()
 
     def clear(self) -> None:
@@ -478,11 +476,10 @@ class _Words:
         self.names: list[bytes] = []
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
         try:
             return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         except KeyError:
-            new = list(dict.fromkeys(w for w in words if get(w) is None))
+            new = list(dict.fromkeys(w for w in words if w not in self.ids))
         subs = subwords(new, self.path)
         for w in new:
             self.ids[w] = len(self.ids)
@@ -490,18 +487,22 @@ class _Words:
         self.start = np.concatenate([self.start, len(self.subs) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
         self.subs = np.concatenate([self.subs, np.fromiter((i for s in subs for i in s), np.int32)])
-        heavy = self.model.heavy
-        self.base = np.concatenate([self.base, np.fromiter((heavy.get(w, math.nan) for w in new), float, len(new))])
+        self.base = np.concatenate([self.base, np.fromiter((self.heavy.get(w, math.nan) for w in new), float, len(new))])
         self.names += new
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
+    def sequences(self, w: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of texts of these sizes, end to end -> subword ids, an end after each text, and each text's number of them."""
+        c = self.count[w]
+        subs = self.subs[np.repeat(self.start[w] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+        per = np.bincount(np.repeat(np.arange(len(sizes)), sizes), c, len(sizes)).astype(np.int64)
+        return np.insert(subs, np.cumsum(per), _END), per + 1
+
 
 def score_texts(m: Model, subs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of each sequence of subword ids, which are laid end to end (each one's last is the end)."""
-    starts = np.cumsum(lengths) - lengths
-    position = np.arange(len(subs)) - np.repeat(starts, lengths)
-    each = log_probabilities(m, m.of[subs], position) + m.share[subs]
-    return np.add.reduceat(each, starts) if len(starts) else np.zeros(0)
+    each = log_probabilities(m, Texts(m, m.of.take(subs), lengths)) + m.share.take(subs)
+    return np.add.reduceat(each, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
 
 
 def _sliced(texts: Iterator[bytes]) -> Iterator[list[list[bytes]]]:
@@ -538,7 +539,7 @@ def score(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
 
     first = common.scratch(spark, "lm-corpus")
-    gather(source.where(~F.col("held_out")).select("doc_id", "text"), path).write.parquet(first)
+    gather(source.where(~F.col("held_out")).select("doc_id", "text"), path).write.option("compression", "zstd").parquet(first)
     kept = spark.read.parquet(first)
     counts = common.cut(kept.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -546,12 +547,13 @@ def score(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     heavy = counts.where(F.col("c") * HEAVY >= n).toArrow() if n else None
     table = dict(zip(heavy.column("word").to_pylist(), (np.log10(heavy.column("c").to_numpy() + 1) - base).tolist(), strict=True)) if n else {}
     model = learn(kept.where("run is not null").select("skip", "run"), _subword_counts(counts, path), path)
+    common.remove(spark, first)
     model.heavy = table
     shared = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, row = shared.value, TaskContext.get().partitionId() << 36, 0
-        seen = _Words(model, shipped(path))
+        seen = _Words(shipped(path), model.heavy)
         ends = model.heavy.get(b"", math.nan)
         for b in batches:
             at = 0
@@ -564,12 +566,7 @@ def score(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
                 known = ~np.isnan(seen.base[w])
                 partial = np.bincount(doc[known], seen.base[w[known]], len(sizes)) + (0.0 if math.isnan(ends) else ends)
                 n_known = np.bincount(doc[known], minlength=len(sizes)) + (not math.isnan(ends))
-                # Each document's subword ids, then the end.
-                c = seen.count[w]
-                first_of = np.repeat(seen.start[w] - (np.cumsum(c) - c), c)
-                subs = seen.subs[first_of + np.arange(c.sum())]
-                per = np.bincount(doc, c, len(sizes)).astype(np.int64)
-                scores = score_texts(model, np.insert(subs, np.cumsum(per), _END), per + 1)
+                scores = score_texts(model, *seen.sequences(w, sizes))
                 rows = part + row + np.arange(len(sizes))
                 row += len(sizes)
                 # What isn't heavy: one row for each word of a document.
@@ -600,7 +597,7 @@ def score(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )
     out = common.cut(out)
-    common.remove(spark, first)
+    shared.destroy()
     common.remove(spark, second)
     return out
 

@@ -239,54 +239,60 @@ def test_quota_tree_is_exact_and_hypergeometric(spark):
 
 
 def small_model(rng, lengths):
-    """A model counted from random texts of a few classes, as learn() does it, without Spark."""
+    """A model counted from random texts of a few classes, as learn() does it, without Spark; and the texts."""
     classes = np.minimum(rng.geometric(0.05, lengths.sum()), lm.CLASSES - 1).astype(np.int64)
-    position = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     m = lm.Model("", *lm.classes_of(np.bincount(classes, minlength=lm.CLASSES + 300).astype(float)))
-    m.of = np.arange(lm.CLASSES + 300)  # classes name themselves here
     m.prior = np.full(lm.CLASSES, 1 / lm.CLASSES, np.float32)
-    x = lm.windows(classes, position, 0, len(classes))
-    lm.with_pairs(m, np.bincount(lm._own_cells(m, x, classes, position)[0], minlength=(lm.CLASSES + 1) * lm.CLASSES).reshape(-1, lm.CLASSES))
+    t = lm.Texts(m, classes, lengths)
+    own = np.bincount(lm._own_cells(t, lm.PLACES, len(t.c))[0], minlength=(lm.CLASSES + 1) * lm.CLASSES).reshape(-1, lm.CLASSES)
+    t = lm.Texts(lm.with_pairs(m, own), classes, lengths)
     rows = lm.PAIRS + 1 + (lm.PLACES - 1) * lm.COARSE
-    other = np.bincount(np.concatenate(lm._other_cells(m, x, classes, position)), minlength=rows * lm.CLASSES).reshape(-1, lm.CLASSES)
-    own = np.bincount(x[0] * lm.CLASSES + classes, minlength=(lm.CLASSES + 1) * lm.CLASSES).reshape(-1, lm.CLASSES)
+    other = np.bincount(np.concatenate(lm._other_cells(t, lm.PLACES, len(t.c))), minlength=rows * lm.CLASSES).reshape(-1, lm.CLASSES)
     lm.with_values(m, [own, other[: lm.PAIRS + 1], *np.split(other[lm.PAIRS + 1 :], lm.PLACES - 1)])
-    return m, classes, position
+    return m, classes, t
 
 
 def test_windows_hold_the_tokens_before_each_target():
     rng = np.random.default_rng(7)
     lengths = np.array([1, 8, 9, 40, 3])
-    classes = rng.integers(0, lm.CLASSES, lengths.sum())
-    starts = np.cumsum(lengths) - lengths
-    position = np.arange(len(classes)) - np.repeat(starts, lengths)
-    x = np.hstack([lm.windows(classes, position, lo, min(lo + 7, len(classes))) for lo in range(0, len(classes), 7)])
-    for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+    m, classes, t = small_model(rng, lengths)
+    assert t.c[t.valid].tolist() == classes.tolist()
+    targets = iter(np.flatnonzero(t.valid).tolist())
+    for s, n in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist(), strict=True):
         for k in range(n):
-            before = [lm._BEGIN] * lm.PLACES + classes[s : s + k].tolist()
-            assert x[:, s + k].tolist() == before[::-1][: lm.PLACES]
+            i = next(targets)
+            before = [lm._PAD] * (lm.PLACES - 1) + [lm._BEGIN] + classes[s : s + k].tolist()
+            assert t.c[i - lm.PLACES : i].tolist() == before[-lm.PLACES :]
+            assert [int(r[0]) for r in t.rows(i, i + 1)][::2][:1] == [min(before[-1], lm._BEGIN)]
 
 
 def test_attention_is_causal_normalized_and_its_gradient_right():
     rng = np.random.default_rng(8)
-    m, classes, position = small_model(rng, np.array([60, 1, 9, 130]))
-    n = 40
+    lengths = np.array([60, 1, 9, 130])
+    m, classes, t = small_model(rng, lengths)
+    lo, hi = lm.PLACES, lm.PLACES + 80
     m.flat = (m.flat + rng.normal(0, 0.3, len(m.flat))).astype(np.float32)
-    x, scores = lm.windows(classes, position, 0, n), lm.tables(lm.unpack(m.flat))
-    every = sum((lambda s, v: (s * v).sum(0))(*lm.attend(m, scores, x, position[:n], np.full(n, c))[:2]) for c in range(lm.CLASSES))
-    assert np.allclose(every, 1, atol=1e-4)
-    # What comes later changes nothing; what came before does.
+    scores = lm.tables(lm.unpack(m.flat))
+    every = np.zeros(hi - lo)
+    for c in range(lm.CLASSES):
+        t.y[:] = c
+        s, v, *_ = lm.attend(m, scores, t, lo, hi)
+        every += (s * v).sum(0)
+    t.y[:] = np.minimum(t.c, lm.CLASSES - 1)
+    assert np.allclose(every[t.valid[lo:hi]], 1, atol=1e-4)
+    # What comes later changes nothing; what came before does; pads have no weight.
     other = classes.copy()
     other[20] = (other[20] + 1) % 50
-    a, b = lm.log_probabilities(m, classes, position), lm.log_probabilities(m, other, position)
-    assert np.array_equal(a[:20], b[:20]) and not np.allclose(a[21:30], b[21:30]) and np.array_equal(a[60:], b[60:])
-    valid = rng.random(n) < 0.8
+    a, b = lm.log_probabilities(m, t), lm.log_probabilities(m, lm.Texts(m, other, lengths))
+    assert np.array_equal(a[:20], b[:20]) and not np.allclose(a[21:26], b[21:26]) and np.array_equal(a[60:], b[60:])
+    s, *_ = lm.attend(m, scores, t, lo, hi)
+    assert (s[3:, 0] == 0).all() and s[3, 1] > 0 and (s[4:, 1] == 0).all()
 
     def loss(flat):
-        s, v, *_ = lm.attend(m, lm.tables(lm.unpack(flat)), x, position[:n], classes[:n], True)
-        return -(np.log((s * v).sum(0)) * valid).sum() / valid.sum()
+        s, v, *_ = lm.attend(m, lm.tables(lm.unpack(flat)), t, lo, hi, True)
+        return -np.log((s.astype(float) * v).sum(0))[t.valid[lo:hi]].mean()
 
-    g = lm.gradient(m, m.flat, x, position[:n], classes[:n], valid)
+    g = lm.gradient(m, m.flat, t, lo, hi)
     for i in np.concatenate([rng.choice(np.flatnonzero(g), 30), np.arange(len(g) - lm.SLOTS, len(g))]):
         d = np.zeros_like(m.flat)
         d[i] = 0.02
@@ -294,12 +300,10 @@ def test_attention_is_causal_normalized_and_its_gradient_right():
 
 
 def test_values_leave_the_target_out():
-    rng = np.random.default_rng(9)
-    m, classes, position = small_model(rng, np.array([300]))
-    x = lm.windows(classes, position, 0, len(classes))
-    _, v, *_ = lm.attend(m, lm.tables(lm.unpack(m.flat)), x, position, classes, True)
+    m, classes, t = small_model(np.random.default_rng(9), np.array([300]))
+    _, v, *_ = lm.attend(m, lm.tables(lm.unpack(m.flat)), t, lm.PLACES, len(t.c), True)
     for k in (5, 77, 299):
-        same = [j for j in range(300) if j != k and x[0, j] == x[0, k]]
+        same = [j for j in range(1, 300) if j != k and classes[j - 1] == classes[k - 1]]
         want = (sum(classes[j] == classes[k] for j in same) + lm.SMOOTH / lm.CLASSES) / (len(same) + lm.SMOOTH)
         assert math.isclose(v[1, k], want, rel_tol=1e-3)
 
@@ -310,15 +314,15 @@ def test_training_takes_every_token_of_whole_texts_once(spark):
     spark.sparkContext.addFile(lm.TOKENIZER)
     got = lm.gather(docs(spark, list(texts.items())).select("doc_id", "text"), lm.TOKENIZER)
     rows = got.collect()
-    of = np.arange(lm.tokenizer(lm.TOKENIZER)[1] + 2)
     kind = lm._kind(lm.TOKENIZER)
+    m = lm.Model(lm.TOKENIZER, *lm.classes_of(1.0 * np.arange(lm.tokenizer(lm.TOKENIZER)[1] + 2)))
     want = collections.Counter()
     for t in texts.values():
-        want.update([i for ids in lm.subwords((t or "").encode().lower().split(), lm.TOKENIZER) for i in ids] + [0])
+        want.update(m.of[[i for ids in lm.subwords((t or "").encode().lower().split(), lm.TOKENIZER) for i in ids] + [0]].tolist())
     seen = collections.Counter()
     batches = got.where("run is not null").select("skip", "run").toArrow().to_batches()
-    for classes, _, valid in lm.laid(iter(batches), of, kind):
-        seen.update(classes[valid].tolist())
+    for t in lm.laid(iter(batches), m, kind):
+        seen.update(t.c[t.valid].tolist())
     assert seen == want
     counts = collections.Counter()
     for r in rows:
@@ -329,8 +333,9 @@ def test_training_takes_every_token_of_whole_texts_once(spark):
     seq = (np.arange(2 * lm.RUN + 100) % 900 + 1).astype(kind)
     runs = lm.runs_of(seq)
     batch = pa.RecordBatch.from_arrays([pa.array([s for s, _ in runs]), pa.array([r for _, r in runs], pa.binary())], ["skip", "run"])
-    parts = [lm.windows(c, p, 0, len(c))[:, v] for c, p, v in lm.laid(iter([batch]), of, kind)]
-    assert np.array_equal(np.hstack(parts), lm.windows(seq.astype(np.int64), np.arange(len(seq)), 0, len(seq)))
+    windows = lambda t: [t.c[i - lm.PLACES : i + 1].tolist() for i in np.flatnonzero(t.valid)]
+    parts = [w for t in lm.laid(iter([batch]), m, kind) for w in windows(t)]
+    assert parts == windows(lm.Texts(m, m.of[seq], np.array([len(seq)])))
 
 
 def test_counts_and_training_are_those_of_all_runs(spark):
