@@ -11,7 +11,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -20,12 +20,18 @@ MIN_PAYLOAD = 0
 #: Compressed bytes after which a task begins another file.
 FILE_BYTES = 256 << 20
 DATE = "1970-01-01T00:00:00Z"
-_PIECE = 1 << 20
+_PIECE, _HEAD = 1 << 20, 1 << 20
+#: Payloads that repeat are broadcast by digest up to so many (40 bytes each), else joined.
+BROADCAST = 200_000
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def _base32(digest) -> str:
+    return base64.b32encode(digest.digest()).decode()
+
+
 def sha1_32(data: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+    return _base32(hashlib.sha1(data))
 
 
 def _urn(page: int | None) -> bytes:
@@ -51,55 +57,98 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     return {k.strip().lower().decode(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines)}
 
 
-def read_members(stream: BinaryIO) -> Iterator[bytes]:
-    """The content of each gzip member, decompressed piece by piece as the stream is read."""
+class _Record:
+    """A record that is read piece by piece: its head, then a block of content-length bytes, then the closing lines."""
+
+    def __init__(self, keep: bool):
+        self.keep, self.fields, self.left, self.held = keep, None, 0, b""
+        self.block, self.payload, self.parts, self.size, self.http = hashlib.sha1(), hashlib.sha1(), [], 0, None
+
+    def add(self, data: bytes) -> None:
+        if self.fields is None:
+            self.held += data
+            head, gap, data = self.held.partition(b"\r\n\r\n")
+            lines = head.split(b"\r\n")
+            if not b"WARC/1.1\r\n".startswith(self.held[:10]) or len(self.held) > _HEAD and not gap:
+                raise ValueError("no WARC record")
+            if not gap:
+                return
+            self.fields, self.held = _fields(lines[1:]), b""
+            self.left = int(self.fields["content-length"])
+        block, self.held = data[: self.left], self.held + data[self.left :]
+        self.left -= len(block)
+        if len(self.held) > 4:
+            raise self.fault("the content length doesn't frame the record")
+        self.block.update(block)
+        if isinstance(self.http, dict):
+            self._body(block)
+        elif block:
+            head, gap, rest = ((self.http or b"") + block).partition(b"\r\n\r\n")
+            self.http = _fields(head.split(b"\r\n")[1:]) if gap else head
+            if gap:
+                self._body(rest)
+
+    def _body(self, data: bytes) -> None:
+        self.size += len(data)
+        self.payload.update(data)
+        if self.keep:
+            self.parts.append(data)
+
+    def fault(self, what: str) -> ValueError:
+        return ValueError(f"{(self.fields or {}).get('warc-record-id', 'a record')}: {what}")
+
+    def end(self) -> dict:
+        """The record's fields, once its frame, lengths and digests are verified."""
+        f = self.fields
+        if f is None:
+            raise ValueError("no WARC record")
+        if self.left or self.held != b"\r\n\r\n":
+            raise self.fault("the content length doesn't frame the record")
+        if f["warc-block-digest"] != f"sha1:{_base32(self.block)}":
+            raise self.fault("wrong block digest")
+        if not isinstance(self.http, dict):
+            raise self.fault("no HTTP head")
+        size, kind, digest = int(self.http["content-length"]), f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:")
+        if kind == "response" and (self.size != size or _base32(self.payload) != digest):
+            raise self.fault("wrong payload")
+        page, to = f.get("warc-page-id"), f.get("warc-refers-to-page-id")
+        payload = b"".join(self.parts) if self.keep and kind == "response" else None
+        return {"page_id": page and int(page), "url": f.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": to and int(to), "payload": payload}
+
+
+def read_records(stream: BinaryIO, payloads: bool = False) -> Iterator[dict]:
+    """The records of an archive, one gzip member each, framed and verified while they are decompressed piece by piece.
+
+    However long a record is, a piece of it is in memory, or its payload if that is asked for.
+    """
     rest = b""
     while True:
         rest = rest or stream.read(_PIECE)
         if not rest:
             return
-        z, out = zlib.decompressobj(wbits=31), []
+        z, record = zlib.decompressobj(wbits=31), _Record(payloads)
         while not z.eof:
-            out.append(z.decompress(rest))
-            rest = z.unused_data if z.eof else stream.read(_PIECE)
-            if not rest and not z.eof:
+            rest = rest or stream.read(_PIECE)
+            got = z.decompress(rest, _PIECE)
+            if not (rest or got or z.eof):
                 raise ValueError("the archive ends within a record")
-        yield b"".join(out)
-
-
-def parse(data: bytes) -> dict:
-    """A record's fields, once its frame, lengths and digests are verified."""
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not gap or lines[0] != b"WARC/1.1":
-        raise ValueError("no WARC record")
-    f = _fields(lines[1:])
-    n = int(f["content-length"])
-    block = rest[:n]
-    if len(block) != n or rest[n:] != b"\r\n\r\n":
-        raise ValueError(f"{f['warc-record-id']}: the content length doesn't frame the record")
-    if f["warc-block-digest"] != f"sha1:{sha1_32(block)}":
-        raise ValueError(f"{f['warc-record-id']}: wrong block digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(_fields(http.split(b"\r\n")[1:])["content-length"])
-    kind, digest = f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and (len(payload) != size or sha1_32(payload) != digest):
-        raise ValueError(f"{f['warc-record-id']}: wrong payload")
-    page, to = f.get("warc-page-id"), f.get("warc-refers-to-page-id")
-    return {"page_id": page and int(page), "url": f.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": to and int(to), "payload": payload if kind == "response" else None}
+            record.add(got)
+            rest = z.unused_data if z.eof else z.unconsumed_tail
+        yield record.end()
 
 
 def mark_revisits(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """page_id, url, html -> the same and first_id: the smallest page_id of the rows with equal payload, null where it is no revisit.
 
-    Payloads are equal if their SHA-256 is. Ids and digests are aggregated before the shuffle; a payload that a third
-    of the rows share is a skewed join, which adaptive execution splits.
+    Payloads are equal if their SHA-256 is. Ids and digests are aggregated before the shuffle, and only digests that
+    repeat go on. Up to BROADCAST of them are broadcast, so no html is shuffled; with more, pages meet them by digest,
+    where a payload that a third of the rows share is a skewed join, which adaptive execution splits.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     source = source.withColumn("key", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
-    firsts = source.groupBy("key").agg(F.min("page_id").alias("first_id"))
-    again = (F.octet_length("html") >= min_payload) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return source.join(firsts, "key").select("page_id", "url", "html", F.when(again, F.col("first_id")).alias("first_id"))
+    firsts = common.cut(source.where(F.octet_length("html") >= min_payload).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("key", "first_id"))
+    found = source.join(F.broadcast(firsts) if firsts.count() <= BROADCAST else firsts, "key", "left")
+    return found.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("first_id"))
 
 
 def write_warc(pages: DataFrame, folder: str, date: str = DATE, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -143,7 +192,8 @@ def write_warc(pages: DataFrame, folder: str, date: str = DATE, file_bytes: int
 def read_warc(files: DataFrame, payloads: bool = False) -> DataFrame:
     """path -> page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload.
 
-    Each file is read by one task from its start to its end, a record in memory at a time.
+    Each file is read by a task of its own from its start to its end, a piece of a record in memory at a time. No file
+    gives no rows; a damaged one fails. files must be kept (one short row a file is counted first).
     """
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payloads
@@ -157,16 +207,18 @@ def read_warc(files: DataFrame, payloads: bool = False) -> DataFrame:
                 held: list[dict] = []
                 size = 0
                 with store.open_input_stream(path, compression=None) as stream:
-                    for data in read_members(stream):
-                        held.append(parse(data))
-                        size += len(data) if payloads else 1000
+                    for got in read_records(stream, payloads):
+                        held.append(got)
+                        size += len(got["payload"] or b"") + 1000
                         if size > common.BATCH_BYTES:
                             yield _batch(held, names, kinds)
                             held, size = [], 0
                 if held:
                     yield _batch(held, names, kinds)
 
-    one = files.select("path").repartition("path")
+    # A file's number is its partition: as many tasks as files.
+    numbered = files.select("path").withColumn("k", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
+    one = numbered.repartitionById(max(1, files.count()), "k").select("path")
     return one.mapInArrow(work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
