@@ -110,6 +110,16 @@ def segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[lis
         yield held, np.array([0]), np.array([len(held[0])])
 
 
+#: Rows of numbers that are broadcast at most; with more, both sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, kept in the shared folder, and broadcast to what it is joined with if its counted rows are few enough."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def packed(work, rows: int = 50_000):
     """work, with its small output batches joined to larger ones."""
 

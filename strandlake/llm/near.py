@@ -122,7 +122,8 @@ def near_components(docs: DataFrame, words: int, similarity: float = SIMILARITY)
     common.release(spark)
     groups = common.cut(groups.select(F.col("id").alias("t"), F.col("component_id").alias("g")).join(reps, "t"))
     sizes = groups.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("p"))
-    wanted = groups.join(sizes, "g").select("t", "least", "g", "p", "keys")
+    # Texts that share no block aren't shuffled while the others are few enough to name to every task.
+    wanted = common.small_side(groups.join(sizes, "g").select("t", "least", "g", "p", "keys"))
     # A text is sent by its first document only.
     held = source.alias("s").join(wanted.alias("w"), (F.col("s.t") == F.col("w.t")) & F.col("s.doc_id").eqNullSafe(F.col("w.least"))).select("g", "p", "s.t", "keys", "text")
 

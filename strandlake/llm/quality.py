@@ -136,14 +136,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, la
     return model
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
+def classify(docs: DataFrame, model: Model, score: str = SCORE) -> DataFrame:
     """The rows of docs (doc_id, text and whatever else) and score, the weighted vote for label 1, 0 to 1.
 
-    Each whole text is read once; null is empty. Each row gives a row. A model without labels scores the prior, 0.5.
+    A column of docs that has the name `score` is replaced. Each whole text is read once; null is empty, and a very long one
+    is one text in memory. Each row gives a row. A model without labels scores the prior, 0.5.
     Labels, lang, source and doc_id are no inputs. The model is a few MB, bounded by MAX_LABELLED.
     """
     common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(score)
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +159,9 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                 if len(held) == 256 or k == b.num_rows - 1:
                     scores[k + 1 - len(held) : k + 1] = shared.value.score(np.array(held))
                     held = []
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*names, SCORE])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*names, score])
 
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], T.StructField(SCORE, T.DoubleType())])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(work, schema)
 
 

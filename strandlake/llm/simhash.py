@@ -152,13 +152,21 @@ def simhash_components(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_
 
 
 def first_of_each(docs: DataFrame, words: int, similarity: float = near.SIMILARITY) -> DataFrame:
-    """docs without the rows whose component of near copies (near.near_components) holds a smaller doc_id; of repeated rows of a kept doc_id one stays, the
-    first by text. Rows without doc_id stay as they are: nothing tells which of them came first."""
-    found = near.near_components(docs.select("doc_id", "text"), words, similarity)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").alias("kept_id"), "text").join(kept, "kept_id", "left_semi")
+    """docs without the rows whose component of near copies (near.near_components) holds a smaller doc_id; of repeated rows of
+    a kept doc_id one stays, the first by text. Rows without doc_id stay as they are: nothing tells which of them came first.
+
+    Rows that stay are not shuffled while the ids that go are few enough to name to every task (common.small_side).
+    """
+    found = common.cut(near.near_components(docs.select("doc_id", "text"), words, similarity).where("doc_id is not null"))
+    ids = common.cut(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")))
+    gone = common.small_side(ids.where("n > 1 or doc_id <> component_id").select(F.col("doc_id").alias("gone_id")))
+    rest = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.gone_id"), "left_anti")
+    again = common.small_side(found.where("doc_id = component_id").join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("kept_id")).distinct())
+    if again.isEmpty():
+        return rest
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("kept_id"), "text").join(again, "kept_id", "left_semi")
     once = rows.groupBy("kept_id").agg(F.min_by("row", F.struct(F.xxhash64("text"), "text")).alias("row"))
-    return once.select("row.*").unionByName(docs.where("doc_id is null"))
+    return rest.unionByName(once.select("row.*"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,15 @@ def test_quality_ignores_held_out_labels_and_other_columns(spark):
     assert scores[0] == scores[1]
 
 
+def test_a_column_of_the_score_s_name_is_replaced_or_kept(spark):
+    rng = random.Random(13)
+    d = docs(spark, [(i, prose(rng, 30) if i % 2 else junk(rng, 30)) for i in range(40)]).withColumn(quality.SCORE, F.lit("mine"))
+    m = quality.fit(d, spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int"))
+    assert dict(quality.classify(d, m).dtypes)[quality.SCORE] == "double"
+    both = quality.classify(d, m, "other").first()
+    assert both[quality.SCORE] == "mine" and 0 <= both["other"] <= 1
+
+
 def test_neighbour_votes_are_exact():
     rng = np.random.default_rng(3)
     n, w = 1200, quality.BUCKETS + quality._SHAPES + 8
@@ -410,7 +419,7 @@ def corpus(spark, tmp_path_factory):
 
 
 def test_pipeline(spark, corpus):
-    d = spark.read.parquet(f"{corpus}/documents.parquet")
+    d = spark.read.parquet(f"{corpus}/documents.parquet").withColumn(quality.SCORE, F.lit("a column of the caller's"))
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, d, corpus)
@@ -424,6 +433,9 @@ def test_pipeline(spark, corpus):
     assert set(range(200, 205)) <= gone and not gone & set(range(100, 130))
     assert set(seen["simhash"]) - set(seen["decontamination"]) == {300, 301, 302}
     assert set(seen["mixing"]) == set(seen["decontamination"])
+    assert all(r[quality.SCORE].endswith("caller's") for r in seen["mixing"].values())
+    taken = sum(r["taken"] for r in seen["mixing"].values())
+    assert taken == sum(len(r["text"].split()) for r in mixing.shard_texts(d).collect())
 
 
 def test_pipeline_on_empty_tables(spark, tmp_path):
