@@ -13,9 +13,10 @@ from . import common
 from .hnsw import Graph
 
 COSINE = 0.95
-#: Shards at least; vectors of a shard at most (more vectors make more shards); first beam; recall that audits ask; one query of so many is audited.
-SHARDS, SHARD_ROWS, BEAM, RECALL, AUDIT = 8, 500_000, 48, 0.995, 64
-_BATCH = 2048
+#: Shards at least; bytes of a shard's vectors at about most (more vectors make more shards); first beam; recall that audits ask.
+SHARDS, SHARD_BYTES, BEAM, RECALL = 8, 256 << 20, 48, 0.995
+#: Bytes of the queries that a task holds while it goes through all shards' graphs.
+QUERY_BYTES = 128 << 20
 
 
 def packed_vectors(vectors: DataFrame) -> DataFrame:
@@ -41,28 +42,7 @@ def _unit(keys: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-class _Forest:
-    """Drops links between what a task's batch has connected already."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, a: int) -> int:
-        up = self.up
-        while (b := up.setdefault(a, a)) != a:
-            up[a] = up[b]
-            a = up[a]
-        return a
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARDS) -> DataFrame:
+def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARDS, audits: list | None = None) -> DataFrame:
     """vec_id, embedding -> vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept.
 
     Vectors link if their cosine in double precision is `cosine` or more. Each row gives a row. Null, empty and zero
@@ -70,18 +50,22 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARD
     different length don't link with each other. Rows that repeat a vec_id are vectors of their own.
 
     Copies are one class, found by their bytes and combined before the shuffle, so a group of copies of any size is one
-    node with a count. Classes are dealt to shards by hash; a task builds the graph of its shard and writes it to the
-    shared folder. Every class is then searched in every shard, where it is (the graphs travel, a shard at a time, not
-    the queries). A search whose beam is full of links runs again with a wider one, so no link is capped; audits
-    compare a fixed share of the queries with all nodes of the shard and widen all beams until RECALL is reached. Of a
-    batch's links only those that connect something new go on to the components; the others are counted.
+    node with a count. Classes are dealt to shards by hash, each with a task of its own, which builds the graph and writes
+    it to the shared folder. Every class is then searched in every shard, where it is (the graphs travel, a shard at a
+    time, not the queries; a task holds QUERY_BYTES of queries meanwhile, so graphs are read once for so many). A search
+    whose beam is full of links runs again with a wider one, in the end against all nodes, so no link is capped; audits
+    compare a bounded number of a task's queries with all nodes of the shard and widen all beams until RECALL is reached.
+    Of a task's links only those that connect something new go on to the components; the others are counted.
+
+    audits: gets the number of links that audits looked for and of those found. An empty table gives an empty one; other
+    columns are ignored. Searching all vectors in all shards is work that grows with vectors times shards: the method's own cost.
     """
     spark = vectors.sparkSession
     common.small_batches(spark)
     rows = common.cut(packed_vectors(vectors).withColumn("h", F.unhex(F.md5("key"))))
     fit = rows.where("key is not null and vec_id is not null")
     classes = common.cut(fit.groupBy("h").agg(F.first("key").alias("key"), F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
-    shards = max(shards, -(-classes.count() // SHARD_ROWS))
+    shards = max(shards, -(-(classes.agg(F.sum(F.octet_length("key"))).first()[0] or 0) // SHARD_BYTES))
     folder = common.scratch(spark, "hnsw")
     if "://" not in folder:
         folder = "file://" + folder.removeprefix("file:")
@@ -108,7 +92,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARD
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "width", "n"])
 
-    dealt = classes.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("s"), "key", "node", "n").repartition(shards, "s")
+    dealt = classes.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("s"), "key", "node", "n").repartitionById(shards, F.col("s").cast("int"))
     built = common.cut(dealt.mapInArrow(build, "path string, width long, n long"))
     graphs = sorted((r["path"], r["width"]) for r in built.collect())  # one short row a shard
 
@@ -117,7 +101,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARD
 
         def found(keys: list[bytes], reps: np.ndarray) -> pa.RecordBatch:
             links = np.zeros(len(keys), np.int64)
-            forest, src, dst = _Forest(), [], []
+            src, dst, audit = [], [], np.zeros(2, np.int64)
             widths = np.fromiter(map(len, keys), np.int64, len(keys))
             for path, width in graphs:
                 at = np.flatnonzero(widths == width)
@@ -127,34 +111,41 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARD
                 with store.open_input_stream(name + ".graph", compression=None) as f:
                     g = Graph.load(f.read())
                 with store.open_input_stream(name + ".ids", compression=None) as f:
-                    ids = np.frombuffer(f.read(), np.int64).reshape(-1, 2)
-                for i in range(0, len(at), _BATCH):
-                    part = at[i : i + _BATCH]
-                    a, b = g.search(_unit([keys[k] for k in part]), cosine, BEAM, RECALL, np.arange(0, len(part), AUDIT))
-                    a, other = part[a], ids[b]
-                    ok = other[:, 0] != reps[a]
-                    a, other = a[ok], other[ok]
-                    links += np.bincount(a, other[:, 1], len(keys)).astype(np.int64)
-                    for x, y in zip(reps[a].tolist(), other[:, 0].tolist(), strict=True):
-                        if forest.join(x, y):
-                            src.append(x), dst.append(y)
+                    ids, weight = np.frombuffer(f.read(), np.int64).reshape(-1, 2).T
+                by = np.argsort(ids)
+                place = np.minimum(np.searchsorted(ids, reps[at], sorter=by), len(ids) - 1)
+                own = np.where(ids[by[place]] == reps[at], by[place], -1)
+                count, a, b, seen = g.search(_unit([keys[k] for k in at]), own, weight, cosine, BEAM, RECALL)
+                links[at] += count
+                audit += seen
+                src.append(reps[at[a]]), dst.append(ids[b])
+            src, dst = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (src, dst))
             n, m = len(keys), len(src)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(reps), pa.array(src, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(dst, pa.int64())]), pa.concat_arrays([pa.array(links), pa.nulls(m, pa.int64())])], ["node", "other", "links"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(reps), pa.array(src), pa.nulls(1, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(dst), pa.nulls(1, pa.int64())]),
+                    pa.concat_arrays([pa.array(links), pa.nulls(m + 1, pa.int64())]), pa.concat_arrays([pa.nulls(n + m, pa.int64()), pa.array(audit[:1])]), pa.concat_arrays([pa.nulls(n + m, pa.int64()), pa.array(audit[1:])]),
+                ], ["node", "other", "links", "audited", "audited_found"],
+            )
 
         keys: list[bytes] = []
         reps: list[int] = []
+        size = 0
         for b in batches:
             keys += b.column(0).to_pylist()
             reps += b.column(1).to_pylist()
-            if len(keys) >= 16 * _BATCH:
+            size += b.column(0).nbytes
+            if size >= QUERY_BYTES:
                 yield found(keys, np.array(reps, np.int64))
-                keys, reps = [], []
+                keys, reps, size = [], [], 0
         if keys:
             yield found(keys, np.array(reps, np.int64))
 
     spread = classes.select("key", "node").repartition(max(12, spark.sparkContext.defaultParallelism), F.xxhash64("node"))
-    got = common.cut(spread.mapInArrow(search, "node long, other long, links long"))
+    got = common.cut(spread.mapInArrow(search, "node long, other long, links long, audited long, audited_found long"))
     common.remove(spark, folder)
+    if audits is not None:
+        audits.append(tuple(got.agg(F.coalesce(F.sum("audited"), F.lit(0)), F.coalesce(F.sum("audited_found"), F.lit(0))).first()))
     roots = common.components(got.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     linked = got.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.select("h", "node", "least", "n").join(linked, "node").join(roots.select(F.col("id").alias("node"), F.col("component_id").alias("root")), "node", "left")

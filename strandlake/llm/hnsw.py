@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Links of a node above the ground layer (twice as many on it), beam while building, cells of the visited table.
 LINKS, BUILD_BEAM, CELLS = 12, 48, 1 << 25
+#: Beams go up to WIDE; queries that have as many links are compared with all nodes, so many nodes at a time.
+WIDE, COLUMNS = 1024, 16_384
+#: Queries of a search that are audited: so many with links, and as many others.
+AUDITS = 32
 
 
 def _diverse(own: np.ndarray, ids: np.ndarray, sims: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
@@ -151,35 +156,88 @@ class Graph:
             ids.append(got), sims.append(s)
         return np.vstack(ids), np.vstack(sims)
 
-    def search(self, q: np.ndarray, least: float, beam: int, recall: float, audit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """q: float64 queries of length one -> (query, node) of all links found with cosine >= least, in double precision.
+    def found(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """q: float64 queries of length one -> (query, node) of all links found with cosine >= least, in double precision; and
+        the queries that have too many links for a beam of WIDE, for which there is none.
 
-        A query whose whole beam lies above the threshold runs again with a beam twice as wide. audit: queries that are
-        compared with all nodes; as long as less than `recall` of their links is found, the beams of all widen.
+        A query whose whole beam lies above the threshold runs again with a beam twice as wide.
         """
         f = q.astype(np.float32)
-        want = [np.flatnonzero(self.exact @ q[a] >= least) for a in audit.tolist()]
+        left, now = np.arange(len(q)), beam
+        qs, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(left) and now <= max(WIDE, beam):
+            now = min(now, len(self.x))
+            ids, sims = self._beam(f[left], now)
+            full = (sims >= least - 1e-5).all(1) & (now < len(self.x))
+            r, c = np.nonzero((sims >= least - 1e-5) & ~full[:, None])
+            qs.append(left[r]), ns.append(ids[r, c].astype(np.int64))
+            left, now = left[full], now * 2
+        a, b = np.concatenate(qs), np.concatenate(ns)
+        ok = np.zeros(len(a), bool)
+        for i in range(0, len(a), 100_000):
+            ok[i : i + 100_000] = np.einsum("kd,kd->k", q[a[i : i + 100_000]], self.exact[b[i : i + 100_000]]) >= least
+        a, b = a[ok], b[ok]
+        by = np.argsort(a, kind="stable")
+        return a[by], b[by], left
+
+    def all_links(self, q: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Each query and some of its linked nodes, all of them in the end, by exact products of blocks."""
+        for i in range(0, len(q), 256):
+            part = q[i : i + 256]
+            for j in range(0, len(self.exact), COLUMNS):
+                hit = part @ self.exact[j : j + COLUMNS].T >= least
+                for k in np.flatnonzero(hit.any(1)).tolist():
+                    yield i + k, j + np.flatnonzero(hit[k])
+
+    def search(self, q: np.ndarray, own: np.ndarray, weight: np.ndarray, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Queries (own: which node each is, -1: none) -> how many others each links with, by the nodes' weights; (query,
+        node) links that connect all that is linked; and how many links the audits looked for and found.
+
+        Audits compare some queries with all nodes, other than themselves; as long as less than `recall` of their links is
+        found, the beams of all widen. Links within what the search has connected already are counted, but not given.
+        """
         while True:
-            left = np.arange(len(q))
-            qs, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            now = beam
-            while len(left):
-                now = min(now, len(self.x))
-                ids, sims = self._beam(f[left], now)
-                full = (sims >= least - 1e-5).all(1) & (now < len(self.x))
-                r, c = np.nonzero((sims >= least - 1e-5) & ~full[:, None])
-                qs.append(left[r]), ns.append(ids[r, c].astype(np.int64))
-                left, now = left[full], now * 2
-            a, b = np.concatenate(qs), np.concatenate(ns)
-            ok = np.zeros(len(a), bool)
-            for i in range(0, len(a), 100_000):
-                ok[i : i + 100_000] = np.einsum("kd,kd->k", q[a[i : i + 100_000]], self.exact[b[i : i + 100_000]]) >= least
-            a, b = a[ok], b[ok]
-            there = sum(map(len, want))
-            found = sum(np.isin(w, b[a == k]).sum() for k, w in zip(audit.tolist(), want, strict=True))
-            if beam >= len(self.x) or found >= recall * there:
-                return a, b
+            a, b, dense = self.found(q, least, beam)
+            other = b != own[a]
+            a, b = a[other], b[other]
+            rng = np.random.default_rng(len(q))
+            linked, alone = np.unique(a), np.setdiff1d(np.arange(len(q)), np.concatenate([a, dense]))
+            audit = np.concatenate([rng.permutation(linked)[:AUDITS], rng.permutation(alone)[:AUDITS]])
+            there = there_found = 0
+            for k, nodes in self.all_links(q[audit], least):
+                nodes = nodes[nodes != own[audit[k]]]
+                there += len(nodes)
+                there_found += int(np.isin(nodes, b[np.searchsorted(a, audit[k]) : np.searchsorted(a, audit[k], "right")]).sum())
+            if there_found >= recall * there or beam >= min(WIDE, len(self.x)):
+                break
             beam *= 2
+        count = np.zeros(len(q), np.int64)
+        label = np.arange(len(self.x))
+        src: list[np.ndarray] = []
+        dst: list[np.ndarray] = []
+
+        def link(k: int, nodes: np.ndarray) -> None:
+            count[k] += weight[nodes].sum()
+            roots, first = np.unique(label[nodes], return_index=True)
+            if own[k] >= 0:
+                first = first[roots != label[own[k]]]
+                roots = np.append(roots, label[own[k]])
+            if len(first):
+                src.append(np.full(len(first), k)), dst.append(nodes[first])
+            if len(set(roots.tolist())) > 1:
+                low = roots.min()
+                for i in range(0, len(roots), 4096):
+                    label[np.isin(label, roots[i : i + 4096])] = low
+
+        begin = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(a)], strict=False):
+            link(int(a[i]), b[i:j])
+        for k, nodes in self.all_links(q[dense], least):
+            nodes = nodes[nodes != own[dense[k]]]
+            if len(nodes):
+                link(int(dense[k]), nodes)
+        none = [np.zeros(0, np.int64)]
+        return count, np.concatenate(src or none), np.concatenate(dst or none), np.array([there, there_found])
 
     def dump(self) -> bytes:
         out = io.BytesIO()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandlake.llm import common, embedding, lm, mixing, quality
+from strandlake.llm import common, embedding, hnsw, lm, mixing, quality
 from strandlake.llm.hnsw import Graph
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -133,14 +133,40 @@ def test_embedding_links_against_brute_force(spark):
     assert embedding.link_vectors(df.where("false")).collect() == []
 
 
-def test_graph_recall_and_beams_wider_than_the_first():
+def test_graph_recall_and_beams_wider_than_the_first(monkeypatch):
     rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal(size=32) + rng.normal(scale=0.12, size=(n, 32)) for n in (400, 150, 3)] + [rng.normal(size=(1500, 32))])
+    x = np.vstack([rng.normal(size=32) + rng.normal(scale=s, size=(n, 32)) for n, s in ((400, 0.09), (150, 0.12), (3, 0.12))] + [rng.normal(size=(1500, 32))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = Graph.load(Graph(x).dump())
-    a, b = g.search(x, 0.95, 16, 0.995, np.arange(0, len(x), 16))
     want = x @ x.T >= 0.95
-    assert want[a, b].all() and len(a) == len(set(zip(a.tolist(), b.tolist(), strict=True))) and len(a) >= 0.99 * want.sum()
+    np.fill_diagonal(want, False)
+    a, b, dense = g.found(x, 0.95, 16)
+    assert not len(dense) and want[a[a != b], b[a != b]].all() and len(a) == len(set(zip(a.tolist(), b.tolist(), strict=True))) and (a != b).sum() >= 0.99 * want.sum()
+    weight = np.arange(len(x))
+    for wide in (1024, 64):  # with the second, dense queries are compared with all nodes
+        monkeypatch.setattr(hnsw, "WIDE", wide)
+        count, src, dst, (there, seen) = g.search(x, np.arange(len(x)), weight, 0.95, 16, 0.995)
+        assert there >= 6 and seen >= 0.99 * there
+        assert abs(count - want @ weight).sum() <= 0.01 * (want @ weight).sum() and len(src) < len(x)
+        linked = lambda s, d: sorted(map(sorted, components_of(len(x), s, d)))
+        assert want[src, dst].all() and linked(src, dst) == linked(*np.nonzero(want))
+
+
+def components_of(n, src, dst):
+    up = list(range(n))
+
+    def root(a):
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    for a, b in zip(src.tolist(), dst.tolist(), strict=True):
+        up[root(a)] = root(b)
+    groups = collections.defaultdict(list)
+    for k in range(n):
+        groups[root(k)].append(k)
+    return groups.values()
 
 
 def test_mixing(spark):
