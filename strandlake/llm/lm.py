@@ -5,10 +5,10 @@ from __future__ import annotations
 import base64
 import math
 import os
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ SMOOTH = 4.0
 #: A document's tokens are stored in runs of so many; so many are held at a time, and so many are a step of training.
 RUN, HELD, STEP, RATE, SEED = 65_536, 262_144, 8192, 0.05, 5
 _BEGIN, _PAD, _END = CLASSES, CLASSES + 1, 0
-_CACHE, _SLICE = 200_000, 2 << 20
+_CACHE, _SLICE = 400_000, 2 << 20
 #: Cells of a block of counts; tasks whose parameters are averaged at once.
 _BLOCK, _FAN = 1 << 16, 512
 _HIDDEN = np.float32(-1e9)
@@ -39,12 +39,12 @@ _HIDDEN = np.float32(-1e9)
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """A byte-level BPE from a file of ranks. Each word is one piece, so the pattern takes everything."""
+    """A byte-level BPE from a file of ranks. A piece is a space and what follows it up to the next."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), max(ranks.values())
+    return tiktoken.Encoding("words", pat_str=r" [^ ]*", mergeable_ranks=ranks, special_tokens={}), max(ranks.values())
 
 
 def shipped(path: str) -> str:
@@ -52,10 +52,21 @@ def shipped(path: str) -> str:
     return SparkFiles.get(os.path.basename(path))
 
 
-def subwords(words: list[bytes], path: str) -> list[list[int]]:
-    """Ids from 1 of each word with a space before it; 0 is left for the end."""
-    encode = tokenizer(path)[0].encode_ordinary
-    return [[i + 1 for i in encode(" " + w.decode("utf-8", "replace"))] for w in words]
+@lru_cache(maxsize=2)
+def _begins(path: str) -> np.ndarray:
+    """Which ids from 1 are of tokens that begin with a space."""
+    encoding, most = tokenizer(path)
+    return np.array([False] + [encoding.decode_single_token_bytes(k)[:1] == b" " for k in range(most + 1)])
+
+
+def subwords(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids from 1 of each word with a space before it, end to end, and each word's number of them; 0 is left for the end.
+
+    Words hold no space of ASCII, so all are encoded at once, a piece each, and a token with a space begins a word.
+    """
+    ids = np.array(tokenizer(path)[0].encode_ordinary("".join([" " + w.decode("utf-8", "replace") for w in words])), np.int32) + 1
+    at = np.flatnonzero(_begins(path)[ids])
+    return ids, np.diff(np.append(at, len(ids)))
 
 
 def _kind(path: str) -> type:
@@ -443,18 +454,17 @@ def _subword_counts(words: DataFrame, path: str) -> np.ndarray:
     """Counts of subword ids over all training words; a row for each id, at most the vocabulary, reaches the driver."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
         local = shipped(path)
+        total = np.zeros(tokenizer(local)[1] + 2, np.int64)
         for b in batches:
-            cs = b.column(1).to_pylist()
-            for ids, c, w in zip(subwords(b.column(0).to_pylist(), local), cs, b.column(0).to_pylist(), strict=True):
-                if not w:
-                    total[_END] += c
-                    continue
-                for i in ids:
-                    total[i] += c
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["i", "c"])
+            words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
+            end = np.array([not w for w in words], bool)
+            total[_END] += int(c[end].sum())
+            ids, n = subwords([w for w in words if w], local)
+            total += np.bincount(ids, np.repeat(c[~end], n), len(total)).astype(np.int64)
+        found = np.flatnonzero(total)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["i", "c"])
 
     got = words.mapInArrow(work, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(tokenizer(path)[1] + 2)
@@ -462,6 +472,14 @@ def _subword_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
+class _Ids(dict):
+    """Words -> numbers by first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class _Words:
     """A task's words seen so far: subword ids and base scores of heavy ones (NaN for others), for numpy to gather."""
 
@@ -470,26 +488,21 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
+        self.ids = _Ids()
         self.base, self.start, self.count = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.subs = np.zeros(0, np.int32)
         self.names: list[bytes] = []
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            new = list(dict.fromkeys(w for w in words if w not in self.ids))
-        subs = subwords(new, self.path)
-        for w in new:
-            self.ids[w] = len(self.ids)
-        counts = np.fromiter(map(len, subs), np.int64, len(subs))
+        out = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        new = list(islice(self.ids, len(self.names), None))
+        subs, counts = subwords(new, self.path)
         self.start = np.concatenate([self.start, len(self.subs) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
-        self.subs = np.concatenate([self.subs, np.fromiter((i for s in subs for i in s), np.int32)])
+        self.subs = np.concatenate([self.subs, subs])
         self.base = np.concatenate([self.base, np.fromiter((self.heavy.get(w, math.nan) for w in new), float, len(new))])
         self.names += new
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        return out
 
     def sequences(self, w: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words of texts of these sizes, end to end -> subword ids, an end after each text, and each text's number of them."""

@@ -343,6 +343,15 @@ def test_values_leave_the_target_out():
         assert math.isclose(v[1, k], want, rel_tol=1e-3)
 
 
+def test_words_are_encoded_alike_alone_and_together():
+    words = ["the", "Ünïcode", "a\u00a0b", "|", "x" * 300, "\u3000", "\x00", "\x1f", "<|endoftext|>", "日本語", "end"]
+    ids, n = lm.subwords([w.encode() for w in words], lm.TOKENIZER)
+    encode = lm.tokenizer(lm.TOKENIZER)[0].encode_ordinary
+    want = [[i + 1 for i in encode(" " + w)] for w in words]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == list(map(len, want))
+    assert [len(x) for x in lm.subwords([], lm.TOKENIZER)] == [0, 0]
+
+
 def test_training_takes_every_token_of_whole_texts_once(spark):
     rng = random.Random(14)
     texts = {i: prose(rng, n) for i, n in enumerate((1, 12, 13, 700, 1100, 90_000))} | {10: "", 11: None}
@@ -353,7 +362,7 @@ def test_training_takes_every_token_of_whole_texts_once(spark):
     m = lm.Model(lm.TOKENIZER, *lm.classes_of(1.0 * np.arange(lm.tokenizer(lm.TOKENIZER)[1] + 2)))
     want = collections.Counter()
     for t in texts.values():
-        want.update(m.of[[i for ids in lm.subwords((t or "").encode().lower().split(), lm.TOKENIZER) for i in ids] + [0]].tolist())
+        want.update(m.of[[*lm.subwords((t or "").encode().lower().split(), lm.TOKENIZER)[0].tolist(), 0]].tolist())
     seen = collections.Counter()
     batches = got.where("run is not null").select("skip", "run").toArrow().to_batches()
     for t in lm.laid(iter(batches), m, kind):
@@ -379,7 +388,7 @@ def test_counts_and_training_are_those_of_all_runs(spark):
     spark.sparkContext.addFile(lm.TOKENIZER)
     runs = lm.gather(docs(spark, texts).select("doc_id", "text").repartition(5), lm.TOKENIZER).where("run is not null").select("skip", "run")
     counts = np.zeros(lm.tokenizer(lm.TOKENIZER)[1] + 2)
-    seqs = [[i for ids in lm.subwords(t.encode().lower().split(), lm.TOKENIZER) for i in ids] + [0] for _, t in texts]
+    seqs = [[*lm.subwords(t.encode().lower().split(), lm.TOKENIZER)[0].tolist(), 0] for _, t in texts]
     for s in seqs:
         np.add.at(counts, s, 1)
     m = lm.learn(runs, counts, lm.TOKENIZER)
