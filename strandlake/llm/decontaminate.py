@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,10 @@ from . import common
 
 #: Edits that an item of 5 words bears: one; in general a fifth of its words (a similarity of 0.8).
 SIMILARITY = 0.8
-#: Repetitions, sampled steps in each, words over which a repetition samples, seed.
-REPEATS, SAMPLED, SPAN, SEED = 12, 2, 10, 11
+#: Recall that repetitions are computed for at an item's most edits, sampled steps of a repetition, steps that the first of them is one of, seed.
+RECALL, SAMPLED, NEAR, SEED = 0.97, 2, 6, 11
+#: Edited copies on which the recall of so many repetitions is measured, and repetitions at most.
+_TRIALS, _MOST = 400, 200
 #: Items and words that are broadcast at once (a table of one byte for each pair); more items go in further passes.
 BLOCK_ITEMS, BLOCK_WORDS = 2_000, 50_000
 _ENDS = ".,;:!?\"'()[]{}<>*#|%&$_-"
@@ -70,7 +73,6 @@ class Index:
     ids: dict[bytes, int]
     names: list[int]
     words: list[list[int]]
-    bits: np.ndarray
     first: np.ndarray
     begin: np.ndarray
     order: np.ndarray
@@ -83,45 +85,105 @@ class Index:
     has: np.ndarray
 
 
-def build(items: list[tuple[int, list[bytes]]], repeats: int = REPEATS, sampled: int = SAMPLED, seed: int = SEED) -> Index:
-    """Each repetition embeds an item from an offset of its own, so that an edited word breaks few of them.
+_A, _B, _C, _D, _FULL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, (1 << 64) - 1
+
+
+def _bit(rep: int, step: int, word: int) -> int:
+    """Whether the walk of a repetition moves on at a step when it stands on a word."""
+    h = (word * _A + rep * _B + step * _C) & _FULL
+    return ((h ^ h >> 29) * _D & _FULL) >> 40 & 1
+
+
+def _bits(rep: np.ndarray, step: int, word: np.ndarray) -> np.ndarray:
+    h = word.astype(np.uint64) * np.uint64(_A) + rep.astype(np.uint64) * np.uint64(_B) + np.uint64(step * _C & _FULL)
+    return (((h ^ (h >> np.uint64(29))) * np.uint64(_D)) >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+
+
+def _entry(c: list[int], offset: int, rep: int, sampled: int) -> tuple[list[int], list[int]]:
+    """Steps that a repetition samples over the item from an offset on, and what the walk writes there (-1: the item has ended).
+
+    The first is one of the NEAR first steps, so that most walks that begin like it by chance end soon; the others are
+    any later ones of the whole walk.
+    """
+    rng = np.random.default_rng([SEED, rep, len(c), offset])
+    n = len(c)
+    steps = np.arange(1, 2 * (n - offset))
+    at = [int(rng.choice(steps[:NEAR]))] if len(steps) else []
+    rest = steps[steps > at[0]] if at else steps
+    at += sorted(rng.choice(rest, size=min(sampled - 1, len(rest)), replace=False).tolist())
+    at += [at[-1] if at else 0] * (sampled - len(at))
+    k, written = offset, []
+    for j in range(at[-1] + 1):
+        w = c[k] if k < n else -1
+        written.append(w)
+        k += 1 if w < 0 else _bit(rep, j, w)
+    return at, [written[j] for j in at]
+
+
+def _offsets(n: int) -> int:
+    """Offsets that repetitions may begin at: the first half of an item and the word in its middle."""
+    return max(1, n - n // 2)
+
+
+def _index(items: list[list[int]], entries: list[tuple[int, int, int]], words: int, sampled: int, ids: dict, names: list[int]) -> Index:
+    got = [(*e, *_entry(items[e[0]], e[1], e[2], sampled)) for e in entries]
+    first = np.array([items[i][o] for i, o, *_ in got], np.int64)
+    tokens = np.bincount(first, minlength=words)
+    has = np.zeros((len(items), words), bool)
+    for i, c in enumerate(items):
+        has[i, c] = True
+    columns = [np.array([g[k] for g in got], np.int64) for k in range(3)]
+    return Index(ids, names, items, tokens, np.concatenate([[0], np.cumsum(tokens)]), np.argsort(first, kind="stable"), *columns[:2], columns[2], np.array([g[3] for g in got], np.int64).reshape(-1, sampled), np.array([g[4] for g in got], np.int64).reshape(-1, sampled), np.array([len(c) for c in items], np.int64), has)
+
+
+@lru_cache(maxsize=4096)
+def repetitions(n: int, most: int, recall: float = RECALL, sampled: int = SAMPLED) -> int:
+    """How many repetitions an item of n words needs, so that a run with `most` edits is a candidate with this probability.
+
+    Measured on edited copies of an item of n different words: words are changed, dropped or added at random places.
+    Repetitions take offsets in a random order, so this holds for whichever offsets an item prefers.
+    """
+    rng = np.random.default_rng([SEED, n, most])
+    item = list(range(2, n + 2))
+    texts = []
+    for _ in range(_TRIALS):
+        t = list(item)
+        for kind in rng.integers(0, 3, most):
+            k = int(rng.integers(0, max(1, len(t))))
+            t[k : k + int(kind < 2)] = [0] * int(kind != 1)
+        texts.append([0] + t + [0] * (n + 2))
+    missing = np.arange(_TRIALS)
+    order = np.concatenate([rng.permutation(_offsets(n)) for _ in range(-(-_MOST // _offsets(n)))])
+    done = 0
+    while done < _MOST and len(missing) > (1 - recall) * _TRIALS:
+        more = max(1, min(done, 8))
+        ix = _index([item], [(0, int(order[r]), r) for r in range(done, min(done + more, _MOST))], n + 2, sampled, {}, [0])
+        x = np.concatenate([np.array([*texts[k], _PAD]) for k in missing])
+        begins = np.cumsum([0] + [len(texts[k]) + 1 for k in missing])
+        pos, _ = _candidates(x, ix)
+        missing = np.delete(missing, np.unique(np.searchsorted(begins, pos, side="right") - 1))
+        done += more
+    return min(done, _MOST)
+
+
+def build(items: list[tuple[int, list[bytes]]], similarity: float = SIMILARITY, recall: float = RECALL, sampled: int = SAMPLED) -> Index:
+    """Each repetition embeds an item from an offset of its own to its end, so that an edited word breaks few of them.
 
     CGK: at step j the walk writes the word that it stands on and moves on if a random bit of (repetition, step, word)
     says so; equal runs write equal words, and after an edit two walks meet again. A repetition's key holds the words
-    at step 0 and at `sampled` random steps. Offsets prefer long words, which few windows begin with.
+    at step 0 and at `sampled` random steps of the whole walk over the item. Offsets prefer long words, which few
+    windows begin with. An item gets as many repetitions as repetitions() finds for its size.
     """
-    rng = np.random.default_rng(seed)
+    rng = np.random.default_rng(SEED)
     ids: dict[bytes, int] = {}
     coded = [[ids.setdefault(w, len(ids) + 2) for w in ws] for _, ws in items]
-    bits = rng.integers(0, 1 << 63, (repeats, len(ids) + 2), dtype=np.int64)
     count = np.bincount(np.concatenate([np.unique(c) for c in coded] or [np.zeros(0, int)]).astype(int), minlength=len(ids) + 2)
-    item, offset, rep, steps, keys, first = [], [], [], [], [], []
+    entries = []
     for i, c in enumerate(coded):
-        n = len(c)
-        last = max(1, n - min(SPAN // 2, n // 2))
         # Long words first, which are rare in any text, then those that few items have.
-        chosen = sorted(range(last), key=lambda o: (-len(items[i][1][o]), count[c[o]], rng.random()))[:repeats]
-        for r in range(repeats):
-            o = chosen[r % len(chosen)]
-            span = min(n - o, SPAN)
-            at = np.sort(rng.choice(np.arange(1, 2 * span), size=min(sampled, 2 * span - 1), replace=False)) if span > 1 else np.zeros(0, int)
-            at = np.concatenate([at, np.full(sampled - len(at), at[-1] if len(at) else 0)]).astype(int)
-            k, written = o, []
-            for j in range(int(at[-1]) + 1 if len(at) else 1):
-                w = c[k] if k < n else -1
-                written.append(w)
-                k += int(w < 0 or bits[r, w] >> (j % 63) & 1)
-            item.append(i), offset.append(o), rep.append(r), steps.append(at)
-            # -1: the item has ended there; whatever the document has matches.
-            keys.append([written[j] for j in at]), first.append(c[o])
-    has = np.zeros((len(coded), len(ids) + 2), bool)
-    for i, c in enumerate(coded):
-        has[i, c] = True
-    first_a = np.array(first, np.int64)
-    order = np.argsort(first_a, kind="stable") if len(first_a) else np.zeros(0, np.int64)
-    tokens = np.bincount(first_a, minlength=len(ids) + 2)
-    begin = np.concatenate([[0], np.cumsum(tokens)])
-    return Index(ids, [k for k, _ in items], coded, bits, tokens, begin, order, np.array(item, np.int64), np.array(offset, np.int64), np.array(rep, np.int64), np.array(steps, np.int64).reshape(-1, sampled), np.array(keys, np.int64).reshape(-1, sampled), np.array([len(c) for c in coded], np.int64), has)
+        chosen = sorted(range(_offsets(len(c))), key=lambda o: (-len(items[i][1][o]), count[c[o]], rng.random()))
+        entries += [(i, chosen[r % len(chosen)], r) for r in range(repetitions(len(c), int((1 - similarity) * len(c) + 1e-9), recall, sampled))]
+    return _index(coded, entries, len(ids) + 2, sampled, ids, [k for k, _ in items])
 
 
 def _candidates(x: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +216,7 @@ def _candidates(x: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
             pos, entry, walk, k, now = pos[~full], entry[~full], walk[~full], k[~full], now[~full]
         if not len(pos):
             break
-        walk = np.minimum(walk + (ix.bits[ix.rep[entry], now] >> (j % 63) & 1), len(x) - 1)
+        walk = np.minimum(walk + _bits(ix.rep[entry], j, now), len(x) - 1)
     if not done_pos:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(done_pos), np.concatenate(done_entry)
@@ -240,7 +302,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     schema = "doc_id long, item_id long, edits int, start_word int, n_words int"
     out = None
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(build(block))
+        shared = spark.sparkContext.broadcast(build(block, similarity))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cache: dict[bytes, int] = {}
@@ -264,7 +326,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     at = docs.columns.index("text")
     out = docs
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(build(block))
+        shared = spark.sparkContext.broadcast(build(block, similarity))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cache: dict[bytes, int] = {}
