@@ -178,9 +178,9 @@ def fraction(s: Column, signs: str) -> Column:
 
 
 def gc_at(s: Column, place: int) -> Column:
-    """GC fraction of the codons' base 1, 2 or 3, over whole codons."""
-    bases = F.array_join(F.transform(triplets(s), lambda c: F.substr(c, F.lit(place), F.lit(1))), "")
-    return fraction(bases, "GC")
+    """GC fraction of every third base from place 1, 2 or 3 on, those of an incomplete last codon among them."""
+    lead = F.substr(s, F.lit(place))
+    return fraction(F.regexp_replace(lead, "(.)..?", "$1"), "GC")
 
 
 def longest_homopolymer(s: Column) -> Column:

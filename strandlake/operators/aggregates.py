@@ -122,6 +122,13 @@ def geometry(df: DataFrame, group: list[str], pos: str = "pos") -> DataFrame:
     return out.withColumn("end_to_end", F.sqrt(d)).drop("a", "b")
 
 
+def distances_to_centroid(df: DataFrame, group: str) -> DataFrame:
+    """Points (x, y, z) with their group's centroid (cx, cy, cz) and their Euclidean distance from it."""
+    c = df.groupBy(group).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"))
+    d = sum((F.pow(F.col(k) - F.col(f"c{k}"), 2) for k in "xyz"), F.lit(0.0))
+    return df.join(c, group).withColumn("distance", F.sqrt(d))
+
+
 def distance_rmsd(df: DataFrame, group: list[str], pos: str = "pos") -> DataFrame:
     """Points (x, y, z) and (x2, y2, z2) at equal places: root mean square difference of their pair distances."""
     a = df.select(*group, F.col(pos).alias("i"), *[F.col(c).alias(f"{c}_i") for c in ("x", "y", "z", "x2", "y2", "z2")])

@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, kept in the shared folder; only where spark.checkpoint.dir is unset (tests) in a new local one."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
+    return df.checkpoint()
+
+
 def depths(edges: DataFrame, root: object, most: int = 1000) -> DataFrame:
     """src -> dst edges: each node that the root reaches with its least depth, breadth first.
 
     Frontiers are kept in the shared folder, so no lineage grows; a step costs one join with the edges.
     """
     spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
     kind = dict(edges.dtypes)["dst"]
-    front = spark.range(1).select(F.lit(root).cast(kind).alias("node"), F.lit(0).alias("depth")).checkpoint()
+    front = checkpointed(spark.range(1).select(F.lit(root).cast(kind).alias("node"), F.lit(0).alias("depth")))
     seen = front
     for step in range(1, most):
         nxt = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")

@@ -35,6 +35,53 @@ def byte_range(lines: DataFrame, file: str, index: str, text: str, world: int, w
     return lines.withColumn("_f", first).withColumn("_t", total).withColumn("part", F.floor(((F.col("_f") + 1) * n - 1) / F.col("_t")).cast("int")).drop("_f", "_t")
 
 
+def file_shard_from(lines: DataFrame, file: str, index: str, text: str, world: int, workers: int, start_fraction: float) -> DataFrame:
+    """Lines whose first byte is at or after this fraction of their file, with part: files by rank, the lines left by worker."""
+    if not 0 <= start_fraction < 1:
+        raise ValueError("start_fraction is at least 0 and below 1")
+    size = F.octet_length(text) + 1
+    w = Window.partitionBy(file)
+    first = F.coalesce(F.sum(size).over(w.orderBy(index).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = lines.withColumn("_f", first).withColumn("_t", F.sum(size).over(w)).where(F.col("_f") >= F.floor(F.col("_t") * start_fraction)).drop("_f", "_t")
+    line = F.row_number().over(w.orderBy(index)) - 1
+    return left.withColumn("part", (F.pmod(F.col(file), F.lit(world)) * workers + F.pmod(line, F.lit(workers))).cast("int"))
+
+
+READERS = ("line-stride", "file-shard", "byte-range")
+
+
+def dealt(lines: DataFrame, reader: str, file: str, index: str, text: str, world: int, workers: int, start_fraction: float = 0.0) -> DataFrame:
+    """Lines with their part, by the named reader. Only the file-shard reader can begin within a file."""
+    if reader not in READERS:
+        raise ValueError(f"unknown reader {reader}; one of {', '.join(READERS)}")
+    if start_fraction and reader != "file-shard":
+        raise ValueError("only the file-shard reader has a start_fraction")
+    if reader == "line-stride":
+        return line_stride(lines, index, world, workers)
+    if reader == "byte-range":
+        return byte_range(lines, file, index, text, world, workers)
+    return file_shard_from(lines, file, index, text, world, workers, start_fraction) if start_fraction else file_shard(lines, file, index, world, workers)
+
+
+def epochs(lines: DataFrame, part: str, index: str, partitions: int, seed: int, buffer: int, skip: int, cap: int | None, passes: int) -> DataFrame:
+    """What each part reads in `passes` passes: epoch, place (from 0, over all passes).
+
+    A pass is shuffled within runs of `buffer` lines, by a hash that the seed, the part and the pass pick. The global skip
+    is split over parts and applied after the shuffle, then the global cap.
+    """
+    from ..functions.hashing import sha256
+    from ..operators.topk import ceil_share, share
+
+    every = lines.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    block = F.floor((F.row_number().over(Window.partitionBy(part, "epoch").orderBy(index)) - 1) / buffer)
+    drawn = sha256(F.concat((F.lit(seed) + F.col(part) + F.col("epoch") * partitions).cast("string"), F.lit(":"), F.col(index).cast("string")))
+    n = F.row_number().over(Window.partitionBy(part).orderBy("epoch", "_block", "_draw"))
+    left = F.element_at(F.array(*[F.lit(share(skip, p, partitions)) for p in range(partitions)]), (F.col(part) + 1).cast("int"))
+    rows = every.withColumn("_block", block).withColumn("_draw", drawn).withColumn("place", (n - 1 - left).cast("long")).where("place >= 0")
+    rows = rows if cap is None else rows.where(F.col("place") < ceil_share(cap, partitions))
+    return rows.drop("_block", "_draw")
+
+
 def check_partitions(files: int, world: int, reader: str) -> None:
     """A file-shard reader with fewer files than ranks would starve some."""
     if reader == "file-shard" and files < world:
