@@ -16,7 +16,7 @@ from . import common
 #: Edits that an item of 5 words bears: one; in general a fifth of its words (a similarity of 0.8).
 SIMILARITY = 0.8
 #: Recall that repetitions are computed for at an item's most edits, sampled steps of a repetition, steps that the first of them is one of, seed.
-RECALL, SAMPLED, NEAR, SEED = 0.97, 2, 6, 11
+RECALL, SAMPLED, NEAR, SEED = 0.98, 2, 6, 11
 #: Edited copies on which the recall of so many repetitions is measured, and repetitions at most.
 _TRIALS, _MOST = 400, 200
 #: Items and words that are broadcast at once (a table of one byte for each pair); more items go in further passes.
@@ -120,9 +120,11 @@ def _entry(c: list[int], offset: int, rep: int, sampled: int) -> tuple[list[int]
     return at, [written[j] for j in at]
 
 
-def _offsets(n: int) -> int:
-    """Offsets that repetitions may begin at: the first half of an item and the word in its middle."""
-    return max(1, n - n // 2)
+def _offsets(n: int) -> tuple[int, int]:
+    """Offsets that repetitions may begin at (the first half of an item and the word in its middle), and how many of them an
+    item uses: the half whose words few windows begin with, three at least if there are."""
+    within = max(1, n - n // 2)
+    return within, min(within, max(3, -(-within // 2)))
 
 
 def _index(items: list[list[int]], entries: list[tuple[int, int, int]], words: int, sampled: int, ids: dict, names: list[int]) -> Index:
@@ -141,7 +143,7 @@ def repetitions(n: int, most: int, recall: float = RECALL, sampled: int = SAMPLE
     """How many repetitions an item of n words needs, so that a run with `most` edits is a candidate with this probability.
 
     Measured on edited copies of an item of n different words: words are changed, dropped or added at random places.
-    Repetitions take offsets in a random order, so this holds for whichever offsets an item prefers.
+    Repetitions take a random choice of offsets in turn, so this holds for whichever offsets an item prefers.
     """
     rng = np.random.default_rng([SEED, n, most])
     item = list(range(2, n + 2))
@@ -153,7 +155,8 @@ def repetitions(n: int, most: int, recall: float = RECALL, sampled: int = SAMPLE
             t[k : k + int(kind < 2)] = [0] * int(kind != 1)
         texts.append([0] + t + [0] * (n + 2))
     missing = np.arange(_TRIALS)
-    order = np.concatenate([rng.permutation(_offsets(n)) for _ in range(-(-_MOST // _offsets(n)))])
+    within, used = _offsets(n)
+    order = np.resize(rng.permutation(within)[:used], _MOST)
     done = 0
     while done < _MOST and len(missing) > (1 - recall) * _TRIALS:
         more = max(1, min(done, 8))
@@ -181,7 +184,8 @@ def build(items: list[tuple[int, list[bytes]]], similarity: float = SIMILARITY,
     entries = []
     for i, c in enumerate(coded):
         # Long words first, which are rare in any text, then those that few items have.
-        chosen = sorted(range(_offsets(len(c))), key=lambda o: (-len(items[i][1][o]), count[c[o]], rng.random()))
+        within, used = _offsets(len(c))
+        chosen = sorted(range(within), key=lambda o: (-len(items[i][1][o]), count[c[o]], rng.random()))[:used]
         entries += [(i, chosen[r % len(chosen)], r) for r in range(repetitions(len(c), int((1 - similarity) * len(c) + 1e-9), recall, sampled))]
     return _index(coded, entries, len(ids) + 2, sampled, ids, [k for k, _ in items])
 
