@@ -85,3 +85,14 @@ def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str]) -
 def short_ids(df: DataFrame, order: list[str], prefix: str = "c", digits: int = 3) -> DataFrame:
     """short_id: prefix and a number from 0 in order. For batches that go to an external tool as a whole."""
     return df.withColumn("short_id", F.concat(F.lit(prefix), F.lpad((F.row_number().over(Window.orderBy(*order)) - 1).cast("string"), digits, "0")))
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with name: each row's place in the order, from one. Ranges of the order are counted, and rows are numbered within
+    their range, so no task sees all rows. The order should be unique; ties are open."""
+    from .graph import checkpointed
+
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
+    base = counts.select("_p", "_first", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # one row a range
+    return ranged.join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + F.col("_i") - F.col("_first") + 1).drop("_p", "_i", "_first", "_base")

@@ -120,7 +120,7 @@ def fn09(spark, d):
 _GC = "(length({x}) - length(translate({x}, 'GC', '')))::DOUBLE / nullif(length({x}), 0)"
 
 
-@query("fn10_gc", f"WITH {S}, p AS (SELECT doc_id, nt, " + ", ".join(f"array_to_string(list_transform(range({k}, 255, 3), lambda i: substr(nt, i + 1, 1)), '') AS b{k + 1}" for k in range(3)) + " FROM s) SELECT doc_id, " + _GC.format(x="nt") + " AS gc, " + ", ".join(_GC.format(x=f"b{k}") + f" AS gc{k}" for k in (1, 2, 3)) + " FROM p")
+@query("fn10_gc", f"WITH {S}, p AS (SELECT doc_id, nt, " + ", ".join(f"array_to_string(list_transform(range({k}, 256, 3), lambda i: substr(nt, i + 1, 1)), '') AS b{k + 1}" for k in range(3)) + " FROM s) SELECT doc_id, " + _GC.format(x="nt") + " AS gc, " + ", ".join(_GC.format(x=f"b{k}") + f" AS gc{k}" for k in (1, 2, 3)) + " FROM p")
 def fn10(spark, d):
     return sequences(spark, d).select("doc_id", fn.fraction(F.col("nt"), "GC").alias("gc"), *[fn.gc_at(F.col("nt"), k).alias(f"gc{k}") for k in (1, 2, 3)])
 

@@ -8,30 +8,65 @@ from pyspark.sql import functions as F
 SUFFIXES = ("fa", "fasta", "fna")
 
 
+def discovered(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
+    """file: sequence files at or below the paths, each once however many paths lead to it. Suffixes count in any case."""
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in SUFFIXES) + "}"
+    both = "{" + f"{glob},{glob}.gz" + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", both).load(paths)
+    return files.select(F.col("path").alias("file")).distinct()
+
+
 def lines(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
-    """file, pos (an increasing number within a file), line. Files may be gzipped. Only file names end in SUFFIXES count.
+    """file, block, row (where a record stands in its file), text: a file's records, cut at line begins with '>' by Spark's own
+    reader, so large files are read by many tasks. Files may be gzipped. Only file names end in SUFFIXES count.
 
-    The order within a file is that of Spark's splits, which begin at growing bytes.
+    What stands before the first '>' is a row of its own, which doesn't begin with '>'.
     """
     glob = "*.{" + ",".join([*SUFFIXES, *(f"{s}.gz" for s in SUFFIXES)]) + "}"
-    df = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(paths)
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return df.select(F.col("_metadata.file_path").alias("file"), at.alias("pos"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    df = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(paths, lineSep="\n>")
+    # The reader takes the '>' away from all records but one at a file's very begin.
+    raw = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    first = F.min(F.struct("block", "row")).over(Window.partitionBy("file", "block"))
+    head = (F.col("block") == 0) & (F.struct("block", "row") == first) & ~F.col("value").startswith(">")
+    return raw.select("file", "block", "row", F.when(head, F.col("value")).when(F.col("value").startswith(">"), F.col("value")).otherwise(F.concat(F.lit(">"), "value")).alias("text"))
+
+
+def records(rows: DataFrame, comments: str | None = None) -> DataFrame:
+    """file, record (from one, in order of the file; 0 before the first header), header (null there), sequence (lines joined).
+
+    comments: lines that begin with one of these signs go. Records are numbered by counts of the reader's blocks and
+    places within a block, so no task sees a whole file.
+    """
+    text = F.col("text") if comments is None else F.regexp_replace("text", f"(?m)^[{comments}].*$", "")
+    named = F.col("text").startswith(">")
+    got = rows.select("file", "block", "row", named.alias("named"), text.alias("text"))
+    counts = got.groupBy("file", "block").agg(F.count_if("named").alias("n"))
+    base = counts.select("file", "block", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = F.sum(F.col("named").cast("int")).over(Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    head = F.when(F.col("named"), F.regexp_replace(F.substr(F.substring_index("text", "\n", 1), F.lit(2)), "\r$", ""))
+    body = F.when(F.col("named"), F.when(F.instr("text", "\n") > 0, F.regexp_replace("text", r"^[^\n]*\n", "")).otherwise("")).otherwise(F.col("text"))
+    placed = got.withColumn("within", within).join(base, ["file", "block"])
+    placed = placed.select("file", (F.col("base") + F.col("within")).alias("record"), head.alias("header"), F.regexp_replace(body, r"\s", "").alias("sequence"))
+    return placed.where("header is not null or sequence <> ''")
+
+
+def raw(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Records as they stand, without any change to their letters."""
+    return records(lines(spark, paths))
 
 
-def records(rows: DataFrame) -> DataFrame:
-    """file, record (from one, in order of the file), header (null before the first one), sequence (lines joined)."""
-    order = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    held = rows.withColumn("record", F.sum(F.col("line").startswith(">").cast("int")).over(order))
-    head = F.max(F.when(F.col("line").startswith(">"), F.substr("line", F.lit(2)))).alias("header")
-    body = F.sort_array(F.collect_list(F.when(~F.col("line").startswith(">"), F.struct("pos", F.regexp_replace("line", r"\s", "").alias("s")))))
-    got = held.groupBy("file", "record").agg(head, F.array_join(F.transform(body, lambda x: x["s"]), "").alias("sequence"))
-    return got
+def single(spark: SparkSession, path: str) -> str:
+    """The one sequence of a file; several records or none are an error. For small files: it is read to the driver."""
+    got = raw(spark, path).select("sequence").limit(2).collect()
+    if len(got) != 1:
+        raise ValueError(f"{path} holds no single record")
+    return got[0][0]
 
 
 def tolerant(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file_index (from one, by path), record, sequence: upper case, U as T; a body before any header is kept, empty ones go."""
-    got = records(lines(spark, paths)).withColumn("sequence", F.translate(F.upper("sequence"), "U", "T")).where("sequence <> ''")
+    got = raw(spark, paths).withColumn("sequence", F.translate(F.upper("sequence"), "U", "T")).where("sequence <> ''")
+    # One row a file: the order over all files is small.
     index = got.select("file").distinct().withColumn("file_index", F.row_number().over(Window.orderBy("file")))
     return got.join(index, "file").select("file_index", "file", "record", "sequence")
 
@@ -47,7 +82,7 @@ def strict_faults(rows: DataFrame) -> DataFrame:
 
 def strict(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """record_id, description, sequence; comment lines (# and ;) go; any fault is an error when rows are read."""
-    rows = records(lines(spark, paths).where(~F.col("line").rlike("^[#;]")))
+    rows = records(lines(spark, paths), "#;")
     faults = strict_faults(rows).agg(F.first(F.concat_ws(": ", "fault", "record_id")).alias("_fault"))
     good = rows.where("header is not null")
     ok = F.when(F.col("_fault").isNotNull(), F.raise_error(F.col("_fault"))).otherwise(F.split("header", r"\s+")[0])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
@@ -60,17 +63,100 @@ def flattened(df: DataFrame, key: list[str], array: str, fields: list[str]) -> D
     return rows.select(*key, (F.col("_p") + 1).alias("place"), *map(text, fields))
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_published(df: DataFrame, path: str, checks: DataFrame) -> None:
-    """Writes a run beside its place and moves it there only if no check failed."""
+    """Writes a run beside its place and moves it there only if no check failed. A run that is there goes aside first, and
+    only when the new one is in its place is it deleted; a move that fails is an error and puts it back."""
     spark = df.sparkSession
-    beside = f"{path}.pending"
-    df.write.mode("overwrite").parquet(beside)
+    new, fs = _path(spark, f"{path}.pending")
+    df.write.mode("overwrite").parquet(f"{path}.pending")
     bad = checks.where("status = 'fail'").count()
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    at = hadoop.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if bad:
-        fs.delete(hadoop.Path(beside), True)
+        fs.delete(new, True)
         raise ValueError(f"{bad} checks failed; nothing was published")
-    fs.delete(at, True)
-    fs.rename(hadoop.Path(beside), at)
+    at, aside = _path(spark, path)[0], _path(spark, f"{path}.before")[0]
+    fs.delete(aside, True)
+    if fs.exists(at) and not fs.rename(at, aside):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, at):
+        fs.rename(aside, at)
+        raise OSError(f"{path} can't be put in place")
+    fs.delete(aside, True)
+
+
+def publish(df: DataFrame, folder: str, run: str) -> None:
+    """Writes folder/run with its manifest (rows, columns), then points folder/LATEST to it."""
+    spark = df.sparkSession
+    df.write.parquet(f"{folder}/{run}/rows")
+    stored = spark.read.parquet(f"{folder}/{run}/rows")
+    write_document(spark, f"{folder}/{run}/manifest.json", {"rows": stored.count(), "columns": df.columns})
+    write_document(spark, f"{folder}/LATEST", {"run": run})
+
+
+def latest(spark: SparkSession, folder: str, run: str | None = None) -> DataFrame:
+    """The rows of the named run, or of that which LATEST points to; rows that differ from the manifest are an error."""
+    run = run or json.loads(read_document(spark, f"{folder}/LATEST"))["run"]
+    stated = json.loads(read_document(spark, f"{folder}/{run}/manifest.json"))
+    rows = spark.read.parquet(f"{folder}/{run}/rows")
+    if rows.columns != stated["columns"] or rows.count() != stated["rows"]:
+        raise ValueError(f"{run} differs from its manifest")
+    return rows
+
+
+def write_document(spark: SparkSession, path: str, document: dict) -> None:
+    """A small JSON document (sorted keys), written beside its place and moved there."""
+    new, fs = _path(spark, f"{path}.pending")
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps(document, sort_keys=True).encode()))
+    out.close()
+    at = _path(spark, path)[0]
+    fs.delete(at, False)
+    if not fs.rename(new, at):
+        raise OSError(f"{path} can't be put in place")
+
+
+def read_document(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def supersede(spark: SparkSession, path: str, document: dict) -> None:
+    """Writes a document; one that is there and differs is kept as path.versions/<SHA-256 of its content>.json."""
+    at, fs = _path(spark, path)
+    if fs.exists(at):
+        old = read_document(spark, path)
+        if old != json.dumps(document, sort_keys=True):
+            name = hashlib.sha256(old.encode()).hexdigest()
+            write_document(spark, f"{path}.versions/{name}.json", json.loads(old))
+    write_document(spark, path, document)
+
+
+def write_documents(df: DataFrame, key: str, root: str, name) -> None:
+    """A JSON document for each row, below root under the name that the key gives. For rows that a driver holds, such as runs."""
+    spark = df.sparkSession
+    for row in df.toLocalIterator():
+        fields = row.asDict(recursive=True)
+        write_document(spark, f"{root}/{name(fields.pop(key))}", fields)
+
+
+def write_vectors(df: DataFrame, path: str, key: str, vector: str) -> None:
+    """Vectors and a manifest of their number and width; vectors of several widths are an error."""
+    spark = df.sparkSession
+    df.select(key, vector).write.parquet(f"{path}/vectors")
+    stored = spark.read.parquet(f"{path}/vectors").agg(F.count("*").alias("rows"), F.min(F.size(vector)).alias("width"), F.max(F.size(vector)).alias("widest"))
+    ok = F.when(F.col("width") != F.col("widest"), F.raise_error(F.lit("vectors of several widths"))).otherwise(F.col("width"))
+    stored.select("rows", ok.alias("width")).write.json(f"{path}/manifest")
+
+
+def write_clean_splits(df: DataFrame, priority: list[str], path: str) -> DataFrame:
+    """clean_splits() as CSV by split, without what isn't kept, and a summary as JSON, which is returned: kept, within_split and
+    cross_split of each split."""
+    spark = df.sparkSession
+    rows = clean_splits(df, priority)
+    rows.where("status = 'kept'").drop("status").write.partitionBy("split").option("header", True).csv(f"{path}/rows")
+    kinds = ("kept", "within_split", "cross_split")
+    rows.groupBy("split").agg(*[F.count_if(F.col("status") == k).alias(k) for k in kinds]).write.json(f"{path}/summary")
+    return spark.read.schema("split string, " + ", ".join(f"{k} long" for k in kinds)).json(f"{path}/summary")

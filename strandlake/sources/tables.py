@@ -87,6 +87,48 @@ def regression_records(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("sequence", ok.alias("normalized"), F.col("label").cast("double").alias("label")).withColumn("sha256", F.sha2(F.col("normalized").cast("binary"), 256))
 
 
+def classification_records(spark: SparkSession, path: str) -> DataFrame:
+    """CSV of (sequence, label) or (sequence1, sequence2, label) -> first, second (null), label; another number of columns is an error."""
+    raw = spark.read.csv(path, header=True, mode="FAILFAST")
+    if len(raw.columns) not in (2, 3):
+        raise ValueError("two columns, or three for pairs")
+    *texts, label = raw.columns
+    return raw.select(F.col(texts[0]).alias("first"), (F.col(texts[1]) if len(texts) > 1 else F.lit(None).cast("string")).alias("second"), F.col(label).cast("int").alias("label"))
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Vectors with their manifest (sinks.write_vectors): a number of rows or a width that differs is an error."""
+    stated = spark.read.schema("rows long, width int").json(f"{path}/manifest").first()
+    rows = spark.read.parquet(f"{path}/vectors")
+    name = next(f.name for f in rows.schema if f.dataType.typeName() == "array")
+    if rows.count() != stated["rows"]:
+        raise ValueError("the manifest states another number of vectors")
+    ok = F.when(F.size(name) == stated["width"], F.col(name)).otherwise(F.raise_error(F.lit("a vector has another width than the manifest states")))
+    return rows.withColumn(name, ok)
+
+
+def dataset(spark: SparkSession, kind: str, path: str, order: str, validation_percent: int) -> DataFrame:
+    """A data set of a kind that Spark reads, with split: the first validation_percent of the rows in order are validation.
+
+    Places come from ranges of the order and counts of them, not from one task.
+    """
+    from ..operators.windows import numbered
+
+    rows = spark.read.format(kind).load(path)
+    total = rows.agg(F.count("*").alias("_total"))
+    placed = numbered(rows, [order], "_n").join(F.broadcast(total))  # one row
+    return placed.withColumn("split", F.when(F.col("_n") <= F.floor(F.col("_total") * validation_percent / 100), "validation").otherwise("train")).drop("_n", "_total")
+
+
+def resolved(spark: SparkSession, pattern: str) -> list[str]:
+    """The files of a pattern, sorted; a pattern that no file has is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        raise ValueError(f"no file matches {pattern}")
+    return sorted(f.getPath().toString() for f in found)
+
+
 def run_metrics(spark: SparkSession, root: str) -> DataFrame:
     """<model>-seed<k>/results/*/eval_results.json below root -> model, seed, metrics. A missing metric is an error."""
     names = ("eval_spearman_corr", "eval_pearson_corr", "eval_r2_score", "eval_mse_loss")
