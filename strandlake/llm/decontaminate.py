@@ -16,7 +16,7 @@ from . import common
 #: Edits that an item of 5 words bears: one; in general a fifth of its words (a similarity of 0.8).
 SIMILARITY = 0.8
 #: Recall that repetitions are computed for at an item's most edits, sampled steps of a repetition, steps that the first of them is one of, seed.
-RECALL, SAMPLED, NEAR, SEED = 0.98, 2, 6, 11
+RECALL, SAMPLED, NEAR, SEED = 0.99, 2, 6, 11
 #: Edited copies on which the recall of so many repetitions is measured, and repetitions at most.
 _TRIALS, _MOST = 400, 200
 #: Items and words that are broadcast at once (a table of one byte for each pair); more items go in further passes.
