@@ -17,8 +17,8 @@ from . import common
 SIMILARITY = 0.8
 #: Recall that repetitions are computed for at an item's most edits, sampled steps of a repetition, steps that the first of them is one of, seed.
 RECALL, SAMPLED, NEAR, SEED = 0.99, 2, 6, 11
-#: Edited copies on which the recall of so many repetitions is measured, and repetitions at most.
-_TRIALS, _MOST = 400, 200
+#: Items and edited copies on which the recall of so many repetitions is measured, and repetitions at most.
+_ITEMS, _TRIALS, _MOST = 16, 480, 200
 #: Items and words that are broadcast at once (a table of one byte for each pair); more items go in further passes.
 BLOCK_ITEMS, BLOCK_WORDS = 2_000, 50_000
 _ENDS = ".,;:!?\"'()[]{}<>*#|%&$_-"
@@ -142,25 +142,25 @@ def _index(items: list[list[int]], entries: list[tuple[int, int, int]], words: i
 def repetitions(n: int, most: int, recall: float = RECALL, sampled: int = SAMPLED) -> int:
     """How many repetitions an item of n words needs, so that a run with `most` edits is a candidate with this probability.
 
-    Measured on edited copies of an item of n different words: words are changed, dropped or added at random places.
+    Measured on edited copies of items of n different words: words are changed, dropped or added at random places.
     Repetitions take a random choice of offsets in turn, so this holds for whichever offsets an item prefers.
     """
     rng = np.random.default_rng([SEED, n, most])
-    item = list(range(2, n + 2))
+    items = [list(range(2 + n * i, 2 + n * (i + 1))) for i in range(_ITEMS)]
+    within, used = _offsets(n)
+    order = [np.resize(rng.permutation(within)[:used], _MOST) for _ in items]
     texts = []
-    for _ in range(_TRIALS):
-        t = list(item)
+    for k in range(_TRIALS):
+        t = list(items[k % _ITEMS])
         for kind in rng.integers(0, 3, most):
-            k = int(rng.integers(0, max(1, len(t))))
-            t[k : k + int(kind < 2)] = [0] * int(kind != 1)
+            at = int(rng.integers(0, max(1, len(t))))
+            t[at : at + int(kind < 2)] = [0] * int(kind != 1)
         texts.append([0] + t + [0] * (n + 2))
     missing = np.arange(_TRIALS)
-    within, used = _offsets(n)
-    order = np.resize(rng.permutation(within)[:used], _MOST)
     done = 0
     while done < _MOST and len(missing) > (1 - recall) * _TRIALS:
-        more = max(1, min(done, 8))
-        ix = _index([item], [(0, int(order[r]), r) for r in range(done, min(done + more, _MOST))], n + 2, sampled, {}, [0])
+        more = max(1, min(done, 4))
+        ix = _index(items, [(i, int(order[i][r]), r) for i in range(_ITEMS) for r in range(done, min(done + more, _MOST))], n * _ITEMS + 2, sampled, {}, [])
         x = np.concatenate([np.array([*texts[k], _PAD]) for k in missing])
         begins = np.cumsum([0] + [len(texts[k]) + 1 for k in missing])
         pos, _ = _candidates(x, ix)
