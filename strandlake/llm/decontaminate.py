@@ -19,6 +19,8 @@ SIMILARITY = 0.8
 RECALL, SAMPLED, NEAR, SEED = 0.99, 2, 6, 11
 #: Items and edited copies on which the recall of so many repetitions is measured, and repetitions at most.
 _ITEMS, _TRIALS, _MOST = 16, 480, 200
+#: Bytes of text that are searched at once.
+_SLICE = 2 << 20
 #: Items and words that are broadcast at once (a table of one byte for each pair); more items go in further passes.
 BLOCK_ITEMS, BLOCK_WORDS = 2_000, 50_000
 _ENDS = ".,;:!?\"'()[]{}<>*#|%&$_-"
@@ -234,7 +236,7 @@ def _coded(words: list[bytes], ix: Index, cache: dict[bytes, int]) -> np.ndarray
     try:
         got = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
     except KeyError:
-        if len(cache) > 1_000_000:
+        if len(cache) > 400_000:
             cache.clear()
         for w in words:
             if w not in cache:
@@ -277,6 +279,29 @@ def _search(texts: list[bytes], ix: Index, cache: dict, similarity: float) -> It
         yield d, ix.names[i], *got
 
 
+def _sliced(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Some MB of texts at a time, or one text."""
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= _SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _found(texts: Iterator[bytes], ix: Index, cache: dict, similarity: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """_search() over slices of texts."""
+    at = 0
+    for part in _sliced(texts):
+        for d, *x in _search(part, ix, cache, similarity):
+            yield at + d, *x
+        at += len(part)
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
     held, n = [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text").toLocalIterator():
@@ -296,8 +321,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     each item that has one within (1 - similarity) * words edits (words added, dropped or changed).
 
     Words are case folded and lose signs at their ends; words of signs only don't count. An item without words
-    matches nothing; items of under 5 words match exactly. Null and empty texts match nothing. Repeated rows and items
-    give their rows each. The benchmark is the query set: it is broadcast in blocks of bounded size, and every window
+    matches nothing; items of under 5 words match exactly. Null and empty texts match nothing; a very long text is one text
+    in memory. Repeated rows and items give their rows each; other columns are ignored. The benchmark is the query set: it is broadcast in blocks of bounded size, and every window
     of every whole document is searched against each block, without a shuffle.
     """
     spark = docs.sparkSession
@@ -312,7 +337,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             cache: dict[bytes, int] = {}
             for b in batches:
                 names = b.column(0)
-                found = [(names[d].as_py(), *x) for d, *x in _search(list(common.texts(b.column(1))), shared.value, cache, similarity)]
+                found = [(names[d].as_py(), *x) for d, *x in _found(common.texts(b.column(1)), shared.value, cache, similarity)]
                 if found:
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "edits", "start_word", "n_words"])
@@ -335,7 +360,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cache: dict[bytes, int] = {}
             for b in batches:
-                hit = {d for d, *_ in _search(list(common.texts(b.column(at))), shared.value, cache, similarity)}
+                hit = {d for d, *_ in _found(common.texts(b.column(at)), shared.value, cache, similarity)}
                 yield b.filter(pa.array([k not in hit for k in range(b.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(work, docs.schema)
