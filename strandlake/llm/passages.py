@@ -1,4 +1,5 @@
-"""Passages that repeat across documents: paragraph windows at content-defined anchors, MinHash bands, exact Jaccard."""
+"""Passages that repeat across documents: windows at content-defined anchors, MinHash bands, exact Jaccard, and runs extended
+word by word to where a passage ends."""
 
 from __future__ import annotations
 
@@ -13,9 +14,16 @@ from pyspark.sql import functions as F
 from . import common
 
 SIMILARITY = 0.8
-#: Words of a shingle, of a paragraph window, of an anchor; positions in a row of which one at least is an anchor, so a
-#: passage of REACH - 1 + WINDOW = 50 words holds a whole window at the same anchor in every document.
-SHINGLE, WINDOW, GRAM, REACH = 5, 32, 2, 19
+#: Words of a shingle, of a window, of an anchor; positions in a row of which one at least is an anchor, so a passage of
+#: REACH - 1 + WINDOW = 50 words holds a whole window at the same anchor in every document.
+SHINGLE, WINDOW, GRAM, REACH = 5, 24, 2, 27
+#: A passage has so many words at least.
+MIN_WORDS = 50
+#: Words that are looked at on either side of a run's core; words between windows of one run; words that must agree
+#: after an edit.
+CONTEXT, GAP, RESYNC = 44, 8, 5
+#: Linked windows may differ in their outer words or be shifted by some: runs grow from so many words within.
+TRIM = 5
 #: Recall that bands are tuned for, at SIMILARITY.
 RECALL = 0.95
 CHUNK, SEED = 2048, 9
@@ -95,10 +103,13 @@ def _flat(batch: list[bytes], cache: dict) -> tuple[np.ndarray, np.ndarray, np.n
     return h, np.cumsum(lengths) - lengths, lengths
 
 
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
 def _sets(shingles: np.ndarray) -> np.ndarray:
-    """Each row's distinct shingles as sorted 32-bit values, the rest of the row filled with the largest one again."""
-    s = np.sort((shingles >> np.uint64(32)).astype(np.uint32), axis=1)
-    s[:, 1:][s[:, 1:] == s[:, :-1]] = 0xFFFFFFFF
+    """Each row's distinct shingles, sorted, the rest of the row filled with the largest value."""
+    s = np.sort(shingles, axis=1)
+    s[:, 1:][s[:, 1:] == s[:, :-1]] = _NONE
     return np.sort(s, axis=1)
 
 
@@ -117,14 +128,14 @@ def _close(sets: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, sim
         hit = np.zeros(own.shape, bool)
         for k in range(width):
             hit |= own == twice[:, k : k + width]
-        both = (hit & (own != 0xFFFFFFFF)).sum(1)
+        both = (hit & (own != _NONE)).sum(1)
         out[i : i + 4_000] = both >= similarity * (size[x] + size[y] - both) - 1e-9
     return out
 
 
 def _forest(sets: np.ndarray, ids: np.ndarray, similarity: float, split: int) -> tuple[list[int], list[int]]:
     """Links that connect all whose Jaccard similarity reaches the threshold; split as for fingerprints' buckets."""
-    size = (sets != 0xFFFFFFFF).sum(1)
+    size = (sets != _NONE).sum(1)
     src: list[int] = []
     dst: list[int] = []
     left = np.arange(len(sets))
@@ -145,21 +156,108 @@ def _forest(sets: np.ndarray, ids: np.ndarray, similarity: float, split: int) ->
     return src, dst
 
 
-def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, text -> doc_id, component_id, start_word, n_words, kept: the runs of words that other documents hold too.
+def grown(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """How far two runs of words go on alike from their first words, one of which may begin up to TRIM words later: words of
+    a, words of b. After a difference of one or two words (changed, added or dropped) they go on if RESYNC words agree again, as long as
+    no more than 1 - similarity of the words are edits.
+    """
+    i = j = edits = 0
+    for di, dj in _SHIFTS:
+        x, y = a[di : di + RESYNC], b[dj : dj + RESYNC]
+        if len(x) == len(y) == RESYNC and (x == y).all():
+            i, j = di, dj
+            break
+    while True:
+        n = min(len(a) - i, len(b) - j)
+        same = a[i : i + n] == b[j : j + n]
+        m = n if same.all() else int(same.argmin())
+        i, j = i + m, j + m
+        if m == n:
+            return i, j
+        for di, dj in _EDITS:
+            x, y = a[i + di : i + di + RESYNC], b[j + dj : j + dj + RESYNC]
+            if len(x) == len(y) == RESYNC and (x == y).all() and edits + max(di, dj) <= (1 - similarity) * (i + di + RESYNC) + 1e-9:
+                i, j, edits = i + di, j + dj, edits + max(di, dj)
+                break
+        else:
+            return i, j
+
+
+_SHIFTS = ((0, 0), *(s for k in range(1, TRIM + 1) for s in ((0, k), (k, 0))))
+_EDITS = ((1, 1), (0, 1), (1, 0), (2, 2), (0, 2), (2, 0), (1, 2), (2, 1))
+
+
+def contexts(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text and distinct (doc_id, lo, hi) -> doc_id, lo, hi, before, after: hashes of the CONTEXT words on either side
+    of the words from lo up to hi, as bytes, nearest first."""
+    asked = common.small_side(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, t, spans in zip(b.column(0).to_pylist(), common.texts(b.column(1)), b.column(2), strict=True):
+                h = word_hashes(t, cache)
+                for x in spans.as_py():
+                    lo, hi = x["lo"], x["hi"]
+                    rows.append((doc, lo, hi, h[max(0, lo - CONTEXT) : lo][::-1].tobytes(), h[hi : hi + CONTEXT].tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "lo", "hi", "before", "after"])
+
+    found = source.join(asked, "doc_id").select("doc_id", "text", "spans").mapInArrow(work, "doc_id long, lo int, hi int, before binary, after binary")
+    return found.dropDuplicates(["doc_id", "lo", "hi"])
+
+
+def runs_of(spans: DataFrame, source: DataFrame, similarity: float) -> DataFrame:
+    """Linked windows' spans (doc_id, lo, hi; rep, rep_lo, rep_hi) -> the same, each grown on both sides as long as the two
+    texts agree. Words around a span of a text that many others repeat are looked up once."""
+    core = [(F.col(c) + d).cast("int").alias(c) for c, d in (("lo", TRIM), ("hi", -TRIM), ("rep_lo", TRIM), ("rep_hi", -TRIM))]
+    spans = common.cut(spans.select("doc_id", "rep", *core))
+    ends = spans.select("doc_id", "lo", "hi").unionByName(spans.select(F.col("rep").alias("doc_id"), F.col("rep_lo").alias("lo"), F.col("rep_hi").alias("hi"))).distinct()
+    around = common.cut(contexts(source, ends))
+    rep = around.select(F.col("doc_id").alias("rep"), F.col("lo").alias("rep_lo"), F.col("hi").alias("rep_hi"), F.col("before").alias("rep_before"), F.col("after").alias("rep_after"))
+    both = spans.join(around, ["doc_id", "lo", "hi"]).join(rep, ["rep", "rep_lo", "rep_hi"]).select("doc_id", "lo", "hi", "rep", "rep_lo", "rep_hi", "before", "after", "rep_before", "rep_after")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [[np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (6, 7, 8, 9)]
+            back = np.array([grown(x, y, similarity) for x, y in zip(words[0], words[2], strict=True)], np.int32).reshape(-1, 2)
+            on = np.array([grown(x, y, similarity) for x, y in zip(words[1], words[3], strict=True)], np.int32).reshape(-1, 2)
+            c = [b.column(k).to_numpy() for k in range(6)]
+            new = [c[0], c[1] - back[:, 0], c[2] + on[:, 0], c[3], c[4] - back[:, 1], c[5] + on[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in new], ["doc_id", "lo", "hi", "rep", "rep_lo", "rep_hi"])
+
+    return both.mapInArrow(work, "doc_id long, lo int, hi int, rep long, rep_lo int, rep_hi int")
+
+
+def _merged(df: DataFrame, keys: list[str], lo: str, hi: str, *more) -> DataFrame:
+    """Overlapping ranges of a key as one."""
+    order = Window.partitionBy(*keys).orderBy(lo, hi)
+    new = F.coalesce((F.col(lo) > F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    part = df.withColumn("_new", new).withColumn("_part", F.sum("_new").over(order))
+    return part.groupBy(*keys, "_part").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), *more).drop("_part")
+
+
+def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text -> doc_id, component_id, component_start, start_word, n_words, kept: the runs of min_words words or more
+    that other documents hold too.
+
+    A passage is kept in the smallest doc_id that holds it, component_id; component_start is the word with which the kept run
+    begins, so both name a passage. The other documents' runs of it aren't kept. Words are split at ASCII white space, A-Z
+    in lower case. A run may hold edits: words changed, added or dropped, one or two at a place, RESYNC words apart.
+    Null, empty and short texts and rows without doc_id have no passage; rows that repeat a doc_id are the same document,
+    which doesn't repeat itself. Very long texts are one text in memory; other columns are ignored; an empty table gives an
+    empty one.
 
     Windows of WINDOW words stand at anchors that the words themselves choose, so a passage is cut alike wherever it
-    stands; windows with a Jaccard similarity of their five-word shingles of `similarity` or more link. A component
-    whose windows come from two documents at least is a repeated passage: component_id is its smallest doc_id, whose
-    windows are kept and all others' not. A document's windows of one component_id that overlap are one row. Words are
-    split at ASCII white space, A-Z in lower case. Null, empty and short texts (fewer than WINDOW words) and rows
-    without doc_id have no passage; rows that repeat a doc_id are the same document, which doesn't repeat itself.
-
-    (1) A task emits a window's MinHashes, one row for each band. The least and largest doc_id of each value are
-    combined before the shuffle; values that only one document has go. (2) The windows that are left meet the texts
-    once more and become contents (equal windows are one, however many), with their shingles. (3) Contents that share
-    a value are compared exactly in streamed groups, cut into chunk pairs where large, that give spanning forests. (4)
-    Components are joined back to the windows.
+    stands; windows with a Jaccard similarity of their five-word shingles of `similarity` or more link. (1) A task emits
+    a window's MinHashes, one row for each band. The least and largest doc_id of each value are combined before the
+    shuffle; values that only one document has go. (2) The windows that are left meet the texts once more and become
+    contents (equal windows are one, however many), with their shingles. (3) Contents that share a value are compared
+    exactly in streamed groups, cut into chunk pairs where large, that give spanning forests. (4) Components are joined
+    back to the windows. (5) Windows that follow one another in a document and in the first document of their components
+    are a run, which grows on both sides as long as the two texts agree.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -232,8 +330,8 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lo, hi, c, content, sets), begins, sizes in common.segments(batches, 3):
-            s = np.frombuffer(b"".join(sets), np.uint32).reshape(len(sets), -1)
-            full = (s != 0xFFFFFFFF).sum(1)
+            s = np.frombuffer(b"".join(sets), np.uint64).reshape(len(sets), -1)
+            full = (s != _NONE).sum(1)
             src, dst = [], []
             # Small groups together, pair by pair; the others each by a search that gives a forest.
             small = (sizes <= _SMALL) & (lo[begins] == hi[begins])
@@ -259,15 +357,21 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
 
     roots = common.components(grouped.mapInArrow(common.packed(compare), "src long, dst long").distinct())
     named = windows.select("content", "doc_id", "pos").join(roots, windows["content"] == roots["id"], "left").select("doc_id", "pos", F.coalesce("component_id", "content").alias("root"))
-    firsts = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("hi")).where("component_id <> hi").select("root", "component_id")
-    found = named.join(firsts, "root").select("doc_id", "component_id", "pos").distinct()
-    order = Window.partitionBy("doc_id", "component_id").orderBy("pos")
-    new = F.coalesce((F.col("pos") > F.lag("pos").over(order) + WINDOW).cast("int"), F.lit(1))
-    spans = found.withColumn("new", new).withColumn("span", F.sum("new").over(order)).groupBy("doc_id", "component_id", "span")
-    spans = spans.agg(F.min("pos").alias("start_word"), (F.max("pos") - F.min("pos") + WINDOW).alias("n_words"))
-    out = common.cut(spans.select("doc_id", "component_id", "start_word", "n_words", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    firsts = named.groupBy("root").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.max("doc_id").alias("hi")).where("at.doc_id <> hi").select("root", F.col("at.doc_id").alias("rep"), F.col("at.pos").alias("rep_pos"))
+    found = named.join(firsts, "root").where("doc_id <> rep").select("doc_id", "rep", "pos", "rep_pos").distinct()
+    order = Window.partitionBy("doc_id", "rep").orderBy("pos", "rep_pos")
+    apart = (F.col("pos") > F.lag("pos").over(order) + WINDOW + GAP) | (F.abs(F.col("pos") - F.lag("pos").over(order) - F.col("rep_pos") + F.lag("rep_pos").over(order)) > GAP)
+    spans = found.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("span", F.sum("new").over(order)).groupBy("doc_id", "rep", "span")
+    spans = spans.agg(F.min("pos").alias("lo"), (F.max("pos") + WINDOW).alias("hi"), F.min_by("rep_pos", "pos").alias("rep_lo"), (F.max_by("rep_pos", "pos") + WINDOW).alias("rep_hi"))
+    runs = runs_of(spans.select("doc_id", "lo", "hi", "rep", "rep_lo", "rep_hi"), source, similarity)
+    runs = common.cut(runs.where(F.col("hi") - F.col("lo") >= min_words).distinct())
     common.remove(spark, at)
-    return out
+    others = _merged(runs, ["doc_id", "rep"], "lo", "hi", F.min("rep_lo").alias("rep_lo"))
+    kept = common.cut(_merged(runs.select("rep", "rep_lo", "rep_hi").distinct(), ["rep"], "rep_lo", "rep_hi"))
+    spot = kept.select(F.col("rep").alias("r"), F.col("rep_lo").alias("a"), F.col("rep_hi").alias("z"))
+    others = others.join(spot, (F.col("rep") == F.col("r")) & (F.col("rep_lo") >= F.col("a")) & (F.col("rep_lo") < F.col("z")))
+    out = others.select("doc_id", F.col("rep").alias("component_id"), F.col("a").alias("component_start"), F.col("lo").alias("start_word"), (F.col("hi") - F.col("lo")).alias("n_words"), F.lit(False).alias("kept"))
+    return out.unionByName(kept.select(F.col("rep").alias("doc_id"), F.col("rep").alias("component_id"), F.col("rep_lo").alias("component_start"), F.col("rep_lo").alias("start_word"), (F.col("rep_hi") - F.col("rep_lo")).alias("n_words"), F.lit(True).alias("kept")))
 
 
 def drop_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
