@@ -22,11 +22,14 @@ def mean_and_deviation(df: DataFrame, group: list[str], value: str) -> DataFrame
 
 
 def average_rank(df: DataFrame, value: str, name: str, partition: list[str] | None = None) -> DataFrame:
-    """Ranks from one, the mean rank for ties."""
+    """Ranks from one, the mean rank for ties, within a partition of few values. Values are counted first; the ranks of what
+    is left come from ranges of them. Null values have no rank."""
+    from .windows import running_sum
+
     part = partition or []
-    r = F.rank().over(Window.partitionBy(*part).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*part, value))
-    return df.withColumn(name, r + (ties - 1) / 2.0)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("_n"))
+    ranks = running_sum(counts, [value], F.col("_n"), "_before", part)
+    return df.join(ranks.select(*part, value, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name)), [*part, value], "left")
 
 
 def correlation(x: str, y: str) -> Column:

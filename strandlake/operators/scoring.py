@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 
 @dataclass(frozen=True)
 class Feature:
@@ -76,14 +78,17 @@ def scored(df: DataFrame, key: str, features: list[Feature], gates: list[Gate],
             have = have + F.when(F.col(f"n_{f.name}").isNotNull(), f.weight).otherwise(0.0)
     out = df.withColumns({"score": F.round(score / total, 8), "coverage": F.round(have / total, 8), "reasons": gate_reasons(features, gates)})
     out = out.withColumn("eligible", F.size("reasons") == 0)
-    rank = F.row_number().over(Window.partitionBy(*(partition or []), "eligible").orderBy(F.desc("score"), key))
-    return out.withColumn("rank", F.when(F.col("eligible"), rank))
+    if partition:
+        rank = F.row_number().over(Window.partitionBy(*partition, "eligible").orderBy(F.desc("score"), key))
+        return out.withColumn("rank", F.when(F.col("eligible"), rank))
+    ranked = numbered(out.where("eligible"), [F.desc("score"), key], "rank")
+    return ranked.unionByName(out.where("not eligible").withColumn("rank", F.lit(None).cast("long")))
 
 
 def sensitivity(df: DataFrame, key: str, features: list[Feature], gates: list[Gate], change: float) -> DataFrame:
     """Lowest, highest and span of the rank as each weight goes down and up by a share; df has n_ columns.
 
-    Scenarios are rows: one explode, one ranking over (scenario, eligible), one aggregate.
+    Scenarios are rows: one explode, one ranking of each scenario by ranges of the score, one aggregate.
     """
     weights = {f.name: f.weight for f in features}
     scenarios = [("base", weights)] + [(f"{n}:{e}", weights | {n: w * (1 + s * change)}) for n, w in weights.items() if w > 0 for e, s in (("low", -1), ("high", 1))]
@@ -93,9 +98,9 @@ def sensitivity(df: DataFrame, key: str, features: list[Feature], gates: list[Ga
     for f in features:
         total = total + F.col(f"s.w_{f.name}")
         score = score + F.coalesce(F.col(f"n_{f.name}") * F.col(f"s.w_{f.name}"), F.lit(0.0))
-    rows = rows.withColumn("score", F.round(score / total, 8))
-    rank = F.row_number().over(Window.partitionBy("s.scenario", "eligible").orderBy(F.desc("score"), key))
-    rows = rows.withColumn("rank", F.when(F.col("eligible"), rank))
+    rows = rows.select(key, "eligible", F.col("s.scenario").alias("scenario"), F.round(score / total, 8).alias("score"))
+    ranked = numbered(rows.where("eligible"), [F.desc("score"), key], "rank", ["scenario"])
+    rows = ranked.unionByName(rows.where("not eligible").withColumn("rank", F.lit(None).cast("long")))
     return rows.groupBy(key).agg(F.min("rank").alias("minimum_rank"), F.max("rank").alias("maximum_rank"), (F.max("rank") - F.min("rank")).alias("rank_span"), F.count("*").alias("scenario_count"))
 
 

@@ -91,24 +91,13 @@ def reconstructed(components: DataFrame, key: str, order: str, text: str) -> Dat
 def tile(queries: DataFrame, key: str, text: str, library: list[tuple[str, str]]) -> DataFrame:
     """Each query as an exact sequence of library entries (a small list), the longest first at each place: key, names or
     null. A place where none fits ends it."""
-    entries = sorted(library, key=lambda x: (-len(x[1]), x[0]))
-
-    def work(batches):
-        for pdf in batches:
-            out = []
-            for t in pdf[text]:
-                names, at = [], 0
-                while at < len(t):
-                    hit = next((e for e in entries if e[1] and t.startswith(e[1], at)), None)
-                    if hit is None:
-                        names = None
-                        break
-                    names.append(hit[0])
-                    at += len(hit[1])
-                out.append(names)
-            yield pd.DataFrame({key: pdf[key], "names": out})
-
-    return queries.select(key, text).mapInPandas(work, f"{key} {dict(queries.dtypes)[key]}, names array<string>")
+    entries = sorted((e for e in library if e[1]), key=lambda x: (-len(x[1]), x[0]))
+    names: dict[str, str] = {}
+    for name, part in entries:
+        names.setdefault(part, name)
+    # The first alternative that fits is taken at each place; what is passed over is missing from the joined parts.
+    parts = F.regexp_extract_all(F.col(text), F.lit("(" + "|".join(f"\\Q{p}\\E" for p in names) + ")"), F.lit(1))
+    return queries.select(key, fn.let(parts, lambda ps: F.when(F.array_join(ps, "") == F.col(text), F.transform(ps, lambda p: fn.literal_map(names)[p]))).alias("names"))
 
 
 def segments(queries: DataFrame, key: str, text: str, sources: list[tuple[str, str]], least: int = 8) -> DataFrame:

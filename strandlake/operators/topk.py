@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha256
+from .windows import numbered
 
 
 def round_robin(df: DataFrame, group: str, score: str, key: str, n: int) -> DataFrame:
@@ -26,9 +27,9 @@ def tiered(df: DataFrame, mandatory: str, group: str, score: str, key: str, n: i
     rest = df.where(~F.col(mandatory))
     rn = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key))
     rest = rest.withColumn("_r", rn).where(F.col("_r") <= n)
-    place = F.row_number().over(Window.orderBy("_r", F.col(group).cast("string")))
+    rest = numbered(rest.withColumn("_g", F.col(group).cast("string")), ["_r", "_g"], "_p").drop("_g")
     left = tier1.agg((F.lit(n) - F.count("*")).alias("_left"))
-    rest = rest.withColumn("_p", place).join(F.broadcast(left)).where("_p <= _left").drop("_p", "_r", "_left")  # one row
+    rest = rest.join(F.broadcast(left)).where("_p <= _left").drop("_p", "_r", "_left")  # one row
     return checked.unionByName(rest.withColumn("tier", F.lit("round_robin")))
 
 

@@ -84,15 +84,28 @@ def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str]) -
 
 def short_ids(df: DataFrame, order: list[str], prefix: str = "c", digits: int = 3) -> DataFrame:
     """short_id: prefix and a number from 0 in order. For batches that go to an external tool as a whole."""
-    return df.withColumn("short_id", F.concat(F.lit(prefix), F.lpad((F.row_number().over(Window.orderBy(*order)) - 1).cast("string"), digits, "0")))
+    rows = numbered(df, order, "_n")
+    return rows.withColumn("short_id", F.concat(F.lit(prefix), F.lpad((F.col("_n") - 1).cast("string"), digits, "0"))).drop("_n")
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """df with name: each row's place in the order, from one. Ranges of the order are counted, and rows are numbered within
-    their range, so no task sees all rows. The order should be unique; ties are open."""
+def running_sum(df: DataFrame, order: list, value: Column, name: str, keys: list[str] | None = None) -> DataFrame:
+    """df with name: the sum of value over the rows before each in the order, within keys (of few values, not null).
+
+    Rows are dealt to ranges of (keys, order); sums of ranges are added up (a row for each), and rows within their own
+    range, so no task sees all rows of a key. The order should be unique; among ties it is open.
+    """
     from .graph import checkpointed
 
-    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
-    base = counts.select("_p", "_first", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # one row a range
-    return ranged.join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + F.col("_i") - F.col("_first") + 1).drop("_p", "_i", "_first", "_base")
+    by = keys or []
+    ranged = checkpointed(df.withColumn("_rs_value", value).repartitionByRange(*by, *order).withColumn("_rs_part", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_rs_part").agg(F.sum("_rs_value").alias("_rs_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_rs_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*by, "_rs_part", F.coalesce(F.sum("_rs_sum").over(earlier), F.lit(0)).alias("_rs_base"))
+    within = Window.partitionBy("_rs_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn("_rs_within", F.coalesce(F.sum("_rs_value").over(within), F.lit(0))).join(F.broadcast(base), ["_rs_part", *by])
+    return rows.withColumn(name, F.col("_rs_base") + F.col("_rs_within")).drop("_rs_part", "_rs_value", "_rs_within", "_rs_base")
+
+
+def numbered(df: DataFrame, order: list, name: str, keys: list[str] | None = None) -> DataFrame:
+    """df with name: each row's place in the order, from one, within keys of few values. See running_sum()."""
+    return running_sum(df, order, F.lit(1), name, keys).withColumn(name, F.col(name) + 1)

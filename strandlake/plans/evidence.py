@@ -269,7 +269,7 @@ def it04(spark, d):
     return se.segments(q, "n_nationkey", "t", names, 4)
 
 
-@query("jn23_tiling")
+@query("jn23_tiling", "WITH p AS (SELECT p_partkey, replace(p_brand, '#', '') AS t FROM part), x AS (SELECT p_partkey, t, regexp_extract_all(t, 'Brand|22|[0-9]') AS ps FROM p) SELECT p_partkey, CASE WHEN array_to_string(ps, '') = t THEN list_transform(ps, lambda e: CASE e WHEN 'Brand' THEN 'brand' WHEN '22' THEN 'two' ELSE e END) END AS names FROM x")
 def jn23(spark, d):
     q = table(spark, d, "part").select("p_partkey", F.translate(F.col("p_brand"), "#", "").alias("t"))
     return se.tile(q, "p_partkey", "t", [("brand", "Brand"), *((str(k), str(k)) for k in range(10)), ("two", "22")])
@@ -334,7 +334,7 @@ def dq08(spark, d):
 
 @query("dq12_paired_arms", "WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r1, row_number() OVER (ORDER BY p_size + 0.25 * (p_partkey % 7) DESC, p_partkey) AS r2 FROM part) SELECT round(avg(abs(r1 - r2)), 6) AS mean_change, max(abs(r1 - r2))::BIGINT AS top_change, count(*) FILTER (r1 <= 10 AND r2 <= 10)::BIGINT AS top10 FROM a")
 def dq12(spark, d):
-    p = table(spark, d, "part")
-    a = p.withColumn("r1", F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey"))).withColumn("r2", F.row_number().over(Window.orderBy(F.desc(F.col("p_size") + 0.25 * (F.col("p_partkey") % 7)), "p_partkey")))
+    p = table(spark, d, "part").withColumn("w", F.col("p_size") + 0.25 * (F.col("p_partkey") % 7))
+    a = wi.numbered(wi.numbered(p, [F.desc("p_size"), "p_partkey"], "r1"), [F.desc("w"), "p_partkey"], "r2")
     delta = F.abs(F.col("r1") - F.col("r2"))
     return a.agg(F.round(F.avg(delta), 6).alias("mean_change"), F.max(delta).cast("long").alias("top_change"), F.count_if((F.col("r1") <= 10) & (F.col("r2") <= 10)).alias("top10"))

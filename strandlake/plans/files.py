@@ -357,3 +357,33 @@ def snk13(spark, d):
     sinks.write_published(p, at, check(p, "sizes", F.col("p_size") < 0))
     sinks.write_published(p, at, check(p, "sizes", F.col("p_size") < 0))
     return spark.read.parquet(at)
+
+
+@query("dq03_stored_results", "SELECT 'line-counts' AS check_id, 'fail' AS status, (2 * count(DISTINCT l_orderkey))::VARCHAR AS detail FROM lineitem WHERE l_orderkey % 64 = 5 UNION ALL SELECT 'part-sizes', 'pass', '0'")
+def dq03_stored(spark, d):
+    """Results stored before, some of them altered since, against what the tables give now."""
+    from ..operators.verify import all_checks, reproduced
+
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    parts = table(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n"))
+    at = place(spark, "stored")
+    lines.withColumn("n", F.when(F.col("l_orderkey") % 64 == 5, F.col("n") + 1).otherwise(F.col("n"))).write.parquet(f"{at}/lines")
+    parts.write.parquet(f"{at}/parts")
+    return all_checks(reproduced("line-counts", spark.read.parquet(f"{at}/lines"), lines), reproduced("part-sizes", spark.read.parquet(f"{at}/parts"), parts))
+
+
+@query("jn14_identity_semi_join", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 10 = 0")
+def jn14(spark, d):
+    """A selection's bindings (key and content hash) that the batch holds unchanged."""
+    p = table(spark, d, "part").select("p_partkey", F.md5(F.col("p_name").cast("binary")).alias("h"))
+    chosen = p.where("p_partkey % 10 = 0").withColumn("h", F.when(F.col("p_partkey") % 3 == 0, F.lit("changed")).otherwise(F.col("h")))
+    return chosen.join(p, ["p_partkey", "h"], "left_semi").select("p_partkey")
+
+
+@query("ma13_frozen_probe")
+def ma13(spark, d):
+    from ..operators.probe import frozen_probe
+
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 7).cast("double").alias("y"))
+    split = F.when(F.col("vec_id") % 5 == 0, "test").when(F.col("vec_id") % 5 == 1, "dev").otherwise("train")
+    return frozen_probe(e.withColumn("split", split), "embedding", "y", 8, [0.01, 0.1, 1.0, 10.0])
