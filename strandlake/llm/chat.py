@@ -47,7 +47,8 @@ def format_chat(turns: DataFrame) -> DataFrame:
     Each turn is rendered as it is and reparsed; only where the parser doesn't return exactly this one turn is it
     rendered again with escapes. Turns go by turn (null first), ties by role and text. Null roles and texts are
     empty; rows without conv_id are a conversation of their own. Repeated rows are repeated turns. A conversation is
-    one string, so its rows meet in one task; nothing else gathers.
+    one string, so its rows meet in one task, and a very long text must fit one; nothing else gathers. An empty table
+    gives an empty one; other columns are ignored.
     """
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     plain = _render(F.col("role"), F.col("text"), False)
@@ -76,8 +77,9 @@ def parse_chat(formatted: DataFrame) -> DataFrame:
     turn = F.struct("pos", F.col("p.role").alias("role"), F.col("p.text").alias("text"), F.col("p.raw").alias("raw"), at.cast("long").alias("start"), F.char_length("p.raw").cast("long").alias("length"), (F.col("p.role") == TRAINED_ROLE).alias("loss"))
     back = one.select("conv_id", "source_sha256", F.when(F.col("pos") == 0, F.col("rendered")).alias("rendered"), turn.alias("t"))
     back = back.groupBy("conv_id").agg(F.max("source_sha256").alias("source_sha256"), F.max("rendered").alias("rendered"), F.sort_array(F.collect_list("t")).alias("turns"))
-    checked = F.when(_turns_sha256(F.col("turns")) == F.col("source_sha256"), F.col("rendered")).otherwise(F.raise_error(F.lit("a conversation did not survive the round trip")))
-    return back.select("conv_id", "source_sha256", checked.alias("rendered"), "turns")
+    # Each column is checked, so none can be read without.
+    checked = lambda c: F.when(_turns_sha256(F.col("turns")) == F.col("source_sha256"), F.col(c)).otherwise(F.raise_error(F.lit("a conversation did not survive the round trip"))).alias(c)
+    return back.select("conv_id", "source_sha256", checked("rendered"), checked("turns"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,8 @@ def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_points:
     the lines whose key enough documents hold).
 
     Each row gives a row. Rows that share a doc_id count as one document; so do all rows without one. A null text is
-    an empty one, which is one empty line; a text that loses all its lines becomes ''. Other columns only ride along.
+    an empty one, which is one empty line; a text that loses all its lines becomes ''. Other columns only ride along, in
+    row, whatever their names. A very long text is one text in memory. An empty table gives an empty one.
 
     Two shuffles of 16-byte digests, by digest: (digest, document) pairs, each once, are counted with map-side
     partial counts, and the same pairs are joined with the digests that reach min_documents (a line that a third of

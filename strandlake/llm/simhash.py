@@ -140,7 +140,8 @@ def simhash_components(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_
 
     Null and empty texts, and texts of white space, have fingerprint zero, which links like any other. Rows that share
     a doc_id each keep their row. A null doc_id is no candidate for component_id; a group of only such rows has null.
-    Copies meet by their fingerprint (combined before the shuffle), so only distinct fingerprints are compared.
+    Copies meet by their fingerprint (combined before the shuffle), so only distinct fingerprints are compared. A very long
+    text is one text in memory; other columns are ignored; an empty table gives an empty one.
     """
     fps = common.cut(fingerprints(docs, words))
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))

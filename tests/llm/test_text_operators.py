@@ -348,6 +348,8 @@ def test_a_damaged_text_does_not_pass(spark):
     df = chat.format_chat(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string"))
     with pytest.raises(Exception, match="round trip"):
         chat.parse_chat(df.withColumn("rendered", F.regexp_replace("rendered", "b", "c"))).collect()
+    with pytest.raises(Exception, match="round trip"):
+        chat.parse_chat(df.withColumn("rendered", F.regexp_replace("rendered", "b", "c"))).select("turns").collect()
 
 
 def test_warc_round_trip(spark, tmp_path):
