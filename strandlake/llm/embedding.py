@@ -14,7 +14,7 @@ from .hnsw import Graph
 
 COSINE = 0.95
 #: Shards at least; bytes of a shard's vectors at about most (more vectors make more shards); first beam; recall that audits ask.
-SHARDS, SHARD_BYTES, BEAM, RECALL = 8, 256 << 20, 48, 0.995
+SHARDS, SHARD_BYTES, BEAM, RECALL = 4, 256 << 20, 48, 0.995
 #: Bytes of the queries that a task holds while it goes through all shards' graphs.
 QUERY_BYTES = 128 << 20
 
@@ -53,7 +53,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARD
     node with a count. Classes are dealt to shards by hash, each with a task of its own, which builds the graph and writes
     it to the shared folder. Every class is then searched in every shard, where it is (the graphs travel, a shard at a
     time, not the queries; a task holds QUERY_BYTES of queries meanwhile, so graphs are read once for so many). A search
-    whose beam is full of links runs again with a wider one, in the end against all nodes, so no link is capped; audits
+    whose beam is half full of links runs again with a wider one, in the end against all nodes, so no link is capped; audits
     compare a bounded number of a task's queries with all nodes of the shard and widen all beams until RECALL is reached.
     Of a task's links only those that connect something new go on to the components; the others are counted.
 

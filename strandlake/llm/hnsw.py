@@ -160,7 +160,7 @@ class Graph:
         """q: float64 queries of length one -> (query, node) of all links found with cosine >= least, in double precision; and
         the queries that have too many links for a beam of WIDE, for which there is none.
 
-        A query whose whole beam lies above the threshold runs again with a beam twice as wide.
+        A query that finds links in more than half of its beam runs again with a beam twice as wide.
         """
         f = q.astype(np.float32)
         left, now = np.arange(len(q)), beam
@@ -168,7 +168,7 @@ class Graph:
         while len(left) and now <= max(WIDE, beam):
             now = min(now, len(self.x))
             ids, sims = self._beam(f[left], now)
-            full = (sims >= least - 1e-5).all(1) & (now < len(self.x))
+            full = ((sims >= least - 1e-5).sum(1) > now // 2) & (now < len(self.x))
             r, c = np.nonzero((sims >= least - 1e-5) & ~full[:, None])
             qs.append(left[r]), ns.append(ids[r, c].astype(np.int64))
             left, now = left[full], now * 2
