@@ -387,3 +387,28 @@ def ma13(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 7).cast("double").alias("y"))
     split = F.when(F.col("vec_id") % 5 == 0, "test").when(F.col("vec_id") % 5 == 1, "dev").otherwise("train")
     return frozen_probe(e.withColumn("split", split), "embedding", "y", 8, [0.01, 0.1, 1.0, 10.0])
+
+
+@query("st10_saved_state", "SELECT 20::BIGINT AS fields, 9600 + 50 * 96 AS cursor, (9600 + 50 * 96) // 1000 AS corpus_pass, (9600 + 50 * 96) % 1000 AS corpus_offset, 50 * 96 AS consumed")
+def st10(spark, d):
+    from dataclasses import fields
+
+    from ..streaming import state
+
+    at = f"{place(spark, 'state')}/state.json"
+    first = state.State(1, 100, 9600, 96, 3, 4, 1000, "h", resume_step=100, resume_cursor=9600, resume_source="state", reader="file-shard", shuffle_buffer=64, shuffle_seed=7)
+    state.save(spark, at, first)
+    state.save(spark, at, state.advanced(state.load(spark, at), 150, "2026-01-01T00:00:00Z"))
+    got = state.load(spark, at)
+    return spark.range(1).select(F.lit(len(fields(got))).cast("long").alias("fields"), F.lit(got.cursor).alias("cursor"), F.lit(got.corpus_pass).alias("corpus_pass"), F.lit(got.corpus_offset).alias("corpus_offset"), F.lit(got.consumed_since_resume).alias("consumed"))
+
+
+@query("snk02_encoded_in_order", f"WITH {S}, q AS (SELECT doc_id, substr(nt, 1, (doc_id % 9 + 1)::INT) AS t FROM s) SELECT row_number() OVER (ORDER BY doc_id) AS line, array_to_string(string_split(t, ''), ' ') AS value FROM q WHERE NOT contains(t, 'ATG')")
+def snk02(spark, d):
+    """Encoded records of many tasks in one order, with their line numbers, as files that keep it."""
+    from ..operators.windows import numbered
+
+    q = sequences(spark, d).select("doc_id", F.substr("nt", F.lit(1), (F.col("doc_id") % 9 + 1).cast("int")).alias("sequence")).where(~F.contains("sequence", F.lit("ATG")))
+    at = place(spark, "ordered")
+    numbered(q, ["doc_id"], "line").select("line", F.array_join(F.split("sequence", ""), " ").alias("value")).sortWithinPartitions("line").write.json(at)
+    return spark.read.schema("line long, value string").json(at)

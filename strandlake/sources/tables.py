@@ -200,10 +200,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return df.select("path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.col("length").alias("size_bytes"))
 
 
-def load_config(path: str, required: dict[str, type]) -> dict:
-    """A JSON object with the required keys of the given types; true and false are no numbers."""
-    with open(path) as f:
-        got = json.load(f)
+def load_config(spark: SparkSession, path: str, required: dict[str, type]) -> dict:
+    """A small JSON object with the required keys of the given types; true and false are no numbers."""
+    got = json.loads(spark.read.text(path, wholetext=True).first()[0])
     if not isinstance(got, dict):
         raise ValueError("the document is no object")
     for k, t in required.items():

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import read_document, write_document
+
 
 @dataclass(frozen=True)
 class State:
@@ -21,6 +22,18 @@ class State:
     workers: int
     corpus: int
     manifest_sha256: str
+    resume_step: int = 0
+    resume_cursor: int = 0
+    consumed_since_resume: int = 0
+    resume_source: str = "start"
+    resume_mode: str = "exact-replay"
+    reader: str = "line-stride"
+    shuffle_buffer: int = 0
+    shuffle_seed: int = 0
+    manifest_path: str | None = None
+    corpus_pass: int | None = None
+    corpus_offset: int | None = None
+    created_at: str = ""
 
 
 def effective_batch(per_device: int, devices: int, accumulation: int) -> int:
@@ -46,18 +59,20 @@ def resume(override: int | None, state: State | None, step: int, batch: int, *,
     return state.cursor + (step - state.global_step) * batch
 
 
-def save(path: str, state: State) -> None:
-    """Written beside and moved into place, so a reader sees the old state or the new one."""
-    with open(f"{path}.tmp", "w") as f:
-        json.dump(asdict(state), f, sort_keys=True)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f"{path}.tmp", path)
+def advanced(state: State, step: int, created_at: str) -> State:
+    """The state after training to a step: cursor, what was consumed since the last resume, pass and offset in the corpus."""
+    at = state.cursor + (step - state.global_step) * state.batch
+    known = state.corpus > 0
+    return replace(state, global_step=step, cursor=at, consumed_since_resume=at - state.resume_cursor, corpus_pass=at // state.corpus if known else None, corpus_offset=at % state.corpus if known else None, created_at=created_at)
+
+
+def save(spark: SparkSession, path: str, state: State) -> None:
+    """Written beside and moved into place, on whatever file system the path names."""
+    write_document(spark, path, asdict(state))
 
 
-def load(path: str) -> State:
-    with open(path) as f:
-        got = json.load(f)
+def load(spark: SparkSession, path: str) -> State:
+    got = json.loads(read_document(spark, path))
     if got.get("version") != 1:
         raise ValueError("unknown version of the state")
     return State(**got)

@@ -113,10 +113,10 @@ def test_line_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9
 
 
-def test_state(tmp_path):
+def test_state(spark, tmp_path):
     s = state.State(1, 100, 9600, 96, 3, 4, 1000, "h")
-    state.save(str(tmp_path / "s.json"), s)
-    assert state.load(str(tmp_path / "s.json")) == s
+    state.save(spark, str(tmp_path / "s.json"), s)
+    assert state.load(spark, str(tmp_path / "s.json")) == s
     how = {"world": 3, "workers": 4, "manifest_sha256": "h"}
     assert state.resume(5, s, 110, 96, **how) == 5 and state.resume(None, s, 110, 96, **how) == 9600 + 960 and state.resume(None, None, 10, 96, **how) == 960
     with pytest.raises(ValueError):
