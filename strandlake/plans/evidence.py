@@ -136,7 +136,10 @@ def jn12(spark, d):
     return p.join(c, "p_brand").where("p_partkey <> control").select(F.col("p_partkey").alias("candidate"), "control", (F.col("s") - F.col("p_size")).alias("delta"))
 
 
-@query("jn14_benchmark_semi_join", None)
+_GRAMS = "SELECT DISTINCT {k}, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g FROM (SELECT {k}, regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+') AS ws FROM {t})"
+
+
+@query("jn14_benchmark_semi_join", f"WITH d AS ({_GRAMS.format(k='doc_id', t='documents')}), b AS ({_GRAMS.format(k='item_id', t='benchmark')}) SELECT doc_id, count(*) AS shared FROM d WHERE g IN (SELECT g FROM b) GROUP BY 1")
 def jn14(spark, d):
     grams = lambda df, k, t: df.select(k, F.explode(F.array_distinct(fn.let(F.split(F.lower(t), r"\s+"), lambda w: F.transform(fn.indexes(F.size(w) - 7), lambda i: F.array_join(F.slice(w, i + 1, 8), " "))))).alias("g"))
     b = grams(table(spark, d, "benchmark"), "item_id", "text").select("g").distinct()

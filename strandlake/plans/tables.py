@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import INTERVALS_SQL, SEQUENCES_SQL, TEXT_NT_SQL, intervals, sequences, text_sequences
 from ..functions import hashing as hs
 from ..functions import sequence as fn
+from ..functions.constants import HYDROPATHY
 from ..operators import aggregates as ag
 from ..operators import joins as jn
 from ..operators import scoring as sc
@@ -150,7 +151,10 @@ def wi09(spark, d):
     return wi.neighbours(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", ["role", "turn"])
 
 
-@query("wi03_hydrophobic_regions", None)
+_TENTHS = "CASE substr(translate(aa, 'DEHKNPQR', 'LLAVIFAM'), i, 1) " + " ".join(f"WHEN '{a}' THEN {round(v * 10)}" for a, v in HYDROPATHY.items()) + " END"
+
+
+@query("wi03_hydrophobic_regions", f"WITH s AS (SELECT * FROM {SEQUENCES_SQL}), r AS (SELECT doc_id, i AS pos, {_TENTHS} AS v FROM s, range(1, 257) q(i)), w AS (SELECT doc_id, pos, sum(v) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS t FROM r), h AS (SELECT doc_id, pos - 18 AS a, pos AS b, t FROM w WHERE pos >= 19 AND t >= 304), g AS (SELECT *, coalesce((a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1)::INT, 1) AS new FROM h), k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS grp FROM g) SELECT doc_id, min(a)::INT AS start1, max(b)::INT AS end1, max(t)::BIGINT AS top FROM k GROUP BY doc_id, grp")
 def wi03(spark, d):
     s = sequences(spark, d).select("doc_id", F.translate("aa", "DEHKNPQR", "LLAVIFAM").alias("seq"))
     return wi.hydrophobic_regions(s, ["doc_id"])
