@@ -201,14 +201,16 @@ def tk10(spark, d):
 
 FEATURES = [sc.Feature("qty", 0.3), sc.Feature("price", 0.2, False), sc.Feature("lines", 0.3, True, True), sc.Feature("late", 0.2, False)]
 GATES = [sc.Gate("min_lines", "lines", ">=", 2), sc.Gate("max_late", "late", "<=", 1, True)]
-_CAND = "c AS (SELECT p_partkey, p_brand, p_size, p_retailprice AS price, q.qty, q.lines, q.late FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS qty, count(*) AS lines, count(*) FILTER (l_returnflag = 'R') AS late FROM lineitem WHERE l_quantity >= 48 GROUP BY 1) q ON p_partkey = l_partkey)"
+_CAND = "c AS (SELECT p_partkey, p_brand, p_size, p_retailprice AS price, q.qty, q.lines, q.late FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS qty, nullif(count(*) FILTER (l_quantity >= 48), 0) AS lines, CASE WHEN count(*) FILTER (l_quantity >= 48) > 0 THEN count(*) FILTER (l_quantity >= 48 AND l_returnflag = 'R') END AS late FROM lineitem GROUP BY 1) q ON p_partkey = l_partkey)"
 _NORM = ", n AS (SELECT *, (qty - min(qty) OVER ()) / (max(qty) OVER () - min(qty) OVER ()) AS n_qty, 1 - (price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ()) AS n_price, (lines - min(lines) OVER ())::DOUBLE / (max(lines) OVER () - min(lines) OVER ()) AS n_lines, 1 - (late - min(late) OVER ())::DOUBLE / (max(late) OVER () - min(late) OVER ()) AS n_late FROM c)"
 _SCORE = ", s AS (SELECT *, round((coalesce(n_qty * 0.3::DOUBLE, 0) + coalesce(n_price * 0.2::DOUBLE, 0) + coalesce(n_lines * 0.3::DOUBLE, 0) + coalesce(n_late * 0.2::DOUBLE, 0)) / 1.0::DOUBLE, 8) AS score, round(((n_qty IS NOT NULL)::INT * 0.3::DOUBLE + 0.2::DOUBLE + (n_lines IS NOT NULL)::INT * 0.3::DOUBLE + (n_late IS NOT NULL)::INT * 0.2::DOUBLE), 8) AS coverage, coalesce(lines >= 2, false) AND lines IS NOT NULL AND coalesce(late <= 1, false) AS eligible FROM n)"
 
 
 def candidates(spark, d):
-    """Parts with features of their bulk lines, of which some parts have none."""
-    q = table(spark, d, "lineitem").where("l_quantity >= 48").groupBy("l_partkey").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("late"))
+    """Parts with the quantity of all their lines, and how many lines are large and how many of these were returned; parts
+    without large lines lack the latter two."""
+    large = F.col("l_quantity") >= 48
+    q = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("qty"), F.nullif(F.count_if(large), F.lit(0)).alias("lines"), F.when(F.count_if(large) > 0, F.count_if(large & (F.col("l_returnflag") == "R"))).alias("late"))
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.col("p_retailprice").alias("price"))
     return p.join(q, p["p_partkey"] == q["l_partkey"], "left").drop("l_partkey")
 
