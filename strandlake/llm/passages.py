@@ -270,16 +270,19 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
             h, begins, lengths = _flat(list(common.texts(b.column(1))), cache)
             doc, at = anchors(h, begins, lengths)
             values, _ = minhashes(h, at, bands)
-            ids = b.column(0).to_numpy()[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64).ravel()), pa.array(np.repeat(ids, bands)), pa.array(np.repeat((at - begins[doc]).astype(np.int32), bands))], ["v", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[doc]), pa.array((at - begins[doc]).astype(np.int32)), *[pa.array(np.ascontiguousarray(values[:, k]).view(np.int64)) for k in range(bands)]], ["doc_id", "pos", *names])
 
-    rows = source.mapInArrow(sketch, "v long, doc_id long, pos int")
+    names = [f"v{k}" for k in range(bands)]
+    kinds = ", ".join(f"{n} long" for n in names)
+    # Written once, as it is read twice: to find the values that documents share, and for the windows that have them.
+    first = common.scratch(spark, "sketches")
+    source.mapInArrow(sketch, f"doc_id long, pos int, {kinds}").write.parquet(first)
+    rows = spark.read.parquet(first).select(F.explode(F.array(*names)).alias("v"), "doc_id", "pos")
     shared = rows.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("v")
     places = common.cut(rows.join(shared, "v", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at")))
+    common.remove(spark, first)
     common.release(spark)
 
-    names = [f"v{k}" for k in range(bands)]
-
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         seen: set[int] = set()
@@ -316,7 +319,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
                 )
 
     at = common.scratch(spark, "passages")
-    source.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(contents, "content long, doc_id long, pos int, sets binary, " + ", ".join(f"{n} long" for n in names)).write.parquet(at)
+    source.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(contents, f"content long, doc_id long, pos int, sets binary, {kinds}").write.parquet(at)
     common.release(spark)
     windows = spark.read.parquet(at)
     keyed = windows.where("sets is not null").select("content", "sets", F.explode(F.array(*names)).alias("v"))
