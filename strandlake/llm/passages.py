@@ -213,7 +213,7 @@ def runs_of(spans: DataFrame, source: DataFrame, similarity: float) -> DataFrame
     """Linked windows' spans (doc_id, lo, hi; rep, rep_lo, rep_hi) -> the same, each grown on both sides as long as the two
     texts agree. Words around a span of a text that many others repeat are looked up once."""
     core = [(F.col(c) + d).cast("int").alias(c) for c, d in (("lo", TRIM), ("hi", -TRIM), ("rep_lo", TRIM), ("rep_hi", -TRIM))]
-    spans = common.cut(spans.select("doc_id", "rep", *core))
+    spans = spans.select("doc_id", "rep", *core)
     ends = spans.select("doc_id", "lo", "hi").unionByName(spans.select(F.col("rep").alias("doc_id"), F.col("rep_lo").alias("lo"), F.col("rep_hi").alias("hi"))).distinct()
     around = common.cut(contexts(source, ends))
     rep = around.select(F.col("doc_id").alias("rep"), F.col("lo").alias("rep_lo"), F.col("hi").alias("rep_hi"), F.col("before").alias("rep_before"), F.col("after").alias("rep_after"))
@@ -358,7 +358,8 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    roots = common.components(grouped.mapInArrow(common.packed(compare), "src long, dst long").distinct())
+    roots = common.components(common.cut(grouped.mapInArrow(common.packed(compare), "src long, dst long").distinct()))
+    common.release(spark)
     named = windows.select("content", "doc_id", "pos").join(roots, windows["content"] == roots["id"], "left").select("doc_id", "pos", F.coalesce("component_id", "content").alias("root"))
     firsts = named.groupBy("root").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.max("doc_id").alias("hi")).where("at.doc_id <> hi").select("root", F.col("at.doc_id").alias("rep"), F.col("at.pos").alias("rep_pos"))
     found = named.join(firsts, "root").where("doc_id <> rep").select("doc_id", "rep", "pos", "rep_pos").distinct()
@@ -366,9 +367,11 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     apart = (F.col("pos") > F.lag("pos").over(order) + WINDOW + GAP) | (F.abs(F.col("pos") - F.lag("pos").over(order) - F.col("rep_pos") + F.lag("rep_pos").over(order)) > GAP)
     spans = found.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("span", F.sum("new").over(order)).groupBy("doc_id", "rep", "span")
     spans = spans.agg(F.min("pos").alias("lo"), (F.max("pos") + WINDOW).alias("hi"), F.min_by("rep_pos", "pos").alias("rep_lo"), (F.max_by("rep_pos", "pos") + WINDOW).alias("rep_hi"))
-    runs = runs_of(spans.select("doc_id", "lo", "hi", "rep", "rep_lo", "rep_hi"), source, similarity)
-    runs = common.cut(runs.where(F.col("hi") - F.col("lo") >= min_words).distinct())
+    spans = common.cut(spans.select("doc_id", "lo", "hi", "rep", "rep_lo", "rep_hi"))
+    # Windows and their shuffles aren't needed any more.
     common.remove(spark, at)
+    common.release(spark)
+    runs = common.cut(runs_of(spans, source, similarity).where(F.col("hi") - F.col("lo") >= min_words).distinct())
     others = _merged(runs, ["doc_id", "rep"], "lo", "hi", F.min("rep_lo").alias("rep_lo"))
     kept = common.cut(_merged(runs.select("rep", "rep_lo", "rep_hi").distinct(), ["rep"], "rep_lo", "rep_hi"))
     spot = kept.select(F.col("rep").alias("r"), F.col("rep_lo").alias("a"), F.col("rep_hi").alias("z"))
