@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import INTERVALS_SQL, SEQUENCES_SQL, intervals, sequences
@@ -15,7 +14,7 @@ from ..operators import topk as tk
 from ..operators import verify as vf
 from ..operators import windows as wi
 from ..session import table
-from .sequences import _BEST, _CHOICES, FREQUENCY
+from .sequences import _CHOICES, FREQUENCY
 
 QUERIES: dict = {}
 ORACLE: dict = {}

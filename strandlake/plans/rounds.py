@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import AA, INTERVALS_SQL, NT, SEQUENCES_SQL, derived, derived_sql, intervals, sequences
+from ..fixtures import INTERVALS_SQL, NT, SEQUENCES_SQL, derived, derived_sql, intervals, sequences
 from ..functions import hashing as hs
 from ..functions import sequence as fn
-from ..functions.constants import HYDROPATHY, RESIDUE_MASS, RESIDUES, WATER_MASS
+from ..functions.constants import RESIDUE_MASS, RESIDUES, WATER_MASS
 from ..operators import rules as ru
 from ..operators import topk as tk
 from ..session import table
@@ -216,9 +216,6 @@ def se07(spark, d):
     return ru.seeds(batch, "kind", "components").groupBy("part").agg(F.count("*").alias("n"))
 
 
-_READER = "SELECT {part} AS part, count(*) AS lines, min(event_id) AS first FROM events WHERE event_type <> 'view' GROUP BY 1"
-
-
 @query("st05_reader_dispatch", "SELECT 'line-stride' AS reader, (event_id % 6)::INT AS part, count(*) AS lines FROM events GROUP BY 1, 2 UNION ALL SELECT 'file-shard', ((user_id % 3) * 2 + event_id % 2)::INT, count(*) FROM events GROUP BY 1, 2 UNION ALL (WITH l AS (SELECT user_id AS f, event_id AS i, octet_length(encode(props)) + 1 AS n FROM events), p AS (SELECT coalesce(sum(n) OVER (PARTITION BY f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, sum(n) OVER (PARTITION BY f) AS t FROM l) SELECT 'byte-range', (((o + 1) * 6 - 1) // t)::INT, count(*) FROM p GROUP BY 1, 2)")
 def st05(spark, d):
     e = table(spark, d, "events")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..fixtures import INTERVALS_SQL, SEQUENCES_SQL, TEXT_NT_SQL, intervals, sequences, text_sequences
 from ..functions import hashing as hs
-from ..functions import sequence as fn
 from ..functions.constants import HYDROPATHY
 from ..operators import aggregates as ag
 from ..operators import joins as jn
