@@ -292,18 +292,18 @@ _METRICS = f"""v AS (SELECT doc_id, substr(aa, 1, (doc_id % 200)::INT) AS aa, su
 c AS (SELECT v.doc_id, i, substr(aa, i, 1) AS c FROM v, range(1, 201) r(i) WHERE i <= length(aa)), h AS (SELECT doc_id, abs(round(sum(n * 1.0::DOUBLE / t * log2(n * 1.0::DOUBLE / t)), 6)) AS bits FROM (SELECT doc_id, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM c GROUP BY 1, 2) GROUP BY 1),
 g AS (SELECT doc_id, max(n) AS run FROM (SELECT doc_id, c, k, count(*) AS n FROM (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS k FROM c) GROUP BY 1, 2, 3) GROUP BY 1),
 d AS (SELECT v.doc_id, i, substr(nt, i, 1) AS c FROM v, range(1, 251) r(i) WHERE i <= length(nt)), e AS (SELECT doc_id, max(n) AS run FROM (SELECT doc_id, c, k, count(*) AS n FROM (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS k FROM d) GROUP BY 1, 2, 3) GROUP BY 1),
-p AS (SELECT doc_id, {', '.join(f'round(coalesce(count(*) FILTER (c IN ({chr(39)}G{chr(39)}, {chr(39)}C{chr(39)}) AND i % 3 = {k % 3})::DOUBLE / nullif(count(*) FILTER (i % 3 = {k % 3}), 0), 0), 6) AS gc{k}' for k in (1, 2, 3))} FROM d GROUP BY 1)"""
+p AS (SELECT doc_id, {', '.join(f'coalesce(count(*) FILTER (c IN ({chr(39)}G{chr(39)}, {chr(39)}C{chr(39)}) AND i % 3 = {k % 3})::DOUBLE / nullif(count(*) FILTER (i % 3 = {k % 3}), 0), 0) AS gc{k}' for k in (1, 2, 3))} FROM d GROUP BY 1)"""
 
 
-@query("fn13_all_metrics", f"WITH {_METRICS} SELECT v.doc_id, length(aa)::INT AS aa_length, length(nt)::INT AS cds_length, (length(nt) // 3)::INT AS codons, CASE WHEN length(nt) >= 3 THEN substr(nt, 1, 3) ELSE '' END AS start_codon, round(CASE WHEN aa = '' THEN 0 ELSE {' + '.join(f'{_COUNT(c)} * {RESIDUE_MASS[c]}::DOUBLE' for c in RESIDUES)} + {WATER_MASS} END, 3) AS mass, round(coalesce({_COUNT('AFILMVWY')}::DOUBLE / nullif(length(aa), 0), 0), 6) AS hydrophobic, round(coalesce({_COUNT('DEHKR')}::DOUBLE / nullif(length(aa), 0), 0), 6) AS charged, {_COUNT('C')}::INT AS cysteines, {_COUNT('P')}::INT AS prolines, coalesce(h.bits, 0) AS entropy, coalesce(g.run, 0)::INT AS aa_run, round(coalesce({_COUNT('GC', 'nt')}::DOUBLE / nullif(length(nt), 0), 0), 6) AS gc, coalesce(gc1, 0) AS gc1, coalesce(gc2, 0) AS gc2, coalesce(gc3, 0) AS gc3, coalesce(e.run, 0)::INT AS nt_run FROM v LEFT JOIN h ON h.doc_id = v.doc_id LEFT JOIN g ON g.doc_id = v.doc_id LEFT JOIN e ON e.doc_id = v.doc_id LEFT JOIN p ON p.doc_id = v.doc_id")
+@query("fn13_all_metrics", f"WITH {_METRICS} SELECT v.doc_id, length(aa)::INT AS aa_length, length(nt)::INT AS cds_length, (length(nt) // 3)::INT AS codons, CASE WHEN length(nt) >= 3 THEN substr(nt, 1, 3) ELSE '' END AS start_codon, round(CASE WHEN aa = '' THEN 0 ELSE {' + '.join(f'{_COUNT(c)} * {RESIDUE_MASS[c]}::DOUBLE' for c in RESIDUES)} + {WATER_MASS} END, 4) AS mass, coalesce({_COUNT('AFILMVWY')}::DOUBLE / nullif(length(aa), 0), 0) AS hydrophobic, coalesce({_COUNT('DEHKR')}::DOUBLE / nullif(length(aa), 0), 0) AS charged, {_COUNT('C')}::INT AS cysteines, {_COUNT('P')}::INT AS prolines, coalesce(h.bits, 0) AS entropy, coalesce(g.run, 0)::INT AS aa_run, coalesce({_COUNT('GC', 'nt')}::DOUBLE / nullif(length(nt), 0), 0) AS gc, coalesce(gc1, 0) AS gc1, coalesce(gc2, 0) AS gc2, coalesce(gc3, 0) AS gc3, coalesce(e.run, 0)::INT AS nt_run FROM v LEFT JOIN h ON h.doc_id = v.doc_id LEFT JOIN g ON g.doc_id = v.doc_id LEFT JOIN e ON e.doc_id = v.doc_id LEFT JOIN p ON p.doc_id = v.doc_id")
 def fn13(spark, d):
     aa, nt = F.col("aa"), F.col("nt")
     v = sequences(spark, d).select("doc_id", F.substr("aa", F.lit(1), (F.col("doc_id") % 200).cast("int")).alias("aa"), F.substr("nt", F.lit(1), (F.col("doc_id") % 250).cast("int")).alias("nt"))
-    part = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    part = lambda c: F.coalesce(c, F.lit(0.0))
     return v.select(
         "doc_id", F.length(aa).alias("aa_length"), F.length(nt).alias("cds_length"), F.floor(F.length(nt) / 3).cast("int").alias("codons"), F.when(F.length(nt) >= 3, F.substr(nt, F.lit(1), F.lit(3))).otherwise("").alias("start_codon"),
-        F.round(F.when(aa == "", 0.0).otherwise(fn.mass(aa)), 3).alias("mass"), part(fn.fraction(aa, "AFILMVWY")).alias("hydrophobic"), part(fn.fraction(aa, "DEHKR")).alias("charged"), fn.count_of(aa, "C").cast("int").alias("cysteines"), fn.count_of(aa, "P").cast("int").alias("prolines"),
-        part(fn.entropy(aa, RESIDUES)).alias("entropy"), F.coalesce(fn.longest_homopolymer(aa), F.lit(0)).cast("int").alias("aa_run"), part(fn.fraction(nt, "GC")).alias("gc"), *[part(fn.gc_at(nt, k)).alias(f"gc{k}") for k in (1, 2, 3)], F.coalesce(fn.longest_homopolymer(nt), F.lit(0)).cast("int").alias("nt_run"),
+        F.round(F.when(aa == "", 0.0).otherwise(fn.mass(aa)), 4).alias("mass"), part(fn.fraction(aa, "AFILMVWY")).alias("hydrophobic"), part(fn.fraction(aa, "DEHKR")).alias("charged"), fn.count_of(aa, "C").cast("int").alias("cysteines"), fn.count_of(aa, "P").cast("int").alias("prolines"),
+        F.round(part(fn.entropy(aa, RESIDUES)), 6).alias("entropy"), F.coalesce(fn.longest_homopolymer(aa), F.lit(0)).cast("int").alias("aa_run"), part(fn.fraction(nt, "GC")).alias("gc"), *[part(fn.gc_at(nt, k)).alias(f"gc{k}") for k in (1, 2, 3)], F.coalesce(fn.longest_homopolymer(nt), F.lit(0)).cast("int").alias("nt_run"),
     )
 
 
