@@ -22,6 +22,8 @@ MIN_WORDS = 50
 #: Words that are looked at on either side of a run's core; words between windows of one run; words that must agree
 #: after an edit.
 CONTEXT, GAP, RESYNC = 44, 8, 5
+#: Runs whose places are broadcast at most (some tens of bytes each); with more, texts meet them by document.
+BROADCAST_SPANS = 1_000_000
 #: Linked windows may differ in their outer words or be shifted by some: runs grow from so many words within.
 TRIM = 5
 #: Recall that bands are tuned for, at SIMILARITY.
@@ -190,7 +192,10 @@ _EDITS = ((1, 1), (0, 1), (1, 0), (2, 2), (0, 2), (2, 0), (1, 2), (2, 1))
 def contexts(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, text and distinct (doc_id, lo, hi) -> doc_id, lo, hi, before, after: hashes of the CONTEXT words on either side
     of the words from lo up to hi, as bytes, nearest first."""
-    asked = common.small_side(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    wanted = common.cut(wanted)
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    if wanted.count() <= BROADCAST_SPANS:
+        asked = F.broadcast(asked)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
