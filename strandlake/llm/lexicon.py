@@ -128,7 +128,7 @@ class Lexicon:
         if got is None:
             return None
         text, stem = self.terms[got[1]]
-        return got[1], not (word.startswith(text) if stem else word == text), word
+        return got[1], got[0] > 0, word
 
     def find(self, raw: bytes) -> tuple[int, bool, str] | None:
         """(term, whether it is misspelled, the word) if the token, or a part of it between signs, is a term."""

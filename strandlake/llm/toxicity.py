@@ -18,7 +18,10 @@ from .lexicon import _EDGE, Lexicon
 #: The classifier is fitted on the documents of so many labelled rows at most, chosen by a hash of doc_id.
 MAX_LABELLED = 8192
 #: Terms that are considered and that the lexicon holds at most; letters of a stem; documents and evidence that a term needs.
-MAX_CANDIDATES, MAX_TERMS, STEM, MIN_DOCS, MIN_EVIDENCE, MIN_ODDS = 50_000, 500, (4, 12), 3, 11.0, 1.2
+MAX_CANDIDATES, MAX_TERMS, STEM, MIN_DOCS, MIN_EVIDENCE, MIN_ODDS = 50_000, 500, (4, 12), 3, 14.0, 1.2
+#: Candidates with the most evidence whose documents are looked up; what a document counts for a term if it holds a better one;
+#: MinHashes of three-word shingles, of which near copies share one.
+MAX_PLACED, COVERED, SIGNS = 2000, 0.5, 4
 #: Misspelled forms that clean documents hold, kept at most.
 MAX_KNOWN = 20_000
 #: Words before and after a place that tell quotation from abuse; before it, that report or address.
@@ -92,15 +95,15 @@ class Model:
             if w > 1 and m < 0.5:
                 kinds.add(t)
         n = max(1, len(words))
-        return np.array([np.log1p(plain), np.log1p(told), np.log1p(direct), min(1.0, 10 * (plain + direct) / n), np.log1p(len(kinds)), np.log1p(n) / 10, 1.0])
+        return np.array([np.log1p(plain + direct), np.log1p(told), np.log1p(direct), min(1.0, 10 * (plain + direct) / n), np.log1p(len(kinds)), np.log1p(n) / 10, 1.0])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.beta, -30, 30)))
 
 
 #: Coefficients that a document's evidence has without labels; labels move them from here.
-_PRIOR = np.array([1.5, 0.1, 2.0, 1.0, 0.5, -1.0, -3.0])
-_RIDGE = np.array([0.05, 3.0, 0.3, 0.05, 0.2, 0.2, 0.01])
+_PRIOR = np.array([2.0, 0.1, 0.5, 2.0, 0.5, -1.0, -3.0])
+_RIDGE = np.array([2.0, 5.0, 2.0, 0.5, 2.0, 1.0, 2.0])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -116,19 +119,33 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _words(text: bytes) -> set[str]:
-    return {w for w in (_clean(t).strip(_EDGE) for t in set(text.split())) if w}
+def _words(text: bytes) -> Counter:
+    out: Counter = Counter()
+    for t, n in Counter(text.split()).items():
+        w = _clean(t).strip(_EDGE)
+        if w:
+            out[w] += n
+    return out
 
 
-def _terms(text: bytes) -> set[str]:
-    """A text's words, with $ at the end, and their beginnings: candidates of the lexicon."""
-    out = set()
-    for w in _words(text):
-        out.add(w + "$")
-        out.update(w[:k] for k in range(STEM[0], min(len(w), STEM[1]) + 1))
+def _terms(text: bytes) -> dict[str, int]:
+    """A text's words, with $ at the end, and their beginnings, with their counts: candidates of the lexicon."""
+    out: dict[str, int] = {}
+    for w, n in _words(text).items():
+        out[w + "$"] = n
+        for k in range(STEM[0], min(len(w), STEM[1]) + 1):
+            out[w[:k]] = out.get(w[:k], 0) + n
     return out
 
 
+def _signs(text: bytes) -> list[int]:
+    import xxhash
+
+    words = text.lower().split()
+    shingles = {b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    return [min(xxhash.xxh3_64_intdigest(s, k) for s in shingles) >> 1 for k in range(SIGNS)]
+
+
 def _evidence(a, b, n_toxic: float, n_clean: float) -> tuple[np.ndarray, np.ndarray]:
     """(log-likelihood ratio, log odds ratio) of terms in a toxic and b clean documents."""
     a, b = np.asarray(a, float), np.asarray(b, float)
@@ -138,25 +155,40 @@ def _evidence(a, b, n_toxic: float, n_clean: float) -> tuple[np.ndarray, np.ndar
     return 2 * sum([*parts, *miss]), np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
 
 
-def chosen_terms(words: list[str], a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> tuple[list[tuple[str, bool]], np.ndarray]:
-    """Of a term and its own beginnings and continuations that with the most evidence; of those in equally many documents
-    the longest, whole words last of all. -> terms (text, stem), their log odds."""
-    g, odds = _evidence(a, b, n_toxic, n_clean)
-    fit = np.flatnonzero((a >= MIN_DOCS) & (g >= MIN_EVIDENCE) & (odds >= MIN_ODDS))
-    order = sorted(fit.tolist(), key=lambda i: (-round(float(g[i]), 6), -len(words[i]), words[i]))
+def ranked_terms(words: list[str], a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> list[int]:
+    """Places of the candidates by falling evidence. a, b: (words, 2) toxic and clean documents that hold a term at all, and more
+    than once; the better of the two is its evidence. Of words in equally many documents the longest comes first."""
+    g = np.maximum(*[_evidence(a[:, k], b[:, k], n_toxic, n_clean)[0] for k in (0, 1)])
+    odds = np.maximum(*[_evidence(a[:, k], b[:, k], n_toxic, n_clean)[1] for k in (0, 1)])
+    every = _evidence(a[:, 0], b[:, 0], n_toxic, n_clean)[1]
+    fit = np.flatnonzero((a[:, 0] >= MIN_DOCS) & (g >= MIN_EVIDENCE) & (odds >= MIN_ODDS) & (every >= 1))
+    return sorted(fit.tolist(), key=lambda i: (-round(float(g[i]), 6), -len(words[i]), words[i]))[:MAX_PLACED]
+
+
+def chosen_terms(words: list[str], a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int, order: list[int], places: list[list[int]]) -> tuple[list[tuple[str, bool]], np.ndarray]:
+    """Of a term and its own beginnings and continuations that with the most evidence, if toxic documents without a better
+    term need it. places: the groups of near copies among the toxic documents that hold each candidate of order; a group counts
+    once. -> terms (text, stem), their log odds."""
     taken: set[str] = set()  # chosen terms, and all beginnings of chosen terms
     ends: set[str] = set()
-    out = []
-    for i in order:
+    out, covered = [], set()
+    for i, docs in zip(order, places, strict=True):
         w = words[i]
         if w in taken or any(w[:k] in ends for k in range(1, len(w))):
             continue
+        groups = set(docs)
+        count = sum(1.0 if d not in covered else COVERED for d in groups)
+        share = count / max(1, len(docs))
+        if count < MIN_DOCS or max(float(_evidence(a[i, k] * share, b[i, k], n_toxic, n_clean)[0]) for k in (0, 1)) < MIN_EVIDENCE:
+            continue
         ends.add(w)
         taken.update(w[:k] for k in range(1, len(w) + 1))
+        covered.update(docs)
         out.append(i)
         if len(out) == MAX_TERMS:
             break
-    return [(words[i].removesuffix("$"), not words[i].endswith("$")) for i in out], odds[out]
+    odds = _evidence(a[out, 0], b[out, 0], n_toxic, n_clean)[1] if out else np.zeros(0)
+    return [(words[i].removesuffix("$"), not words[i].endswith("$")) for i in out], odds
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, label: str = "toxic") -> Model:
@@ -164,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, la
 
     Rows without doc_id or label, and labels other than 0 and 1, teach nothing; of a document's repeated labels the
     largest counts, of its repeated rows each. The sample's texts stay in the shared folder; the driver gets at most
-    MAX_CANDIDATES counted terms, MAX_KNOWN forms and a few numbers a sampled document.
+    MAX_CANDIDATES counted terms, MAX_KNOWN forms, which of MAX_PLACED terms a sampled toxic document holds, and a
+    few numbers a sampled document.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -179,20 +212,46 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, la
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 n: Counter = Counter()
+                twice: Counter = Counter()
                 for t in common.texts(b.column(0)):
-                    n.update(_terms(t) if wanted is None else _terms(t) & wanted.value)
+                    got = {w: k for w, k in _terms(t).items() if wanted is None or w in wanted.value}
+                    n.update(got.keys())
+                    twice.update(w for w, k in got.items() if k > 1)
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), pa.array([twice[w] for w in n], pa.int64())], ["term", "n", "twice"])
 
         return work
 
-    toxic = sample.where("y = 1").select("text").mapInArrow(counted(), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    got = toxic.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).toArrow().to_pydict()
+    def totals(y: int, wanted=None) -> DataFrame:
+        return sample.where(F.col("y") == y).select("text").mapInArrow(counted(wanted), "term string, n long, twice long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("twice").alias("twice"))
+
+    got = totals(1).where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).toArrow().to_pydict()
     wanted = spark.sparkContext.broadcast(frozenset(got["term"]))
-    clean = sample.where("y = 0").select("text").mapInArrow(counted(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    clean = {t: (n, k) for t, n, k in zip(*totals(0, wanted).toArrow().to_pydict().values(), strict=True)}
     wanted.destroy()
-    b = dict(zip(clean["term"], clean["n"], strict=True))
-    terms, odds = chosen_terms(got["term"], np.array(got["n"], float), np.array([b.get(t, 0) for t in got["term"]], float), n_toxic, n_clean)
+    a, b = np.array([got["n"], got["twice"]], float).T.reshape(-1, 2), np.array([clean.get(t, (0, 0)) for t in got["term"]], float).reshape(-1, 2)
+    order = ranked_terms(got["term"], a, b, n_toxic, n_clean)
+    place = spark.sparkContext.broadcast({got["term"][i]: k for k, i in enumerate(order)})
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in common.texts(b.column(0)):
+                rows.append((_signs(t), sorted(place.value[w] for w in _terms(t) if w in place.value)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.int32())))], ["signs", "at"])
+
+    toxic = sample.where("y = 1").select("text").mapInArrow(held, "signs array<long>, at array<int>").toArrow().to_pylist() if order else []
+    place.destroy()
+    places: list[list[int]] = [[] for _ in order]
+    first: dict[tuple[int, int], int] = {}
+    for n, row in enumerate(toxic):
+        group = min((first[k, v] for k, v in enumerate(row["signs"]) if (k, v) in first), default=n)
+        for k, v in enumerate(row["signs"]):
+            first.setdefault((k, v), group)
+        for k in row["at"]:
+            places[k].append(group)
+    terms, odds = chosen_terms(got["term"], a, b, n_toxic, n_clean, order, places)
 
     # Misspelled forms: those that clean documents use are words of their own; the others count as the term's labels say.
     lexicon = spark.sparkContext.broadcast(terms)
@@ -217,8 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, la
         a, b_ = rest.get(t, (0, 0))
         weights[t, 0] = np.clip(odds[t], 0, 6)
         # A term that many clean words lie near has many more such words that the sample doesn't show.
-        trust = (a + 2) / (a + b_ + 2 + 0.5 * known_forms.get(t, 0))
-        weights[t, 1] = weights[t, 0] * 0.8 * trust**2
+        trust = (a + 2) / (a + b_ + 2 + 0.1 * known_forms.get(t, 0))
+        weights[t, 1] = weights[t, 0] * 0.8 * trust
     model = Model(terms, weights, words, _PRIOR.copy())
     shared = spark.sparkContext.broadcast(model)
 
