@@ -51,7 +51,7 @@ def mention(words: list[bytes], i: int) -> float:
     at = min(i, WINDOW)
     opened = False
     for j in range(at, -1, -1):
-        if j < at and near[j] and near[j][-1] in _CLOSE:
+        if j < at and len(near[j]) > 1 and near[j][-1] in _CLOSE:
             break
         if near[j] and near[j].lstrip("([{")[:1] and near[j].lstrip("([{")[0] in _OPEN:
             opened = True
