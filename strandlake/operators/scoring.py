@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,37 +101,3 @@ def sensitivity(df: DataFrame, key: str, features: list[Feature], gates: list[Ga
     ranked = numbered(rows.where("eligible"), [F.desc("score"), key], "rank", ["scenario"])
     rows = ranked.unionByName(rows.where("not eligible").withColumn("rank", F.lit(None).cast("long")))
     return rows.groupBy(key).agg(F.min("rank").alias("minimum_rank"), F.max("rank").alias("maximum_rank"), (F.max("rank") - F.min("rank")).alias("rank_span"), F.count("*").alias("scenario_count"))
-
-
-def portfolio(ranked: DataFrame, key: str, sequence: str, group: str, budget: int, most_similar: float, controls: int = 0) -> DataFrame:
-    """Greedy choice in each group: first the control minimum, then by rank those not too similar to any chosen one.
-
-    ranked: key, sequence, group, rank, is_control; eligible rows only. Each choice depends on those before it, so a
-    group is one task. It can stop at the budget, but it needs every row until then: a group must fit a task.
-    """
-
-    def kmers(s: str) -> set[str]:
-        return {s[i : i + 3] for i in range(len(s) - 2)}
-
-    def similar(a: str, b: str) -> float:
-        if a == b:
-            return 1.0
-        x, y = kmers(a), kmers(b)
-        return len(x & y) / len(x | y) if x and y else 0.0
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", key])
-        chosen: list[tuple[object, str, str]] = []
-        for k, s in pdf[pdf["is_control"]][[key, sequence]].head(controls).itertuples(index=False):
-            chosen.append((k, s, "required_control"))
-        taken = {k for k, _, _ in chosen}
-        for k, s in pdf[[key, sequence]].itertuples(index=False):
-            if len(chosen) >= budget:
-                break
-            if k not in taken and all(similar(s, t) <= most_similar for _, t, _ in chosen):
-                chosen.append((k, s, "rank_and_diversity"))
-        g = pdf[group].iloc[0]
-        return pd.DataFrame({group: [g] * len(chosen), key: [k for k, _, _ in chosen], "place": range(1, len(chosen) + 1), "reason": [r for *_, r in chosen]})
-
-    kinds = dict(ranked.dtypes)
-    return ranked.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {key} {kinds[key]}, place long, reason string")

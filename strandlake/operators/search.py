@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fn
+from .joins import seed_and_extend
 
 #: Names of the features that an interval's priority weighs.
 INTERVAL_FEATURES = ("retention", "confidence", "order", "boundary", "compactness")
@@ -100,39 +100,28 @@ def tile(queries: DataFrame, key: str, text: str, library: list[tuple[str, str]]
     return queries.select(key, fn.let(parts, lambda ps: F.when(F.array_join(ps, "") == F.col(text), F.transform(ps, lambda p: fn.literal_map(names)[p]))).alias("names"))
 
 
-def segments(queries: DataFrame, key: str, text: str, sources: list[tuple[str, str]], least: int = 8) -> DataFrame:
-    """Greedy cut of each query into runs of sources (a small list; longest at each place, ties to the greater name and
-    offset) and additions: key, place, source (null: addition), start0, length, offset0."""
-
-    def longest(t: str, at: int) -> tuple[int, str, int]:
-        best = (0, "", 0)
-        for name, s in sources:
-            seed, k = t[at : at + least], -1
-            while len(seed) == least and (k := s.find(seed, k + 1)) >= 0:
-                n = least
-                while at + n < len(t) and k + n < len(s) and t[at + n] == s[k + n]:
-                    n += 1
-                best = max(best, (n, name, k))
-        return best
-
-    def work(batches):
-        for pdf in batches:
-            out = []
-            for i, t in pdf[[key, text]].itertuples(index=False):
-                at = open_ = place = 0
-                while at < len(t):
-                    n, name, k = longest(t, at)
-                    if not n:
-                        at += 1
-                        continue
-                    if at > open_:
-                        out.append((i, place, None, open_, at - open_, None))
-                        place += 1
-                    out.append((i, place, name, at, n, k))
-                    place += 1
-                    at = open_ = at + n
-                if at > open_:
-                    out.append((i, place, None, open_, at - open_, None))
-            yield pd.DataFrame(out, columns=[key, "place", "source", "start0", "length", "offset0"])
-
-    return queries.select(key, text).mapInPandas(work, f"{key} {dict(queries.dtypes)[key]}, place int, source string, start0 int, length int, offset0 int")
+def segments(queries: DataFrame, key: str, text: str, library: DataFrame, name: str, source: str, least: int = 8) -> DataFrame:
+    """Greedy cut of each query into runs of library texts (the longest at each place, ties to the greater name and
+    offset; least letters at least) and additions: key, place, source (null: addition), start0, length, offset0.
+
+    The best run of every place comes from seed_and_extend(); where a run begins the next one begins at or after its end, so
+    one fold over a query's runs, in the order of their places, picks those that the greedy cut takes. The gaps between
+    are additions. Texts without any letters have no parts.
+    """
+    best = seed_and_extend(queries, library, (key, text), (name, source), least)
+    run = F.struct(F.col("q_at").alias("start0"), "length", F.col("l_id").alias("source"), F.col("l_at").alias("offset0"))
+    runs = best.groupBy(F.col("q_id").alias(key)).agg(F.sort_array(F.collect_list(run)).alias("runs"))
+    rows = queries.select(key, F.length(text).alias("n")).where("n > 0").join(runs, key, "left")
+    none = F.slice(F.col("runs"), 1, 0)
+    step = lambda s, r: F.when(r["start0"] >= s["at"], F.struct(F.concat(s["taken"], F.array(r)).alias("taken"), (r["start0"] + r["length"]).alias("at"))).otherwise(s)
+    taken = F.aggregate("runs", F.struct(none.alias("taken"), F.lit(0).alias("at")), step)["taken"]
+    rows = rows.select(key, "n", F.when(F.col("runs").isNotNull(), taken).alias("taken"))
+    blank = rows.select(F.element_at(F.col("taken"), 1).alias("t")).schema["t"].dataType
+    added = lambda a, b: F.struct(a.alias("start0"), (b - a).alias("length"), F.lit(None).cast(blank["source"].dataType).alias("source"), F.lit(None).cast("int").alias("offset0"))
+    # Before each run, and after the last one, what no run covers.
+    ends = F.concat(F.array(F.lit(0)), F.transform("taken", lambda r: r["start0"] + r["length"]))
+    begins = F.concat(F.transform("taken", lambda r: r["start0"]), F.array(F.col("n")))
+    gaps = F.when(F.col("taken").isNull(), F.array(added(F.lit(0), F.col("n")))).otherwise(F.zip_with(ends, begins, added))
+    parts = F.array_sort(F.concat(F.coalesce("taken", F.array().cast(rows.schema["taken"].dataType)), F.filter(gaps, lambda g: g["length"] > 0)))
+    out = rows.select(key, F.posexplode(parts).alias("place", "p"))
+    return out.select(key, "place", "p.source", "p.start0", "p.length", "p.offset0")

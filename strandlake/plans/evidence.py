@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import INTERVALS_SQL, SEQUENCES_SQL, intervals, sequences
+from ..fixtures import AA, INTERVALS_SQL, SEQUENCES_SQL, derived, derived_sql, intervals, sequences
 from ..functions import hashing as hs
 from ..functions import sequence as fn
 from ..operators import aggregates as ag
@@ -263,12 +263,33 @@ def it02(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 40, "priority").when(F.col("p_brand").endswith("3"), "diversity_rescue").otherwise("archive").alias("lane"))
 
 
-@query("it04_segments")
+_PIECES = "concat(substr(a.aa, d.doc_id % 40 + 1, 30 + d.doc_id % 50), 'WYWY', substr(b.aa, d.doc_id % 90 + 1, 20 + d.doc_id % 70), repeat('V', (d.doc_id % 4)::INT))"
+_SUPPLIERS = f"(SELECT s_suppkey, {derived_sql('CAST(s_suppkey AS VARCHAR)', AA)} AS aa FROM supplier)"
+_CUT = (
+    f"WITH RECURSIVE l AS MATERIALIZED (SELECT 'source' || s_suppkey AS name, aa FROM {_SUPPLIERS}), n AS (SELECT max(s_suppkey) AS n FROM supplier), "
+    f"q AS MATERIALIZED (SELECT d.doc_id, {_PIECES} AS t FROM documents d, n JOIN {_SUPPLIERS} a ON a.s_suppkey = d.doc_id % n.n + 1 JOIN {_SUPPLIERS} b ON b.s_suppkey = (d.doc_id * 7) % n.n + 1), "
+    "h AS (SELECT q.doc_id, x.a AS pos, y.name, y.b, substr(q.t, x.a + 1) AS u, substr(y.aa, y.b + 1) AS v FROM q, LATERAL (SELECT unnest(range(length(q.t) - 7)) AS a) x JOIN (SELECT name, aa, unnest(range(249)) AS b FROM l) y ON substr(q.t, x.a + 1, 8) = substr(y.aa, y.b + 1, 8)), "
+    "m AS MATERIALIZED (SELECT doc_id, pos, name, b, coalesce(list_filter(range(1, least(length(u), length(v)) + 1), lambda i: substr(u, i, 1) <> substr(v, i, 1))[1] - 1, least(length(u), length(v))) AS n FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY n DESC, name DESC, b DESC) = 1), "
+    "w AS (SELECT doc_id, -1::BIGINT AS pos, 0::BIGINT AS n, NULL::VARCHAR AS name, NULL::BIGINT AS b FROM q UNION ALL SELECT m.doc_id, m.pos, m.n, m.name, m.b FROM w JOIN m ON m.doc_id = w.doc_id AND m.pos = (SELECT min(o.pos) FROM m o WHERE o.doc_id = w.doc_id AND o.pos >= greatest(w.pos, 0) + w.n)), "
+    "g AS (SELECT w.doc_id, greatest(w.pos, 0) + w.n AS s, coalesce(lead(w.pos) OVER (PARTITION BY w.doc_id ORDER BY w.pos), length(q.t)) AS e FROM w JOIN q ON q.doc_id = w.doc_id), "
+    "p AS (SELECT doc_id, name AS source, pos AS start0, n AS length, b AS offset0 FROM w WHERE pos >= 0 UNION ALL SELECT doc_id, NULL, s, e - s, NULL FROM g WHERE e > s) "
+    "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start0) - 1)::INT AS place, source, start0::INT AS start0, length::INT AS length, offset0::INT AS offset0 FROM p"
+)
+
+
+@query("it04_segments", _CUT)
 def it04(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    names = [(x[0], x[0]) for x in n.select("n_name").unionByName(r.select(F.col("r_name").alias("n_name"))).orderBy("n_name").collect()]  # thirty sources
-    q = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", F.concat("n_name", F.lit("--"), "r_name").alias("t"))
-    return se.segments(q, "n_nationkey", "t", names, 4)
+    """Sequences joined from parts of two suppliers' sequences, cut again, against the sequences of all suppliers."""
+    sources = table(spark, d, "supplier").select("s_suppkey", derived(F.col("s_suppkey").cast("string"), AA).alias("aa"))
+    n = table(spark, d, "supplier").agg(F.max("s_suppkey").alias("n"))
+    docs = table(spark, d, "documents").select("doc_id").join(F.broadcast(n))  # one row
+    i = F.col("doc_id")
+    docs = docs.select("doc_id", (i % F.col("n") + 1).alias("s_suppkey"), (i * 7 % F.col("n") + 1).alias("k2"))
+    docs = docs.join(sources, "s_suppkey").join(sources.select(F.col("s_suppkey").alias("k2"), F.col("aa").alias("bb")), "k2")
+    part = lambda c, m, k, j: F.substr(c, (i % m + 1).cast("int"), (k + i % j).cast("int"))
+    text = F.concat(part("aa", 40, 30, 50), F.lit("WYWY"), part("bb", 90, 20, 70), F.repeat(F.lit("V"), (i % 4).cast("int")))
+    library = sources.select(F.concat(F.lit("source"), F.col("s_suppkey").cast("string")).alias("name"), "aa")
+    return se.segments(docs.select("doc_id", text.alias("t")), "doc_id", "t", library, "name", "aa")
 
 
 @query("jn23_tiling", "WITH p AS (SELECT p_partkey, replace(p_brand, '#', '') AS t FROM part), x AS (SELECT p_partkey, t, regexp_extract_all(t, 'Brand|22|[0-9]') AS ps FROM p) SELECT p_partkey, CASE WHEN array_to_string(ps, '') = t THEN list_transform(ps, lambda e: CASE e WHEN 'Brand' THEN 'brand' WHEN '22' THEN 'two' ELSE e END) END AS names FROM x")

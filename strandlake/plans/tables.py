@@ -9,6 +9,7 @@ from ..fixtures import INTERVALS_SQL, SEQUENCES_SQL, TEXT_NT_SQL, intervals, seq
 from ..functions import hashing as hs
 from ..functions.constants import HYDROPATHY
 from ..operators import aggregates as ag
+from ..operators import diversity as dv
 from ..operators import joins as jn
 from ..operators import scoring as sc
 from ..operators import topk as tk
@@ -242,11 +243,37 @@ def ag18(spark, d):
     return sc.sensitivity(sc.normalized(candidates(spark, d), FEATURES), "p_partkey", FEATURES, GATES, 0.25)
 
 
-@query("tk07_portfolio")
+_KMERS = "list_distinct(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3)))"
+
+
+def _portfolio_sql(rows: str, budget: int, most: float, controls: int, others: int) -> str:
+    """The sequential rule, a row at a time: rows has grp, k, seq, rank, is_control."""
+    similar = f"len(list_filter(pw.held, lambda h: len(list_intersect(h, pe.ks)) / len(list_distinct(list_concat(h, pe.ks))) > {most}::DOUBLE)) = 0 AND pc.k IS NULL"
+    return (
+        f"pe AS (SELECT *, {_KMERS} AS ks, row_number() OVER (PARTITION BY grp ORDER BY rank, k) AS i FROM {rows}), "
+        f"pc AS (SELECT *, CASE WHEN is_control THEN 0 ELSE 1 END AS tier FROM pe QUALIFY row_number() OVER (PARTITION BY grp, is_control ORDER BY i) <= CASE WHEN is_control THEN {controls} ELSE {others} END), "
+        "pw AS (SELECT x.grp, 0::BIGINT AS i, coalesce(h, []::VARCHAR[][]) AS held, []::BIGINT[] AS took, coalesce(n, 0) AS n FROM (SELECT DISTINCT grp FROM pe) x LEFT JOIN (SELECT grp, list(ks) AS h, count(*) AS n FROM pc GROUP BY grp) y ON y.grp = x.grp "
+        f"UNION ALL SELECT pw.grp, pe.i, CASE WHEN {similar} THEN list_append(pw.held, pe.ks) ELSE pw.held END, CASE WHEN {similar} THEN list_append(pw.took, pe.k) ELSE pw.took END, pw.n + CASE WHEN {similar} THEN 1 ELSE 0 END "
+        f"FROM pw JOIN pe ON pe.grp = pw.grp AND pe.i = pw.i + 1 LEFT JOIN pc ON pc.grp = pe.grp AND pc.k = pe.k WHERE pw.n < {budget}), "
+        "pz AS (SELECT grp, unnest(took) AS k, 2 AS tier, unnest(range(len(took))) AS i FROM (SELECT grp, arg_max(took, i) AS took FROM pw GROUP BY grp)) "
+        "SELECT grp, k, row_number() OVER (PARTITION BY grp ORDER BY tier, i)::INT AS place, CASE tier WHEN 0 THEN 'required_control' WHEN 1 THEN 'required_other' ELSE 'rank_and_diversity' END AS reason "
+        "FROM (SELECT grp, k, tier, i FROM pc UNION ALL SELECT grp, k, tier, i FROM pz)"
+    )
+
+
+@query("tk07_portfolio", f"WITH RECURSIVE {_CAND}{_NORM}{_SCORE}, r AS (SELECT p_size AS grp, p_partkey AS k, concat(md5(p_brand), substr(md5((p_partkey % 40)::VARCHAR), 1, 16)) AS seq, row_number() OVER (ORDER BY score DESC, p_partkey) AS rank, p_partkey % 20 = 0 AS is_control FROM s WHERE eligible), " + _portfolio_sql("r", 8, 0.4, 1, 1).replace("SELECT grp, k, row_number() OVER (PARTITION BY grp ORDER BY tier, i)::INT AS place", "SELECT grp, k AS p_partkey, row_number() OVER (PARTITION BY grp ORDER BY tier, i)::INT AS place"))
 def tk07(spark, d):
     ranked = sc.scored(sc.normalized(candidates(spark, d), FEATURES), "p_partkey", FEATURES, GATES).where("eligible")
-    ranked = ranked.select("p_partkey", F.md5(F.col("p_brand").cast("binary")).alias("seq"), F.col("p_size").alias("grp"), "rank", (F.col("p_partkey") % 50 == 0).alias("is_control"))
-    return sc.portfolio(ranked, "p_partkey", "seq", "grp", 5, 0.4, 1)
+    seq = F.concat(F.md5(F.col("p_brand").cast("binary")), F.substr(F.md5((F.col("p_partkey") % 40).cast("string").cast("binary")), F.lit(1), F.lit(16)))
+    ranked = ranked.select("p_partkey", seq.alias("seq"), F.col("p_size").alias("grp"), "rank", (F.col("p_partkey") % 20 == 0).alias("is_control"))
+    return dv.portfolio(ranked, "p_partkey", "seq", "grp", 8, 0.4, 1, 1)
+
+
+@query("tk07_diverse_documents", f"WITH RECURSIVE s AS (SELECT * FROM {TEXT_NT_SQL}), r AS (SELECT lang AS grp, doc_id AS k, substr(nt, 1, 64) || repeat('A', (n_chars % 30)::INT) AS seq, n_chars AS rank, false AS is_control FROM s JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)), " + _portfolio_sql("r", 40, 0.45, 0, 3))
+def tk07_documents(spark, d):
+    s = text_sequences(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    seq = F.concat(F.substr("nt", F.lit(1), F.lit(64)), F.repeat(F.lit("A"), (F.col("n_chars") % 30).cast("int")))
+    return dv.portfolio(s.select(F.col("doc_id").alias("k"), seq.alias("seq"), F.col("lang").alias("grp"), F.col("n_chars").alias("rank"), F.lit(False).alias("is_control")), "k", "seq", "grp", 40, 0.45, 0, 3)
 
 
 @query("wi02_round_robin", "WITH t AS (SELECT p_partkey, p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) SELECT p_partkey, p_brand, rn::INT AS round FROM t ORDER BY rn, p_brand LIMIT 57")
