@@ -23,7 +23,8 @@ def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
 def tiered(df: DataFrame, mandatory: str, group: str, score: str, key: str, n: int) -> DataFrame:
     """All mandatory rows, then round-robin of the others up to n; more mandatory rows than n is an error."""
     tier1 = df.where(F.col(mandatory))
-    checked = tier1.withColumn("_n", F.count("*").over(Window.partitionBy())).withColumn("tier", F.when(F.col("_n") > n, F.raise_error(F.lit("mandatory rows exceed the budget"))).otherwise(F.lit("mandatory"))).drop("_n")
+    count = tier1.agg(F.count("*").alias("_n"))
+    checked = tier1.join(F.broadcast(count)).withColumn("tier", F.when(F.col("_n") > n, F.raise_error(F.lit("mandatory rows exceed the budget"))).otherwise(F.lit("mandatory"))).drop("_n")  # one row
     rest = df.where(~F.col(mandatory))
     rn = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key))
     rest = rest.withColumn("_r", rn).where(F.col("_r") <= n)
@@ -33,22 +34,6 @@ def tiered(df: DataFrame, mandatory: str, group: str, score: str, key: str, n: i
     return checked.unionByName(rest.withColumn("tier", F.lit("round_robin")))
 
 
-def pareto(df: DataFrame, group: list[str], minimize: list[str], order: list[Column], k: int) -> DataFrame:
-    """The k best of each group: the Pareto frontier first, in order, then the others in order.
-
-    Dominance is looked for among the group's distinct vectors of objectives, so copies don't meet.
-    """
-    a = df.select(*group, *minimize).distinct()
-    b = a.select(*group, *[F.col(c).alias(f"_{c}") for c in minimize])
-    le, lt = F.lit(True), F.lit(False)
-    for c in minimize:
-        le, lt = le & (F.col(f"_{c}") <= F.col(c)), lt | (F.col(f"_{c}") < F.col(c))
-    beaten = a.join(b, group).where(le & lt).select(*group, *minimize).distinct().withColumn("_beaten", F.lit(True))
-    rows = df.join(beaten, [*group, *minimize], "left").withColumn("on_frontier", F.col("_beaten").isNull()).drop("_beaten")
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("on_frontier"), *order))
-    return rows.withColumn("place", rn).where(F.col("place") <= k)
-
-
 def capped(df: DataFrame, partition: str, order: str, cap: int, skip: int = 0) -> DataFrame:
     """At most cap rows of each partition after skipping some."""
     rn = F.row_number().over(Window.partitionBy(partition).orderBy(order))

@@ -12,6 +12,7 @@ from ..operators import aggregates as ag
 from ..operators import diversity as dv
 from ..operators import joins as jn
 from ..operators import scoring as sc
+from ..operators import skyline as sk
 from ..operators import topk as tk
 from ..operators import windows as wi
 from ..session import table
@@ -295,7 +296,15 @@ def tk05(spark, d):
 @query("tk01_pareto", "WITH b AS (SELECT p_brand, p_partkey, p_size, p_retailprice, length(p_name) AS ln FROM part), f AS (SELECT *, NOT EXISTS (SELECT 1 FROM b o WHERE o.p_brand = b.p_brand AND o.p_size <= b.p_size AND o.p_retailprice <= b.p_retailprice AND o.ln <= b.ln AND (o.p_size < b.p_size OR o.p_retailprice < b.p_retailprice OR o.ln < b.ln)) AS on_frontier FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY on_frontier DESC, p_retailprice, p_size, ln, p_partkey) AS place FROM f) SELECT p_brand, p_partkey, on_frontier, place::INT AS place FROM r WHERE place <= 4")
 def tk01(spark, d):
     p = table(spark, d, "part").withColumn("ln", F.length("p_name"))
-    return tk.pareto(p, ["p_brand"], ["p_size", "p_retailprice", "ln"], [F.col("p_retailprice"), F.col("p_size"), F.col("ln"), F.col("p_partkey")], 4).select("p_brand", "p_partkey", "on_frontier", "place")
+    return sk.pareto(p, ["p_brand"], ["p_size", "p_retailprice", "ln"], [F.col("p_retailprice"), F.col("p_size"), F.col("ln"), F.col("p_partkey")], 4).select("p_brand", "p_partkey", "on_frontier", "place")
+
+
+@query("tk01_frontier_of_orders", "WITH b AS (SELECT o_orderkey, o_orderstatus AS s, -round(o_totalprice / 1000) AS p, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS d, o_custkey % 211 AS c FROM orders) SELECT s, p, d, c, count(*) AS n FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.s = b.s AND o.p <= b.p AND o.d <= b.d AND o.c <= b.c AND (o.p < b.p OR o.d < b.d OR o.c < b.c)) GROUP BY ALL")
+def tk01_orders(spark, d):
+    """Three groups of all orders: the dearest, earliest, of the lowest customer class."""
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("s"), (-F.round(F.col("o_totalprice") / 1000)).alias("p"), F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).alias("d"), (F.col("o_custkey") % 211).alias("c"))
+    best = sk.frontier(o, ["s"], ["p", "d", "c"])
+    return o.join(best, ["s", "p", "d", "c"]).groupBy("s", "p", "d", "c").agg(F.count("*").alias("n"))
 
 
 @query("jn01_full_outer", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS status FROM (SELECT c_custkey AS k FROM customer WHERE c_acctbal >= 0) a FULL OUTER JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 300000) b ON a.k = b.k")
