@@ -48,8 +48,3 @@ def share(total: int, partition: int, partitions: int) -> int:
 def ceil_share(total: int, partitions: int) -> int:
     """A global cap's part for each partition, rounded up, so that all together are never short of it."""
     return -(-total // max(1, partitions))
-
-
-def buffered_shuffle(df: DataFrame, order: str, buffer: int, seed: int) -> DataFrame:
-    """Rows in order, shuffled within runs of `buffer`: block, then a seeded hash."""
-    return df.withColumn("block", F.floor(F.col(order) / buffer)).withColumn("draw", F.xxhash64(F.col(order), F.lit(seed)))

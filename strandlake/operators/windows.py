@@ -89,10 +89,11 @@ def short_ids(df: DataFrame, order: list[str], prefix: str = "c", digits: int =
 
 
 def running_sum(df: DataFrame, order: list, value: Column, name: str, keys: list[str] | None = None) -> DataFrame:
-    """df with name: the sum of value over the rows before each in the order, within keys (of few values, not null).
+    """df with name: the sum of value over the rows before each in the order, within keys (not null).
 
-    Rows are dealt to ranges of (keys, order); sums of ranges are added up (a row for each), and rows within their own
-    range, so no task sees all rows of a key. The order should be unique; among ties it is open.
+    Rows are dealt to ranges of (keys, order), and rows are added up within their own range, so no task sees all rows of
+    a key. What earlier ranges hold of a key is carried over by a table of the keys that go on from one range to the next: a
+    row a range at most, which is the bound of the broadcast. The order should be unique; among ties it is open.
     """
     from .graph import checkpointed
 
@@ -100,12 +101,12 @@ def running_sum(df: DataFrame, order: list, value: Column, name: str, keys: list
     ranged = checkpointed(df.withColumn("_rs_value", value).repartitionByRange(*by, *order).withColumn("_rs_part", F.spark_partition_id()))
     sums = ranged.groupBy(*by, "_rs_part").agg(F.sum("_rs_value").alias("_rs_sum"))
     earlier = Window.partitionBy(*by).orderBy("_rs_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*by, "_rs_part", F.coalesce(F.sum("_rs_sum").over(earlier), F.lit(0)).alias("_rs_base"))
+    base = sums.select(*by, "_rs_part", F.sum("_rs_sum").over(earlier).alias("_rs_base")).where("_rs_base is not null")
     within = Window.partitionBy("_rs_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranged.withColumn("_rs_within", F.coalesce(F.sum("_rs_value").over(within), F.lit(0))).join(F.broadcast(base), ["_rs_part", *by])
-    return rows.withColumn(name, F.col("_rs_base") + F.col("_rs_within")).drop("_rs_part", "_rs_value", "_rs_within", "_rs_base")
+    rows = ranged.withColumn("_rs_within", F.coalesce(F.sum("_rs_value").over(within), F.lit(0))).join(F.broadcast(base), ["_rs_part", *by], "left")
+    return rows.withColumn(name, F.coalesce("_rs_base", F.lit(0)) + F.col("_rs_within")).drop("_rs_part", "_rs_value", "_rs_within", "_rs_base")
 
 
 def numbered(df: DataFrame, order: list, name: str, keys: list[str] | None = None) -> DataFrame:
-    """df with name: each row's place in the order, from one, within keys of few values. See running_sum()."""
+    """df with name: each row's place in the order, from one, within keys. See running_sum()."""
     return running_sum(df, order, F.lit(1), name, keys).withColumn(name, F.col(name) + 1)

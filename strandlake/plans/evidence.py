@@ -312,9 +312,23 @@ def tk08(spark, d):
     return m.where(ag.finite(F.col("rho"))).groupBy("g").agg(F.max_by("alpha", F.struct("rho", -F.col("mse"), -F.col("alpha"))).alias("alpha"))
 
 
-@query("tk11_buffered_shuffle")
+def _draw(*parts: str) -> str:
+    return "('0x' || substr(sha256(concat_ws(':', " + ", ".join(parts) + ")), 1, 15))::BIGINT"
+
+
+def shuffle_sql(rows: str, keys: str, buffer: int, seed: str, name: str) -> str:
+    """The sliding buffer as CTEs: rows has i (from 0) and n; the result, `name`, has p, the place after the shuffle."""
+    return (
+        f"a AS (SELECT *, CASE WHEN i < {buffer} THEN i ELSE {_draw(seed, 'i')} % {buffer} END AS slot FROM {rows}), b AS (SELECT *, lead(i) OVER (PARTITION BY {keys}, slot ORDER BY i) AS o FROM a), "
+        f"{name} AS (SELECT *, CASE WHEN o IS NOT NULL THEN o - {buffer} ELSE n - least(n, {buffer}) - 1 + row_number() OVER (PARTITION BY {keys}, o IS NULL ORDER BY {_draw(seed, chr(39) + 'end' + chr(39), 'i')}, i) END AS p FROM b)"
+    )
+
+
+@query("tk11_buffered_shuffle", "WITH r AS (SELECT event_type AS t, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), " + shuffle_sql("r", "t", 64, "'7'", "s") + " SELECT t AS event_type, event_id, p AS place FROM s")
 def tk11(spark, d):
-    return tk.buffered_shuffle(table(spark, d, "events").select("event_id"), "event_id", 64, 7)
+    from ..streaming.shuffle import shuffled
+
+    return shuffled(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], "event_id", 64, 7)
 
 
 @query("st03_file_shard", "SELECT ((user_id % 3) * 2 + event_id % 2)::INT AS part, count(*) AS lines FROM events GROUP BY 1")

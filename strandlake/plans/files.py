@@ -389,18 +389,32 @@ def ma13(spark, d):
     return frozen_probe(e.withColumn("split", split), "embedding", "y", 8, [0.01, 0.1, 1.0, 10.0])
 
 
-@query("st10_saved_state", "SELECT 20::BIGINT AS fields, 9600 + 50 * 96 AS cursor, (9600 + 50 * 96) // 1000 AS corpus_pass, (9600 + 50 * 96) % 1000 AS corpus_offset, 50 * 96 AS consumed")
-def st10(spark, d):
-    from dataclasses import fields
+def _resumed(spark, d):
+    """Events as lines of six files, streamed in two runs, of which the second goes on where the first one stopped."""
+    from ..streaming.resume import run_lines
+
+    at = place(spark, "stream")
+    lines = table(spark, d, "events").select("event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("line"))
+    folder = put_lines(lines, f"{at}/lines", "txt", 6, ["event_id"])
+    n = lines.count()
+    first = run_lines(spark, folder, f"{at}/out", f"{at}/work", 2, 2, 1, most_batches=2, corpus=n)
+    last = run_lines(spark, folder, f"{at}/out", f"{at}/work", 2, 2, 1, corpus=n)
+    return spark.read.parquet(f"{at}/out"), first, last
+
 
-    from ..streaming import state
+@query("st09_resumed_stream", "SELECT event_id, event_type, 1::BIGINT AS times FROM events")
+def st09(spark, d):
+    got, _, _ = _resumed(spark, d)
+    parts = F.split("line", " ")
+    return got.groupBy(parts[0].cast("long").alias("event_id"), parts[1].alias("event_type")).agg(F.count("*").alias("times"))
 
-    at = f"{place(spark, 'state')}/state.json"
-    first = state.State(1, 100, 9600, 96, 3, 4, 1000, "h", resume_step=100, resume_cursor=9600, resume_source="state", reader="file-shard", shuffle_buffer=64, shuffle_seed=7)
-    state.save(spark, at, first)
-    state.save(spark, at, state.advanced(state.load(spark, at), 150, "2026-01-01T00:00:00Z"))
-    got = state.load(spark, at)
-    return spark.range(1).select(F.lit(len(fields(got))).cast("long").alias("fields"), F.lit(got.cursor).alias("cursor"), F.lit(got.corpus_pass).alias("corpus_pass"), F.lit(got.corpus_offset).alias("corpus_offset"), F.lit(got.consumed_since_resume).alias("consumed"))
+
+@query("st10_saved_state", "SELECT count(*) AS lines, count(*) AS cursor, 1::BIGINT AS corpus_pass, 0::BIGINT AS corpus_offset, true AS went_on FROM events")
+def st10(spark, d):
+    """What the state says after the two runs, beside the lines that were written."""
+    got, first, last = _resumed(spark, d)
+    went_on = 0 < first.cursor < last.cursor and last.resume_cursor == first.cursor and last.consumed_since_resume == last.cursor - first.cursor
+    return got.agg(F.count("*").alias("lines")).select("lines", F.lit(last.cursor).cast("long").alias("cursor"), F.lit(last.corpus_pass).cast("long").alias("corpus_pass"), F.lit(last.corpus_offset).cast("long").alias("corpus_offset"), F.lit(went_on).alias("went_on"))
 
 
 @query("snk02_encoded_in_order", f"WITH {S}, q AS (SELECT doc_id, substr(nt, 1, (doc_id % 9 + 1)::INT) AS t FROM s) SELECT row_number() OVER (ORDER BY doc_id) AS line, array_to_string(string_split(t, ''), ' ') AS value FROM q WHERE NOT contains(t, 'ATG')")

@@ -13,6 +13,7 @@ from ..operators import rules as ru
 from ..operators import topk as tk
 from ..session import table
 from ..streaming import readers as rd
+from .evidence import shuffle_sql
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -237,7 +238,7 @@ def tk09(spark, d):
     return tk.capped(e, "part", "event_id", tk.ceil_share(1000, 6))
 
 
-@query("st07_epochs", "WITH b AS (SELECT event_id, event_id % 4 AS part, e.epoch, sha256((7 + event_id % 4 + e.epoch * 4) || ':' || event_id) AS h, (row_number() OVER (PARTITION BY event_id % 4, e.epoch ORDER BY event_id) - 1) // 32 AS block FROM events, range(3) e(epoch)), r AS (SELECT part, epoch, event_id, row_number() OVER (PARTITION BY part ORDER BY epoch, block, h) AS n FROM b) SELECT part, epoch, event_id, n - 1 - (CASE WHEN part < 2 THEN 26 ELSE 25 END) AS place FROM r WHERE n > (CASE WHEN part < 2 THEN 26 ELSE 25 END) AND n <= (CASE WHEN part < 2 THEN 26 ELSE 25 END) + 250")
+@query("st07_epochs", "WITH r AS (SELECT event_id, event_id % 4 AS part, e.epoch, row_number() OVER (PARTITION BY event_id % 4, e.epoch ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_id % 4, e.epoch) AS n FROM events, range(3) e(epoch)), " + shuffle_sql("r", "part, epoch", 32, "7 + part + epoch * 4", "s") + ", q AS (SELECT part, epoch, event_id, epoch * n + p - (CASE WHEN part < 2 THEN 26 ELSE 25 END) AS place FROM s) SELECT part, epoch, event_id, place FROM q WHERE place >= 0 AND place < 250")
 def st07(spark, d):
     e = table(spark, d, "events").select((F.col("event_id") % 4).cast("int").alias("part"), "event_id")
     return rd.epochs(e, "part", "event_id", 4, seed=7, buffer=32, skip=102, cap=1000, passes=3).select("part", "epoch", "event_id", "place")

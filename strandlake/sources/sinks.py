@@ -107,16 +107,24 @@ def latest(spark: SparkSession, folder: str, run: str | None = None) -> DataFram
     return rows
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return fs.exists(at)
+
+
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
-    """A small JSON document (sorted keys), written beside its place and moved there."""
+    """A small JSON document (sorted keys), written and flushed beside its place and put there by one rename that
+    replaces what is there: at no time is the document missing or half written."""
     new, fs = _path(spark, f"{path}.pending")
     out = fs.create(new, True)
     out.write(bytearray(json.dumps(document, sort_keys=True).encode()))
+    out.hsync()
     out.close()
-    at = _path(spark, path)[0]
-    fs.delete(at, False)
-    if not fs.rename(new, at):
-        raise OSError(f"{path} can't be put in place")
+    at, jvm = _path(spark, path)[0], spark._jvm
+    where = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    replaces = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replaces[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    where.rename(fs.makeQualified(new), fs.makeQualified(at), replaces)
 
 
 def read_document(spark: SparkSession, path: str) -> str:

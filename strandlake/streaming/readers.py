@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.windows import numbered, running_sum
+
+#: Parts whose totals are broadcast at most.
+MOST_PARTS = 100_000
+
 
 def partition_of(world: int, workers: int) -> int:
     """Partitions in all; rank r's worker w is partition r * workers + w."""
@@ -24,27 +29,27 @@ def file_shard(lines: DataFrame, file_index: str, index: str, world: int, worker
     return lines.withColumn("part", (rank * workers + F.pmod(F.col(index), F.lit(workers))).cast("int"))
 
 
+def _places(lines: DataFrame, file: str, index: str, text: str) -> DataFrame:
+    """_f, _t: the line's first byte in its file, and the file's bytes; a file of any size is many tasks."""
+    size = F.octet_length(text) + 1
+    total = lines.groupBy(file).agg(F.sum(size).alias("_t"))
+    return running_sum(lines, [index], size, "_f", [file]).join(total, file)
+
+
 def byte_range(lines: DataFrame, file: str, index: str, text: str, world: int, workers: int) -> DataFrame:
     """part: the range of equal bytes of the file that holds the line's first byte. Lines end with one byte each."""
     n = partition_of(world, workers)
-    size = F.octet_length(text) + 1
-    w = Window.partitionBy(file)
-    first = F.coalesce(F.sum(size).over(w.orderBy(index).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(size).over(w)
     # Range p is [total * p // n, total * (p + 1) // n).
-    return lines.withColumn("_f", first).withColumn("_t", total).withColumn("part", F.floor(((F.col("_f") + 1) * n - 1) / F.col("_t")).cast("int")).drop("_f", "_t")
+    return _places(lines, file, index, text).withColumn("part", F.floor(((F.col("_f") + 1) * n - 1) / F.col("_t")).cast("int")).drop("_f", "_t")
 
 
 def file_shard_from(lines: DataFrame, file: str, index: str, text: str, world: int, workers: int, start_fraction: float) -> DataFrame:
     """Lines whose first byte is at or after this fraction of their file, with part: files by rank, the lines left by worker."""
     if not 0 <= start_fraction < 1:
         raise ValueError("start_fraction is at least 0 and below 1")
-    size = F.octet_length(text) + 1
-    w = Window.partitionBy(file)
-    first = F.coalesce(F.sum(size).over(w.orderBy(index).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = lines.withColumn("_f", first).withColumn("_t", F.sum(size).over(w)).where(F.col("_f") >= F.floor(F.col("_t") * start_fraction)).drop("_f", "_t")
-    line = F.row_number().over(w.orderBy(index)) - 1
-    return left.withColumn("part", (F.pmod(F.col(file), F.lit(world)) * workers + F.pmod(line, F.lit(workers))).cast("int"))
+    left = _places(lines, file, index, text).where(F.col("_f") >= F.floor(F.col("_t") * start_fraction)).drop("_f", "_t")
+    line = F.col("_line") - 1
+    return numbered(left, [index], "_line", [file]).withColumn("part", (F.pmod(F.col(file), F.lit(world)) * workers + F.pmod(line, F.lit(workers))).cast("int")).drop("_line")
 
 
 READERS = ("line-stride", "file-shard", "byte-range")
@@ -66,20 +71,21 @@ def dealt(lines: DataFrame, reader: str, file: str, index: str, text: str, world
 def epochs(lines: DataFrame, part: str, index: str, partitions: int, seed: int, buffer: int, skip: int, cap: int | None, passes: int) -> DataFrame:
     """What each part reads in `passes` passes: epoch, place (from 0, over all passes).
 
-    A pass is shuffled within runs of `buffer` lines, by a hash that the seed, the part and the pass pick. The global skip
+    A pass is shuffled by a sliding buffer of `buffer` lines, with a seed that the part and the pass pick. The global skip
     is split over parts and applied after the shuffle, then the global cap.
     """
-    from ..functions.hashing import sha256
-    from ..operators.topk import ceil_share, share
-
-    every = lines.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    block = F.floor((F.row_number().over(Window.partitionBy(part, "epoch").orderBy(index)) - 1) / buffer)
-    drawn = sha256(F.concat((F.lit(seed) + F.col(part) + F.col("epoch") * partitions).cast("string"), F.lit(":"), F.col(index).cast("string")))
-    n = F.row_number().over(Window.partitionBy(part).orderBy("epoch", "_block", "_draw"))
-    left = F.element_at(F.array(*[F.lit(share(skip, p, partitions)) for p in range(partitions)]), (F.col(part) + 1).cast("int"))
-    rows = every.withColumn("_block", block).withColumn("_draw", drawn).withColumn("place", (n - 1 - left).cast("long")).where("place >= 0")
+    from ..operators.topk import ceil_share
+    from .shuffle import sliding_shuffle
+
+    rows = numbered(lines, [index], "_i", [part]).withColumn("_i", F.col("_i") - 1)
+    totals = lines.groupBy(part).agg(F.count("*").alias("_n"))  # a row a part
+    rows = rows.join(F.broadcast(totals), part) if partitions <= MOST_PARTS else rows.join(totals, part)
+    every = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    drawn = sliding_shuffle(every, [part, "epoch"], "_i", buffer, F.lit(seed) + F.col(part) + F.col("epoch") * partitions, F.col("_n"), "_place")
+    left = F.lit(skip // partitions) + F.when(F.col(part) < skip % partitions, 1).otherwise(0)
+    rows = drawn.withColumn("place", (F.col("epoch") * F.col("_n") + F.col("_place") - left).cast("long")).where("place >= 0")
     rows = rows if cap is None else rows.where(F.col("place") < ceil_share(cap, partitions))
-    return rows.drop("_block", "_draw")
+    return rows.drop("_i", "_n", "_place")
 
 
 def check_partitions(files: int, world: int, reader: str) -> None:
