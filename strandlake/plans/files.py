@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..fixtures import SEQUENCES_SQL, sequences
 from ..functions.constants import SENSE
 from ..operators.graph import shared_folder
-from ..sources import fasta, sinks, tables
+from ..sources import fasta, readers, sinks, tables
 from ..session import table
 from . import rounds
 
@@ -177,11 +177,28 @@ def _binding(rows: DataFrame) -> DataFrame:
     return rows.select("position", "record_id", "el_rank", tables.binding_level(F.col("mhc_class"), F.col("el_rank")).alias("level"))
 
 
-@query("src14_three_line", f"WITH {S} SELECT 'p' || doc_id AS record_id, substr(aa, 1, 20) AS sequence, repeat('H', 12) || repeat('.', 8) AS labels FROM s")
+@query("src14_three_line", f"WITH {S} SELECT 'p' || doc_id AS record_id, substr(aa, 1, (doc_id % 200 + 20)::INT) AS sequence, rpad(repeat('H', (doc_id % 15)::INT), (doc_id % 200 + 20)::INT, '.') AS labels FROM s")
 def src14(spark, d):
-    three = F.array(F.concat(F.lit(">p"), F.col("doc_id").cast("string")), F.substr("aa", F.lit(1), F.lit(20)), F.lit("H" * 12 + "." * 8))
-    at = put_lines(sequences(spark, d).select("doc_id", F.posexplode(three).alias("n", "line")), place(spark, "three"), "txt", 1, ["doc_id", "n"])
-    return tables.three_line(spark, at).select("record_id", "sequence", "labels")
+    """Files of all documents' sequences, read in ranges of some KB, so that records lie across ranges."""
+    n, i = (F.col("doc_id") % 200 + 20).cast("int"), F.col("doc_id")
+    three = F.array(F.concat(F.lit(">p"), i.cast("string"), F.lit(" of "), "lang"), F.substr("aa", F.lit(1), n), F.rpad(F.repeat(F.lit("H"), (i % 15).cast("int")), n, F.lit(".")))
+    at = put_lines(sequences(spark, d).select("doc_id", F.posexplode(three).alias("n", "line")), place(spark, "three"), "txt", 3, ["doc_id", "n"])
+    return readers.three_line(spark, at, 16 << 10).select("record_id", "sequence", "labels")
+
+
+@query("src22_archive_members", "SELECT doc_id, lang, n_chars FROM documents")
+def src22(spark, d):
+    """Archives of a hundred documents each, with exactly two members: ids with languages, and sizes."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", F.floor(F.col("doc_id") / 100).alias("block"))
+    as_json = lambda *c: F.to_json(F.sort_array(F.collect_list(F.struct("doc_id", *c))))
+    packed = docs.groupBy("block").agg(as_json("lang").alias("a"), as_json("n_chars").alias("b"))
+    member = lambda n, c: F.struct(F.lit(n).alias("name"), F.col(c).alias("content"))
+    at = place(spark, "archives")
+    sinks.write_archives(packed.select(F.concat(F.lit("block-"), F.col("block").cast("string")).alias("archive"), F.array(member("ids/langs.json", "a"), member("sizes.json", "b")).alias("members")), at).agg(F.sum("bytes")).collect()  # one number
+    rows = readers.archive_members(spark, at, ["ids/langs.json", "sizes.json"])
+    text = F.col("content").cast("string")
+    part = lambda n, c: rows.where(F.col("member") == n).select(F.explode(F.from_json(text, f"array<struct<doc_id: long, {c}>>")).alias("x")).select("x.*")
+    return part("ids/langs.json", "lang: string").join(part("sizes.json", "n_chars: long"), "doc_id")
 
 
 def _labelled(spark, d) -> DataFrame:

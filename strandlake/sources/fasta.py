@@ -5,49 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpointed
+
 SUFFIXES = ("fa", "fasta", "fna")
+#: Blocks of files (a row each, with the file's name) that are broadcast at most.
+BROADCAST_BLOCKS = 100_000
+
+
+def _glob() -> str:
+    """Suffixes in any case, gzipped or not."""
+    either = lambda s: "".join(f"[{c}{c.upper()}]" for c in s)
+    return "{" + ",".join(f"*.{either(s)}{z}" for s in SUFFIXES for z in ("", f".{either('gz')}")) + "}"
 
 
 def discovered(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
     """file: sequence files at or below the paths, each once however many paths lead to it. Suffixes count in any case."""
-    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in SUFFIXES) + "}"
-    both = "{" + f"{glob},{glob}.gz" + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", both).load(paths)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _glob()).load(paths)
     return files.select(F.col("path").alias("file")).distinct()
 
 
 def lines(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
-    """file, block, row (where a record stands in its file), text: a file's records, cut at line begins with '>' by Spark's own
-    reader, so large files are read by many tasks. Files may be gzipped. Only file names end in SUFFIXES count.
+    """file, record (from one; 0: what stands before the first header), text: a file's records, cut at line begins with '>'
+    by Spark's own reader, so large files are read by many tasks. Files may be gzipped. Only file names end in SUFFIXES count.
 
-    What stands before the first '>' is a row of its own, which doesn't begin with '>'.
+    A block of a file is one task's, and its rows have successive numbers. So a record's place is what the blocks before hold,
+    from one aggregate with a row a block, and its number less its block's first: no text is shuffled.
     """
-    glob = "*.{" + ",".join([*SUFFIXES, *(f"{s}.gz" for s in SUFFIXES)]) + "}"
-    df = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(paths, lineSep="\n>")
+    df = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _glob()).text(paths, lineSep="\n>")
     # The reader takes the '>' away from all records but one at a file's very begin.
     raw = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
-    first = F.min(F.struct("block", "row")).over(Window.partitionBy("file", "block"))
-    head = (F.col("block") == 0) & (F.struct("block", "row") == first) & ~F.col("value").startswith(">")
-    return raw.select("file", "block", "row", F.when(head, F.col("value")).when(F.col("value").startswith(">"), F.col("value")).otherwise(F.concat(F.lit(">"), "value")).alias("text"))
+    blocks = raw.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"), F.min_by(F.col("value").startswith(">"), "row").alias("named"))
+    head = ((F.col("block") == 0) & ~F.col("named")).cast("int")
+    before = F.sum(F.col("n") - head).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = checkpointed(blocks.select("file", "block", "first", head.alias("head"), F.coalesce(before, F.lit(0)).alias("before")))
+    small = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+    placed = raw.join(small, ["file", "block"])
+    record = F.col("before") + F.col("row") - F.col("first") + 1 - F.col("head")
+    marked = F.when((F.col("head") == 1) & (F.col("row") == F.col("first")), F.col("value")).when(F.col("value").startswith(">"), F.col("value")).otherwise(F.concat(F.lit(">"), "value"))
+    return placed.select("file", record.alias("record"), marked.alias("text"))
 
 
 def records(rows: DataFrame, comments: str | None = None) -> DataFrame:
-    """file, record (from one, in order of the file; 0 before the first header), header (null there), sequence (lines joined).
-
-    comments: lines that begin with one of these signs go. Records are numbered by counts of the reader's blocks and
-    places within a block, so no task sees a whole file.
-    """
+    """file, record, header (null for what stands before the first), sequence (lines joined). comments: lines that begin
+    with one of these signs go."""
     text = F.col("text") if comments is None else F.regexp_replace("text", f"(?m)^[{comments}].*$", "")
-    named = F.col("text").startswith(">")
-    got = rows.select("file", "block", "row", named.alias("named"), text.alias("text"))
-    counts = got.groupBy("file", "block").agg(F.count_if("named").alias("n"))
-    base = counts.select("file", "block", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = F.sum(F.col("named").cast("int")).over(Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    got = rows.select("file", "record", F.col("text").startswith(">").alias("named"), text.alias("text"))
     head = F.when(F.col("named"), F.regexp_replace(F.substr(F.substring_index("text", "\n", 1), F.lit(2)), "\r$", ""))
     body = F.when(F.col("named"), F.when(F.instr("text", "\n") > 0, F.regexp_replace("text", r"^[^\n]*\n", "")).otherwise("")).otherwise(F.col("text"))
-    placed = got.withColumn("within", within).join(base, ["file", "block"])
-    placed = placed.select("file", (F.col("base") + F.col("within")).alias("record"), head.alias("header"), F.regexp_replace(body, r"\s", "").alias("sequence"))
-    return placed.where("header is not null or sequence <> ''")
+    return got.select("file", "record", head.alias("header"), F.regexp_replace(body, r"\s", "").alias("sequence")).where("header is not null or sequence <> ''")
 
 
 def raw(spark: SparkSession, paths: str | list[str]) -> DataFrame:

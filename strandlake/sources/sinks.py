@@ -142,6 +142,39 @@ def supersede(spark: SparkSession, path: str, document: dict) -> None:
     write_document(spark, path, document)
 
 
+def write_archives(df: DataFrame, folder: str) -> DataFrame:
+    """archive, members (array of name, content) -> folder/<archive>.tar.gz, a row each, written by the row's task with fixed
+    times and owners, so the same row gives the same bytes; returns archive, bytes. Members of a row are held at once."""
+    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+
+    def work(batches):
+        import gzip
+        import io
+        import tarfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        for pdf in batches:
+            done = []
+            for name, members in pdf[["archive", "members"]].itertuples(index=False):
+                held = io.BytesIO()
+                with gzip.GzipFile(fileobj=held, mode="wb", mtime=0) as z, tarfile.open(fileobj=z, mode="w|") as tar:
+                    for m in members:
+                        content = m["content"].encode()
+                        info = tarfile.TarInfo(m["name"])
+                        info.size = len(content)
+                        tar.addfile(info, io.BytesIO(content))
+                with store.open_output_stream(f"{root}/{name}.tar.gz", compression=None) as f:
+                    f.write(held.getvalue())
+                done.append((name, held.tell()))
+            yield pd.DataFrame(done, columns=["archive", "bytes"])
+
+    return df.select("archive", "members").mapInPandas(work, "archive string, bytes long")
+
+
 def write_documents(df: DataFrame, key: str, root: str, name) -> None:
     """A JSON document for each row, below root under the name that the key gives. For rows that a driver holds, such as runs."""
     spark = df.sparkSession

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,16 +66,6 @@ def binding_level(mhc_class: Column, rank: Column) -> Column:
     return F.when(rank <= strong, "strong").when(rank <= weak, "weak").otherwise("none")
 
 
-def three_line(spark: SparkSession, path: str, alphabet: str = "BbHhS.") -> DataFrame:
-    """Files of header, sequence and label lines -> file, record_id, sequence, labels; other lengths and signs are errors."""
-    text = spark.read.text(path, wholetext=True).select(_file(), F.filter(F.split("value", r"\r?\n"), lambda x: x != "").alias("l"))
-    n = (F.size("l") / 3).cast("int")
-    got = text.select("file", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("k"), "l")
-    at = lambda j: F.element_at("l", F.col("k") * 3 + j)
-    bad = (F.length(at(2)) != F.length(at(3))) | (F.translate(at(3), alphabet, "") != "")
-    return got.select("file", F.regexp_replace(at(1), "^>", "").alias("record_id"), at(2).alias("sequence"), F.when(bad, F.raise_error(F.lit("malformed three-line record"))).otherwise(at(3)).alias("labels"))
-
-
 def regression_records(spark: SparkSession, path: str) -> DataFrame:
     """CSV with sequence and label -> sequence, normalized, label, sha256; rows with an empty label go, other faults fail."""
     from ..functions.sequence import normalize_nucleotides
@@ -175,25 +164,6 @@ def usage_faults(usage: DataFrame) -> DataFrame:
     return single.unionByName(empty)
 
 
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """tar.gz files -> file, member, bytes, content. Members that are no plain files, absolute or above the root are errors."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, content in pdf[["path", "content"]].itertuples(index=False):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for m in tar:
-                        if m.isdir():
-                            continue
-                        if not m.isfile() or m.name.startswith("/") or ".." in m.name.split("/"):
-                            raise ValueError(f"unsafe member {m.name}")
-                        rows.append((file, m.name, m.size, tar.extractfile(m).read()))
-                yield pd.DataFrame(rows, columns=["file", "member", "bytes", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "file string, member string, bytes long, content binary")
-
-
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Files below path -> path, sha256, md5, size_bytes."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import graph, verify
 from strandlake.sources import fasta, sinks, tables
+from strandlake.sources import readers as sources
 from strandlake.streaming import readers, state
 
 
@@ -42,7 +43,7 @@ def test_structures_and_predictors(spark, tmp_path):
     assert [(r["peptide"], r["el_rank"]) for r in c1.collect()] == [("MKL", 0.4), ("KLL", None)]
     assert c1.select(tables.binding_level(F.col("mhc_class"), F.col("el_rank"))).first()[0] == "strong"
     (tmp_path / "t.3line").write_text(">a\nMKL\nHH.\n>b\nMM\n..\n")
-    assert [r["labels"] for r in tables.three_line(spark, str(tmp_path / "t.3line")).orderBy("record_id").collect()] == ["HH.", ".."]
+    assert [r["labels"] for r in sources.three_line(spark, str(tmp_path / "t.3line")).orderBy("record_id").collect()] == ["HH.", ".."]
 
 
 def test_metric_tree_and_archives(spark, tmp_path):
@@ -55,7 +56,7 @@ def test_metric_tree_and_archives(spark, tmp_path):
         i = tarfile.TarInfo("d/x.json")
         i.size = 2
         t.addfile(i, io.BytesIO(b"{}"))
-    assert [(r["member"], bytes(r["content"])) for r in tables.archive_members(spark, str(tmp_path / "a.tar.gz")).collect()] == [("d/x.json", b"{}")]
+    assert [(r["member"], bytes(r["content"])) for r in sources.archive_members(spark, str(tmp_path / "a.tar.gz")).collect()] == [("d/x.json", b"{}")]
     index = tables.digests(spark, str(tmp_path / "m-x-seed1")).select("path", "sha256")
     index = spark.createDataFrame(index.collect(), index.schema)  # stored, as an index is
     assert verify.artifacts(index, index).where("status <> 'ok'").count() == 0
@@ -135,3 +136,62 @@ def test_verification_and_graphs(spark):
     bad = good.unionByName(spark.createDataFrame([("z", "d"), ("e", "f"), ("f", "e")], "src string, dst string"))
     faults = {(r["fault"], r["stage"]) for r in graph.workflow_faults(spark.createDataFrame([(x,) for x in "abcdef"], "stage string"), bad).collect()}
     assert ("unknown_dependency", "z") in faults and ("not_reached_or_cycle", "e") in faults
+
+
+def test_fasta_suffixes_in_any_case_and_numbers_over_blocks(spark, tmp_path):
+    (tmp_path / "A.FASTA").write_text("".join(f">r{k} x\n{'ACGT' * (k % 7)}\nA\n" for k in range(400)))
+    with gzip.open(tmp_path / "b.Fa.GZ", "wt") as f:
+        f.write("lead\n>q\nCC\n")
+    (tmp_path / "c.fna").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = fasta.raw(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5
+        got = sorted((r["file"].rsplit("/", 1)[1], r["record"], r["header"], r["sequence"]) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(r["file"].rsplit("/", 1)[1] for r in fasta.discovered(spark, str(tmp_path)).collect()) == ["A.FASTA", "b.Fa.GZ"]  # the reader passes empty files over
+    assert got == sorted([("A.FASTA", k + 1, f"r{k} x", "ACGT" * (k % 7) + "A") for k in range(400)] + [("b.Fa.GZ", 0, None, "lead"), ("b.Fa.GZ", 1, "q", "CC")])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 10_000])
+def test_three_line_records_by_ranges(spark, tmp_path, size):
+    (tmp_path / "a.txt").write_text("".join(f">p{k} d\n{'MK' * k}L\n\n{'H.' * k}S\n" for k in range(12)))
+    (tmp_path / "b.txt").write_text("\n>z\r\nM\r\nB\r\n")
+    (tmp_path / "_no").write_text("x")
+    got = sources.three_line(spark, str(tmp_path), size).select("record_id", "sequence", "labels").collect()
+    assert sorted(map(tuple, got)) == sorted([(f"p{k}", "MK" * k + "L", "H." * k + "S") for k in range(12)] + [("z", "M", "B")])
+    (tmp_path / "c.txt").write_text("lost\n>a\nMK\nH\n>b\nMK\n>c\nM\nx\n>\nM\nH\n>d\nM\nH\nmore\nmore\n>e\nM\nH")
+    faults = sources.three_line_rows(spark, str(tmp_path / "c.txt"), size).select("record_id", "fault").collect()
+    assert sorted((r["record_id"], r["fault"] or "") for r in faults if r["record_id"] != "" or r["fault"] == "empty_id") == [("", "empty_id"), ("a", "length"), ("b", "incomplete"), ("c", "labels"), ("d", "no_header"), ("e", "")]
+    with pytest.raises(Exception, match="malformed"):
+        sources.three_line(spark, str(tmp_path / "c.txt"), size).collect()
+    (tmp_path / "d.txt").write_text(">z\nM\nB\n" * 2)
+    with pytest.raises(Exception, match="repeated record: z"):
+        sources.three_line(spark, str(tmp_path / "d.txt"), size).collect()
+
+
+def test_archives_hold_exactly_what_is_expected(spark, tmp_path):
+    def put(name, members):
+        with tarfile.open(tmp_path / name, "w:gz") as t:
+            for n, kind in members:
+                i = tarfile.TarInfo(n)
+                i.type, i.size = kind, 2 if kind == tarfile.REGTYPE else 0
+                i.linkname = "a"
+                t.addfile(i, io.BytesIO(b"{}") if i.size else None)
+
+    plain = tarfile.REGTYPE
+    put("ok.tar.gz", [("a", plain), ("d", tarfile.DIRTYPE), ("d/b", plain)])
+    read = lambda name, *how: sources.archive_members(spark, str(tmp_path / name), *how).collect()
+    assert sorted(r["member"] for r in read("ok.tar.gz", ["a", "d/b"])) == ["a", "d/b"]
+    put("twice.tar.gz", [("a", plain), ("a", plain)])
+    put("up.tar.gz", [("../a", plain)])
+    put("link.tar.gz", [("a", tarfile.SYMTYPE)])
+    (tmp_path / "no.tar.gz").write_bytes(b"\x1f\x8bnothing")
+    for name, expected, what in (("ok.tar.gz", ["a"], "unexpected"), ("ok.tar.gz", ["a", "d/b", "c"], "lacks"), ("twice.tar.gz", ["a"], "repeated"), ("up.tar.gz", None, "unsafe"), ("link.tar.gz", None, "unsafe"), ("no.tar.gz", None, "can't be read")):
+        with pytest.raises(Exception, match=what):
+            read(name, expected)
+    with pytest.raises(Exception, match="more than 3 bytes"):
+        read("ok.tar.gz", None, 3)
