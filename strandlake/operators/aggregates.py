@@ -138,24 +138,3 @@ def distance_rmsd(df: DataFrame, group: list[str], pos: str = "pos") -> DataFram
     b = df.select(*group, F.col(pos).alias("j"), *[F.col(c).alias(f"{c}_j") for c in ("x", "y", "z", "x2", "y2", "z2")])
     d = lambda s: F.sqrt(sum((F.pow(F.col(f"{c}{s}_i") - F.col(f"{c}{s}_j"), 2) for c in "xyz"), F.lit(0.0)))
     return a.join(b, group).where("i < j").groupBy(*group).agg(F.sqrt(F.avg(F.pow(d("") - d("2"), 2))).alias("rmsd"))
-
-
-def principal_axes(df: DataFrame, group: list[str]) -> DataFrame:
-    """Variances along the principal axes, largest first, and shape anisotropy. Covariances come from one aggregate;
-    only nine numbers a group reach Python."""
-    import numpy as np
-    import pandas as pd
-
-    cov = df.groupBy(*group).agg(*[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")])
-
-    def axes(batches):
-        for pdf in batches:
-            m = pdf[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy(float).reshape(-1, 3, 3)
-            v = np.linalg.eigvalsh(m)[:, ::-1]
-            t = v.sum(1)
-            with np.errstate(all="ignore"):
-                an = np.where(t > 0, 1 - 3 * (v[:, 0] * v[:, 1] + v[:, 1] * v[:, 2] + v[:, 2] * v[:, 0]) / (t * t), 0.0)
-            yield pd.concat([pdf[group].reset_index(drop=True), pd.DataFrame({"v1": v[:, 0], "v2": v[:, 1], "v3": v[:, 2], "anisotropy": np.clip(an, 0, 1)})], axis=1)
-
-    kinds = dict(df.dtypes)
-    return cov.mapInPandas(axes, ", ".join([*(f"{g} {kinds[g]}" for g in group), "v1 double, v2 double, v3 double, anisotropy double"]))

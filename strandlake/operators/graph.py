@@ -55,22 +55,48 @@ def workflow_faults(stages: DataFrame, edges: DataFrame) -> DataFrame:
     return unknown.unionByName(many).unionByName(lost.select(F.lit("not_reached_or_cycle").alias("fault"), "stage"))
 
 
-def greedy_cover(df: DataFrame, key: str, features: str, order: str, budget: int) -> DataFrame:
+#: Rows that the driver holds while it picks.
+HEAP = 1024
+
+
+def greedy_cover(df: DataFrame, key: str, features: str, order: str, budget: int, covered: list[str] | None = None) -> DataFrame:
     """Rows chosen one after the other for the most features not covered yet, ties by order, until nothing is gained or
-    the budget is reached: key, place, gain.
+    the budget is reached: key, place, gain. covered: features that need no row. order: a struct without nulls that ends with the key.
 
-    Each step is one distributed scan with one row as its result; what is covered, at most budget times the features
-    of a row, goes back as a literal.
+    Gains only fall, so a row's last known gain bounds it. Of rows with the same features only the first in order can be chosen: they
+    are combined once and kept. A scan of these brings the HEAP best by gain to the driver, which picks among them as long as
+    one is at least as good as the last of them was at the scan, so as any row that it doesn't hold can be; then the next
+    scan begins. Scans are few, and a pick reads at most HEAP rows.
     """
-    covered: list[str] = []
-    chosen: list[tuple] = []
-    left = df
-    for place in range(1, budget + 1):
-        new = F.size(F.array_except(F.col(features), F.array(*map(F.lit, covered)).cast("array<string>")))
-        best = left.where(new > 0).agg(F.min_by(F.struct(key, F.col(features).alias("f"), new.alias("gain")), F.struct(-new, order)).alias("b")).first()["b"]
-        if best is None:
+    import heapq
+
+    spark = df.sparkSession
+    kinds = dict(df.dtypes)
+    rows = df.select(F.array_sort(F.array_distinct(features)).alias("f"), F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("r"))
+    left = checkpointed(rows.where(F.size("f") > 0).groupBy("f").agg(F.min("r").alias("r")).select("f", "r.o", "r.k"))
+    done, chosen, taken = set(covered or ()), [], set()
+    plain = lambda o: tuple(plain(x) if isinstance(x, tuple) else x for x in o) if isinstance(o, tuple) else (o,)
+    while len(chosen) < budget:
+        gain = F.size(F.array_except("f", F.array(*map(F.lit, sorted(done))).cast(kinds[features])))
+        best = left.withColumn("gain", gain).where("gain > 0").orderBy(F.desc("gain"), "o").limit(HEAP).collect()  # HEAP rows
+        if not best:
             break
-        chosen.append((best[key], place, best["gain"]))
-        covered += [f for f in best["f"] if f not in covered]
-        left = left.where(F.col(key) != F.lit(best[key]))
-    return df.sparkSession.createDataFrame(chosen, f"{key} {dict(df.dtypes)[key]}, place int, gain int")
+        limit = (-best[-1]["gain"], plain(best[-1]["o"])) if len(best) == HEAP else (0, ())
+        heap = [(-r["gain"], plain(r["o"]), i) for i, r in enumerate(best)]
+        heapq.heapify(heap)
+        before = len(chosen)
+        while heap and len(chosen) < budget:
+            known, o, i = heap[0]
+            now = len(set(best[i]["f"]) - done)
+            if -now != known:  # its gain has fallen since
+                heapq.heapreplace(heap, (-now, o, i)) if now else heapq.heappop(heap)
+                continue
+            if len(best) == HEAP and (known, o) > limit:
+                break
+            heapq.heappop(heap)
+            if best[i]["k"] not in taken:
+                chosen.append((best[i]["k"], len(chosen) + 1, now))
+                taken.add(best[i]["k"])
+                done |= set(best[i]["f"])
+        assert len(chosen) > before
+    return spark.createDataFrame(chosen, f"{key} {kinds[key]}, place int, gain int")

@@ -207,33 +207,6 @@ def lane_counts(df: DataFrame, drafting: list[str], expensive: list[str]) -> Dat
     return got.select("lane", "n", F.when(F.col("lane").isin(*drafting), F.col("n")).otherwise(0).alias("drafting"), F.when(F.col("lane").isin(*expensive), F.col("n")).otherwise(0).alias("expensive"))
 
 
-def lineage_faults(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
-    """(child, parent) edges over nodes (key, source: whether it has no need of parents) -> key, fault: own_parent,
-    unknown_parent, or cycle: it stands on one, or is built from what does.
-
-    A round removes the edges whose parent has no parent left; what remains in the end leads back to a cycle. Rounds are as
-    many as the longest lineage.
-    """
-    from .graph import checkpointed
-
-    known = nodes.select(F.col("key").alias("parent"), F.lit(True).alias("_known"))
-    own = edges.where("child = parent").select(F.col("child").alias("key"), F.lit("own_parent").alias("fault"))
-    unknown = edges.join(known, "parent", "left_anti").select(F.col("child").alias("key"), F.lit("unknown_parent").alias("fault"))
-    left = checkpointed(edges.where("child <> parent").join(known.select("parent"), "parent", "left_semi").join(nodes.where("not source").select(F.col("key").alias("child")), "child", "left_semi"))
-    n = left.count()
-    for _ in range(rounds):
-        waiting = left.select(F.col("child").alias("parent")).distinct()
-        left = checkpointed(left.join(waiting, "parent", "left_semi"))
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    else:
-        raise RuntimeError(f"lineage is deeper than {rounds}")
-    cycle = left.select(F.col("child").alias("key"), F.lit("cycle").alias("fault"))
-    return own.unionByName(unknown).unionByName(cycle).distinct()
-
-
 def job_records(candidates: DataFrame, longest: int) -> DataFrame:
     """candidate_id, sequence, sequence_sha256 -> job records of those with canonical residues, a fitting length and the
     declared hash, and the reason for the others."""
@@ -283,15 +256,6 @@ def exact_segments(predictions: DataFrame, candidates: DataFrame, key: str) -> D
     return wi.label_runs(predictions.join(sides.select(key, ok.alias("_ok")).where("_ok"), key).drop("_ok"), [key], "pos", "label")
 
 
-def pair_extremes(points: DataFrame, group: str, pos: str = "pos", gap: int = 2, near: float = 3.0) -> DataFrame:
-    """Points (x, y, z) of a group: the largest distance of two, and how many pairs over `gap` places apart are closer than
-    `near`. All pairs of a group meet: groups are chains, of bounded length by nature."""
-    a = points.select(group, F.col(pos).alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"))
-    b = points.select(group, F.col(pos).alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("z").alias("zj"))
-    d = F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2) + F.pow(F.col("zi") - F.col("zj"), 2))
-    return a.join(b, group).where("i < j").groupBy(group).agg(F.max(d).alias("farthest"), F.count_if((F.col("j") - F.col("i") > gap) & (d < near)).alias("clashes"))
-
-
 def followed_up(designs: DataFrame, scores: DataFrame, key: str, identity: str) -> DataFrame:
     """Designs with their scores; a score of another identity, a design without one or a score without a design is an error."""
     d, s = designs.alias("d"), scores.alias("s")

@@ -59,6 +59,25 @@ def boundary_grid(starts: DataFrame, ends: DataFrame, offsets: list[int], least:
     return pairs.select("key", "s", "e", (F.col("s_score") + F.col("e_score")).alias("score"))
 
 
+def best_boundaries(starts: DataFrame, ends: DataFrame, offsets: list[int], least: int) -> DataFrame:
+    """The best (start, end) of each key, both moved by offsets, of at least `least` places: key, s, e, score, and n, the number of
+    such pairs. Ties go to the smallest start, then the smallest end.
+
+    Of a start only the best end at or beyond s + least - 1 counts: a maximum over the ends from the right, which one sorted
+    pass keeps, with their number. No start meets an end, so a key costs the sum of its starts and ends, not their product.
+    """
+    moved = lambda df: df.select("key", "pos", "score", F.explode(F.array(*map(F.lit, offsets))).alias("_o")).select("key", (F.col("pos") + F.col("_o")).alias("p"), "score").groupBy("key", "p").agg(F.max("score").alias("score"))
+    a = moved(starts).where("p >= 1").select("key", (F.col("p") + least - 1).alias("at"), F.lit(1).alias("kind"), "p", "score")
+    b = moved(ends).select("key", F.col("p").alias("at"), F.lit(0).alias("kind"), "p", "score")
+    # From the right; at one place ends come before starts.
+    right = Window.partitionBy("key").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.when(F.col("kind") == 0, F.struct("score", (-F.col("p")).alias("e")))
+    seen = a.unionByName(b).select("key", "kind", "p", "score", F.max(end).over(right).alias("best"), F.sum(1 - F.col("kind")).over(right).alias("n"))
+    seen = seen.where("kind = 1 and best is not null")
+    top = F.max(F.struct((F.col("score") + F.col("best.score")).alias("score"), (-F.col("p")).alias("s"), F.col("best.e").alias("e"))).alias("t")
+    return seen.groupBy("key").agg(top, F.sum("n").alias("n")).select("key", (-F.col("t.s")).alias("s"), (-F.col("t.e")).alias("e"), "t.score", "n")
+
+
 def linker_patterns(linkers: DataFrame, junctions: int) -> DataFrame:
     """All ways to put one of the linkers (a small table) on each junction: l1 .. ln, text."""
     out = linkers.select(F.col("linker").alias("l1"))

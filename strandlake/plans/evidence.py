@@ -163,7 +163,15 @@ def jn20(spark, d):
 def jn21(spark, d):
     t = intervals(spark, d)
     ends = lambda c: t.select(F.col("user_id").alias("key"), F.col(c).alias("pos"), F.col("event_id").alias("score"))
-    return se.boundary_grid(ends("start1"), ends("end1"), [-2, 0, 2], 30).groupBy("key").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    return se.best_boundaries(ends("start1"), ends("end1"), [-2, 0, 2], 30).select("key", "n", F.col("score").alias("best"))
+
+
+@query("jn21_best_boundaries", f"WITH {I}, a AS (SELECT event_type, start1 + o AS s, max(event_id % 97) AS ss FROM t, (VALUES (-4), (0), (4)) v(o) GROUP BY 1, 2), b AS (SELECT event_type, end1 + o AS e, max(event_id % 89) AS es FROM t, (VALUES (-4), (0), (4)) v(o) GROUP BY 1, 2) SELECT a.event_type AS key, s, e, ss + es AS score FROM a JOIN b ON a.event_type = b.event_type WHERE s >= 1 AND e - s + 1 >= 60 QUALIFY row_number() OVER (PARTITION BY a.event_type ORDER BY ss + es DESC, s, e) = 1")
+def jn21_best(spark, d):
+    """A few keys, with all events' starts and ends: their product is never made."""
+    t = intervals(spark, d)
+    ends = lambda c, m: t.select(F.col("event_type").alias("key"), F.col(c).alias("pos"), (F.col("event_id") % m).alias("score"))
+    return se.best_boundaries(ends("start1", 97), ends("end1", 89), [-4, 0, 4], 60).select("key", "s", "e", "score")
 
 
 @query("fi13_reconstruction", "WITH c AS (SELECT conv_id, turn, text AS x FROM conversations) SELECT conv_id, string_agg(x, '' ORDER BY turn) AS sequence, sum(length(x))::BIGINT AS last_end FROM c GROUP BY 1")

@@ -389,6 +389,32 @@ def dq03_stored(spark, d):
     return all_checks(reproduced("line-counts", spark.read.parquet(f"{at}/lines"), lines), reproduced("part-sizes", spark.read.parquet(f"{at}/parts"), parts))
 
 
+@query("dq02_stored_run", "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 97 = 3 THEN 'missing' WHEN l_orderkey % 97 = 4 THEN 'changed' END AS fault, CASE WHEN l_orderkey % 97 = 4 THEN 'l_quantity' END AS columns FROM lineitem WHERE l_orderkey % 97 IN (3, 4) UNION ALL SELECT -o_orderkey, 1, 'added', NULL FROM orders WHERE o_orderkey % 97 = 5")
+def dq02(spark, d):
+    """A stored run of all lines against one that lost some, changed some and has some more."""
+    from ..operators.verify import against_stored, store_run
+
+    keys, cols = ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_returnflag"]
+    lines = table(spark, d, "lineitem").select(*keys, *cols)
+    at, k = place(spark, "run"), F.col("l_orderkey") % 97
+    store_run(lines, at, keys)
+    more = table(spark, d, "orders").where("o_orderkey % 97 = 5").select((-F.col("o_orderkey")).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"), F.lit(0.0).alias("l_discount"), F.lit("N").alias("l_returnflag"))
+    again = lines.where(k != 3).withColumn("l_quantity", F.when(k == 4, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))).unionByName(more)
+    return against_stored(again, at, keys).select(*keys, "fault", F.when(F.size("columns") > 0, F.array_join("columns", ",")).alias("columns"))
+
+
+@query("dq03_equal_run", "SELECT 'orders-by-day' AS check_id, 'pass' AS status, count(DISTINCT o_orderdate::DATE)::BIGINT AS rows, 0::BIGINT AS faults FROM orders")
+def dq03_equal(spark, d):
+    """What the tables give, stored and computed again: the stored run's digests say that nothing differs."""
+    from ..operators.verify import against_stored, store_run
+
+    days = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    at = place(spark, "run")
+    store_run(days, at, ["day"])
+    faults = against_stored(days.repartition(5), at, ["day"]).agg(F.count("*").alias("faults"))
+    return days.agg(F.count("*").alias("rows")).join(F.broadcast(faults)).select(F.lit("orders-by-day").alias("check_id"), F.when(F.col("faults") == 0, "pass").otherwise("fail").alias("status"), "rows", "faults")  # one row
+
+
 @query("jn14_identity_semi_join", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 10 = 0")
 def jn14(spark, d):
     """A selection's bindings (key and content hash) that the batch holds unchanged."""

@@ -9,7 +9,9 @@ from ..fixtures import INTERVALS_SQL, NT, SEQUENCES_SQL, derived, derived_sql, i
 from ..functions import hashing as hs
 from ..functions import sequence as fn
 from ..functions.constants import RESIDUE_MASS, RESIDUES, WATER_MASS
+from ..operators import lineage as li
 from ..operators import rules as ru
+from ..operators import space as sp
 from ..operators import topk as tk
 from ..session import table
 from ..streaming import readers as rd
@@ -179,7 +181,7 @@ def tk12(spark, d):
 @query("jn09_pair_extremes", "WITH p AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity / 10 AS x, l_discount * 50 AS y, l_tax * 50 AS z FROM lineitem), j AS (SELECT a.k, b.i - a.i AS gap, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM p a JOIN p b ON a.k = b.k AND a.i < b.i) SELECT k, round(max(d), 6) AS farthest, count(*) FILTER (gap > 2 AND d < 2.0) AS clashes FROM j GROUP BY k")
 def jn09(spark, d):
     p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"), (F.col("l_quantity") / 10).alias("x"), (F.col("l_discount") * 50).alias("y"), (F.col("l_tax") * 50).alias("z"))
-    return ru.pair_extremes(p, "k", near=2.0).withColumn("farthest", F.round("farthest", 6))
+    return sp.pair_extremes(p, "k", near=2.0).withColumn("farthest", F.round("farthest", 6))
 
 
 @query("jn11_exact_segments", "WITH p AS (SELECT l_orderkey AS k, l_linenumber AS pos, l_returnflag AS label FROM lineitem), g AS (SELECT *, pos - row_number() OVER (PARTITION BY k, label ORDER BY pos) AS run FROM p) SELECT k, min(pos) AS start1, max(pos) AS end1, label FROM g GROUP BY k, label, run")
@@ -264,7 +266,20 @@ def it05(spark, d):
     parent = F.when(k % 50 == 7, k).when(k % 50 == 8, -k).when(k % 50 == 20, k + 2).otherwise(k - 1)
     edges = p.where((k % 50 != 0) & (k % 50 != 9) & (k % 50 != 23)).select(k.alias("child"), parent.alias("parent"))
     nodes = p.select(k.alias("key"), ((k % 50 == 0) | (k % 50 == 9) | (k % 50 == 23)).alias("source"))
-    return ru.lineage_faults(edges, nodes)
+    return li.lineage_faults(edges, nodes)
+
+
+@query("it05_long_lineage", "WITH c AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT k AS key, CASE WHEN i < 3 THEN 'cycle' ELSE 'built_on_cycle' END AS fault FROM c WHERE i < n // 2")
+def it05_long(spark, d):
+    """All orders as two lineages, each as long as half of them: one ends at a source, the other at a cycle of three."""
+    from ..operators.windows import numbered
+
+    o = numbered(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), ["k"], "i").withColumn("i", F.col("i") - 1)
+    n = table(spark, d, "orders").agg(F.floor(F.count("*") / 2).alias("half"))
+    o = o.join(F.broadcast(n))  # one row
+    before = F.when(F.col("i") == 0, 2).otherwise(F.col("i") - 1)
+    edges = o.where(F.col("i") != F.col("half")).select(F.col("k").alias("child"), before.alias("i")).join(o.select("i", F.col("k").alias("parent")), "i").select("child", "parent")
+    return li.lineage_faults(edges, o.select(F.col("k").alias("key"), (F.col("i") == F.col("half")).alias("source")))
 
 
 @query("hs03_candidate_ids", "SELECT doc_id, substr(sha256(concat('{\"lang\":', to_json(lang), ',\"source\":', to_json(source), '}')), 1, 16) AS candidate_id FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")

@@ -13,6 +13,7 @@ from ..operators import diversity as dv
 from ..operators import joins as jn
 from ..operators import scoring as sc
 from ..operators import skyline as sk
+from ..operators import space as sp
 from ..operators import topk as tk
 from ..operators import windows as wi
 from ..session import table
@@ -383,10 +384,34 @@ def ma03(spark, d):
     return ag.geometry(p, ["g"]).select("g", F.round("cx", 6).alias("cx"), F.round("radius_of_gyration", 6).alias("radius_of_gyration"), "n", F.round("end_to_end", 6).alias("end_to_end"))
 
 
-@query("ma02_principal_axes")
+_XYZ = "p AS (SELECT label AS g, vec_id AS pos, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+#: Eigenvalues by the trigonometric formula, vectors by cross products of the rows of A - l I: no iteration.
+_AXES = (
+    "c AS (SELECT g, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, var_pop(x) AS xx, var_pop(y) AS yy, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM p GROUP BY g), "
+    "q AS (SELECT *, (xx + yy + zz) / 3 AS m, sqrt(((xx - (xx + yy + zz) / 3) ** 2 + (yy - (xx + yy + zz) / 3) ** 2 + (zz - (xx + yy + zz) / 3) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS r FROM c), "
+    "d AS (SELECT *, acos(greatest(-1, least(1, ((xx - m) * ((yy - m) * (zz - m) - yz * yz) - xy * (xy * (zz - m) - yz * xz) + xz * (xy * yz - (yy - m) * xz)) / (2 * r * r * r)))) / 3 AS phi FROM q), "
+    "l AS (SELECT *, k, m + 2 * r * cos(phi + CASE k WHEN 1 THEN 0 WHEN 2 THEN 4 ELSE 2 END * pi() / 3) AS v FROM d, (VALUES (1), (2), (3)) t(k)), "
+    "w AS (SELECT *, list_sort([[xy * yz - xz * (yy - v), xz * xy - (xx - v) * yz, (xx - v) * (yy - v) - xy * xy], [xy * (zz - v) - xz * yz, xz * xz - (xx - v) * (zz - v), (xx - v) * yz - xy * xz], [(yy - v) * (zz - v) - yz * yz, yz * xz - xy * (zz - v), xy * yz - (yy - v) * xz]]::DOUBLE[3][], 'ASC') AS a FROM l), "
+    "b AS (SELECT g, k, v, cx, cy, cz, list_reduce(list_transform(a, lambda u: u::DOUBLE[]), lambda s, u: CASE WHEN s[1] * s[1] + s[2] * s[2] + s[3] * s[3] >= u[1] * u[1] + u[2] * u[2] + u[3] * u[3] THEN s ELSE u END) AS a FROM w), "
+    "n AS (SELECT g, k, v, cx, cy, cz, list_transform(a, lambda t: t / sqrt(a[1] * a[1] + a[2] * a[2] + a[3] * a[3]) * CASE WHEN list_filter(a, lambda t: abs(t) = list_max(list_transform(a, lambda y: abs(y))))[1] < 0 THEN -1 ELSE 1 END) AS a FROM b), "
+    "e AS (SELECT n.g, k, max(a[1] * (x - cx) + a[2] * (y - cy) + a[3] * (z - cz)) - min(a[1] * (x - cx) + a[2] * (y - cy) + a[3] * (z - cz)) AS extent FROM n JOIN p ON p.g = n.g GROUP BY 1, 2), "
+    "s AS (SELECT g, max(v) FILTER (k = 1) AS v1, max(v) FILTER (k = 2) AS v2, max(v) FILTER (k = 3) AS v3 FROM n GROUP BY g)"
+)
+
+
+@query("ma02_principal_axes", f"WITH {_XYZ}, {_AXES} SELECT n.g, n.k::INT AS k, round(v, 6) AS value, round(a[1], 4) AS ax, round(a[2], 4) AS ay, round(a[3], 4) AS az, round(extent, 4) AS extent FROM n JOIN e ON e.g = n.g AND e.k = n.k")
 def ma02(spark, d):
     e = F.col("embedding")
-    return ag.principal_axes(table(spark, d, "embeddings").select(F.col("label").alias("g"), *[e[k].cast("double").alias(c) for k, c in enumerate("xyz")]), ["g"])
+    got = sp.principal_axes(table(spark, d, "embeddings").select(F.col("label").alias("g"), *[e[k].cast("double").alias(c) for k, c in enumerate("xyz")]), ["g"])
+    rows = got.select("g", F.posexplode(F.arrays_zip("values", "axes", "extents")).alias("k", "t"))
+    return rows.select("g", (F.col("k") + 1).alias("k"), F.round("t.values", 6).alias("value"), *[F.round(F.col("t.axes")[i], 4).alias(f"a{c}") for i, c in enumerate("xyz")], F.round("t.extents", 4).alias("extent"))
+
+
+@query("ma03_all_measures", f"WITH {_XYZ}, {_AXES}, j AS (SELECT a.g, b.pos - a.pos AS gap, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM p a JOIN p b ON a.g = b.g AND a.pos < b.pos), f AS (SELECT g, max(d) AS far, count(*) FILTER (gap > 2 AND d < 0.05) AS clashes FROM j GROUP BY g) SELECT s.g, round(coalesce(far, 0), 6) AS farthest, coalesce(clashes, 0)::BIGINT AS clashes, round(greatest(0, least(1, 1 - 3 * (v1 * v2 + v2 * v3 + v3 * v1) / (v1 + v2 + v3) ** 2)), 6) AS anisotropy, round(v1, 6) AS spread FROM s LEFT JOIN f ON f.g = s.g")
+def ma03_all(spark, d):
+    e = F.col("embedding")
+    p = table(spark, d, "embeddings").select(F.col("label").alias("g"), F.col("vec_id").alias("pos"), *[e[k].cast("double").alias(c) for k, c in enumerate("xyz")])
+    return sp.geometry(p, "g", near=0.05).select("g", F.round("farthest", 6).alias("farthest"), "clashes", F.round("anisotropy", 6).alias("anisotropy"), F.round(F.col("values")[0], 6).alias("spread"))
 
 
 @query("ma04_distance_rmsd", "WITH p AS (SELECT label AS g, vec_id AS pos, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS x2, embedding[5]::DOUBLE AS y2, embedding[6]::DOUBLE AS z2 FROM embeddings), d AS (SELECT a.g, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d1, sqrt((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2 + (a.z2 - b.z2) ** 2) AS d2 FROM p a JOIN p b ON a.g = b.g AND a.pos < b.pos) SELECT g, round(sqrt(avg((d1 - d2) ** 2)), 6) AS rmsd FROM d GROUP BY g")
@@ -417,9 +442,13 @@ def it03(spark, d):
     return depths(edges, 0).select(F.col("node").alias("n"), "depth")
 
 
-@query("it01_lane_rescue")
+_COVER = "f AS (SELECT p_partkey, p_retailprice, ['b' || p_brand, 't' || p_type, 's' || p_size] AS f FROM part)"
+
+
+@query("it01_lane_rescue", f"WITH RECURSIVE {_COVER}, w AS (SELECT 0 AS place, NULL::BIGINT AS p_partkey, 0 AS gain, []::VARCHAR[] AS done UNION ALL SELECT w.place + 1, c.p_partkey, c.gain, list_concat(w.done, c.f) FROM w, LATERAL (SELECT p_partkey, f, len(list_filter(f, lambda x: NOT list_contains(w.done, x))) AS gain FROM f WHERE len(list_filter(f, lambda x: NOT list_contains(w.done, x))) > 0 ORDER BY gain DESC, p_retailprice, p_partkey LIMIT 1) c WHERE w.place < 30) SELECT p_partkey, place::INT AS place, gain::INT AS gain FROM w WHERE place > 0")
 def it01(spark, d):
     from ..operators.graph import greedy_cover
 
     p = table(spark, d, "part").select("p_partkey", F.array(F.concat(F.lit("b"), "p_brand"), F.concat(F.lit("t"), "p_type"), F.concat(F.lit("s"), F.col("p_size").cast("string"))).alias("features"), F.struct("p_retailprice", "p_partkey").alias("order"))
-    return greedy_cover(p, "p_partkey", "features", "order", 12)
+    return greedy_cover(p, "p_partkey", "features", "order", 30)
+
