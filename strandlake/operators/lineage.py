@@ -14,16 +14,16 @@ def _chains(single: DataFrame) -> DataFrame:
     Pointers double: after k rounds one spans 2**k steps, so rounds grow with the logarithm of the longest chain. Who has not left
     after as many steps as there are nodes goes round in a ring, or leads to one.
     """
-    n = single.count()
-    now = checkpointed(single.select("src", F.col("dst").alias("to"), F.lit(True).alias("open")))
-    steps = 1
+    now = checkpointed(single.select("src", F.col("dst").alias("to")))
+    n, steps = now.count(), 1
     while steps <= n:
         ahead = now.select(F.col("src").alias("to"), F.col("to").alias("next"))
-        now = checkpointed(now.join(ahead, "to", "left").select("src", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("open")))
-        steps *= 2
-        if now.where("open").isEmpty():
+        moved = checkpointed(now.join(ahead, "to", "left").select("src", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("on")))
+        now, steps = moved.select("src", "to"), steps * 2
+        if moved.where("on").isEmpty():
             break
-    return now.select("src", F.when(~F.col("open"), F.col("to")).alias("to"), F.col("open").alias("ring"))
+    inside = now.select(F.col("src").alias("to"), F.lit(True).alias("ring")).distinct()
+    return now.join(inside, "to", "left").select("src", F.when(F.col("ring").isNull(), F.col("to")).alias("to"), F.col("ring").isNotNull().alias("ring"))
 
 
 def endless(edges: DataFrame) -> DataFrame:
@@ -34,43 +34,44 @@ def endless(edges: DataFrame) -> DataFrame:
     whatever its length; rounds grow with the number of branchings that hang on each other.
     """
     left = checkpointed(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    rings = checkpointed(left.select(F.col("src").alias("node")).limit(0))
-    resolved = None  # chains of earlier rounds: src, to
+    rings = left.select(F.col("src").alias("node")).limit(0)
+    resolved = left.select("src", F.col("dst").alias("to")).limit(0)  # chains and where they end
     n = left.count()
     while n:
         degree = left.groupBy("src").agg(F.count("*").alias("k"), F.min("dst").alias("dst"))
-        single, many = degree.where("k = 1").select("src", "dst"), left.join(degree.where("k > 1").select("src"), "src", "left_semi")
-        chains = checkpointed(_chains(single))
-        rings = checkpointed(rings.unionByName(chains.where("ring").select(F.col("src").alias("node"))))
-        ended = chains.where("not ring").select("src", "to")
-        resolved = ended if resolved is None else checkpointed(resolved.unionByName(ended))
-        # A branching's edges go on to where chains end; those that end nowhere fall away, those to a ring decide.
-        many = many.join(chains.withColumnRenamed("src", "dst"), "dst", "left").select("src", F.coalesce("to", "dst").alias("dst"), F.coalesce("ring", F.lit(False)).alias("ring"))
-        bad = checkpointed(many.where("ring").select(F.col("src").alias("node")).distinct())
-        rings = checkpointed(rings.unionByName(bad))
-        # To a node that is endless by now, directly: also decides.
-        many = many.join(bad.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst").distinct()
-        known = rings.select(F.col("node").alias("dst"), F.lit(True).alias("bad")).distinct()
-        alive = many.select(F.col("src").alias("dst"), F.lit(True).alias("alive")).distinct()
-        many = checkpointed(many.join(known, "dst", "left").join(alive, "dst", "left"))
-        more = many.where("bad").select(F.col("src").alias("node")).distinct()
-        rings = checkpointed(rings.unionByName(more))
-        left = checkpointed(many.where("alive and bad is null").join(more.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst").distinct())
+        chains = checkpointed(_chains(degree.where("k = 1").select("src", "dst")))
+        resolved = resolved.unionByName(chains.where("not ring").select("src", "to"))
+        # A branching's edges go on to where chains end. One to a ring decides; those that end nowhere fall away.
+        many = left.join(degree.where("k > 1").select("src"), "src", "left_semi").join(chains.withColumnRenamed("src", "dst"), "dst", "left")
+        many = many.select("src", F.coalesce("to", "dst").alias("dst"), F.coalesce("ring", F.lit(False)).alias("bad"))
+        many = checkpointed(many.groupBy("src", "dst").agg(F.max("bad").alias("bad")))
+        bad = checkpointed(many.where("bad").select(F.col("src").alias("node")).distinct())
+        rings = checkpointed(rings.unionByName(chains.where("ring").select(F.col("src").alias("node"))).unionByName(bad))
+        alive = many.select(F.col("src").alias("dst")).distinct().join(bad.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        hit = many.join(bad.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src")
+        open_ = many.join(bad.withColumnRenamed("node", "src"), "src", "left_anti")
+        while True:
+            # Who has an edge to what is endless is endless, too.
+            new = checkpointed(hit.distinct().join(rings.withColumnRenamed("node", "src"), "src", "left_anti"))
+            if new.isEmpty():
+                break
+            rings = checkpointed(rings.unionByName(new.withColumnRenamed("src", "node")))
+            hit = many.join(new.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src")
+        known = rings.withColumnRenamed("node", "src")
+        left = checkpointed(open_.join(alive, "dst", "left_semi").join(known, "src", "left_anti").select("src", "dst"))
         m = left.count()
-        if m == n and bad.isEmpty() and more.isEmpty():
+        if m == n:
             # No chain is left, and every node has an edge to another of them.
             rings = rings.unionByName(left.select(F.col("src").alias("node")))
             break
         n = m
-    rings = checkpointed(rings.distinct())
-    while resolved is not None:
-        # Chains that end at a node found since are endless, too; one such may end at another, found in a later round.
-        new = resolved.join(rings.select(F.col("node").alias("to")), "to", "left_semi").select(F.col("src").alias("node")).join(rings, "node", "left_anti")
-        new = checkpointed(new.distinct())
+    rings, resolved = checkpointed(rings.distinct()), checkpointed(resolved)
+    while True:
+        # Chains that end at an endless node are endless, too; one may end at a node that a later round resolved.
+        new = checkpointed(resolved.join(rings.withColumnRenamed("node", "to"), "to", "left_semi").select(F.col("src").alias("node")).join(rings, "node", "left_anti").distinct())
         if new.isEmpty():
-            break
+            return rings
         rings = checkpointed(rings.unionByName(new))
-    return rings
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:

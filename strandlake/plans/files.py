@@ -389,18 +389,17 @@ def dq03_stored(spark, d):
     return all_checks(reproduced("line-counts", spark.read.parquet(f"{at}/lines"), lines), reproduced("part-sizes", spark.read.parquet(f"{at}/parts"), parts))
 
 
-@query("dq02_stored_run", "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 97 = 3 THEN 'missing' WHEN l_orderkey % 97 = 4 THEN 'changed' END AS fault, CASE WHEN l_orderkey % 97 = 4 THEN 'l_quantity' END AS columns FROM lineitem WHERE l_orderkey % 97 IN (3, 4) UNION ALL SELECT -o_orderkey, 1, 'added', NULL FROM orders WHERE o_orderkey % 97 = 5")
+@query("dq02_stored_run", "SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 3 THEN 'missing' WHEN o_orderkey % 97 = 4 THEN 'changed' END AS fault, CASE WHEN o_orderkey % 97 = 4 THEN 'o_totalprice' END AS columns FROM orders WHERE o_orderkey % 97 IN (3, 4) UNION ALL SELECT -c_custkey, 'added', NULL FROM customer WHERE c_custkey % 97 = 5")
 def dq02(spark, d):
-    """A stored run of all lines against one that lost some, changed some and has some more."""
+    """A stored run of all orders against one that lost some, changed some and has some more."""
     from ..operators.verify import against_stored, store_run
 
-    keys, cols = ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_returnflag"]
-    lines = table(spark, d, "lineitem").select(*keys, *cols)
-    at, k = place(spark, "run"), F.col("l_orderkey") % 97
-    store_run(lines, at, keys)
-    more = table(spark, d, "orders").where("o_orderkey % 97 = 5").select((-F.col("o_orderkey")).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"), F.lit(0.0).alias("l_discount"), F.lit("N").alias("l_returnflag"))
-    again = lines.where(k != 3).withColumn("l_quantity", F.when(k == 4, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))).unionByName(more)
-    return against_stored(again, at, keys).select(*keys, "fault", F.when(F.size("columns") > 0, F.array_join("columns", ",")).alias("columns"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    at, k = place(spark, "run"), F.col("o_orderkey") % 97
+    store_run(rows, at, ["o_orderkey"])
+    more = table(spark, d, "customer").where("c_custkey % 97 = 5").select((-F.col("c_custkey")).alias("o_orderkey"), F.lit(1.0).alias("o_totalprice"), F.lit("F").alias("o_orderstatus"), F.lit(None).cast("string").alias("o_orderpriority"))
+    again = rows.where(k != 3).withColumn("o_totalprice", F.when(k == 4, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).unionByName(more)
+    return against_stored(again, at, ["o_orderkey"]).select("o_orderkey", "fault", F.when(F.size("columns") > 0, F.array_join("columns", ",")).alias("columns"))
 
 
 @query("dq03_equal_run", "SELECT 'orders-by-day' AS check_id, 'pass' AS status, count(DISTINCT o_orderdate::DATE)::BIGINT AS rows, 0::BIGINT AS faults FROM orders")
