@@ -116,6 +116,16 @@ def set_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.sha2(F.array_join(F.sort_array(F.collect_set(row)), ",").cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
 
 
+def bucketed_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: SHA-256 over the digests of 4,096 buckets of the distinct rows' hashes, in order; n. For sets of any size: a
+    task joins a bucket's sorted hashes, and only the buckets' digests meet."""
+    rows = df.select(F.sha2(F.to_json(F.struct(*columns)).cast("binary"), 256).alias("h")).distinct()
+    digest = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ",").cast("binary"), 256)
+    buckets = rows.groupBy(F.substr("h", F.lit(1), F.lit(3)).alias("b")).agg(digest("h").alias("d"), F.count("*").alias("n"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
+    return buckets.agg(F.sha2(F.array_join(ordered, ",").cast("binary"), 256).alias("digest"), F.sum("n").alias("n"))
+
+
 def geometry(df: DataFrame, group: list[str], pos: str = "pos") -> DataFrame:
     """Centroid, radius of gyration, end-to-end distance of points (x, y, z) along pos, by one aggregate."""
     ends = [F.min_by(F.struct("x", "y", "z"), pos).alias("a"), F.max_by(F.struct("x", "y", "z"), pos).alias("b")]

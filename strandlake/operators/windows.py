@@ -73,6 +73,13 @@ def liability(df: DataFrame, n: int = 19) -> DataFrame:
     return rows.select("doc_id", "windows", "longest", F.round(1 - bad, 6).alias("liability"))
 
 
+def low_complexity_regions(df: DataFrame, keys: list[str], letters: str, n: int = 12, bits: float = 2.2) -> DataFrame:
+    """keys, seq -> start1, end1 of what windows of n letters with an entropy below `bits` cover, merged."""
+    w = df.select(*keys, F.explode(F.transform(fn.indexes(F.length("seq") - n + 1), lambda i: F.struct((i + 1).alias("i"), F.substr("seq", i + 1, F.lit(n)).alias("x")))).alias("w"))
+    hits = w.where(fn.entropy(F.col("w.x"), letters) < bits).select(*keys, F.col("w.i").alias("start1"), (F.col("w.i") + n - 1).alias("end1"))
+    return merge_intervals(hits, keys)
+
+
 def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """Each row with the next one's columns (next_...); the last row of a key goes."""
     w = Window.partitionBy(*keys).orderBy(order)

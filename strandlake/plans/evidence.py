@@ -51,9 +51,10 @@ def tk02(spark, d):
     return u.select("doc_id", "trial", (fn.count_of(F.col("cds"), "GC").between(330, 400) & ~F.contains("cds", F.lit("GGTACC")) & ~F.contains("cds", F.lit("AAAAA"))).alias("passes"))
 
 
-@query("fn21_translation_matches", "SELECT doc_id, true AS matches FROM documents")
+@query("fn21_translation_matches", "SELECT doc_id, doc_id % 7 <> 0 AS matches FROM documents")
 def fn21(spark, d):
     cds = fn.backtranslate(F.col("aa"), FREQUENCY)
+    cds = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("TGG"), F.substr(cds, F.lit(4)))).otherwise(cds)  # a residue that the sequences don't hold
     return sequences(spark, d).select("doc_id", (fn.translate_cds(cds)["protein"] == F.col("aa")).alias("matches"))
 
 

@@ -311,6 +311,15 @@ def snk03(spark, d):
     return got.agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), (F.count("*") == 8).alias("all_shards"))
 
 
+@query("snk03_shards_by_line", "WITH e AS (SELECT event_id, event_type AS v, (('0x' || substr(sha256(concat('7', chr(0), event_id)), 1, 15))::BIGINT % 8)::INT AS shard FROM events) SELECT shard, count(*) AS lines, sum(octet_length(encode(v)) + 1)::BIGINT AS bytes FROM e GROUP BY 1")
+def snk03_by_line(spark, d):
+    """Lines of few texts, each dealt for itself; the second call finds the shards in place."""
+    v = table(spark, d, "events").select("event_id", F.col("event_type").alias("value"))
+    at = place(spark, "shards")
+    sinks.write_shards(v, at, 8, 7, ["event_id"])
+    return sinks.write_shards(v, at, 8, 7, ["event_id"])
+
+
 @query("snk04_train_and_valid", "SELECT count(DISTINCT event_type || event_id % 500) AS lines, 0::BIGINT AS in_both FROM events")
 def snk04(spark, d):
     v = table(spark, d, "events").select(F.concat("event_type", (F.col("event_id") % 500).cast("string")).alias("value"))

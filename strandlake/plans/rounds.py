@@ -9,6 +9,7 @@ from ..fixtures import INTERVALS_SQL, NT, SEQUENCES_SQL, derived, derived_sql, i
 from ..functions import hashing as hs
 from ..functions import sequence as fn
 from ..functions.constants import RESIDUE_MASS, RESIDUES, WATER_MASS
+from ..operators import adapters as ad
 from ..operators import lineage as li
 from ..operators import rules as ru
 from ..operators import space as sp
@@ -356,3 +357,40 @@ SELECT c_custkey AS k, a.adapter, coalesce(n.n, 0) AS n, coalesce(supported, 0)
 _adapters("ud02_residue_adapters", ["mhc_binding", "host_similarity", "epitope_support"])
 _adapters("ud03_developability_adapters", ["signal_peptide", "transmembrane_topology", "disorder", "solubility", "aggregation"])
 _adapters("ud04_product_adapters", ["structure_recheck", "expression_support", "rna_structure", "evo2_sequence_score"])
+
+
+def _observations(spark, d):
+    """Events as observations of three adapters about customers, some of them faulty; and customers as candidates."""
+    i, k = F.col("event_id"), F.col("user_id")
+    which = F.get(F.array(*map(F.lit, ("mhc_binding", "epitope_support", "disorder"))), (i % 3).cast("int"))
+    status = F.when(i % 29 == 0, "maybe").otherwise(F.get(F.array(*map(F.lit, ad.STATUSES)), (i % 4).cast("int")))
+    sha = hs.sha256(F.when(i % 31 == 0, F.lit("other")).otherwise(k.cast("string")))
+    obs = intervals(spark, d).select(which.alias("adapter"), F.when(i % 37 != 0, F.concat(F.lit("e"), i.cast("string"))).alias("evidence_id"), F.when(i % 41 == 0, -k).otherwise(k).alias("candidate_id"), sha.alias("sequence_sha256"), F.col("start1"), F.col("end1"), status.alias("status"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), hs.sha256(F.col("c_custkey").cast("string")).alias("sequence_sha256"), F.lit(450).alias("length"))
+    return obs, c
+
+
+_OBS = f"WITH {I}, o AS (SELECT CASE event_id % 3 WHEN 0 THEN 'mhc_binding' WHEN 1 THEN 'epitope_support' ELSE 'disorder' END AS adapter, event_id, CASE WHEN event_id % 37 <> 0 THEN 'e' || event_id END AS evidence_id, CASE WHEN event_id % 41 = 0 THEN -user_id ELSE user_id END AS candidate_id, event_id % 31 = 0 AS other, start1, end1, CASE WHEN event_id % 29 = 0 THEN 'maybe' ELSE (['supported', 'risk', 'context', 'not_supported'])[event_id % 4 + 1] END AS status FROM t)"
+
+
+@query("ud02_observation_faults", _OBS + " SELECT adapter, evidence_id, candidate_id, CASE WHEN candidate_id NOT IN (SELECT c_custkey FROM customer) THEN 'unknown_candidate' WHEN other THEN 'sequence_hash' WHEN end1 > 450 THEN 'residue_range' WHEN status = 'maybe' THEN 'status' ELSE 'evidence_id' END AS fault FROM o WHERE candidate_id NOT IN (SELECT c_custkey FROM customer) OR other OR end1 > 450 OR status = 'maybe' OR evidence_id IS NULL")
+def ud02_faults(spark, d):
+    return ad.observation_faults(*_observations(spark, d))
+
+
+@query("ud02_candidate_states", _OBS + ", n AS (SELECT candidate_id, adapter, count(*) AS n, count(*) FILTER (status = 'risk') AS r FROM o WHERE adapter <> 'disorder' GROUP BY 1, 2) SELECT c_custkey AS candidate_id, coalesce(sum(n), 0)::BIGINT AS observations, coalesce(sum(r), 0)::BIGINT AS risks, 2::BIGINT AS evaluated, 3::BIGINT AS categories, 'partial' AS status FROM customer LEFT JOIN n ON candidate_id = c_custkey GROUP BY 1")
+def ud02_states(spark, d):
+    """The immune adapters of all customers: two provided, one not."""
+    obs, c = _observations(spark, d)
+    declared = spark.createDataFrame([("mhc_binding", "provided", True), ("epitope_support", "provided", True), ("host_similarity", "not_configured", False)], "adapter string, status string, has_result boolean")
+    summary = ad.summaries(c, ad.states(declared, obs, "immune"), obs)
+    counts = summary.groupBy("candidate_id").agg(F.sum("observation_count").alias("observations"), F.sum("risk_count").alias("risks"))
+    return counts.join(ad.candidate_states(summary), "candidate_id")
+
+
+@query("ud03_requirements", _OBS + ", p AS (SELECT DISTINCT adapter FROM o) SELECT requirement_id, requirement_class, required_before_stage FROM (VALUES ('signal_peptide', 'provide-signal-peptide-prediction', 'design_variable', 'experiment_release'), ('transmembrane_topology', 'provide-transmembrane-topology-prediction', 'design_variable', 'experiment_release'), ('disorder', 'provide-disorder-prediction', 'required_before_ranking', 'integrated_ranking'), ('solubility', 'provide-solubility-prediction', 'required_before_release', 'experiment_release'), ('aggregation', 'provide-aggregation-prediction', 'required_before_release', 'experiment_release')) v(a, requirement_id, requirement_class, required_before_stage) WHERE a NOT IN (SELECT adapter FROM p)")
+def ud03_requirements(spark, d):
+    """Which developability adapters the observations leave open."""
+    obs, _ = _observations(spark, d)
+    declared = obs.select("adapter").distinct().select("adapter", F.lit("provided").alias("status"), F.lit(True).alias("has_result"))
+    return ad.requirements(ad.states(declared, obs, "developability"), "developability")

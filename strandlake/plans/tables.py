@@ -377,6 +377,11 @@ def ag17(spark, d):
     return ag.set_digest(table(spark, d, "nation"), ["n_name", "n_regionkey"])
 
 
+@query("ag17_bucketed_digest", "WITH r AS (SELECT DISTINCT sha256(concat('{\"o_orderkey\":', o_orderkey, ',\"o_orderstatus\":\"', o_orderstatus, '\"}')) AS h FROM orders), b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, ',' ORDER BY h)) AS d, count(*) AS n FROM r GROUP BY 1) SELECT sha256(string_agg(d, ',' ORDER BY b)) AS digest, sum(n)::BIGINT AS n FROM b")
+def ag17_bucketed(spark, d):
+    return ag.bucketed_digest(table(spark, d, "orders"), ["o_orderkey", "o_orderstatus"])
+
+
 @query("ma03_geometry", "WITH p AS (SELECT label AS g, vec_id AS pos, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), a AS (SELECT g, avg(x) AS cx, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rg, count(*) AS n, min(pos) AS p0, max(pos) AS p1 FROM p GROUP BY g) SELECT a.g, round(cx, 6) AS cx, round(rg, 6) AS radius_of_gyration, n, round(sqrt((u.x - v.x) ** 2 + (u.y - v.y) ** 2 + (u.z - v.z) ** 2), 6) AS end_to_end FROM a JOIN p u ON u.pos = p0 JOIN p v ON v.pos = p1")
 def ma03(spark, d):
     e = F.col("embedding")

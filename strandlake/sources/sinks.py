@@ -18,12 +18,28 @@ def encoded(records: DataFrame, order: list[str]) -> DataFrame:
     return records.orderBy(*order).select(fn.encode(s, fn.longest_orf(s)).alias("value"))
 
 
-def write_shards(lines: DataFrame, path: str, shards: int, seed: int) -> DataFrame:
-    """Lines that aren't blank, dealt to shard=k folders by a seeded hash; returns shard, lines, bytes of what is there."""
-    kept = lines.where(F.length(F.regexp_replace("value", r"\s", "")) > 0).withColumn("shard", hs.bucket(F.col("value"), seed, shards))
-    kept.write.mode("errorifexists").partitionBy("shard").text(path)
-    back = lines.sparkSession.read.option("basePath", path).text(path)
-    return back.groupBy("shard").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+def write_shards(lines: DataFrame, path: str, shards: int, seed: int, order: list[str] | None = None) -> DataFrame:
+    """Lines that aren't blank, dealt to shard=k folders, and path.manifest.json; returns shard, lines, bytes of what is there.
+
+    order: columns that name a line (file and number, say). A line's shard is then drawn from the seed and these, so it is
+    uniform a line, and copies part; without, from its text, so copies stay together. A manifest of the same lines, seed and
+    shards whose counts hold means that all is there already, and nothing is written.
+    """
+    spark = lines.sparkSession
+    drawn = F.col("value") if order is None else F.concat_ws("\0", *[F.col(c).cast("string") for c in order])
+    kept = lines.where(F.length(F.regexp_replace("value", r"\s", "")) > 0).withColumn("shard", hs.bucket(drawn, seed, shards)).select("value", "shard")
+    want = kept.agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("b"), F.sum(F.xxhash64("value", "shard").cast("decimal(38,0)")).cast("string").alias("h")).first()
+    what = {"shards": shards, "seed": seed, "total_lines": want["n"], "total_bytes": want["b"] or 0, "content": want["h"]}
+    counts = lambda: spark.read.option("basePath", path).text(path).groupBy("shard").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    said = f"{path}.manifest.json"
+    if exists(spark, said):
+        old = json.loads(read_document(spark, said))
+        if {k: old.get(k) for k in what} == what and counts().agg(F.sum("lines")).first()[0] == want["n"]:
+            return counts()
+    kept.write.mode("overwrite").partitionBy("shard").text(path)
+    per = {str(r["shard"]): [r["lines"], r["bytes"]] for r in counts().collect()}  # a row a shard
+    write_document(spark, said, what | {"lines_and_bytes": per})
+    return counts()
 
 
 def write_split(lines: DataFrame, train: str, valid: str, fraction: float, seed: int) -> None:
