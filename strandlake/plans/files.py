@@ -423,6 +423,31 @@ def dq03_equal(spark, d):
     return days.agg(F.count("*").alias("rows")).join(F.broadcast(faults)).select(F.lit("orders-by-day").alias("check_id"), F.when(F.col("faults") == 0, "pass").otherwise("fail").alias("status"), "rows", "faults")  # one row
 
 
+@query("dq04_verified_runs", "SELECT 'intact' AS run, c AS check_id, 'pass' AS status, '' AS detail FROM (VALUES ('inputs-set'), ('results-set'), ('identity'), ('input-parts'), ('result-chosen'), ('result-sizes')) v(c) UNION ALL SELECT 'altered', c, CASE WHEN c = 'result-sizes' THEN 'fail' ELSE 'pass' END, CASE WHEN c = 'result-sizes' THEN (SELECT count(DISTINCT p_size)::VARCHAR FROM part WHERE p_size % 2 = 1) ELSE '' END FROM (VALUES ('inputs-set'), ('results-set'), ('identity'), ('input-parts'), ('result-chosen'), ('result-sizes')) v(c)")
+def dq04(spark, d):
+    """A search over all parts, published twice: as it is, and with a result that was written anew since."""
+    from ..operators.runs import publish_run, verify_run
+    from ..operators.verify import store_run
+
+    def search(tables, policy):
+        p = tables["parts"]
+        return {"chosen": p.where(F.col("p_size") <= policy["most"]), "sizes": p.groupBy("p_size").agg(F.count("*").alias("n"))}
+
+    parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    keys = {"parts": ["p_partkey"], "chosen": ["p_partkey"], "sizes": ["p_size"]}
+    out = None
+    for name in ("intact", "altered"):
+        at = place(spark, "search")
+        run = publish_run(spark, at, {"parts": parts}, {"most": 20}, search, keys)
+        if name == "altered":
+            sinks.delete(spark, f"{at}/{run}/results/sizes")
+            n = F.when(F.col("p_size") % 2 == 1, F.col("n") + 1).otherwise(F.col("n"))
+            store_run(search({"parts": parts}, {"most": 20})["sizes"].withColumn("n", n), f"{at}/{run}/results/sizes", ["p_size"])
+        one = verify_run(spark, at, run, search, keys).select(F.lit(name).alias("run"), "check_id", "status", "detail")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("jn14_identity_semi_join", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 10 = 0")
 def jn14(spark, d):
     """A selection's bindings (key and content hash) that the batch holds unchanged."""

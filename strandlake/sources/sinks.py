@@ -128,6 +128,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
     """A small JSON document (sorted keys), written and flushed beside its place and put there by one rename that
     replaces what is there: at no time is the document missing or half written."""
