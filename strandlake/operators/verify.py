@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -94,6 +94,28 @@ def differing_buckets(stored: DataFrame, again: DataFrame) -> DataFrame:
     raise AssertionError
 
 
+def row_faults(rows: DataFrame, mine: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Stored rows against recomputed ones, by key: keys, fault, columns (see against_stored)."""
+    value = F.struct(*[F.col(c) for c in names]) if names else F.struct(F.lit(0).alias("_none"))
+    packed = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(f"{c}n"), F.min(value).alias(f"{c}v"), F.max(value).alias(f"{c}w"), F.sum(F.xxhash64(*names).cast("decimal(38,0)") if names else F.lit(0)).alias(f"{c}s"))
+    a, b = packed(rows, "a").alias("a"), packed(mine, "b").alias("b")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    j = a.join(b, same, "full_outer")
+    single = (F.col("an") == 1) & (F.col("bn") == 1)
+    changed = F.filter(F.array(*[F.when(~F.col(f"av.{c}").eqNullSafe(F.col(f"bv.{c}")), F.lit(c)) for c in names]), lambda c: c.isNotNull()) if names else F.array().cast("array<string>")
+    fault = F.when(F.col("bn").isNull(), "missing").when(F.col("an").isNull(), "added").when(F.col("an") != F.col("bn"), "count").when(~F.col("as").eqNullSafe(F.col("bs")) | ~F.col("av").eqNullSafe(F.col("bv")) | ~F.col("aw").eqNullSafe(F.col("bw")), "changed")
+    out = j.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], fault.alias("fault"), F.when(single, changed).alias("columns"))
+    return out.where("fault is not null")
+
+
+def unlike_digests(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Buckets of a stored run whose rows no longer give the digests that were stored with them."""
+    rows = spark.read.parquet(f"{path}/rows").drop("_bucket")
+    return differing_buckets(spark.read.parquet(f"{path}/digests"), _leaves(_hashed(rows, keys)))
+
+
 def against_stored(again: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """A recomputed run against a stored one: keys, fault (missing: stored only; added: recomputed only; changed; count: the rows of a key
     that repeats differ), columns (those that changed). No rows if they are equal.
@@ -114,15 +136,4 @@ def against_stored(again: DataFrame, path: str, keys: list[str]) -> DataFrame:
         rows, mine = (x.where(F.col("_bucket").isin(few)) for x in (rows, mine))
     else:
         rows, mine = (x.join(found, "_bucket", "left_semi") for x in (rows, mine))
-    value = F.struct(*[F.col(c) for c in names]) if names else F.struct(F.lit(0).alias("_none"))
-    packed = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(f"{c}n"), F.min(value).alias(f"{c}v"), F.max(value).alias(f"{c}w"), F.sum(F.xxhash64(*names).cast("decimal(38,0)") if names else F.lit(0)).alias(f"{c}s"))
-    a, b = packed(rows, "a").alias("a"), packed(mine, "b").alias("b")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    j = a.join(b, same, "full_outer")
-    single = (F.col("an") == 1) & (F.col("bn") == 1)
-    changed = F.filter(F.array(*[F.when(~F.col(f"av.{c}").eqNullSafe(F.col(f"bv.{c}")), F.lit(c)) for c in names]), lambda c: c.isNotNull()) if names else F.array().cast("array<string>")
-    fault = F.when(F.col("bn").isNull(), "missing").when(F.col("an").isNull(), "added").when(F.col("an") != F.col("bn"), "count").when(~F.col("as").eqNullSafe(F.col("bs")) | ~F.col("av").eqNullSafe(F.col("bv")) | ~F.col("aw").eqNullSafe(F.col("bw")), "changed")
-    out = j.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], fault.alias("fault"), F.when(single, changed).alias("columns"))
-    return out.where("fault is not null")
+    return row_faults(rows, mine, keys, names)

@@ -129,3 +129,45 @@ def test_stored_runs_name_the_rows_that_differ(spark, tmp_path, monkeypatch):
     # Of an equal run only digests are read.
     read = verify.differing_buckets(spark.read.parquet(f"{at}/digests"), verify._leaves(verify._hashed(base, ["a", "b"])))
     assert read.count() == 0
+
+
+def test_runs_verify_themselves(spark, tmp_path):
+    from strandlake.operators import runs
+    from strandlake.sources import sinks
+
+    parts = spark.range(60).select("id", (F.col("id") % 5).alias("g"))
+    keys = {"parts": ["id"], "sizes": ["g"], "kept": ["id"]}
+
+    def rebuild(tables, policy):
+        return {"sizes": tables["parts"].groupBy("g").agg(F.count("*").alias("n")), "kept": tables["parts"].where(F.col("id") < policy["below"])}
+
+    root = str(tmp_path)
+    run = runs.publish_run(spark, root, {"parts": parts}, {"below": 9}, rebuild, keys)
+    assert runs.publish_run(spark, root, {"parts": parts.repartition(3)}, {"below": 9}, rebuild, keys) == run
+    assert runs.publish_run(spark, root, {"parts": parts}, {"below": 8}, rebuild, keys) != run
+    failed = lambda: {r["check_id"]: r["detail"] for r in runs.verify_run(spark, root, run, rebuild, keys).where("status = 'fail'").collect()}
+    assert failed() == {}
+    # Rows that change behind their digests, an input that is another, a table too many.
+    at = f"{root}/{run}/results/kept/rows"
+    odd = spark.read.parquet(at).withColumn("g", F.when(F.col("id") == 3, -1).otherwise(F.col("g"))).collect()
+    schema = spark.read.parquet(at).schema
+    sinks.delete(spark, at)
+    spark.createDataFrame(odd, schema).write.parquet(at)
+    assert failed() == {"result-kept": "1"}
+    sinks.delete(spark, f"{root}/{run}/inputs/parts")
+    verify.store_run(parts.where("id > 0"), f"{root}/{run}/inputs/parts", ["id"])
+    (tmp_path / run / "results" / "more").mkdir()
+    assert {"results-set", "input-parts", "result-sizes", "result-kept"} == set(failed())
+
+
+def test_spearman_with_ties_equals_ranks(spark):
+    from strandlake.operators.aggregates import regression_metrics
+
+    rng = np.random.default_rng(8)
+    rows = [(g, float(rng.integers(0, 9)), float(rng.integers(0, 6)) if g else 1.0) for g in (0, 1, 2) for _ in range(80)]
+    got = {r["g"]: r for r in regression_metrics(spark.createDataFrame(rows, "g int, y double, p double"), "y", "p", ["g"]).collect()}
+    assert got[0]["spearman"] is None
+    for g in (1, 2):
+        y, p = np.array([r[1:] for r in rows if r[0] == g]).T
+        rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+        assert got[g]["spearman"] == pytest.approx(np.corrcoef(rank(y), rank(p))[0, 1]) and got[g]["pearson"] == pytest.approx(np.corrcoef(y, p)[0, 1])
