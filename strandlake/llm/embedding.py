@@ -54,8 +54,9 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int = SHARD
     it to the shared folder. Every class is then searched in every shard, where it is (the graphs travel, a shard at a
     time, not the queries; a task holds QUERY_BYTES of queries meanwhile, so graphs are read once for so many). A search
     whose beam is full of links runs again with a wider one, in the end against all nodes, so no link is capped; audits
-    compare a bounded number of a task's queries with all nodes of the shard and widen all beams until RECALL is reached.
-    Of a task's links only those that connect something new go on to the components; the others are counted.
+    compare a bounded number of a task's queries with all nodes of the shard and widen all beams until RECALL is reached, in
+    the end by comparing all. A vector that links with one node of a shard's group (nodes that verified links of the graph
+    connect) is compared exactly with the whole group, so links are counted from both ends. Of a task's links only those that connect something new go on to the components; the others are counted.
 
     audits: gets the number of links that audits looked for and of those found. An empty table gives an empty one; other
     columns are ignored. Searching all vectors in all shards is work that grows with vectors times shards: the method's own cost.

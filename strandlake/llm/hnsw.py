@@ -13,6 +13,8 @@ LINKS, BUILD_BEAM, CELLS = 12, 48, 1 << 25
 WIDE, COLUMNS = 1024, 16_384
 #: Queries of a search that are audited: so many with links, and as many others.
 AUDITS = 32
+#: Groups of linked nodes up to this size are compared pair by pair, larger ones by products of blocks.
+SMALL_GROUP = 64
 
 
 def _diverse(own: np.ndarray, ids: np.ndarray, sims: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
@@ -189,15 +191,72 @@ class Graph:
                 for k in np.flatnonzero(hit.any(1)).tolist():
                     yield i + k, j + np.flatnonzero(hit[k])
 
+    def groups(self, least: float) -> np.ndarray:
+        """Each node's group: nodes that ground links of cosine >= least connect, named by their smallest node."""
+        nodes, links = self.layers[-1]
+        frm, to = np.repeat(nodes, links.shape[1]), links[nodes].ravel()
+        frm, to = frm[to >= 0].astype(np.int64), to[to >= 0].astype(np.int64)
+        ok = np.zeros(len(frm), bool)
+        for i in range(0, len(frm), 100_000):
+            ok[i : i + 100_000] = np.einsum("kd,kd->k", self.exact[frm[i : i + 100_000]], self.exact[to[i : i + 100_000]]) >= least
+        frm, to = frm[ok], to[ok]
+        label = np.arange(len(self.x))
+        while True:
+            before = label.copy()
+            np.minimum.at(label, frm, before[to])
+            np.minimum.at(label, to, before[frm])
+            # Names are followed to their own names, so chains take few rounds.
+            while (label[label] != label).any():
+                label = label[label]
+            if (label == before).all():
+                return label
+
+    def completed(self, q: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links (query a, node b) -> these and all others into the groups that they reach: a query that links with one node of a
+        group is compared exactly with the whole group, so that no link depends on the side that looked for it."""
+        if not len(a):
+            return a, b
+        order = np.argsort(label, kind="stable")
+        begin = np.searchsorted(label[order], np.arange(len(label)))
+        size = np.bincount(label, minlength=len(label))
+        query, group = np.divmod(np.unique(a * np.int64(len(label)) + label[b]), len(label))
+        qs, ns = [], []
+
+        def keep(k: np.ndarray, n: np.ndarray) -> None:
+            ok = np.einsum("kd,kd->k", q[k], self.exact[n]) >= least
+            qs.append(k[ok]), ns.append(n[ok])
+
+        small = size[group] <= SMALL_GROUP
+        k, g = query[small], group[small]
+        for i in range(0, len(k), 2_000):
+            n = size[g[i : i + 2_000]]
+            at = np.repeat(begin[g[i : i + 2_000]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keep(np.repeat(k[i : i + 2_000], n), order[at])
+        for g in np.unique(group[~small]).tolist():
+            k = query[group == g]
+            nodes = order[begin[g] : begin[g] + size[g]]
+            for j in range(0, len(nodes), COLUMNS):
+                part = self.exact[nodes[j : j + COLUMNS]].T
+                for i in range(0, len(k), 256):
+                    r, c = np.nonzero(q[k[i : i + 256]] @ part >= least)
+                    qs.append(k[i + r]), ns.append(nodes[j + c])
+        a, b = np.concatenate(qs), np.concatenate(ns)
+        by = np.argsort(a, kind="stable")
+        return a[by], b[by]
+
     def search(self, q: np.ndarray, own: np.ndarray, weight: np.ndarray, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Queries (own: which node each is, -1: none) -> how many others each links with, by the nodes' weights; (query,
         node) links that connect all that is linked; and how many links the audits looked for and found.
 
-        Audits compare some queries with all nodes, other than themselves; as long as less than `recall` of their links is
-        found, the beams of all widen. Links within what the search has connected already are counted, but not given.
+        A query that links with one node of a group (see groups) is compared with the whole group. Audits compare some queries
+        with all nodes, other than themselves; as long as less than `recall` of their links is found, the beams of all
+        widen, and if the widest don't reach it, all queries are compared with all nodes. Links within what the search has
+        connected already are counted, but not given.
         """
+        groups = self.groups(least)
         while True:
             a, b, dense = self.found(q, least, beam)
+            a, b = self.completed(q, a, b, least, groups)
             other = b != own[a]
             a, b = a[other], b[other]
             rng = np.random.default_rng(len(q))
@@ -208,7 +267,11 @@ class Graph:
                 nodes = nodes[nodes != own[audit[k]]]
                 there += len(nodes)
                 there_found += int(np.isin(nodes, b[np.searchsorted(a, audit[k]) : np.searchsorted(a, audit[k], "right")]).sum())
-            if there_found >= recall * there or beam >= min(WIDE, len(self.x)):
+            if there_found >= recall * there:
+                break
+            if beam >= min(WIDE, len(self.x)):
+                a, b, dense = a[:0], b[:0], np.arange(len(q))
+                there_found = there
                 break
             beam *= 2
         count = np.zeros(len(q), np.int64)

@@ -478,3 +478,27 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_groups_complete_what_beams_miss(monkeypatch):
+    rng = np.random.default_rng(6)
+    parts = []
+    for n in (300, 120, 40, 10, 3):
+        centre = rng.normal(size=32)
+        noise = rng.normal(size=(n, 32))
+        parts.append(centre / np.linalg.norm(centre) + noise / np.linalg.norm(noise, axis=1, keepdims=True) * np.sqrt(1 / 0.95 - 1) * rng.uniform(0.9, 1.1, (n, 1)))
+    x = np.vstack([*parts, rng.normal(size=(300, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = x @ x.T >= 0.95
+    np.fill_diagonal(want, False)
+    g = Graph(x)
+    for group in (64, 4):  # with the second, most groups are products of blocks
+        monkeypatch.setattr(hnsw, "SMALL_GROUP", group)
+        a, b = g.completed(x, *g.found(x, 0.95, 24)[:2], 0.95, g.groups(0.95))
+        pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+        assert len(pairs) == len(set(pairs)) and {(i, j) for i, j in pairs if i != j} == set(zip(*map(list, np.nonzero(want)), strict=True))
+    # A graph whose walks find nothing: audits send all queries to the exact way.
+    monkeypatch.setattr(hnsw, "WIDE", 24)
+    monkeypatch.setattr(Graph, "found", lambda self, q, least, beam: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    count, _, _, _ = g.search(x, np.arange(len(x)), np.ones(len(x), int), 0.95, 24, 0.995)
+    assert (count == want.sum(1)).all()
