@@ -19,13 +19,14 @@ SIMILARITY = 0.8
 SHINGLE, WINDOW, GRAM, REACH = 5, 24, 2, 27
 #: A passage has so many words at least.
 MIN_WORDS = 50
-#: Words that are looked at on either side of a run's core; words between windows of one run; words that must agree
-#: after an edit.
-CONTEXT, GAP, RESYNC = 44, 8, 5
+#: Words that are looked at on either side of a run's core, first and at most in one round; words between windows of one run;
+#: words that must agree after an edit.
+CONTEXT, WIDEST, GAP, RESYNC = 44, 2816, 8, 5
 #: Runs whose places are broadcast at most (some tens of bytes each); with more, texts meet them by document.
 BROADCAST_SPANS = 1_000_000
-#: Linked windows may differ in their outer words or be shifted by some: runs grow from so many words within.
-TRIM = 5
+#: Linked windows may differ in their outer words or be shifted by some: runs grow from so many words within; they may be
+#: shifted by SHIFT words, and how is seen from the ALIGN words from there on.
+TRIM, SHIFT, ALIGN = 10, 5, 15
 #: Recall that bands are tuned for, at SIMILARITY.
 RECALL = 0.95
 CHUNK, SEED = 2048, 9
@@ -158,40 +159,50 @@ def _forest(sets: np.ndarray, ids: np.ndarray, similarity: float, split: int) ->
     return src, dst
 
 
-def grown(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, int]:
-    """How far two runs of words go on alike from their first words, one of which may begin up to TRIM words later: words of
-    a, words of b. After a difference of one or two words (changed, added or dropped) they go on if RESYNC words agree again, as long as
-    no more than 1 - similarity of the words are edits.
+def grown(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, more: tuple[bool, bool] = (False, False), words: int = 0, edits: int = 0) -> tuple[int, int, int, bool]:
+    """How far two runs of words go on alike from their first words, one of which may begin up to SHIFT words later: words of
+    a, words of b, edits, whether it takes more words to know. After a difference of one or two words (changed, added or
+    dropped) they go on if RESYNC words agree again, as long as no more than 1 - similarity of the words are edits.
+
+    more: whether the texts go on after a and after b. words, edits: of a that were passed already; a run that goes on
+    from where it was open ends where it would have ended with all words at hand.
     """
-    i = j = edits = 0
-    for di, dj in _SHIFTS:
-        x, y = a[di : di + RESYNC], b[dj : dj + RESYNC]
-        if len(x) == len(y) == RESYNC and (x == y).all():
-            i, j = di, dj
-            break
+    i = j = 0
+    if not words:
+        best = RESYNC - 1
+        for di, dj in _SHIFTS:
+            n = min(ALIGN, len(a) - di, len(b) - dj)
+            agree = int((a[di : di + n] == b[dj : dj + n]).sum()) if n > best else 0
+            if agree > best:
+                i, j, best = di, dj, agree
+            if best == ALIGN:
+                break
     while True:
         n = min(len(a) - i, len(b) - j)
         same = a[i : i + n] == b[j : j + n]
         m = n if same.all() else int(same.argmin())
         i, j = i + m, j + m
         if m == n:
-            return i, j
+            return i, j, edits, (more[0] or i < len(a)) and (more[1] or j < len(b))
+        if (more[0] and len(a) - i < _AHEAD) or (more[1] and len(b) - j < _AHEAD):
+            return i, j, edits, True
         for di, dj in _EDITS:
             x, y = a[i + di : i + di + RESYNC], b[j + dj : j + dj + RESYNC]
-            if len(x) == len(y) == RESYNC and (x == y).all() and edits + max(di, dj) <= (1 - similarity) * (i + di + RESYNC) + 1e-9:
+            if len(x) == len(y) == RESYNC and (x == y).all() and edits + max(di, dj) <= (1 - similarity) * (words + i + di + RESYNC) + 1e-9:
                 i, j, edits = i + di, j + dj, edits + max(di, dj)
                 break
         else:
-            return i, j
+            return i, j, edits, False
 
 
-_SHIFTS = ((0, 0), *(s for k in range(1, TRIM + 1) for s in ((0, k), (k, 0))))
+_SHIFTS = ((0, 0), *(s for k in range(1, SHIFT + 1) for s in ((0, k), (k, 0))))
 _EDITS = ((1, 1), (0, 1), (1, 0), (2, 2), (0, 2), (2, 0), (1, 2), (2, 1))
+_AHEAD = max(map(max, _EDITS)) + RESYNC
 
 
-def contexts(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, text and distinct (doc_id, lo, hi) -> doc_id, lo, hi, before, after: hashes of the CONTEXT words on either side
-    of the words from lo up to hi, as bytes, nearest first."""
+def contexts(source: DataFrame, wanted: DataFrame, width: int = CONTEXT) -> DataFrame:
+    """doc_id, text and distinct (doc_id, lo, hi) -> doc_id, lo, hi, before, after: hashes of the `width` words on either side of
+    the words from lo up to hi, as bytes, nearest first; and n_words of the text."""
     wanted = common.cut(wanted)
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     if wanted.count() <= BROADCAST_SPANS:
@@ -199,41 +210,72 @@ def contexts(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "lo", "hi", "before", "after", "n_words"])
+
         for b in batches:
             rows: list[tuple] = []
             for doc, t, spans in zip(b.column(0).to_pylist(), common.texts(b.column(1)), b.column(2), strict=True):
                 h = word_hashes(t, cache)
                 for x in spans.as_py():
                     lo, hi = x["lo"], x["hi"]
-                    rows.append((doc, lo, hi, h[max(0, lo - CONTEXT) : lo][::-1].tobytes(), h[hi : hi + CONTEXT].tobytes()))
+                    rows.append((doc, lo, hi, h[max(0, lo - width) : lo][::-1].tobytes(), h[hi : hi + width].tobytes(), len(h)))
+                    if len(rows) * width >= 1 << 20:
+                        yield batch(rows)
+                        rows = []
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "lo", "hi", "before", "after"])
+                yield batch(rows)
 
-    found = source.join(asked, "doc_id").select("doc_id", "text", "spans").mapInArrow(work, "doc_id long, lo int, hi int, before binary, after binary")
+    found = source.join(asked, "doc_id").select("doc_id", "text", "spans").mapInArrow(work, "doc_id long, lo int, hi int, before binary, after binary, n_words int")
     return found.dropDuplicates(["doc_id", "lo", "hi"])
 
 
-def runs_of(spans: DataFrame, source: DataFrame, similarity: float) -> DataFrame:
+def runs_of(spans: DataFrame, source: DataFrame, similarity: float, context: int = CONTEXT) -> DataFrame:
     """Linked windows' spans (doc_id, lo, hi; rep, rep_lo, rep_hi) -> the same, each grown on both sides as long as the two
-    texts agree. Words around a span of a text that many others repeat are looked up once."""
-    core = [(F.col(c) + d).cast("int").alias(c) for c, d in (("lo", TRIM), ("hi", -TRIM), ("rep_lo", TRIM), ("rep_hi", -TRIM))]
-    spans = spans.select("doc_id", "rep", *core)
-    ends = spans.select("doc_id", "lo", "hi").unionByName(spans.select(F.col("rep").alias("doc_id"), F.col("rep_lo").alias("lo"), F.col("rep_hi").alias("hi"))).distinct()
-    around = common.cut(contexts(source, ends))
-    rep = around.select(F.col("doc_id").alias("rep"), F.col("lo").alias("rep_lo"), F.col("hi").alias("rep_hi"), F.col("before").alias("rep_before"), F.col("after").alias("rep_after"))
-    both = spans.join(around, ["doc_id", "lo", "hi"]).join(rep, ["rep", "rep_lo", "rep_hi"]).select("doc_id", "lo", "hi", "rep", "rep_lo", "rep_hi", "before", "after", "rep_before", "rep_after")
+    texts agree. Words around a span of a text that many others repeat are looked up once.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [[np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (6, 7, 8, 9)]
-            back = np.array([grown(x, y, similarity) for x, y in zip(words[0], words[2], strict=True)], np.int32).reshape(-1, 2)
-            on = np.array([grown(x, y, similarity) for x, y in zip(words[1], words[3], strict=True)], np.int32).reshape(-1, 2)
-            c = [b.column(k).to_numpy() for k in range(6)]
-            new = [c[0], c[1] - back[:, 0], c[2] + on[:, 0], c[3], c[4] - back[:, 1], c[5] + on[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in new], ["doc_id", "lo", "hi", "rep", "rep_lo", "rep_hi"])
-
-    return both.mapInArrow(work, "doc_id long, lo int, hi int, rep long, rep_lo int, rep_hi int")
+    Runs grow in rounds: those that still agree where the words looked at end go on with four times as many (WIDEST at
+    most), until none is left. A round reads the texts of the runs that are left.
+    """
+    spark = spans.sparkSession
+    core = [(F.col(c) + d).cast("int").alias(c) for c, d in (("lo", TRIM), ("hi", -TRIM), ("rep_lo", TRIM), ("rep_hi", -TRIM))]
+    zero = [F.lit(0).alias(c) for c in ("back_words", "back_edits", "on_words", "on_edits")]
+    left, width, done = spans.select("doc_id", "rep", *core, *zero, F.lit(True).alias("back"), F.lit(True).alias("on")), context, None
+    schema = "doc_id long, rep long, lo int, hi int, rep_lo int, rep_hi int, back_words int, back_edits int, on_words int, on_edits int, back boolean, on boolean"
+    names = [c.split()[0] for c in schema.split(", ")]
+    while True:
+        ends = left.select("doc_id", "lo", "hi").unionByName(left.select(F.col("rep").alias("doc_id"), F.col("rep_lo").alias("lo"), F.col("rep_hi").alias("hi"))).distinct()
+        at = common.scratch(spark, "around")
+        contexts(source, ends, width).write.parquet(at)
+        around = spark.read.parquet(at)
+        rep = around.select(F.col("doc_id").alias("rep"), F.col("lo").alias("rep_lo"), F.col("hi").alias("rep_hi"), *[F.col(c).alias(f"rep_{c}") for c in ("before", "after", "n_words")])
+        both = left.join(around, ["doc_id", "lo", "hi"]).join(rep, ["rep", "rep_lo", "rep_hi"]).select(*names, "before", "rep_before", "after", "rep_after", "n_words", "rep_n_words")
+
+        def work(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for doc, r, lo, hi, rlo, rhi, bw, be, ow, oe, back, on, *words, n, rn in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    p, q, x, y = (np.frombuffer(w, np.uint64) for w in words)
+                    if back:
+                        i, j, be, back = grown(p, q, similarity, (lo > width, rlo > width), bw, be)
+                        lo, rlo, bw = lo - i, rlo - j, bw + i
+                    if on:
+                        i, j, oe, on = grown(x, y, similarity, (n - hi > width, rn - rhi > width), ow, oe)
+                        hi, rhi, ow = hi + i, rhi + j, ow + i
+                    out.append((doc, r, lo, hi, rlo, rhi, bw, be, ow, oe, back, on))
+                if out:
+                    kinds = [pa.int64()] * 2 + [pa.int32()] * 8 + [pa.bool_()] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        step = common.cut(both.mapInArrow(work, schema))
+        common.remove(spark, at)
+        ended = step.where("not back and not on").select("doc_id", "lo", "hi", "rep", "rep_lo", "rep_hi")
+        done = ended if done is None else done.unionByName(ended)
+        left, width = step.where("back or on"), min(width * 4, max(WIDEST, context))
+        if left.isEmpty():
+            return done
 
 
 def _merged(df: DataFrame, keys: list[str], lo: str, hi: str, *more) -> DataFrame:

@@ -219,10 +219,48 @@ def test_edited_passages_are_found(spark):
 
 def test_runs_grow_over_edits():
     a = np.arange(100)
-    assert passages.grown(a, a) == (100, 100)
+    assert passages.grown(a, a) == (100, 100, 0, False)
     for b, want in ((np.delete(a, 30), (100, 99)), (np.insert(a, 30, 999), (100, 101)), (np.where(a == 30, 999, a), (100, 100)), (np.where(a >= 60, -a, a), (60, 60)), (np.where(a % 4 == 3, -a, a), (3, 3))):
-        assert passages.grown(a, b) == want
-    assert passages.grown(a[:0], a) == (0, 0)
+        assert passages.grown(a, b)[:2] == want
+    assert passages.grown(a[:0], a)[:2] == (0, 0)
+
+
+def test_runs_that_go_on_end_where_they_would_with_all_words():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = rng.integers(0, 2**60, rng.integers(1, 400), dtype=np.uint64)
+        b = a.copy()
+        for _ in range(rng.integers(0, 12)):
+            at = int(rng.integers(0, max(1, len(b))))
+            b = np.concatenate([b[:at], rng.integers(0, 2**60, rng.integers(0, 3), dtype=np.uint64), b[at + int(rng.integers(0, 3)) :]])
+        i = j = edits = 0
+        width, on = 20, True
+        while on:
+            x, y = a[i : i + width], b[j : j + width]
+            di, dj, edits, on = passages.grown(x, y, 0.8, (i + width < len(a), j + width < len(b)), i, edits)
+            i, j, width = i + di, j + dj, width + 5
+        assert (i, j, edits, False) == passages.grown(a, b)
+
+
+def test_edited_passages_are_whole_however_long(spark):
+    """Edits far from what copies share word by word: runs grow over them to the passage's ends, in as many rounds as it takes."""
+    rng = random.Random(9)
+    passage, long = words(rng, 240, 5000), words(rng, 1500, 5000)
+    rows, want = [], {}
+    for k in range(60):
+        other = list(passage)
+        for at in (12, 30, 48, 66):
+            other[at] = f"e{k}.{at}"
+        rows.append((k, " ".join([*words(rng, 20, 5000), f"a{k}", *other, f"b{k}", *words(rng, 20, 5000)])))
+        want[k] = (21, 240)
+    for k in (100, 101):
+        other = [f"{w}{k}" if k > 100 and i < 1400 and i % 12 == 11 else w for i, w in enumerate(long)]
+        rows.append((k, " ".join([f"a{k}", *other, f"b{k}"])))
+        want[k] = (1, 1500)
+    got = collections.defaultdict(list)
+    for r in passages.repeated_passages(docs(spark, rows)).collect():
+        got[r["doc_id"]].append((r["start_word"], r["n_words"]))
+    assert got == {k: [v] for k, v in want.items()}
 
 
 def test_passage_windows_link_exactly_above_the_threshold():
