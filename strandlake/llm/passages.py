@@ -201,10 +201,10 @@ _AHEAD = max(map(max, _EDITS)) + RESYNC
 
 
 def contexts(source: DataFrame, wanted: DataFrame, width: int = CONTEXT) -> DataFrame:
-    """doc_id, text and distinct (doc_id, lo, hi) -> doc_id, lo, hi, before, after: hashes of the `width` words on either side of
-    the words from lo up to hi, as bytes, nearest first; and n_words of the text."""
+    """doc_id, text and distinct (doc_id, lo, hi), with back and on -> doc_id, lo, hi, before, after: hashes of the `width` words
+    before lo (if back) and from hi on (if on), as bytes, nearest first; and n_words of the text."""
     wanted = common.cut(wanted)
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "back", "on")).alias("spans"))
     if wanted.count() <= BROADCAST_SPANS:
         asked = F.broadcast(asked)
 
@@ -221,7 +221,7 @@ def contexts(source: DataFrame, wanted: DataFrame, width: int = CONTEXT) -> Data
                 h = word_hashes(t, cache)
                 for x in spans.as_py():
                     lo, hi = x["lo"], x["hi"]
-                    rows.append((doc, lo, hi, h[max(0, lo - width) : lo][::-1].tobytes(), h[hi : hi + width].tobytes(), len(h)))
+                    rows.append((doc, lo, hi, h[max(0, lo - width) : lo][::-1].tobytes() if x["back"] else b"", h[hi : hi + width].tobytes() if x["on"] else b"", len(h)))
                     if len(rows) * width >= 1 << 20:
                         yield batch(rows)
                         rows = []
@@ -237,16 +237,21 @@ def runs_of(spans: DataFrame, source: DataFrame, similarity: float, context: int
     texts agree. Words around a span of a text that many others repeat are looked up once.
 
     Runs grow in rounds: those that still agree where the words looked at end go on with four times as many (WIDEST at
-    most), until none is left. A round reads the texts of the runs that are left.
+    most), until none is left. A round reads the texts of the runs that are left. Runs of two documents that have met are
+    one from then on, so what they hold is not passed again by each of them.
     """
     spark = spans.sparkSession
     core = [(F.col(c) + d).cast("int").alias(c) for c, d in (("lo", TRIM), ("hi", -TRIM), ("rep_lo", TRIM), ("rep_hi", -TRIM))]
     zero = [F.lit(0).alias(c) for c in ("back_words", "back_edits", "on_words", "on_edits")]
-    left, width, done = spans.select("doc_id", "rep", *core, *zero, F.lit(True).alias("back"), F.lit(True).alias("on")), context, None
+    runs, width = spans.select("doc_id", "rep", *core, *zero, F.lit(True).alias("back"), F.lit(True).alias("on")), context
     schema = "doc_id long, rep long, lo int, hi int, rep_lo int, rep_hi int, back_words int, back_edits int, on_words int, on_edits int, back boolean, on boolean"
     names = [c.split()[0] for c in schema.split(", ")]
     while True:
-        ends = left.select("doc_id", "lo", "hi").unionByName(left.select(F.col("rep").alias("doc_id"), F.col("rep_lo").alias("lo"), F.col("rep_hi").alias("hi"))).distinct()
+        left = runs.where("back or on")
+        if left.isEmpty():
+            return runs.select("doc_id", "lo", "hi", "rep", "rep_lo", "rep_hi")
+        ends = left.select("doc_id", "lo", "hi", "back", "on").unionByName(left.select(F.col("rep").alias("doc_id"), F.col("rep_lo").alias("lo"), F.col("rep_hi").alias("hi"), "back", "on"))
+        ends = ends.groupBy("doc_id", "lo", "hi").agg(F.max("back").alias("back"), F.max("on").alias("on"))
         at = common.scratch(spark, "around")
         contexts(source, ends, width).write.parquet(at)
         around = spark.read.parquet(at)
@@ -269,13 +274,26 @@ def runs_of(spans: DataFrame, source: DataFrame, similarity: float, context: int
                     kinds = [pa.int64()] * 2 + [pa.int32()] * 8 + [pa.bool_()] * 2
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-        step = common.cut(both.mapInArrow(work, schema))
+        runs = common.cut(_met(both.mapInArrow(work, schema).unionByName(runs.where("not back and not on")), names))
+        # The round's words and their shuffles go before the next round's come.
         common.remove(spark, at)
-        ended = step.where("not back and not on").select("doc_id", "lo", "hi", "rep", "rep_lo", "rep_hi")
-        done = ended if done is None else done.unionByName(ended)
-        left, width = step.where("back or on"), min(width * 4, max(WIDEST, context))
-        if left.isEmpty():
-            return done
+        del ends, around, rep, both, left
+        common.release(spark)
+        width = min(width * 4, max(WIDEST, context))
+
+
+def _met(runs: DataFrame, names: list[str]) -> DataFrame:
+    """Runs of the same two documents that overlap, and go on there as they began, as one, which goes on at its own ends."""
+    order = Window.partitionBy("doc_id", "rep").orderBy("lo", "hi", "rep_lo", "rep_hi")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.struct("hi", "rep_hi")).over(before)
+    meets = (F.col("lo") <= last["hi"]) & (F.abs(F.col("rep_lo") - F.col("lo") - last["rep_hi"] + last["hi"]) <= GAP)
+    part = runs.withColumn("_new", F.when(meets, 0).otherwise(1)).withColumn("_part", F.sum("_new").over(order))
+    first = F.min(F.struct("lo", "rep_lo", "back_words", "back_edits", "back")).alias("_a")
+    final = F.max(F.struct("hi", "rep_hi", "on_words", "on_edits", "on")).alias("_z")
+    one = part.groupBy("doc_id", "rep", "_part").agg(first, final)
+    at = {"lo": "_a", "rep_lo": "_a", "back_words": "_a", "back_edits": "_a", "back": "_a"}
+    return one.select(*[c if c in ("doc_id", "rep") else F.col(f"{at.get(c, '_z')}.{c}").alias(c) for c in names])
 
 
 def _merged(df: DataFrame, keys: list[str], lo: str, hi: str, *more) -> DataFrame:
