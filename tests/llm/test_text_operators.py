@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strandlake.llm import chat, decontaminate, line_dedup, near, passages, queries, simhash, warc
 
 DOCS = "doc_id long, text string, row string, fp long, kept string"  # names that operators use themselves
@@ -144,6 +145,79 @@ def test_near_dedup_of_large_groups_is_cut(spark, monkeypatch):
     assert got == brute_components(ws, linked)
 
 
+def test_near_dedup_fingerprints_are_majorities():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 2, 4, 5, 15, 16, 31, 400, 30_000, 3)]
+    got = near.fingerprints(sets, 200)
+    assert got.shape == (10, 200) and near.fingerprints([], 200).shape == (0, 200)
+    for k in range(10):
+        # Alone, and as a sum over its hashes: each hash of a set of one is its own bits.
+        assert (near.fingerprints(sets[k : k + 1], 200)[0] == got[k]).all()
+        votes = near.fingerprints([sets[k][i : i + 1] for i in range(len(sets[k]))], 200).sum(0)
+        assert (got[k] == (2 * votes > len(sets[k]))).all()
+    assert 0.4 < got.mean() < 0.6
+
+
+def test_near_dedup_layout_fits_the_similarity():
+    rng = np.random.default_rng(15)
+    # Sets of 5 and 4 (the worst case), and of 170 each, at a similarity of 0.8.
+    for both, x, y in ((4, 1, 0), (160, 20, 20)):
+        pairs = [rng.integers(0, 1 << 63, both + x + y).astype(np.uint64) for _ in range(400)]
+        a = near.fingerprints([p[: both + x] for p in pairs], 640)
+        b = near.fingerprints([np.append(p[:both], p[both + x :]) for p in pairs], 640)
+        assert (a != b).mean() < near.flip(0.8) + 0.01
+    blocks, bits, radius = near.layout(10**7, 0.8)
+    assert 1 - (1 - (1 - near.flip(0.8)) ** bits) ** blocks >= 0.99 and 10**7 / 2**bits <= near.LOAD
+    assert near.flip(1.0) == 0 and near.layout(100, 1.0) == (1, 8, 0)
+
+
+def test_near_dedup_candidates_against_brute_force(spark, monkeypatch):
+    """Links join what shares a block and lies within the radius, and nothing else, in buckets of any size and cut ones."""
+    rng = np.random.default_rng(16)
+    centres = rng.integers(0, 2, (6, 128 + 24))
+    rows, fps = [], {}
+    for i in range(240):
+        f = centres[i % 6] ^ (rng.random(152) < (0.02, 0.1, 0.25)[i % 3])
+        fps[i] = f
+        blocks = [int(f[8 * k : 8 * k + 8] @ (1 << np.arange(8))) for k in range(3)]
+        rows.append((i, blocks, *np.packbits(f[24:].astype(bool), bitorder="little").view(np.int64).tolist()))
+    reps = spark.createDataFrame(rows, "t long, blocks array<int>, c1 long, c2 long")
+    near_by = lambda a, b: (fps[a][24:] != fps[b][24:]).sum() <= 30
+    shares = lambda a, b: any((fps[a][8 * k : 8 * k + 8] == fps[b][8 * k : 8 * k + 8]).all() for k in range(3))
+    want = brute_components(fps, [(a, b) for a in fps for b in range(a) if shares(a, b) and near_by(a, b)])
+    assert 6 < len(set(want.values())) < 240
+    for small, bucket in ((512, 4096), (4, 4096), (512, 16), (2, 3)):
+        monkeypatch.setattr(near, "BUCKET", bucket)
+        monkeypatch.setattr(near, "_SMALL", small)
+        got = [(r["src"], r["dst"]) for r in near.candidates(reps, 8, 30).collect()]
+        assert all(shares(a, b) and near_by(a, b) for a, b in got)
+        assert brute_components(fps, got) == want
+
+
+def test_near_copies_are_found_by_their_fingerprints(spark, monkeypatch):
+    """The stage goes by SimHash distances: with a radius that nothing reaches, only equal fingerprints are left."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(0, 80, 2):
+        w = words(rng, 150, 5000)
+        rows += [(i, " ".join(w)), (i + 1, " ".join([*w[:70], "edited", *w[71:]]))]
+    rows += [(200, rows[0][1].upper())]
+    stage = lambda: {r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, docs(spark, rows), "").collect()}
+    assert stage() == set(range(0, 80, 2))
+    full = near.layout
+    monkeypatch.setattr(near, "layout", lambda *a: (*full(*a)[:2], 0))
+    assert stage() == set(range(80))
+
+
+def test_near_dedup_of_small_texts(spark):
+    """Texts of nine words and their first eight have a similarity of 0.8, and their fingerprints differ most."""
+    rng = random.Random(18)
+    ws = [words(rng, 9, 5000) for _ in range(400)]
+    rows = [(2 * i + k, " ".join(w[: 9 - k])) for i, w in enumerate(ws) for k in (0, 1)]
+    left = {r["doc_id"] for r in simhash.first_of_each(docs(spark, rows), 5).collect()}
+    assert set(range(0, 800, 2)) <= left and len(left) <= 400 + 8
+
+
 def brute_lines(rows, least=10):
     strip = " \t\n\x0b\x0c\r"
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(strip))
