@@ -20,11 +20,14 @@ def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     return df.withColumn("_h", sha256(key)).orderBy("_h").limit(n).drop("_h")
 
 
-def tiered(df: DataFrame, mandatory: str, group: str, score: str, key: str, n: int) -> DataFrame:
-    """All mandatory rows, then round-robin of the others up to n; more mandatory rows than n is an error."""
+def tiered(df: DataFrame, mandatory: str, group: str, score: str, key: str, n: int, strict: bool = True) -> DataFrame:
+    """All mandatory rows, then round-robin of the others up to n. More mandatory rows than n is an error; if not strict, they are
+    all there is."""
     tier1 = df.where(F.col(mandatory))
-    count = tier1.agg(F.count("*").alias("_n"))
-    checked = tier1.join(F.broadcast(count)).withColumn("tier", F.when(F.col("_n") > n, F.raise_error(F.lit("mandatory rows exceed the budget"))).otherwise(F.lit("mandatory"))).drop("_n")  # one row
+    checked = tier1.withColumn("tier", F.lit("mandatory"))
+    if strict:
+        count = tier1.agg(F.count("*").alias("_n"))
+        checked = tier1.join(F.broadcast(count)).withColumn("tier", F.when(F.col("_n") > n, F.raise_error(F.lit("mandatory rows exceed the budget"))).otherwise(F.lit("mandatory"))).drop("_n")  # one row
     rest = df.where(~F.col(mandatory))
     rn = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key))
     rest = rest.withColumn("_r", rn).where(F.col("_r") <= n)
