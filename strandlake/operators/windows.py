@@ -39,6 +39,20 @@ def sliding_mean(df: DataFrame, keys: list[str], pos: str, value: str, n: int) -
     return full.select(*keys, (F.col(pos) - n + 1).alias("start1"), F.col(pos).alias("end1"), "score")
 
 
+def ordered_means(stored: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """A stored Parquet table -> key and the mean of each value, added up in the table's own order (file, row).
+
+    A sum of fractions depends on its order, and so does on which side of a limit a mean on it lies; partial sums come in whatever
+    order tasks end. Rows of a key are sorted in its task, which spills; none is held in an array.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    w = Window.partitionBy(key).orderBy("_at")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = stored.select(key, *values, at.alias("_at"))
+    rows = rows.select(key, *[F.avg(v).over(whole).alias(v) for v in values], F.row_number().over(w).alias("_n"))
+    return rows.where("_n = 1").drop("_n")
+
+
 def first_occurrence(df: DataFrame, content: list[str], order: list[str], key: str) -> DataFrame:
     """duplicate_of: the key of the first row with the same content, null for that row itself."""
     first = F.first(key).over(Window.partitionBy(*content).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -74,7 +74,8 @@ def ma07(spark, d):
 
 @query("ma06_confidence_bands", "SELECT part, CASE WHEN a >= 80 AND m >= 0.7 THEN 'higher' WHEN a < 70 OR m < 0.5 THEN 'low' ELSE 'mixed' END AS band FROM (SELECT l_partkey AS part, avg(l_quantity) * 3 AS a, avg(l_discount) * 12 AS m FROM lineitem GROUP BY 1)")
 def ma06(spark, d):
-    g = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg((F.avg("l_quantity") * 3).alias("a"), (F.avg("l_discount") * 12).alias("m"))
+    g = wi.ordered_means(table(spark, d, "lineitem"), "l_partkey", ["l_quantity", "l_discount"])
+    g = g.select(F.col("l_partkey").alias("part"), (F.col("l_quantity") * 3).alias("a"), (F.col("l_discount") * 12).alias("m"))
     return g.select("part", F.when((F.col("a") >= 80) & (F.col("m") >= 0.7), "higher").when((F.col("a") < 70) | (F.col("m") < 0.5), "low").otherwise("mixed").alias("band"))
 
 
