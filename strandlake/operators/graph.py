@@ -20,9 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, kept in the shared folder.
+
+    A checkpoint keeps the estimated size of the plan that made it, and a join's is the product of its sides': in a loop its
+    digits double each round, until the driver's memory or time ends. An estimate beyond 64 bits says nothing and is dropped.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint()
+    query = kept._jdf.queryExecution()
+    if query.optimizedPlan().stats().sizeInBytes() < 2**63:
+        return kept
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(query.toRdd(), kept._jdf.schema(), False), spark)
 
 
 def depths(edges: DataFrame, root: object, most: int = 1000) -> DataFrame:
