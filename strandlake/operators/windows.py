@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +65,61 @@ def residues(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     return df.select(*keys, F.posexplode(fn.letters(F.col(seq))).alias("_p", "residue")).withColumn("pos", F.col("_p") + 1).drop("_p")
 
 
-def hydrophobic_regions(df: DataFrame, keys: list[str], n: int = 19, threshold_tenths: int = 16) -> DataFrame:
-    """Merged windows whose mean hydropathy reaches the threshold; tenths are integers, so the edge is exact."""
+def sliding(values: Column, n: int, join) -> Column:
+    """join over every n neighbours of an array, by powers of two: about 2 log n passes. The last n - 1 are null."""
+    shifted = lambda a, k: F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0)))
+
+    def grown(power: Column, size: int, done: Column | None, held: int, rest: int) -> Column:
+        if rest & 1:
+            done, held = power if done is None else F.zip_with(done, shifted(power, held), join), held + size
+        if rest < 2:
+            return done
+        wider = F.zip_with(power, shifted(power, size), join)
+        if done is None:
+            return fn.let(wider, lambda p: grown(p, 2 * size, None, held, rest >> 1))
+        return fn.let(F.struct(wider.alias("p"), done.alias("d")), lambda x: grown(x["p"], 2 * size, x["d"], held, rest >> 1))
+
+    return fn.let(values, lambda v: grown(v, 1, None, 0, n))
+
+
+def merged_places(starts: Column, n: int, gap: int) -> Column:
+    """Sorted begins (from one) of windows of n places -> array of (start1, end1): windows that begin at most gap apart are one."""
+
+    def of(h: Column) -> Column:
+        first = F.filter(h, lambda x, i: (i == 0) | (x - F.get(h, i - 1) > gap))
+        last = F.filter(h, lambda x, i: (i == F.size(h) - 1) | (F.get(h, i + 1) - x > gap))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start1"), (b + n - 1).alias("end1")))
+
+    return fn.let(starts, of)
+
+
+def hydrophobic_places(seq: Column, n: int = 19, threshold_tenths: int = 16) -> Column:
+    """Array of (start1, end1, top): merged windows whose mean hydropathy reaches the threshold, top: the largest sum of tenths, which
+    are integers, so the edge is exact."""
     tenths = fn.literal_map({a: round(v * 10) for a, v in HYDROPATHY.items()})
-    rows = residues(df, keys).withColumn("v", F.element_at(tenths, F.col("residue")))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(1 - n, 0)
-    hits = rows.withColumn("t", F.sum("v").over(w)).where((F.col("pos") >= n) & (F.col("t") >= threshold_tenths * n))
-    hits = hits.select(*keys, (F.col("pos") - n + 1).alias("start1"), F.col("pos").alias("end1"), "t")
-    return merge_intervals(hits, keys, "start1", "end1", F.max("t").alias("top"))
+    sums = sliding(F.transform(fn.letters(seq), lambda a: F.coalesce(F.element_at(tenths, a), F.lit(0))), n, lambda a, b: a + b)
+
+    def of(t: Column) -> Column:
+        hits = F.transform(F.filter(fn.indexes(F.size(t) - n + 1), lambda i: F.get(t, i) >= threshold_tenths * n), lambda i: i + 1)
+        top = lambda r: F.array_max(F.slice(t, r["start1"], r["end1"] - r["start1"] - n + 2)).cast("long")
+        return F.transform(merged_places(hits, n, n), lambda r: F.struct(r["start1"].alias("start1"), r["end1"].alias("end1"), top(r).alias("top")))
+
+    return fn.let(sums, of)
+
+
+def hydrophobic_regions(df: DataFrame, keys: list[str], n: int = 19, threshold_tenths: int = 16) -> DataFrame:
+    """keys, seq -> start1, end1, top of each row's hydrophobic_places()."""
+    return df.select(*keys, F.inline(hydrophobic_places(F.col("seq"), n, threshold_tenths)))
+
+
+def homopolymer_places(seq: Column, least: int = 3) -> Column:
+    """Array of (start1, end1): runs of `least` equal letters and more."""
+
+    def of(a: Column) -> Column:
+        same = lambda i: F.forall(F.slice(a, i + 2, least - 1), lambda x: x == F.get(a, i))
+        return merged_places(F.transform(F.filter(fn.indexes(F.size(a) - least + 1), same), lambda i: i + 1), least, 1)
+
+    return fn.let(fn.letters(seq), of)
 
 
 def liability(df: DataFrame, n: int = 19) -> DataFrame:
@@ -87,11 +136,29 @@ def liability(df: DataFrame, n: int = 19) -> DataFrame:
     return rows.select("doc_id", "windows", "longest", F.round(1 - bad, 6).alias("liability"))
 
 
+def low_complexity_places(seq: Column, letters: str, n: int = 12, bits: float = 2.2) -> Column:
+    """Array of (start1, end1) of what windows of n letters with an entropy below `bits` cover, merged.
+
+    A window of d different letters has the least entropy where all but one of them stand there once, so windows of too many, which
+    are nearly all, go by one bit for each letter, before any entropy is computed.
+    """
+    least = lambda d: -((n - d + 1) / n * math.log2((n - d + 1) / n) + (d - 1) / n * math.log2(1 / n))
+    most = max((d for d in range(1, n + 1) if least(d) < bits + 1e-9), default=0)
+    other = 1 << 62
+    bit = fn.literal_map({a: 1 << k for k, a in enumerate(letters)})
+
+    def of(s: Column) -> Column:
+        held = sliding(F.transform(fn.letters(s), lambda a: F.coalesce(F.element_at(bit, a), F.lit(other))), n, lambda a, b: a.bitwiseOR(b))
+        few = fn.let(held, lambda m: F.filter(fn.indexes(F.size(m) - n + 1), lambda i: (F.get(m, i) >= other) | (F.bit_count(F.get(m, i)) <= most)))
+        low = F.filter(few, lambda i: fn.let(F.substr(s, i + 1, F.lit(n)), lambda x: fn.entropy(x, letters)) < bits)
+        return merged_places(F.transform(low, lambda i: i + 1), n, n)
+
+    return fn.let(seq, of)
+
+
 def low_complexity_regions(df: DataFrame, keys: list[str], letters: str, n: int = 12, bits: float = 2.2) -> DataFrame:
-    """keys, seq -> start1, end1 of what windows of n letters with an entropy below `bits` cover, merged."""
-    w = df.select(*keys, F.explode(F.transform(fn.indexes(F.length("seq") - n + 1), lambda i: F.struct((i + 1).alias("i"), F.substr("seq", i + 1, F.lit(n)).alias("x")))).alias("w"))
-    hits = w.where(fn.entropy(F.col("w.x"), letters) < bits).select(*keys, F.col("w.i").alias("start1"), (F.col("w.i") + n - 1).alias("end1"))
-    return merge_intervals(hits, keys)
+    """keys, seq -> start1, end1 of each row's low_complexity_places()."""
+    return df.select(*keys, F.inline(low_complexity_places(F.col("seq"), letters, n, bits)))
 
 
 def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
