@@ -60,11 +60,30 @@ def clashes(points: DataFrame, group: str, pos: str = "pos", gap: int = 2, near:
     return found.where(F.col("distance") < near).groupBy(group).agg(F.count("*").alias("clashes"))
 
 
+#: Points of a group whose pairs are all compared where they meet: more cost less by boxes and cells.
+FEW = 64
+
+
 def pair_extremes(points: DataFrame, group: str, pos: str = "pos", gap: int = 2, near: float = 3.0) -> DataFrame:
-    """The largest distance of two points at different places of each group that has such, and its clashes."""
-    many = points.groupBy(group).agg(F.min(pos).alias("_a"), F.max(pos).alias("_b")).where("_a < _b")
-    got = farthest(points, group, pos).join(many, group).join(clashes(points, group, pos, gap, near), group, "left")
-    return got.select(group, "farthest", F.coalesce("clashes", F.lit(0)).alias("clashes"))
+    """The largest distance of two points at different places of each group that has such, and its clashes.
+
+    Groups of up to FEW points are compared pair by pair in one join, which shuffles their points and nothing else; boxes, extremes
+    and the cells around points would be many times these. Larger groups, if there are any, go by farthest() and clashes().
+    """
+    p = points.select(F.col(group).alias("g"), F.col(pos).alias("at"), *AXES)
+    large = checkpointed(p.groupBy("g").count().where(F.col("count") > FEW).select("g"))
+    some = not large.isEmpty()
+    few = p.join(large, "g", "left_anti") if some else p
+    other = few.select("g", F.col("at").alias("at2"), *[F.col(c).alias(f"{c}2") for c in AXES])
+    met = few.join(other.hint("shuffle_merge"), "g").where(F.col("at") < F.col("at2"))
+    met = met.select("g", (F.col("at2") - F.col("at")).alias("gap"), _length([F.col(c) - F.col(f"{c}2") for c in AXES]).alias("d"))
+    got = met.groupBy("g").agg(F.max("d").alias("farthest"), F.count_if((F.col("gap") > gap) & (F.col("d") < near)).alias("clashes"))
+    if some:
+        big = p.join(large, "g", "left_semi")
+        many = big.groupBy("g").agg(F.min("at").alias("_a"), F.max("at").alias("_b")).where("_a < _b").select("g")
+        more = farthest(big, "g", "at").join(many, "g").join(clashes(big, "g", "at", gap, near), "g", "left")
+        got = got.unionByName(more.select("g", "farthest", F.coalesce("clashes", F.lit(0)).alias("clashes")))
+    return got.withColumnRenamed("g", group)
 
 
 def _jacobi(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column, steps: int = 30) -> Column:
