@@ -132,9 +132,9 @@ def jn10(spark, d):
 
 @query("jn12_source_controls", "SELECT a.p_partkey AS candidate, b.p_partkey AS control, b.p_size - a.p_size AS delta FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size = 1 AND a.p_partkey <> b.p_partkey")
 def jn12(spark, d):
-    p = table(spark, d, "part")
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
     c = p.where("p_size = 1").select("p_brand", F.col("p_partkey").alias("control"), F.col("p_size").alias("s"))
-    return p.join(c, "p_brand").where("p_partkey <> control").select(F.col("p_partkey").alias("candidate"), "control", (F.col("s") - F.col("p_size")).alias("delta"))
+    return jn.many_to_many(p, c, "p_brand", "p_partkey").where("p_partkey <> control").select(F.col("p_partkey").alias("candidate"), "control", (F.col("s") - F.col("p_size")).alias("delta"))
 
 
 _GRAMS = "SELECT DISTINCT {k}, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g FROM (SELECT {k}, regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+') AS ws FROM {t})"
